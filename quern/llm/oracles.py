@@ -69,3 +69,69 @@ docs AS (
 )"""
 
 MIX = "WITH " + _MIX_BASE.replace("{docs}", "documents") + " SELECT *, copies * size AS taken FROM mixed"
+
+_HOST = r"nullif(regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '')"
+_PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
+_MARK = "('0x' || substr(md5({x}), 1, 8))::BIGINT"
+
+URL_FILTER = f"""
+WITH captures AS (
+  SELECT page_id, url, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path,
+    DATE '2024-01-01' + ({_MARK.format(x="'fetch' || page_id::VARCHAR")} % 366)::INT AS fetched FROM pages
+), hosts AS (SELECT DISTINCT host AS h FROM captures WHERE host IS NOT NULL
+), firsts AS (SELECT DISTINCT host || '/' || split_part(path, '/', 2) AS h FROM captures WHERE host IS NOT NULL AND split_part(path, '/', 2) <> ''
+), marked AS (SELECT h, 'h' AS t, {_MARK.format(x="h")} AS m FROM hosts UNION ALL SELECT h, 'f', {_MARK.format(x="h")} FROM firsts
+), entries AS (
+  SELECT 'spam' AS list, 'domain' AS kind, regexp_replace(h, '^(?:www|blog|m)\\.', '') AS pattern, 'add' AS action, DATE '2024-01-01' + (m % 60)::INT AS day
+    FROM marked WHERE t = 'h' AND regexp_matches(h, 'spam|pills|casino')
+  UNION ALL SELECT 'malware', 'host', h, a, DATE '2024-01-01' + (m % 200 + k)::INT FROM marked, (VALUES ('add', 0), ('remove', 45), ('add', 120)) v(a, k) WHERE t = 'h' AND m % 9 = 0
+  UNION ALL SELECT 'paths', 'prefix', h, a, DATE '2024-01-01' + (m % 200 + k)::INT FROM marked, (VALUES ('add', 0), ('remove', 90)) v(a, k) WHERE t = 'f' AND m % 5 = 0
+  UNION ALL SELECT 'allow', 'host', h, 'add', DATE '2024-01-01' + (m % 200 + 60)::INT FROM marked WHERE t = 'h' AND m % 27 = 0
+), days AS (SELECT list, kind, pattern, day, max(action = 'remove') AS removed FROM entries GROUP BY ALL
+), spans AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS upto FROM days
+), live AS (SELECT * FROM spans WHERE NOT removed
+), hits AS (
+  SELECT c.page_id, c.url, c.fetched, l.list, l.kind, l.pattern, l.day, CASE l.kind WHEN 'prefix' THEN 3 WHEN 'host' THEN 2 ELSE 1 END AS grade
+  FROM (SELECT DISTINCT page_id, url, host, path, fetched FROM captures) c JOIN live l ON c.fetched >= l.day AND (l.upto IS NULL OR c.fetched < l.upto)
+    AND CASE l.kind WHEN 'host' THEN c.host = l.pattern WHEN 'domain' THEN ends_with('.' || c.host, '.' || l.pattern)
+      ELSE starts_with(c.host || '/' || array_to_string(list_filter(string_split(c.path, '/'), lambda x: x <> ''), '/') || '/', l.pattern || '/') END
+), best AS (
+  SELECT page_id, url, count(*) AS n_active, max({{'grade': grade, 'len': length(pattern), 'allowed': list = 'allow', 'list': list, 'kind': kind, 'pattern': pattern, 'day': day}}) AS b
+  FROM hits GROUP BY ALL
+)
+SELECT page_id, url, c.host, strftime(fetched, '%Y-%m-%d') AS fetched, coalesce(n_active, 0) AS n_active, b.list AS matched_list, b.kind AS matched_kind, b.pattern AS matched_pattern,
+  strftime(b.day, '%Y-%m-%d') AS listed_on, coalesce(NOT b.allowed, false) AS blocked
+FROM captures c LEFT JOIN best USING (page_id, url)
+"""
+
+
+def _warc() -> str:
+    from quern.llm import warc
+
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    text = f"regexp_replace(html, {q(warc.HIDDEN)}, ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {q(warc.BLOCKS)}, chr(10), 'g'), {q(warc.TAGS)}, '', 'g')"
+    for name, character in warc.REFERENCES:
+        text = f"replace({text}, {q(name)}, {q(character)})"
+    text = f"regexp_replace({text}, '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    urn = lambda x: "'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({x}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+    crlf = "chr(13) || chr(10)"
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {urn("page_id::VARCHAR || ' ' || url")} AS source FROM pages
+), t AS (
+  SELECT *, {text} AS body, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t\\x0B\\f\\r\\n]+', ' ', 'g')) AS title,
+    regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS links FROM p
+), r AS (
+  SELECT *, 'conversion' AS warc_type, 'text/plain' AS content_type, body AS content FROM t
+  UNION ALL SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || {crlf} || 'http-status: 200' || {crlf} || 'content-type: text/html; charset=utf-8' || {crlf}
+    || 'text-length: ' || length(body) || {crlf} || 'outlinks: ' || len(links) || array_to_string(list_transform(links, lambda x: {crlf} || 'outlink: ' || x), '') || {crlf} FROM t
+)
+SELECT page_id, warc_type, {urn("source || ' ' || warc_type")} AS record_id, source AS refers_to, url AS target_uri,
+  strftime(DATE '2024-01-01' + (page_id % 366)::INT, '%Y-%m-%d') || 'T00:00:00Z' AS warc_date, '200' AS source_status, 'text/html; charset=utf-8' AS source_content_type,
+  'sha1:' || sha1(html) AS source_payload_digest, content_type, strlen(content)::BIGINT AS content_length, 'sha1:' || sha1(content) AS block_digest, content
+FROM r
+"""
+
+
+WARC = _warc()

@@ -5,13 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import oracles
 from quern.llm.common import table
 from quern.llm.mixing import entropy_mix
+from quern.llm.url_filters import day_of, entries_from_pages, url_filter
+from quern.llm.warc import derive, responses_from_pages
 from quern.llm.quality_rules import MEASURES, STOP_WORDS, quality_rules
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", day_of(F.concat(F.lit("fetch"), F.col("page_id").cast("string")), 366))
+    out = url_filter(captures, entries_from_pages(pages))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("fetched", "listed_on")})
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
@@ -22,6 +36,8 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
+        "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
         "op5_entropy_mix": op5_entropy_mix,
     }
@@ -29,6 +45,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filters": oracles.URL_FILTER,
+        "op4_warc_derivatives": oracles.WARC,
         "op2_quality_rules": oracles.QUALITY.replace("{stop}", ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))),
         "op5_entropy_mix": oracles.MIX,
     }
