@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.llm import oracles
 from quern.llm.common import table
 from quern.llm.mixing import entropy_mix
+from quern.llm.packing import pack_documents
 from quern.llm.url_filters import day_of, entries_from_pages, url_filter
 from quern.llm.warc import derive, responses_from_pages
 from quern.llm.quality_rules import MEASURES, STOP_WORDS, quality_rules
@@ -34,12 +35,17 @@ def op5_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
         "op5_entropy_mix": op5_entropy_mix,
+        "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
