@@ -39,3 +39,26 @@ def cut(df: DataFrame) -> DataFrame:
 def md5_int(value: Column, digits: int = 8) -> Column:
     """An integer from the first hexadecimal digits of the MD5 of a string; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")
+
+
+def groups_of(batches, key: str):
+    """The groups of sorted record batches, as Arrow tables; a group may span batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        keys = table.column(key).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and held[-1].column(key)[0].as_py() != keys[0]:
+            yield pa.concat_tables(held)
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1], strict=True):
+            yield pa.concat_tables([*held, table.slice(a, b - a)])
+            held = []
+        held.append(table.slice(edges[-2], edges[-1] - edges[-2]))
+    if held:
+        yield pa.concat_tables(held)

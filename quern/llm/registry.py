@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import oracles
 from quern.llm.common import table
+from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents
 from quern.llm.url_filters import day_of, entries_from_pages, url_filter
@@ -39,6 +40,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op5_entropy_mix": op5_entropy_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_bag_minhash": op10_bag_minhash,
     }
 
 
