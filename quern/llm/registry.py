@@ -12,6 +12,7 @@ from quern.llm.common import table
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents
+from quern.llm.substring_dedup import substring_dedup
 from quern.llm.url_filters import day_of, entries_from_pages, url_filter
 from quern.llm.warc import derive, responses_from_pages
 from quern.llm.quality_rules import MEASURES, STOP_WORDS, quality_rules
@@ -44,11 +45,16 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
         "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_entropy_mix": op5_entropy_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op10_bag_minhash": op10_bag_minhash,

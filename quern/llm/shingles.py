@@ -37,9 +37,19 @@ def word_digests(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
     Text i is data[bounds[i]:bounds[i + 1]], in UTF-8. A digest is a polynomial of the word's bytes, from a running sum.
     """
+    first, last = word_edges(data, bounds)
+    up, down = _powers_upto(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up[: len(data)], out=total[1:])
+    digests = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    return digests, np.diff(np.searchsorted(first, bounds))
+
+
+def word_edges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each word and the one after its last."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = ~_SPACE[data]
     starts = ink.copy()
     starts[1:] &= ~ink[:-1]
@@ -51,12 +61,7 @@ def word_digests(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     inner = inner[ink[inner] & ink[inner - 1]]
     starts[inner] = True
     ends[inner] = True
-    first, last = np.flatnonzero(starts), np.flatnonzero(ends)
-    up, down = _powers_upto(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(data * up[:n], out=total[1:])
-    digests = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
-    return digests, np.diff(np.searchsorted(first, bounds))
+    return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
