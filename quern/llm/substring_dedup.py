@@ -1,7 +1,8 @@
 """Substring de-duplication by hashing lines and the sentences of long lines.
 
 Texts are cut into units: at every line end, and within a line after each sentence that has at least
-`least` words, so that a passage is found wherever it stands in a line. Units are normalised (ASCII
+`least` words, so that a passage is found wherever it stands in a line; sentences over LONG words are cut
+at their commas in the same way. Units are normalised (ASCII
 letters in lower case, white space between words as one space) and digested to 128 bits. Digests
 are grouped over the whole corpus; of equal units the one that ranks first by (doc_id, text digest,
 place in the text) stays and all others are cut out. The offsets of what was cut, in characters of the
@@ -36,6 +37,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
+_PAUSES = np.zeros(256, bool)
+_PAUSES[[ord(c) for c in ",;:"]] = True
+#: Bytes at the end of a word in which a mark ends a sentence, and words above which a sentence is cut at its commas too.
+TAIL, LONG = 4, 40
 _KEYS = (np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03))
 
 
@@ -52,10 +57,15 @@ def units(data: np.ndarray, bounds: np.ndarray, least: int) -> dict[str, np.ndar
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line_end = np.ones(n, bool)
     line_end[:-1] = (breaks[first[1:]] > breaks[last[:-1]]) | (text[1:] != text[:-1])
-    stop = line_end | _ENDS[data[last - 1]]
-    # The number of words of the sentence that ends at a stop.
+    # A mark among a word's last bytes counts, as quotes and other signs may follow it.
+    tails = [np.maximum(last - k, first) for k in range(1, TAIL + 1)]
+    stop = line_end | np.logical_or.reduce([_ENDS[data[t]] for t in tails])
     stops = np.flatnonzero(stop)
     length = np.diff(np.concatenate([[-1], stops]))
+    pause = np.logical_or.reduce([_PAUSES[data[t]] for t in tails]) & np.repeat(length > LONG, length)
+    stops = np.flatnonzero(stop | pause)
+    # The number of words of the sentence, or of the part of a long one, that ends at a stop.
+    length = np.diff(np.concatenate([[-1], stops]))
     ends = stops[line_end[stops] | (length >= least)]
     starts = np.concatenate([[0], ends[:-1] + 1])
     place = np.arange(n) - np.repeat(starts, ends - starts + 1)

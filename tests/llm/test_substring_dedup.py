@@ -1,7 +1,7 @@
 import random
 import re
 
-from quern.llm.substring_dedup import LEAST, substring_dedup
+from quern.llm.substring_dedup import LEAST, LONG, TAIL, substring_dedup
 
 
 def cut_units(text):
@@ -9,19 +9,30 @@ def cut_units(text):
     out = []
     at = 0
     for line in text.split("\n"):
-        begin, sentence = None, 0
-        end, words = None, []
-        for m in re.finditer(r"[^\x20\x09-\x0D]+", line):
-            begin = m.start() if begin is None else begin
-            words.append("".join(c.lower() if c.isascii() else c for c in m[0]))
-            sentence, end = sentence + 1, m.end()
-            if m[0][-1] in ".!?":
-                if sentence >= LEAST:
-                    out.append((at + begin, at + end, tuple(words)))
-                    begin, words = None, []
-                sentence = 0
-        if words:
-            out.append((at + begin, at + end, tuple(words)))
+        words = [(m.start(), m.end(), "".join(c.lower() if c.isascii() else c for c in m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        marked = lambda w, marks: bool(set(w.encode()[-TAIL:]) & set(marks))
+        sentences, held = [], []
+        for w in words:
+            held.append(w)
+            if marked(w[2], b".!?"):
+                sentences.append(held)
+                held = []
+        sentences += [held] if held else []
+        parts = []
+        for s in sentences:
+            held = []
+            for w in s:
+                held.append(w)
+                if len(s) > LONG and marked(w[2], b",;:"):
+                    parts.append(held)
+                    held = []
+            parts += [held] if held else []
+        unit = []
+        for i, part in enumerate(parts):
+            unit += part
+            if len(part) >= LEAST or i == len(parts) - 1:
+                out.append((at + unit[0][0], at + unit[-1][1], tuple(w[2] for w in unit)))
+                unit = []
         at += len(line) + 1
     return out
 
@@ -44,7 +55,7 @@ def brute(rows):
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6)))
-    sentence = lambda: " ".join(word() for _ in range(rng.randint(3, 20))).capitalize() + rng.choice(".!?")
+    sentence = lambda: " ".join(word() for _ in range(rng.choice([rng.randint(3, 20), 60]))).replace("a ", ", ").capitalize() + rng.choice([".", "!", "?", ".\"", ".%%%"])
     shared = [" ".join(sentence() for _ in range(rng.randint(1, 6))) for _ in range(8)]
     texts = []
     for _ in range(40):
