@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import oracles
 from quern.llm.common import table
+from quern.llm.language_id import identify, learn
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents
@@ -49,6 +50,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def fold(n: int) -> Column:
+    """The fold of a document in the splits by CRC-32 of its id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold(4) == 2, F.lit(False))
+    profiles = learn(docs.filter(~held))
+    return identify(docs.select("doc_id", "text", held.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score", "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -57,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op5_entropy_mix": op5_entropy_mix,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
     }
 
