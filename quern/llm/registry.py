@@ -14,6 +14,7 @@ from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents
 from quern.llm.substring_dedup import substring_dedup
+from quern.llm.toxicity import score, train
 from quern.llm.url_filters import day_of, entries_from_pages, url_filter
 from quern.llm.warc import derive, responses_from_pages
 from quern.llm.quality_rules import MEASURES, STOP_WORDS, quality_rules
@@ -55,6 +56,14 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold(3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held).select(F.col("doc_id").alias("d"), "toxic")
+    model = train(docs.join(labels, F.col("doc_id") == F.col("d")).select("text", "toxic"))
+    return score(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(fold(4) == 2, F.lit(False))
@@ -69,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_entropy_mix": op5_entropy_mix,
+        "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
