@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import oracles
 from quern.llm.common import table
+from quern.llm.embedding_dedup import near_vectors
 from quern.llm.language_id import identify, learn
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
@@ -51,6 +52,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def fold(n: int) -> Column:
     """The fold of a document in the splits by CRC-32 of its id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_entropy_mix": op5_entropy_mix,
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
     }
