@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,18 +25,35 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between jobs: the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests on one
-    machine) does a temporary folder stand in.
+    Only where that is unset (tests on one machine) does a temporary folder stand in.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files and checkpoints of earlier rounds.
+
+    It removes what the driver no longer refers to, but only notices when the driver's garbage is collected.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def md5_int(value: Column, digits: int = 8) -> Column:
     """An integer from the first hexadecimal digits of the MD5 of a string; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(value), 1, digits), 16, 10).cast("long")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import oracles
 from quern.llm.common import table
 from quern.llm.embedding_dedup import near_vectors
@@ -78,6 +79,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_url_filters": op1_url_filters,
         "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
