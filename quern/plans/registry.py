@@ -6,13 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under a name, with the DuckDB SQL of its rows where SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from quern.plans import features, grids, lines, scalars, state, surfaces  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
