@@ -111,8 +111,9 @@ def _warc() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     text = f"regexp_replace(html, {q(warc.HIDDEN)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {q(warc.BLOCKS)}, chr(10), 'g'), {q(warc.TAGS)}, '', 'g')"
+    title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
     for name, character in warc.REFERENCES:
-        text = f"replace({text}, {q(name)}, {q(character)})"
+        text, title = (f"replace({x}, {q(name)}, {q(character)})" for x in (text, title))
     text = f"regexp_replace({text}, '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
     urn = lambda x: "'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({x}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
@@ -120,7 +121,7 @@ def _warc() -> str:
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {urn("page_id::VARCHAR || ' ' || url")} AS source FROM pages
 ), t AS (
-  SELECT *, {text} AS body, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t\\x0B\\f\\r\\n]+', ' ', 'g')) AS title,
+  SELECT *, {text} AS body, trim(regexp_replace({title}, '[ \\t\\x0B\\f\\r\\n]+', ' ', 'g')) AS title,
     regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS links FROM p
 ), r AS (
   SELECT *, 'conversion' AS warc_type, 'text/plain' AS content_type, body AS content FROM t

@@ -25,18 +25,22 @@ TAGS = r"</?[A-Za-z!?][^>]*>"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def decoded(text: Column) -> Column:
+    for name, character in REFERENCES:
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
 def plain_text(html: Column) -> Column:
     """The text of a page: hidden elements dropped, block elements on lines of their own, other tags dropped."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     out = F.regexp_replace(F.regexp_replace(out, BLOCKS, "\n"), TAGS, "")
-    for name, character in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(character))
-    out = F.regexp_replace(out, r"[ \t\x0B\f\r]+", " ")
+    out = F.regexp_replace(decoded(out), r"[ \t\x0B\f\r]+", " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1), r"[ \t\x0B\f\r\n]+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)), r"[ \t\x0B\f\r\n]+", " "))
 
 
 def links(html: Column) -> Column:

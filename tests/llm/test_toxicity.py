@@ -30,7 +30,7 @@ def test_swaps():
 
 
 def test_counterfactuals_lower_neutral_mentions(labelled):
-    plain, fair = train(labelled, fairness=0.0), train(labelled, fairness=5.0)
+    plain, fair = train(labelled, labelled, fairness=0.0), train(labelled, labelled, fairness=5.0)
     neutral = "w1 w2 w3 muslim w4"
     assert fair.score(neutral) < plain.score(neutral) / 2
     assert fair.score("w1 badword w5") > 0.7 and fair.score("w1 muslim badword") > 0.7
@@ -41,9 +41,9 @@ def test_counterfactuals_lower_neutral_mentions(labelled):
 def test_scores_every_row(spark, labelled):
     rows = [(1, None, 9.0), (2, "", 9.0), (3, "badword", 9.0), (3, "badword", 9.0), (None, "w1 " * 50_000 + "worseword", 9.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    got = score(df, train(labelled)).collect()
+    got = score(df, train(labelled, labelled)).collect()
     assert sorted((r["doc_id"] or 0, r["predicted"]) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert all(0 <= r["score"] <= 1 for r in got)
     assert score(df.limit(0), Model()).collect() == []
-    none = train(labelled.limit(0))
+    none = train(labelled, labelled.limit(0))
     assert none.score("x") < 1e-9
