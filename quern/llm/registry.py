@@ -65,8 +65,8 @@ def fold(n: int) -> Column:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(3) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").filter(~held).select(F.col("doc_id").alias("d"), "toxic")
-    model = train(docs.join(labels, F.col("doc_id") == F.col("d")).select("text", "toxic"))
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", "toxic")
+    model = train(docs, labels)
     return score(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 

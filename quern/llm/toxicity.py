@@ -5,15 +5,16 @@ term of its list or for a neutral word. Beside the usual loss the training penal
 difference of a text's score before the squashing and its copies', so mentions of a group as such
 stop to weigh and the words around them have to carry the label: neutral mentions score lower.
 
-`train` works on a bounded sample of the labelled rows: of either label at most `per_label` texts, those with
-the least digests of their text, weighted back to all rows. Features are words and the first letters of longer ones, which catch a word's forms.
+`train` works on a bounded sample of the labelled rows: of either label about `per_label` documents at most, those with
+the least digests of their id, weighted back to all rows. They are drawn among the labels, so the sampled ids are a
+small table and texts are not shuffled to meet them. Features are words and the first letters of longer ones, which catch a word's forms.
 Spark counts them in both classes of that sample and keeps the up to VOCABULARY that tell the classes apart best by
 the likelihood ratio, where that is more than chance gives among so many, and all identity terms; what comes to the
 driver are these features and, for every sampled text, the numbers of those it holds. `score` reads every
 text whole and needs no shuffle; the model is at most VOCABULARY weights.
 
 Defined results: a null or empty text, or one without known words, gets the base score; null
-labels are left out; if one of the labels has no text, every score is the share of label 1 (0 without
+labels are left out; if one of the labels has no row, every score is the share of label 1 (0 without
 labels); repeated rows are scored each; an empty table gives an empty result; extra columns pass on, and those
 that have the name of an output column are replaced.
 """
@@ -81,14 +82,16 @@ def swaps(words: set[str], identity=IDENTITY, neutral=NEUTRAL) -> list[set[str]]
     return out
 
 
-def _bounded(labelled: DataFrame, text: str, label: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)).alias("h")
-    )
+def _bounded(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, label) of the sample, and the number of rows of each label. The sample is drawn among the labels, before texts are read."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, per_label / n) for k, n in counts.items()}
     limit = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)) * (1 << 20)
-    return rows.filter(F.col("h") < limit), counts
+    drawn = cut(rows.filter(F.pmod(F.xxhash64(F.col("_d").cast("string")), F.lit(1 << 20)) < limit))
+    small = drawn.count() <= 4 * per_label
+    joined = docs.filter(F.col(text).isNotNull()).join(F.broadcast(drawn) if small else drawn, F.col(doc_id) == F.col("_d"))
+    return cut(joined.select(F.col(text).alias("text"), "label")), counts
 
 
 def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[list[str], dict[int, int]]:
@@ -120,16 +123,19 @@ def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[li
 
 
 def train(
-    labelled: DataFrame, text: str = "text", label: str = "toxic", identity=IDENTITY, neutral=NEUTRAL,
+    docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", identity=IDENTITY, neutral=NEUTRAL,
     per_label: int = PER_LABEL, size: int = VOCABULARY, ridge: float = 0.3, fairness: float = 1.0, rounds: int = 400,
 ) -> Model:
-    sample, counts = _bounded(labelled, text, label, per_label)
+    """The model of a table of texts and one of labels, which meet by doc_id."""
+    sample, counts = _bounded(docs, labels, text, label, doc_id, per_label)
     total = sum(counts.values())
     if not counts.get(0) or not counts.get(1):
         p = counts.get(1, 0) / total if total else 0.0
         return Model(float(np.log((p + 1e-12) / (1 - p + 1e-12))))
     terms = frozenset(t for g in (*identity, neutral) for t in g)
     vocabulary, totals = _vocabulary(sample, size, terms)
+    if not totals.get(0) or not totals.get(1):
+        return Model(float(np.log(counts[1] / counts[0])))
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
