@@ -149,6 +149,29 @@ def boolean(df: DataFrame, a: str, b: str, operation: str) -> DataFrame:
     return _kernel(df, [a, b], lambda x, y: trapezoids([edges_of(_pairs(x)), edges_of(_pairs(y))], keep))
 
 
+def boolean_areas(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Append the area of each of OPERATIONS on two columns of rings.
+
+    The four follow from three: |A xor B| and |A - B| from the areas of A, B and their intersection.
+    """
+    names = [c for c in df.columns if c not in OPERATIONS]
+    places = [names.index(c) for c in (a, b)]
+
+    def one(x, y) -> tuple[float, ...]:
+        left, right = edges_of(_pairs(x)), edges_of(_pairs(y))
+        own, other = (area(trapezoids([e], lambda i: i)) for e in (left, right))
+        both = area(trapezoids([left, right], OPERATIONS["intersection"]))
+        return own + other - both, both, own - both, own + other - 2 * both
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(*x) for x in zip(*(batch.column(p).to_pylist() for p in places), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in made], pa.float64()) for k in range(4))], [*names, *OPERATIONS])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + "".join(f", `{k}` double" for k in OPERATIONS)
+    return df.select(*names).mapInArrow(run, schema)
+
+
 def buffered(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0) -> DataFrame:
     return _kernel(df, [rings], lambda x: offset(_pairs(x), distance, tolerance))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions import scalars as sc
 from quern.operators import grid as g
 from quern.plans.lenses import GRID, SIDE, grid
-from quern.plans.registry import query
+from quern.plans.registry import ORACLES, query
 
 
 @query(
@@ -110,3 +111,17 @@ SELECT board, row_number() OVER (PARTITION BY board ORDER BY first) - 1 AS body,
 @query("water_bodies", _WATER_BODIES)
 def water_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.water_bodies(grid(spark, sf_dir), SIDE)
+
+
+@query(
+    "depth_terrain",
+    ORACLES["octile_distance"].replace("SELECT board, r, c, m.s AS straight, m.d AS diagonal FROM best", """, d AS (SELECT board, r, c, m.s + m.d * sqrt(2::DOUBLE) AS d FROM best),
+t AS (SELECT board, r, c, d / max(d) OVER (PARTITION BY board) AS t FROM d), p AS (SELECT board, r, c, t * (2 - t) AS v FROM t)
+SELECT board, r, c, floor((CASE WHEN v <= 0 THEN v ELSE v + (greatest(1, least(6, floor(v * 6 + 0.5))) / 6::DOUBLE - v) * 0.5::DOUBLE END) * 1e7 + 0.26)::BIGINT AS depth FROM p"""),
+)
+def depth_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths by distance from the shore: normalised on each board, shaped as a basin and drawn to six benches."""
+    d = g.octile_distance(grid(spark, sf_dir), SIDE).withColumn("d", F.col("straight") + F.col("diagonal") * F.sqrt(F.lit(2.0)))
+    t = d.withColumn("t", F.col("d") / F.max("d").over(Window.partitionBy("board")))
+    v = t.withColumn("v", sc.profile(F.lit("smooth-basin"), F.col("t")))
+    return v.select("board", "r", "c", F.floor(sc.terrace(F.col("v"), 6, 0.5) * 1e7 + 0.26).alias("depth"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.lenses import ARRIVALS, arrivals, table
-from quern.plans.registry import query
+from quern.plans.registry import ORACLES, query
 from quern.streaming import state as st
+from quern.streaming import streams
 
 _HOUR = 3_600_000_000
 
@@ -76,3 +80,41 @@ def sheet_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("class"), (F.array_max(um) - F.array_min(um)).alias("width"))
     before = Window.partitionBy("class").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("x", F.coalesce(F.sum(F.col("width") + 6000).over(before), F.lit(0)) + 2000)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = f"{sf_dir}/events.parquet"
+    # As a pattern, as a stream's plain path has to be a folder and the table may be one file.
+    read = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/events.parque[t]")
+    ts = F.col("ts").cast("timestamp")
+    return read.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), F.unix_micros(ts).alias("t"), ts.alias("ts"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_ttl", ORACLES["ttl_cache"])
+def stream_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache's hits from a stream of the events."""
+    hits = streams.ttl_hits(_stream(spark, sf_dir).select("key", "id", "t"), "key", 6 * _HOUR)
+    return streams.drain(spark, hits, _folder(spark, "ttl")).select("id", "key", "t", "hit")
+
+
+@query("stream_dedupe", "SELECT DISTINCT user_id AS key, event_type AS kind FROM events")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of one user and kind, coalesced within a watermark longer than the events' span."""
+    first = streams.first_by_key(_stream(spark, sf_dir), ["key", "kind"], "400 days")
+    return streams.drain(spark, first, _folder(spark, "dedupe")).select("key", "kind")
+
+
+@query(
+    "stream_debounce",
+    f"WITH {ARRIVALS}, n AS (SELECT *, CASE WHEN t - lag(t) OVER o >= {_HOUR} OR lag(t) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM arrivals WINDOW o AS (PARTITION BY key ORDER BY t, id)), s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t, id) AS run FROM n) SELECT key, min(t) AS first, max(t) AS last, count(*) AS events FROM s GROUP BY key, run",
+)
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of each user's events from a stream, by session windows a microsecond short of an hour."""
+    runs = streams.bursts(_stream(spark, sf_dir), "key", f"{_HOUR - 1} microseconds", "1 day")
+    out = streams.drain(spark, runs, _folder(spark, "bursts"), "complete")
+    return out.select("key", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"), "events")

@@ -48,10 +48,9 @@ def _pairs_of_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("polygon_boolean")
 def polygon_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of the four Booleans of neighbouring rings."""
-    out = _pairs_of_rings(spark, sf_dir)
-    for name in poly.OPERATIONS:
-        out = poly.boolean(out, "a", "b", name).withColumnRenamed("area", name).drop("shape")
-    return out.select("id", *poly.OPERATIONS)
+    # The rows are few bytes but much work, so they are dealt to a set number of tasks.
+    pairs = _pairs_of_rings(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "id")
+    return poly.boolean_areas(pairs, "a", "b").select("id", *poly.OPERATIONS)
 
 
 @query("offset_buffer")

@@ -6,7 +6,6 @@ stream the rows of its batch form.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -43,11 +42,23 @@ def ttl_hits(events: DataFrame, key: str, ttl: int) -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, "key long, id long, t long, hit boolean", "until long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(spark: SparkSession, stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that its source has now and return what came out."""
-    name = f"out_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def drain(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that its source has now and return what came out, from files in `folder`.
+
+    Each micro-batch overwrites a folder of its own number, so a batch that is run again leaves no second copy. In complete
+    mode the last batch holds the whole result.
+    """
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        done.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    kept = [max(done)] if mode == "complete" else done
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/batch={n}" for n in kept])
 
 
 def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> Callable[[], None]:
