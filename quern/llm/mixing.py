@@ -30,6 +30,7 @@ from quern.llm.common import cut, md5_int, n_words
 
 CAP = 3
 BUCKETS = 64
+BUCKET_ROWS = 500_000
 #: Rates are rounded to this many parts of one before they are summed, so that sums are exact.
 PARTS = 1_000_000_000
 #: Starting points of the systematic rounding that each source tries.
@@ -83,13 +84,14 @@ def tilt(targets: DataFrame, rounds: int = 60) -> DataFrame:
     return targets.withColumn("lam", F.when((F.col("mass") > 0) & (F.col("target") > 0), solved).otherwise(F.lit(0.0)))
 
 
-def entropy_mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    docs = cut(
-        df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")).withColumn(
-            "bucket", md5_int(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"))) % buckets
-        )
-    )
+def entropy_mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken.
+
+    Documents of one source and size are ranked in at least `buckets` buckets, and in so many that none holds more than about `rows`.
+    """
+    sized = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    buckets = max(buckets, sized.count() // rows)
+    docs = sized.withColumn("bucket", md5_int(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"))) % buckets)
     classes = docs.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     per_size = cut(classes.groupBy("source", "size").agg(F.sum("n").alias("n")))
     sizes = per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
