@@ -46,10 +46,11 @@ def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    keyed = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    copies = entropy_mix(keyed).filter("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
-    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    """Each document as many times as the mix takes it; rows that agree in doc_id and text are one document."""
+    key = F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))
+    keyed = docs.select(*COLUMNS, key.alias("_key")).dropDuplicates(["_key"])
+    copies = entropy_mix(keyed, doc_id="_key").filter("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
+    taken = keyed.join(copies, F.col("_key") == F.col("_d"))
     return taken.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

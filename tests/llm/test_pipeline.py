@@ -74,6 +74,14 @@ def test_stages_one_by_one(spark):
     assert Counter(r["doc_id"] for r in kept if r["piece"] == 0) == Counter(r["doc_id"] for r in before)
 
 
+def test_mix_keeps_documents_without_an_id(spark):
+    rows = [(None, f"text number {i} of many words", "en", "a", 1) for i in range(6)] + [(1, "x y z", "en", "b", 1), (1, "x y z", "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = corpus_pipeline.source_mix(spark, docs, "").collect()
+    assert sum(len(r["text"].split()) for r in taken if r["doc_id"] is None) >= 12
+    assert len({r["text"] for r in taken if r["doc_id"] is None}) >= 4
+
+
 def test_run_equals_the_stages(spark, tmp_path):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
