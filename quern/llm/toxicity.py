@@ -6,7 +6,7 @@ difference of a text's score before the squashing and its copies', so mentions o
 stop to weigh and the words around them have to carry the label: neutral mentions score lower.
 
 `train` works on a bounded sample of the labelled rows: of either label about `per_label` documents at most, those with
-the least digests of their id, weighted back to all rows. They are drawn among the labels, so the sampled ids are a
+the least digests of their id, weighted back to all rows; of near copies among them one is taken. They are drawn among the labels, so the sampled ids are a
 small table and texts are not shuffled to meet them. Features are words and the first letters of longer ones, which catch a word's forms.
 Spark counts them in both classes of that sample and keeps the up to VOCABULARY that tell the classes apart best by
 the likelihood ratio, where that is more than chance gives among so many, and all identity terms; what comes to the
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut
+from quern.llm.common import words as words_of
 
 PER_LABEL = 6000
 VOCABULARY = 1000
@@ -91,7 +92,21 @@ def _bounded(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id:
     drawn = cut(rows.filter(F.pmod(F.xxhash64(F.col("_d").cast("string")), F.lit(1 << 20)) < limit))
     small = drawn.count() <= 4 * per_label
     joined = docs.filter(F.col(text).isNotNull()).join(F.broadcast(drawn) if small else drawn, F.col(doc_id) == F.col("_d"))
-    return cut(joined.select(F.col(text).alias("text"), "label")), counts
+    return cut(_families(joined.select(F.col(text).alias("text"), "label"))), counts
+
+
+def _families(sample: DataFrame) -> DataFrame:
+    """One text of each family of near copies in the sample.
+
+    Copies of one text would make its rare words look like marks of its label. Texts that share the least digest of their
+    runs of three words are of a family, and likewise those that share the greatest.
+    """
+    for pick in (F.array_min, F.array_max):
+        w = words_of(F.col("text"))
+        runs = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)))
+        keyed = sample.withColumn("_w", w).withColumn("_k", F.when(F.size("_w") >= 3, pick(runs)).otherwise(F.xxhash64("text")))
+        sample = keyed.groupBy("label", "_k").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
+    return sample
 
 
 def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[list[str], dict[int, int]]:
@@ -124,7 +139,7 @@ def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[li
 
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", doc_id: str = "doc_id", identity=IDENTITY, neutral=NEUTRAL,
-    per_label: int = PER_LABEL, size: int = VOCABULARY, ridge: float = 0.3, fairness: float = 1.0, rounds: int = 400,
+    per_label: int = PER_LABEL, size: int = VOCABULARY, ridge: float = 0.1, fairness: float = 1.0, rounds: int = 400,
 ) -> Model:
     """The model of a table of texts and one of labels, which meet by doc_id."""
     sample, counts = _bounded(docs, labels, text, label, doc_id, per_label)
