@@ -59,8 +59,10 @@ def ngrams(text: str) -> np.ndarray:
 def profile(text: str, size: int) -> np.ndarray:
     """The codes of a text's most frequent n-grams, most frequent first."""
     codes, counts = np.unique(ngrams(text), return_counts=True)
-    # Falling counts in 16 bits, the sort's fast case; `codes` are in order, so a stable sort breaks ties.
-    falling = (counts.max() - counts).clip(max=65535).astype(np.uint16) if counts.size else counts
+    falling = counts.max() - counts if counts.size else counts
+    # Counts that fit in 16 bits are the sort's fast case; `codes` are in order, so a stable sort breaks ties.
+    if counts.size and counts.max() <= 65535:
+        falling = falling.astype(np.uint16)
     return codes[np.argsort(falling, kind="stable")[:size]]
 
 

@@ -1,6 +1,7 @@
+import random
 from collections import Counter
 
-from quern.llm.language_id import SIZE, identify, learn, ngrams
+from quern.llm.language_id import SIZE, identify, learn, ngrams, profile
 
 EN = "the cat sat on the mat and the dog was with them in the house that they had"
 FR = "le chat est dans la maison avec les enfants et une femme qui était là pour nous"
@@ -50,3 +51,15 @@ def test_out_of_place_equals_brute_force(spark):
         assert abs(r["score"] - (high / (low + high) if high else 1.0)) < 1e-12
     assert {r["lang_pred"] for r in identify(df, {}).collect()} == {"und"}
     assert learn(df.limit(0)) == {} and identify(df.limit(0), profiles).collect() == []
+
+
+def test_profile_of_a_very_long_text():
+    rng = random.Random(5)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    base = " ".join("".join(rng.choices(letters, range(26, 0, -1), k=rng.randint(1, 9))) for _ in range(5000))
+    long = " ".join([base] * 120)
+    want = rank(plain(base))
+    assert len(long) > 3_000_000 and max(plain(base).values()) * 120 > 65535
+    assert [name(int(c)) for c in profile(base, SIZE)] == want
+    # Every count is 120 times as large, so the order is the same.
+    assert [name(int(c)) for c in profile(long, SIZE)] == want
