@@ -9,7 +9,7 @@ place in the text) stays and all others are cut out. The offsets of what was cut
 original text, come with the result.
 
 Units of fewer than `least` words are no evidence of copying and stay, unless they lie between two
-units that are cut. A cut takes the blanks after the unit along, and the line end if it leaves the line empty.
+longer units that are cut and are repeats themselves: a first or only occurrence always stays. A cut takes the blanks after the unit along, and the line end if it leaves the line empty.
 
 The first occurrences come from a grouped minimum, which is combined before the shuffle, and meet the
 units again in a plain join, so a line that a third of the documents share is a large partition
@@ -84,33 +84,30 @@ def units(data: np.ndarray, bounds: np.ndarray, least: int) -> dict[str, np.ndar
 
 
 def find_units(df: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
-    """(doc_id, text_digest, number, high, low) for every unit of at least `least` words."""
+    """(doc_id, text_digest, number, high, low, long) for every unit; `long` says that it has at least `least` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, bounds in blocks(batch.column(2)):
                 found = units(data, bounds, least)
-                long = found["words"] >= least
                 part = batch.slice(block.start, len(block))
-                at = pa.array(found["text"][long])
-                columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array(found[k][long].astype(np.int64)) for k in ("number", "high", "low"))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "number", "high", "low"])
+                at = pa.array(found["text"])
+                columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array(found[k].astype(np.int64)) for k in ("number", "high", "low")), pa.array(found["words"] >= least)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "number", "high", "low", "long"])
 
     slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_digest long, number long, high long, low long")
+    return slim.mapInArrow(run, "doc_id long, text_digest long, number long, high long, low long, long boolean")
 
 
 def _cut_one(text: str, starts: list[int], ends: list[int], gone: set[int], short: list[bool]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the units in `gone` and the short ones between them; offsets are in characters."""
-    for i in range(len(starts)):
-        if i not in gone and short[i]:
-            j = i
-            while j < len(starts) and j not in gone and short[j]:
-                j += 1
-            if i and i - 1 in gone and j < len(starts) and j in gone:
-                gone.update(range(i, j))
+    """The text without the long units in `gone`, and the short ones in it between two of them; offsets are in characters."""
+    cut = {i for i in gone if not short[i]}
+    long = [i for i in range(len(starts)) if not short[i]]
+    for a, b in zip(long, long[1:]):
+        if a in cut and b in cut:
+            cut.update(gone.intersection(range(a + 1, b)))
     out, at, spans = [], 0, []
-    for i in sorted(gone):
+    for i in sorted(cut):
         a, b = starts[i], ends[i]
         spans.append((a, b))
         while b < len(text) and text[b] in " \t\r\x0b\x0c":
@@ -131,8 +128,8 @@ def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     first = first.select(F.col("high").alias("h"), F.col("low").alias("l"), "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_digest") == F.col("first.text_digest")) & (F.col("number") == F.col("first.number"))
     gone = found.join(first, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))).filter(~stays)
-    # At most the units of one document.
-    gone = gone.groupBy("doc_id", "text_digest").agg(F.collect_set("number").alias("_gone"))
+    # At most the units of one document; short ones alone are not cut.
+    gone = gone.groupBy("doc_id", "text_digest").agg(F.collect_set("number").alias("_gone"), F.bool_or("long").alias("any")).filter("any")
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_digest").alias("_t"), "_gone")
     keyed = df.drop("removed")
     marked = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_t")), "left").drop("_d", "_t")

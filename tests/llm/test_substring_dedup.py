@@ -100,3 +100,15 @@ def test_passage_inside_other_lines_is_found(spark):
     got = {r["doc_id"]: r["text"] for r in substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got[1] == texts[0][1] and got[3] == texts[2][1]
     assert passage.split(". ")[2] not in got[2] and got[2].endswith("\nShort.\n" + texts[1][1].split("\n")[-1])
+
+
+def test_own_short_lines_between_cuts_stay(spark):
+    head, foot = "This header stands above every single page of ours.", "This footer stands below every single page of ours."
+    texts = [
+        (1, f"{head}\nContact us.\n{foot}"),
+        (2, f"{head}\nMilk, two pints.\nContact us.\nEggs, a dozen.\n{foot}\nContact us."),
+        (3, f"{head}\nEggs, a dozen.\nEggs, a dozen.\n{foot}"),
+        (4, f"{head}\nA line of its own.\nA line of its own.\n{foot}"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: texts[0][1], 2: "Milk, two pints.\nEggs, a dozen.\nContact us.", 3: "", 4: "A line of its own.\n"}
