@@ -49,8 +49,11 @@ def _levels(e: np.ndarray) -> np.ndarray:
     return np.unique(np.round(np.concatenate(ys), 6))
 
 
-def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray]) -> np.ndarray:
-    """(y0, y1, left0, left1, right0, right1): where `keep` of the layers' insides holds; each layer is even-odd on its own edges."""
+def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound: tuple[int, ...] = ()) -> np.ndarray:
+    """(y0, y1, left0, left1, right0, right1): where `keep` of the layers' insides holds.
+
+    Each layer is even-odd on its own edges, but those in `wound` hold wherever their edges wind around: a union of rings that turn the same way.
+    """
     e = np.concatenate(layers) if layers else np.zeros((0, 4))
     if not len(e):
         return np.zeros((0, 6))
@@ -69,8 +72,11 @@ def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray]) -> np.
     starts = np.searchsorted(slab, slab)
     inside = []
     for k in range(len(layers)):
-        passed = np.concatenate([[0], np.cumsum(layer[edge] == k)])
-        inside.append((passed[1:] - passed[starts]) % 2 == 1)
+        step = (layer[edge] == k).astype(np.int64)
+        if k in wound:
+            step[e[edge, 1] > e[edge, 3]] *= -1
+        passed = np.concatenate([[0], np.cumsum(step)])
+        inside.append((passed[1:] - passed[starts]) % 2 == 1 if k not in wound else passed[1:] != passed[starts])
     on = keep(*inside)
     before = np.concatenate([[False], on[:-1]])
     before[starts == np.arange(len(slab))] = False
@@ -92,10 +98,10 @@ def circle(radius: float, tolerance: float) -> np.ndarray:
     return radius * np.column_stack([np.cos(k), np.sin(k)])
 
 
-def band(rings: list, radius: float, tolerance: float) -> list[np.ndarray]:
-    """The layers of a stroke of half-width `radius` along rings: a box for each edge and a circle for each vertex."""
+def band(rings: list, radius: float, tolerance: float) -> np.ndarray:
+    """The edges of a stroke of half-width `radius` along rings: a box for each edge and a circle for each vertex, all turning the same way."""
     cap = circle(radius, tolerance)
-    out = []
+    out = [np.zeros((0, 4))]
     for ring in rings:
         p = np.asarray(ring, float).reshape(-1, 2)
         out += [edges_of([cap + v]) for v in p[:-1]]
@@ -103,8 +109,8 @@ def band(rings: list, radius: float, tolerance: float) -> list[np.ndarray]:
             length = np.hypot(*(b - a))
             if length:
                 n = np.array([a[1] - b[1], b[0] - a[0]]) / length * radius
-                out.append(edges_of([[a + n, b + n, b - n, a - n, a + n]]))
-    return out
+                out.append(edges_of([[a - n, b - n, b + n, a + n, a - n]]))
+    return np.concatenate(out)
 
 
 def offset(rings: list, distance: float, tolerance: float = 20.0) -> np.ndarray:
@@ -113,8 +119,8 @@ def offset(rings: list, distance: float, tolerance: float = 20.0) -> np.ndarray:
     if not distance:
         return trapezoids([own], lambda a: a)
     if distance > 0:
-        return trapezoids([own, *stroke], lambda *x: np.logical_or.reduce(x))
-    return trapezoids([own, *stroke], lambda a, *x: a & ~np.logical_or.reduce(x))
+        return trapezoids([own, stroke], lambda a, b: a | b, wound=(1,))
+    return trapezoids([own, stroke], lambda a, b: a & ~b, wound=(1,))
 
 
 def _pairs(value) -> list:
@@ -176,6 +182,20 @@ def buffered(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0
     return _kernel(df, [rings], lambda x: offset(_pairs(x), distance, tolerance))
 
 
+def buffer_areas(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0) -> DataFrame:
+    """Append `area` and `parts` (the number of trapezoids) of an offset, without its shape."""
+    names = [c for c in df.columns if c not in ("area", "parts")]
+    place = names.index(rings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(area(t), len(t)) for t in (offset(_pairs(x), distance, tolerance) for x in batch.column(place).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32())], [*names, "area", "parts"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + ", area double, parts int"
+    return df.select(*names).mapInArrow(run, schema)
+
+
 def islands(shapes: DataFrame, least: float, rings: str = "rings") -> DataFrame:
     """(id, island, area, keeps): each ring of a feature on its own; the largest is land, and others below `least` are omitted."""
     from quern.functions.geometry import double_area
