@@ -1,4 +1,4 @@
-"""Polygon kernels: union, intersection, difference, offsets and nested levels, as Arrow tasks over rows.
+"""Polygon kernels: union, intersection, difference and offsets, as Arrow tasks over rows.
 
 A polygon set is an array of closed rings of (x, y) in micrometres, even-odd. The kernel cuts the plane into
 slabs at every vertex and crossing; inside a slab edges don't meet, so the set is a row of
