@@ -26,17 +26,31 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for what is written between jobs: the cluster's spark.checkpoint.dir.
+    """The folder for what is written between jobs: spark.checkpoint.dir, or the checkpoint folder that the context was given.
 
-    Only where that is unset (tests on one machine) does a temporary folder stand in.
+    Where neither is set, a temporary folder stands in if the master is this machine alone; elsewhere that is an error, as executors couldn't read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, prolonged where `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -30,6 +30,20 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM m
 """
 
+LINES = rf"""
+WITH l AS (
+  SELECT doc_id, i, n, line, translate(array_to_string(regexp_extract_all(line, '{W}'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS unit
+  FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
+), m AS (SELECT *, unit <> '' AND row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS LAST, i) > 1 AS gone FROM l
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.body, '') END AS text, coalesce(c.n, 0) AS n_removed, coalesce(c.chars, 0) AS removed_chars
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone) AS body, count(*) FILTER (gone) AS n,
+    (sum(length(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))) FILTER (gone))::BIGINT AS chars
+  FROM m GROUP BY doc_id
+) c USING (doc_id)
+"""
+
 _MIX_BASE = rf"""
 docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT AS size,

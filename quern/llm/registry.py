@@ -53,6 +53,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring de-duplication by whole lines alone."""
+    cut = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_lines=True)
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return cut.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
         "op3_substring_dedup": op3_substring_dedup,
+        "line_dedup": line_dedup,
         "op5_entropy_mix": op5_entropy_mix,
         "op6_toxicity": op6_toxicity,
         "op7_best_fit_packing": op7_best_fit_packing,
@@ -98,5 +106,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filters": oracles.URL_FILTER,
         "op4_warc_derivatives": oracles.WARC,
         "op2_quality_rules": oracles.QUALITY.replace("{stop}", ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))),
+        "line_dedup": oracles.LINES,
         "op5_entropy_mix": oracles.MIX,
     }

@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _BASE and of its inverse modulo 2^64."""
     if len(_powers[0]) <= n:
         size = 1 << int(n + 1).bit_length()
@@ -38,7 +38,7 @@ def word_digests(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     Text i is data[bounds[i]:bounds[i + 1]], in UTF-8. A digest is a polynomial of the word's bytes, from a running sum.
     """
     first, last = word_edges(data, bounds)
-    up, down = _powers_upto(len(data))
+    up, down = powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(data * up[: len(data)], out=total[1:])
     digests = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))

@@ -1,15 +1,16 @@
-"""Substring de-duplication by hashing lines and the sentences of long lines.
+"""Substring de-duplication by hashing lines, and runs of phrases inside lines.
 
-Texts are cut into units: at every line end, and within a line after each sentence that has at least
-`least` words, so that a passage is found wherever it stands in a line; sentences over LONG words are cut
-at their commas in the same way. Units are normalised (ASCII
-letters in lower case, white space between words as one space) and digested to 128 bits. Digests
-are grouped over the whole corpus; of equal units the one that ranks first by (doc_id, text digest,
-place in the text) stays and all others are cut out. The offsets of what was cut, in characters of the
-original text, come with the result.
+A line is cut into phrases: after each sentence mark and, where no mark or line end is near, after the words whose
+digest is the least among AROUND words on either side. Whether a phrase ends after a word thus depends on the few words
+around it alone, so a passage falls into the same phrases wherever it stands. A unit is a run of phrases of one line: from each phrase on, as many
+as reach `least` words; where the line ends before, the last ones of the line that reach `least` words, or the
+whole line if it is shorter. So a line of any length counts as a whole, and less than a line counts from `least` words on.
 
-Units of fewer than `least` words are no evidence of copying and stay, unless they lie between two
-longer units that are cut and are repeats themselves: a first or only occurrence always stays. A cut takes the blanks after the unit along, and the line end if it leaves the line empty.
+Units are normalised (ASCII letters in lower case, white space between words as one space) and digested to 128 bits.
+Digests are grouped over the whole corpus; of equal units the one that ranks first by (doc_id, text digest,
+place in the text) stays, and the phrases of all others are cut out. Nothing else is: what lies between two cuts stays unless it is part of a
+repeated unit itself. The offsets of what was cut, in characters of the original text, come with the result. A cut takes the
+blanks after it along, and a line that has no word left goes with its line end.
 
 The first occurrences come from a grouped minimum, which is combined before the shuffle, and meet the
 units again in a plain join, so a line that a third of the documents share is a large partition
@@ -17,7 +18,7 @@ that Spark splits, not a group in one task. Each document's text crosses the net
 
 Defined results: a null text stays null with nothing removed; a text without words stays as it
 is; rows that agree in doc_id and text are one document and get the same answer; a null doc_id
-ranks after all others; an empty table gives an empty result; extra columns pass on, and one that has
+ranks after all others; ids of any type that Spark can order will do; an empty table gives an empty result; extra columns of any name pass on, and one that has
 the name of an output column (`removed`) is replaced by it.
 """
 
@@ -29,132 +30,158 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from quern.llm.shingles import blocks, mix, word_digests, word_edges
+from quern.llm.common import free_names
+from quern.llm.shingles import blocks, mix, powers, word_digests, word_edges
 
 LEAST = 8
+#: Words on either side that decide whether a phrase ends where there is no mark.
+AROUND = 4
+#: Bytes at the end of a word in which a mark ends a sentence, as quotes and other signs may follow it.
+TAIL = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
-_PAUSES = np.zeros(256, bool)
-_PAUSES[[ord(c) for c in ",;:"]] = True
-#: Bytes at the end of a word in which a mark ends a sentence, and words above which a sentence is cut at its commas too.
-TAIL, LONG = 4, 40
 _KEYS = (np.uint64(0xD1B54A32D192ED03), np.uint64(0xABC98388FB8FAC03))
 
 
-def units(data: np.ndarray, bounds: np.ndarray, least: int) -> dict[str, np.ndarray]:
-    """The units of texts laid end to end: `text` (index), `number` (in its text), `start` and `end` (bytes), `words`, `high`, `low` (digest)."""
+def _phrase_ends(data: np.ndarray, words: np.ndarray, first: np.ndarray, last: np.ndarray, line_end: np.ndarray) -> np.ndarray:
+    """Whether a phrase ends after each word."""
+    stop = line_end | np.logical_or.reduce([_ENDS[data[np.maximum(last - k, first)]] for k in range(1, TAIL + 1)])
+    n = len(words)
+    value = mix(words * _KEYS[0] + np.append(words[1:], np.uint64(0)))
+    free = ~stop
+    for k in range(1, min(AROUND, n - 1) + 1):
+        free[k:] &= ~stop[:-k] & (value[k:] < value[:-k])
+        free[:-k] &= ~stop[k:] & (value[:-k] <= value[k:])
+    free[:AROUND] = False
+    return stop | free
+
+
+def units(data: np.ndarray, bounds: np.ndarray, least: int = LEAST, whole_lines: bool = False) -> dict[str, np.ndarray]:
+    """The phrases and units of texts laid end to end.
+
+    Of each phrase `start` and `end` (bytes) and `line`; of each unit `text` (index), `number` (in its text), `a` and `b` (its first
+    and last phrase) and `high`, `low` (digest).
+    """
     folded = _LOWER[data]
     words, counts = word_digests(folded, bounds)
     first, last = word_edges(folded, bounds)
     n = len(words)
     if not n:
-        empty = np.zeros(0, np.int64)
-        return dict.fromkeys(("text", "number", "start", "end", "words", "high", "low"), empty)
+        return dict.fromkeys(("start", "end", "line", "text", "number", "a", "b", "high", "low"), np.zeros(0, np.int64))
     text = np.repeat(np.arange(len(counts)), counts)
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line_end = np.ones(n, bool)
     line_end[:-1] = (breaks[first[1:]] > breaks[last[:-1]]) | (text[1:] != text[:-1])
-    # A mark among a word's last bytes counts, as quotes and other signs may follow it.
-    tails = [np.maximum(last - k, first) for k in range(1, TAIL + 1)]
-    stop = line_end | np.logical_or.reduce([_ENDS[data[t]] for t in tails])
-    stops = np.flatnonzero(stop)
-    length = np.diff(np.concatenate([[-1], stops]))
-    pause = np.logical_or.reduce([_PAUSES[data[t]] for t in tails]) & np.repeat(length > LONG, length)
-    stops = np.flatnonzero(stop | pause)
-    # The number of words of the sentence, or of the part of a long one, that ends at a stop.
-    length = np.diff(np.concatenate([[-1], stops]))
-    ends = stops[line_end[stops] | (length >= least)]
+    ends = np.flatnonzero(line_end if whole_lines else _phrase_ends(data, words, first, last, line_end))
     starts = np.concatenate([[0], ends[:-1] + 1])
-    place = np.arange(n) - np.repeat(starts, ends - starts + 1)
+    closing = np.flatnonzero(line_end[ends])  # the last phrase of each line
+    opening = np.concatenate([[0], closing[:-1] + 1])
+    line = np.repeat(np.arange(len(closing)), closing - opening + 1)
+    least = 1 if whole_lines else least
+    a, b = np.arange(len(starts)), np.searchsorted(ends, starts + least - 1)
+    inside = b <= closing[line]
+    # The end of a line, unless a run from one of its phrases comes to the same.
+    tail = np.maximum(np.searchsorted(starts, ends[closing] - least + 1, "right") - 1, opening)
+    new = b[tail] != closing
+    a, b = np.concatenate([a[inside], tail[new]]), np.concatenate([b[inside], closing[new]])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    up, down = powers(n)
     digests = []
     for key in _KEYS:
-        powers = np.full(int(place.max()) + 1, key, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        digests.append(mix(np.add.reduceat(mix(words ^ key) * powers[place], starts)).view(np.int64))
-    owner = text[starts]
-    firsts = np.searchsorted(owner, np.arange(len(counts)))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words ^ key) * up[:n], out=total[1:])
+        value = (total[ends[b] + 1] - total[starts[a]]) * down[starts[a]]
+        digests.append(mix(value + (ends[b] - starts[a] + 1).astype(np.uint64)).view(np.int64))
+    owner = text[starts[a]]
     return {
-        "text": owner, "number": np.arange(len(starts)) - firsts[owner], "start": first[starts], "end": last[ends],
-        "words": ends - starts + 1, "high": digests[0], "low": digests[1],
+        "start": first[starts], "end": last[ends], "line": line, "text": owner, "number": np.arange(len(a)) - np.searchsorted(owner, owner),
+        "a": a, "b": b, "high": digests[0], "low": digests[1],
     }
 
 
-def find_units(df: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
-    """(doc_id, text_digest, number, high, low, long) for every unit; `long` says that it has at least `least` words."""
+def find_units(df: DataFrame, text: str, doc_id: str, least: int, whole_lines: bool) -> DataFrame:
+    """(doc_id, text_digest, number, high, low) for every unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data, bounds in blocks(batch.column(2)):
-                found = units(data, bounds, least)
+                found = units(data, bounds, least, whole_lines)
                 part = batch.slice(block.start, len(block))
                 at = pa.array(found["text"])
-                columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array(found[k].astype(np.int64)) for k in ("number", "high", "low")), pa.array(found["words"] >= least)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "number", "high", "low", "long"])
-
-    slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_digest long, number long, high long, low long, long boolean")
-
-
-def _cut_one(text: str, starts: list[int], ends: list[int], gone: set[int], short: list[bool]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the long units in `gone`, and the short ones in it between two of them; offsets are in characters."""
-    cut = {i for i in gone if not short[i]}
-    long = [i for i in range(len(starts)) if not short[i]]
-    for a, b in zip(long, long[1:]):
-        if a in cut and b in cut:
-            cut.update(gone.intersection(range(a + 1, b)))
-    out, at, spans = [], 0, []
-    for i in sorted(cut):
-        a, b = starts[i], ends[i]
-        spans.append((a, b))
-        while b < len(text) and text[b] in " \t\r\x0b\x0c":
-            b += 1
-        before = "".join(out)[-1:] if a == at else text[a - 1]
+                columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array(found[k].astype(np.int64)) for k in ("number", "high", "low"))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "number", "high", "low"])
+
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
+    schema = StructType([slim.schema["doc_id"]]).add("text_digest", "long").add("number", "long").add("high", "long").add("low", "long")
+    return slim.mapInArrow(run, schema)
+
+
+def cut_text(text: str, gone: list[int], least: int = LEAST, whole_lines: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the phrases of the units in `gone`, and the offsets of what was cut, in characters."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    found = units(raw, np.array([0, len(raw)]), least, whole_lines)
+    n = len(found["start"])
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, found["a"][gone], 1)
+    np.add.at(edges, found["b"][gone] + 1, -1)
+    away = np.cumsum(edges)[:n] > 0
+    line = found["line"]
+    stays = np.zeros(line[-1] + 1, bool)
+    np.logical_or.at(stays, line, ~away)
+    # Neighbouring phrases of a line are one cut.
+    begins = away & np.append(True, ~away[:-1] | (line[1:] != line[:-1]))
+    stops = away & np.append(~away[1:] | (line[1:] != line[:-1]), True)
+    characters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    spans = list(zip(characters[found["start"][begins]].tolist(), characters[found["end"][stops]].tolist(), strict=True))
+    out, at = [], 0
+    for (a, b), part in zip(spans, stays[line[begins]].tolist(), strict=True):
+        end = b
+        while end < len(text) and text[end] in " \t\r\x0b\x0c":
+            end += 1
+        if not part:
+            a = text.rfind("\n", 0, a) + 1
+            end += end < len(text)
         out.append(text[at:a])
-        at = b
-        if b < len(text) and text[b] == "\n" and (a == 0 or before in ("", "\n")):
-            at = b + 1
+        at = end
     return "".join(out) + text[at:], spans
 
 
-def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """`df` with repeated units cut from `text`, and `removed`, the (start, end) offsets of what was cut."""
-    found = find_units(df, text, doc_id, least)
+def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, whole_lines: bool = False) -> DataFrame:
+    """`df` with repeated units cut from `text`, and `removed`, the (start, end) offsets of what was cut.
+
+    With `whole_lines` units are whole lines only.
+    """
+    found = find_units(df, text, doc_id, least, whole_lines)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest", "number")
     first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.col("high").alias("h"), F.col("low").alias("l"), "first")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_digest") == F.col("first.text_digest")) & (F.col("number") == F.col("first.number"))
     gone = found.join(first, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))).filter(~stays)
-    # At most the units of one document; short ones alone are not cut.
-    gone = gone.groupBy("doc_id", "text_digest").agg(F.collect_set("number").alias("_gone"), F.bool_or("long").alias("any")).filter("any")
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_digest").alias("_t"), "_gone")
     keyed = df.drop("removed")
-    marked = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_t")), "left").drop("_d", "_t")
+    d, t, marks = free_names(keyed, "d", "t", "marks")
+    # At most the units of one document.
+    gone = gone.groupBy("doc_id", "text_digest").agg(F.collect_set("number").alias(marks)).select(F.col("doc_id").alias(d), F.col("text_digest").alias(t), marks)
+    marked = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(t)), "left").drop(d, t)
     names = keyed.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", removed array<struct<start: long, end: long>>"
+    schema = StructType(keyed.schema.fields).add("removed", ArrayType(StructType().add("start", "long").add("end", "long")))
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, marks = batch.column(place), batch.column(len(names)).to_pylist()
-            new, spans = texts.to_pylist(), [[] for _ in marks]
-            for i, mark in enumerate(marks):
+            texts, cuts = batch.column(place), batch.column(len(names)).to_pylist()
+            new, spans = texts.to_pylist(), [[] for _ in cuts]
+            for i, mark in enumerate(cuts):
                 if mark:
-                    new[i], spans[i] = cut_text(new[i], set(mark), least)
+                    new[i], spans[i] = cut_text(new[i], mark, least, whole_lines)
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array(new, texts.type)
             removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
             yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "removed"])
 
     return marked.mapInArrow(run, schema)
-
-
-def cut_text(text: str, gone: set[int], least: int) -> tuple[str, list[tuple[int, int]]]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    found = units(raw, np.array([0, len(raw)]), least)
-    characters = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return _cut_one(text, characters[found["start"]].tolist(), characters[found["end"]].tolist(), gone, (found["words"] < least).tolist())
