@@ -1,43 +1,50 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed length.
+"""Packing tokenised documents into sequences of a fixed length by swap-based local search.
 
 1. `pieces` tokenises every document once and cuts the ones longer than a sequence.
-2. How a packing looks depends only on how many pieces have each length, so the plan is made for
-   that histogram, which has at most `limit` rows whatever the size of the corpus: best-fit
-   decreasing places all pieces of one length at a time, and bins with the same content are one
-   kind with a multiplicity. Each length adds at most two kinds, so there are at most 2 * limit.
-3. If more bins are in use than the tokens need, local search exchanges pieces between underfull
-   kinds of bins: a move, a one-for-one or a two-for-one exchange is made if it increases the sum
-   of squared fills, which empties the emptiest bins.
-4. Spark deals the pieces of a length to the plan's places by their rank. Ranks come from prefix
-   sums over hash buckets within a length, so a length that a third of the pieces have is ranked
-   in many tasks.
+2. Pieces are dealt out in shards of a bounded number of tokens and pieces, and each shard is packed by itself: `fold` makes
+   a first packing, and `Search` then exchanges pieces between underfull bins. A move, a one-for-one, a two-for-one or a
+   one-for-two exchange from an emptier bin to one at least as full increases the sum of squared fills, so the emptiest
+   bins empty. Of the exchanges that an emptier bin can make, the one that leaves the fuller one least room is made. It ends when the bins are as few
+   as the tokens allow, or no exchange helps. Bins with the same content are one kind and are exchanged together.
+3. Bins that are full are done, but for as many as are underfull. The pieces of these, some percent, are dealt out anew in fewer shards, until one
+   shard is left; it also reopens full bins if it has more bins than its tokens need.
+
+A shard is a bounded group and shards are even, whatever lengths, ids or copies are common: pieces are dealt by their
+place in the checkpointed table. Nothing comes to the driver but row counts.
 
 Defined results: a null text counts as an empty one and gives a piece of the end token alone; a
-null doc_id stays null; repeated rows are packed once each; an empty table gives an empty result;
+null doc_id stays null; ids of any type will do; repeated rows are packed once each; an empty table gives an empty result;
 extra columns are dropped. Only texts longer than a sequence are cut.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quern.llm.common import cut
+from quern.llm.common import cut, free_names, groups_of
 from quern.llm.tokens import WordBpe
 
 LIMIT = 4096
 END_ID = 1
-BUCKETS = 64
-BUCKET_ROWS = 500_000
-#: Bin kinds that the local search looks at, and rounds of it.
-SEARCH_KINDS = 200
-SEARCH_ROUNDS = 200
+#: Sequences' worth of tokens, and pieces, that a shard holds on average.
+SHARD_BINS, SHARD_PIECES = 512, 20_000
+#: Times that the last shard reopens full bins, and how many of them.
+REOPENINGS, REOPENED = 24, 60
+
+#: What a bin holds: its pieces' lengths, falling.
+Bin = tuple[int, ...]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,146 +70,272 @@ def pieces(df: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
             columns = [ids.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-# A kind of bin is a chain of runs, each (length, pieces of that length in a bin, rest of the chain).
-
-
-def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, tuple | None, int]]:
-    """Best-fit decreasing on a histogram: (free, chain, bins) for each kind of bin."""
-    room: dict[int, list[list]] = {}
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            free = next((r for r in range(length, limit) if room.get(r)), None)
-            if free is None:
-                fit = limit // length
-                kinds = [(fit, left // fit), (left % fit, 1)]
-                for n, bins in kinds:
-                    if n and bins:
-                        room.setdefault(limit - n * length, []).append([(length, n, None), bins])
-                break
-            fit, kind = free // length, room[free][-1]
-            if left < fit:
-                n, bins = left, 1
-            else:
-                n, bins = fit, min(kind[1], left // fit)
-            kind[1] -= bins
-            if not kind[1]:
-                room[free].pop()
-            room.setdefault(free - n * length, []).append([(length, n, kind[0]), bins])
-            left -= n * bins
-    return [(free, chain, bins) for free, kinds in room.items() for chain, bins in kinds]
-
-
-def contents(chain: tuple | None) -> tuple[int, ...]:
-    out: list[int] = []
-    while chain:
-        out += [chain[0]] * chain[1]
-        chain = chain[2]
-    return tuple(sorted(out, reverse=True))
-
-
-def improve(kinds: Counter, limit: int, rounds: int = SEARCH_ROUNDS, most: int = SEARCH_KINDS) -> Counter:
-    """Local search over kinds of bins, {contents: bins}; the emptiest kinds are worked on first.
-
-    Ends when the number of bins is the least that the tokens allow, or no exchange between the
-    `most` emptiest kinds increases the sum of squared fills.
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = StructType([slim.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    return slim.mapInArrow(run, schema)
+
+
+def fold(counts: dict[int, int], limit: int) -> Counter[Bin]:
+    """A first packing of {length: pieces}, as {bin: how many}: the longest piece left opens a bin, and the shortest ones left fill it."""
+    left, up = dict(counts), sorted(counts)
+    low, high = 0, len(up) - 1
+    out: Counter[Bin] = Counter()
+    while low <= high:
+        if not left[up[high]]:
+            high -= 1
+            continue
+        need, free, k = Counter({up[high]: 1}), limit - up[high], low
+        while k <= high and up[k] <= free:
+            n = min(free // up[k], left[up[k]] - need[up[k]])
+            if n > 0:
+                need[up[k]] += n
+                free -= n * up[k]
+            k += 1
+        bins = min(left[x] // n for x, n in need.items() if n)
+        for x, n in need.items():
+            left[x] -= n * bins
+        out[tuple(sorted(need.elements(), reverse=True))] += bins
+        while low <= high and not left[up[low]]:
+            low += 1
+    return out
+
+
+class Search:
+    """Local search over kinds of bins.
+
+    `slots[c]` has the ways to make room for c tokens in an underfull bin: (bin, pieces that leave it) -> the bin's fill. Ways with
+    two leaving pieces are only listed from the time that nothing else helps.
     """
-    kinds = Counter(kinds)
-    least = -(-sum(sum(k) * n for k, n in kinds.items()) // limit)
-    for _ in range(rounds):
+
+    def __init__(self, kinds: dict[Bin, int], limit: int):
+        self.limit = limit
+        self.full: Counter[Bin] = Counter()
+        self.under: dict[Bin, int] = {}
+        self.slots: defaultdict[int, dict] = defaultdict(dict)
+        self.pair_slots: defaultdict[int, dict] | None = None
+        self.rooms: list[int] = []  # the keys of `slots` in order
+        self.queue: list[tuple[int, Bin]] = []
+        self.bins = 0
+        for kind, n in kinds.items():
+            self.add(kind, n)
+
+    def add(self, kind: Bin, n: int) -> None:
+        fill = sum(kind)
+        if not kind:
+            return
+        self.bins += n
+        if fill == self.limit:
+            self.full[kind] += n
+        elif kind in self.under:
+            self.under[kind] += n
+        else:
+            self.under[kind] = n
+            heappush(self.queue, (fill, kind))
+            for out in self._leave(kind):
+                at = self.slots[self.limit - fill + sum(out)]
+                if not at:
+                    insort(self.rooms, self.limit - fill + sum(out))
+                at[kind, out] = fill
+            if self.pair_slots is not None:
+                self._list_pairs(kind, fill)
+
+    def take(self, kind: Bin, n: int) -> None:
+        self.bins -= n
+        self.under[kind] -= n
+        if self.under[kind]:
+            return
+        del self.under[kind]
+        free = self.limit - sum(kind)
+        for out in self._leave(kind):
+            at = self.slots[free + sum(out)]
+            del at[kind, out]
+            if not at:
+                del self.rooms[bisect_left(self.rooms, free + sum(out))]
+        if self.pair_slots is not None:
+            for out in set(combinations(kind, 2)):
+                del self.pair_slots[free + sum(out)][kind, out]
+
+    @staticmethod
+    def _leave(kind: Bin) -> list[Bin]:
+        return [(), *((x,) for x in set(kind))]
+
+    def _list_pairs(self, kind: Bin, fill: int) -> None:
+        for out in set(combinations(kind, 2)):
+            self.pair_slots[self.limit - fill + sum(out)][kind, out] = fill
+
+    def find(self, low: Bin) -> tuple[Bin, Bin, Bin] | None:
+        """What to exchange between `low` and a bin at least as full: (given, the bin, taken)."""
+        fill, alone = sum(low), self.under[low] == 1
+        # A bin as full as `low` has at most this much room.
+        most = self.limit - fill
+        best = None
+        pairs = sorted(set(combinations(low, 2)), key=sum, reverse=True)
+        for given in ([(x,) for x in sorted(set(low), reverse=True)], pairs):
+            for give in given:
+                size = sum(give)
+                i = bisect_left(self.rooms, size)
+                while i < len(self.rooms) and (room := self.rooms[i]) - size < (best[0] if best else most):
+                    for (kind, out), f in self.slots[room].items():
+                        if sum(out) < size and f >= fill and (kind != low or not alone) and (out or len(give) == 1):
+                            best = (room - size, give, kind, out)
+                            break
+                    i += 1
+                if best and not best[0]:
+                    return best[1:]
+            if best:
+                return best[1:]
+        if self.pair_slots is None:
+            self.pair_slots = defaultdict(dict)
+            for kind in self.under:
+                self._list_pairs(kind, sum(kind))
+        for x in sorted(set(low), reverse=True):
+            for room in range(x, x + most):
+                for (kind, out), f in self.pair_slots.get(room, {}).items():
+                    if sum(out) < x and f >= fill and (kind != low or not alone):
+                        return (x,), kind, out
+        return None
+
+    def exchange(self, low: Bin, give: Bin, high: Bin, out: Bin) -> None:
+        n = self.under[low] // 2 if low == high else min(self.under[low], self.under[high])
+        new_low, new_high = list(low), list(high)
+        for x in give:
+            new_low.remove(x)
+        for x in out:
+            new_high.remove(x)
+        self.take(low, n)
+        self.take(high, n)
+        self.add(tuple(sorted((*new_low, *out), reverse=True)), n)
+        self.add(tuple(sorted((*new_high, *give), reverse=True)), n)
+
+    def run(self) -> Counter[Bin]:
+        """Exchange until the bins are as few as the tokens allow or no exchange helps."""
+        least = fewest(self.under, self.limit) + sum(self.full.values())
+        stuck: list[Bin] = []
+        moved = False
+        while self.bins > least:
+            if not self.queue:
+                if not moved:
+                    break
+                self.queue = [(sum(k), k) for k in stuck if k in self.under]
+                heapify(self.queue)
+                stuck, moved = [], False
+                continue
+            fill, low = heappop(self.queue)
+            if low not in self.under:
+                continue
+            found = self.find(low)
+            if found is None:
+                stuck.append(low)
+                continue
+            moved = True
+            self.exchange(low, *found)
+            if low in self.under:
+                heappush(self.queue, (fill, low))
+        return self.full + Counter(self.under)
+
+
+def fewest(kinds: dict[Bin, int], limit: int) -> int:
+    """The bins that the tokens need."""
+    return -(-sum(sum(k) * n for k, n in kinds.items()) // limit)
+
+
+def lengths_of(kinds: dict[Bin, int]) -> Counter[int]:
+    out: Counter[int] = Counter()
+    for kind, n in kinds.items():
+        for x in kind:
+            out[x] += n
+    return out
+
+
+def pack_lengths(counts: dict[int, int], limit: int = LIMIT, reopenings: int = 0) -> Counter[Bin]:
+    """A packing of {length: pieces} as {bin: how many}."""
+    kinds = Search(fold(counts, limit), limit).run()
+    least = fewest(kinds, limit)
+    for turn in range(reopenings):
         if sum(kinds.values()) <= least:
             break
-        under = sorted((k for k in kinds if sum(k) < limit), key=lambda k: (sum(k), k))[:most]
-        found = next((x for low, high in _pairs(under, kinds) if (x := _exchange(low, high, limit))), None)
-        if found is None:
-            break
-        low, high, new_low, new_high = found
-        n = kinds[low] // 2 if low == high else min(kinds[low], kinds[high])
-        for kind, change in ((low, -n), (high, -n), (new_low, n), (new_high, n)):
-            kinds[kind] += change
-            if not kinds[kind]:
-                del kinds[kind]
-        kinds.pop((), None)
+        # The underfull bins and some full ones are packed afresh, from a first-fit start in another order.
+        full = sorted((k for k in kinds if sum(k) == limit), key=lambda k: (-len(k), k))
+        rng = random.Random(turn)
+        again = Counter({k: n for k, n in kinds.items() if sum(k) < limit})
+        again.update(dict.fromkeys(rng.sample(full[: 4 * REOPENED], min(REOPENED, len(full))) if turn % 2 else full[:REOPENED], 1))
+        items = list(lengths_of(again).elements())
+        rng.shuffle(items)
+        found = Search(first_fit(items, limit), limit).run()
+        if sum(found.values()) < sum(again.values()):
+            kinds = kinds - again + found
     return kinds
 
 
-def _pairs(under: list[tuple], kinds: Counter) -> Iterator[tuple[tuple, tuple]]:
-    """Emptier and fuller kinds, the emptiest with the fullest first."""
-    for i, low in enumerate(under):
-        for high in reversed(under[i:]):
-            if low != high or kinds[low] > 1:
-                yield low, high
-
-
-def _exchange(low: tuple, high: tuple, limit: int) -> tuple | None:
-    """The move or exchange that fills `high` most, as (low, high, new low, new high)."""
-    free = limit - sum(high)
-    gives = {(a,): a for a in set(low)} | {p: sum(p) for p in set(combinations(low, 2))} if len(low) < 60 else {(a,): a for a in set(low)}
-    takes = {(): 0} | {(b,): b for b in set(high)} | ({p: sum(p) for p in set(combinations(high, 2))} if len(high) < 60 else {})
-    best = max(
-        ((gain, a, b) for a, given in gives.items() for b, taken in takes.items() if 0 < (gain := given - taken) <= free and (len(a), len(b)) != (2, 2) and (b or len(a) == 1)),
-        default=None,
-    )
-    if best is None:
-        return None
-    _, a, b = best
-    swap = lambda kind, out, come: tuple(sorted((Counter(kind) - Counter(out) + Counter(come)).elements(), reverse=True))
-    return low, high, swap(low, a, b), swap(high, b, a)
-
-
-def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
-    """The places of a packing, (length, first, places, sequence, offset).
+def first_fit(items: Iterable[int], limit: int) -> Counter[Bin]:
+    bins: list[list[int]] = []
+    for x in items:
+        at = next((b for b in bins if sum(b) + x <= limit), None)
+        if at is None:
+            bins.append([x])
+        else:
+            at.append(x)
+    return Counter(tuple(sorted(b, reverse=True)) for b in bins)
+
+
+def place(lengths: np.ndarray, limit: int, reopenings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece its bin, its offset there, and whether the bin is done: full, and not among the ones of most pieces that come along with the underfull ones."""
+    order = np.argsort(lengths, kind="stable")
+    values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
+    following = dict(zip(values.tolist(), first.tolist(), strict=True))
+    ids, offsets, done = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+    kinds = pack_lengths(dict(zip(values.tolist(), n.tolist(), strict=True)), limit, reopenings)
+    number, along = 0, sum(bins for kind, bins in kinds.items() if sum(kind) < limit)
+    for kind, bins in sorted(kinds.items(), key=lambda x: (-len(x[0]), x)):
+        offset, full = 0, sum(kind) == limit
+        for x in kind:
+            rows = order[following[x] : following[x] + bins]
+            following[x] += bins
+            ids[rows], offsets[rows], done[rows] = np.arange(number, number + bins), offset, full and np.arange(bins) >= along
+            offset += x
+        number += bins
+        along = max(along - bins, 0) if full else along
+    return ids, offsets, done
+
+
+def pack(parts: DataFrame, limit: int = LIMIT, shard_bins: int = SHARD_BINS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Add sequence_id and offset to pieces that have a `length` up to `limit`. Other columns pass on."""
+    columns = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    key, done_with = free_names(parts, "key", "done")
+    # A checkpointed row's place doesn't change, so neither does its number.
+    todo = cut(parts.select(*columns).withColumn(key, F.monotonically_increasing_id()))
+    done, turn, before = [], 0, None
+    schema = StructType(todo.schema.fields).add("sequence_id", "long").add("offset", "long").add(done_with, "boolean")
+    while True:
+        rows, tokens = todo.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        shards = max(1, -(-tokens // (limit * shard_bins)), -(-rows // shard_pieces))
+        last = shards == 1 or (before is not None and 4 * rows > 3 * before)
+        todo = cut(_pack_shards(todo, shards, turn, key, done_with, schema, limit, REOPENINGS if last else 0))
+        if last:
+            break
+        done.append(todo.filter(done_with))
+        todo, turn, before = todo.filter(~F.col(done_with)).drop("sequence_id", "offset", done_with), turn + 1, rows
+    for part in done:
+        todo = todo.unionByName(part)
+    return todo.drop(key, done_with)
 
-    Of the pieces of a length, those ranked first, first + 1, ... go to sequences sequence, sequence + 1, ... at offset.
-    """
-    kinds = best_fit(counts, limit)
-    least = -(-sum(k * n for k, n in counts.items()) // limit)
-    used = sum(bins for _, _, bins in kinds)
-    whole: list[tuple[tuple[int, ...], int]] = [(contents(chain), bins) for free, chain, bins in kinds if used <= least or not free]
-    if used > least:
-        under: Counter = Counter()
-        for free, chain, bins in kinds:
-            if free:
-                under[contents(chain)] += bins
-        whole += improve(under, limit).items()
-    first: Counter = Counter()
-    out, sequence = [], 0
-    for kind, bins in sorted(whole, reverse=True):
-        offset = 0
-        for length in kind:
-            out.append((length, first[length], bins, sequence, offset))
-            first[length] += bins
-            offset += length
-        sequence += bins
-    return out
 
+def _pack_shards(rows: DataFrame, shards: int, turn: int, key: str, done: str, schema: StructType, limit: int, reopenings: int) -> DataFrame:
+    """Each shard packed by itself, with sequence_id (of turn, shard and bin), offset, and whether the sequence is done."""
+    names = schema.fieldNames()
+    shard = done + "_shard"
 
-def pack(parts: DataFrame, limit: int = LIMIT, buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add sequence_id and offset to pieces that have a `length` up to `limit`.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, shard):
+            ids, offsets, away = place(group.column("length").to_numpy(), limit, reopenings)
+            ids += (turn << 56) + (group.column(shard)[0].as_py() << 24)
+            kept = [group.column(k).combine_chunks() for k in range(len(names) - 3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids), pa.array(offsets), pa.array(away)], names)
 
-    A length's pieces are ranked in at least `buckets` buckets, and in so many that none of them holds more than about `rows`.
-    """
-    spark = parts.sparkSession
-    buckets = max(buckets, parts.count() // rows)
-    dealt = parts.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    sizes = cut(dealt.groupBy("length", "_b").agg(F.count("*").alias("n")))
-    # At most `limit` rows.
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(plan(counts, limit), "len long, first long, places long, sequence long, offset long")
-    before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("length").alias("len"), F.col("_b").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    in_bucket = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("_r", F.row_number().over(in_bucket) - 1).join(starts, (F.col("length") == F.col("len")) & (F.col("_b") == F.col("b")))
-    ranked = ranked.withColumn("_r", F.col("_r") + F.col("begin")).drop("len", "b", "begin", "_b")
-    at = (F.col("length") == F.col("len")) & (F.col("_r") >= F.col("first")) & (F.col("_r") < F.col("first") + F.col("places"))
-    return ranked.join(places, at).withColumn("sequence_id", F.col("sequence") + F.col("_r") - F.col("first")).drop("len", "first", "places", "sequence", "_r")
+    dealt = rows.withColumn(shard, F.pmod(F.xxhash64(F.col(key), F.lit(turn)), F.lit(shards)))
+    return dealt.repartition(min(shards, 4096), shard).sortWithinPartitions(shard, key).mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    out = pack(cut(pieces(df, text, doc_id, path, limit)), limit)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces(df, text, doc_id, path, limit), limit).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
