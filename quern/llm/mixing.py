@@ -1,137 +1,193 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix repeats document i at a rate r_i. Among all rates that give each source its target number
-of words, entropy balancing takes those closest to the documents' base rates q_i in relative
-entropy weighted by size. Its convex dual has one multiplier per source, the optimum is the
-exponential tilt r_i = q_i * exp(lambda_source), and Newton's method finds the multipliers from
-the grouped sums S_s(lambda) = sum q_i size_i exp(lambda_s), which Spark computes in each round.
-Rates become whole copies by systematic rounding along each source's documents in order of size:
-the copies of any prefix differ from the sum of its rates by less than one, so a source's words
-miss their target by less than its longest document, and no document gets more than ceil(rate)
-copies, which is at most 3 as targets stop at 3 times a source's size.
+The mix repeats document i at a rate r_i between 0 and `cap`. Its constraints are on tokens: each source meets its target
+number of words, and the words' mean log length of a document, and that length's spread, stay those of the corpus, so that a source of long documents
+does not change what lengths the mix is made of. Of all such rates entropy balancing takes those closest to the base rate of 1 in
+relative entropy (of r and of cap - r), weighted by size. Its convex dual has a multiplier for each source and one for each
+length moment, and its optimum tilts the odds of every document exponentially,
+
+    r_i / (cap - r_i) = exp(lambda_source + mu . f_i) / (cap - 1),
+
+where f_i are the standardised log length and its square less one. The targets of sources are met exactly; the moments have a small ridge,
+as no rates may meet both. Newton's method finds the multipliers: in each round Spark sums the gradient and the Hessian over (source, size) classes. The
+Hessian is diagonal in the sources, so these are eliminated by a grouped sum, a two-by-two system is solved, and every source moves on its own as a row of a table.
+
+Rates become whole copies by systematic rounding along each source's documents in order of size: the copies of any prefix
+differ from the sum of its rates by less than one, and no document gets more than `cap` copies. Documents that weigh on the target are rounded
+first, and the rates of the others are scaled to what these leave, so a source misses its target by about a short document.
 
 Everything is DataFrame operations. Sums are taken over (source, size) classes first, so neither
 a source that holds a third of the rows nor a common size becomes one task's work: within a class
-documents are dealt to `buckets` by a digest of doc_id, classes get their copies from a prefix
-sum over the buckets, and only a bucket's own rows are ranked.
+documents are dealt to buckets by a digest of doc_id and text, and only a bucket's own rows are ranked. Sources, of which
+there may be many, are ranked by ranges; the level at which targets stop comes from a few grouped sums.
 
 Defined results: a null text or one without words has size 0 and takes nothing; a null source is
 a source of its own, after all others; a null doc_id is treated as a value; repeated rows each
-count; ties fall to the digest of doc_id, and rows equal in every column are interchangeable; an
+count; ties fall to digests, and rows equal in id and text are interchangeable; an
 empty table gives an empty result; extra columns are dropped. Reruns agree on every row.
 """
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, md5_int, n_words
+from quern.llm.common import cut, n_words
 
 CAP = 3
 BUCKETS = 64
 BUCKET_ROWS = 500_000
-#: Rates are rounded to this many parts of one before they are summed, so that sums are exact.
-PARTS = 1_000_000_000
+#: Rates are rounded to this many parts of one, far above the noise of sums in another order, and are summed as whole numbers.
+PARTS = 10_000_000
 #: Starting points of the systematic rounding that each source tries.
 PHASES = 16
+#: A document is long if this many of its size exceed its source's target.
+LONG = 200
+#: Weight of the multipliers' squares for the length moments, for each word of the corpus.
+RIDGE = 1e-3
+
+
+def ranked_sources(sizes: DataFrame) -> DataFrame:
+    """`sizes` with `place`, the source's number by code point, null last, from 0. Ranges of sources are ranked each by itself."""
+    ranged = cut(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    # One row per range.
+    counts = ranged.groupBy("range").agg(F.count("*").alias("rows"))
+    before = counts.select(F.col("range").alias("r"), (F.sum("rows").over(Window.orderBy("range")) - F.col("rows")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("inside", inside).join(before, F.col("range") == F.col("r")).withColumn("place", F.col("before") + F.col("inside") - 1).drop("range", "r", "before", "inside")
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources, by code point and null last, weigh `cycle`, repeating, and share the sum of all sizes.
-    A target stops at `cap` times its source's size and the excess is shared again by weight:
-    with sources in order of size / weight, the first k are at their cap for the smallest k at
-    which the next one's share is within its own.
+    A target stops at `cap` times its source's size and the excess is shared again by weight, until none is above: each round
+    finds from three sums the share of a unit of weight, which only grows.
     """
-    everywhere = Window.partitionBy()
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, cycle)), ((F.row_number().over(ordered) - 1) % len(cycle) + 1).cast("int")).cast("long")
-    weighed = sizes.withColumn("weight", w)
-    by_room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    room = weighed.withColumns(
-        {
-            "left": F.sum("source_size").over(everywhere) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-            "weights": F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-            "place": F.row_number().over(by_room),
-        }
-    ).withColumn("fits", _wide("left") * _wide("weight") <= _wide("source_size") * (_wide("weights") * cap))
-    first = F.min(F.when(F.col("fits"), F.col("place"))).over(everywhere)
-    at_first = lambda c: F.max(F.when(F.col("place") == F.col("first"), F.col(c))).over(everywhere)
-    level = room.withColumn("first", first).withColumns({"l": at_first("left"), "ws": at_first("weights")})
-    share = F.when(F.col("place") < F.col("first"), (cap * F.col("source_size")).cast("double")).otherwise(
-        (F.col("l") * F.col("weight")).cast("double") / F.col("ws").cast("double")
-    )
-    return level.select("source", "source_size", F.coalesce(share, F.lit(0.0)).alias("target"))
-
-
-def _wide(name: str) -> Column:
-    return F.col(name).cast("decimal(18,0)")
-
-
-def tilt(targets: DataFrame, rounds: int = 60) -> DataFrame:
-    """Add `lam`, each source's multiplier, by Newton's method on the dual.
-
-    `targets` has source, mass (sum of base rate times size over the source) and target. The dual
-    is a sum of one convex part per source, mass exp(lam) - target lam, so its Hessian is diagonal
-    and a round of Newton's method moves every source on its own, in parallel over the rows; the
-    step is kept to 2 so that it can't overshoot far. Without words or target, lam stays 0.
-    """
-    step = lambda lam: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("target") / (F.col("mass") * F.exp(lam)) - 1))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), lambda lam, _: lam + step(lam))
-    return targets.withColumn("lam", F.when((F.col("mass") > 0) & (F.col("target") > 0), solved).otherwise(F.lit(0.0)))
-
-
-def entropy_mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
+    weight = F.element_at(F.array(*map(F.lit, cycle)), (F.col("place") % len(cycle) + 1).cast("int")).cast("long")
+    weighed = cut(ranked_sources(sizes).withColumn("weight", weight).drop("place"))
+    wide = lambda c: F.col(c).cast("decimal(18,0)")
+    share, weights, stopped = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0)), F.lit(0)).first()
+    total = share
+    while True:
+        over = wide("source_size") * F.lit(cap * weights).cast("decimal(18,0)") < wide("weight") * F.lit(share).cast("decimal(18,0)") if weights else F.lit(True)
+        above, left, n = weighed.agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0)), F.count(F.when(over, 1))).first()
+        share, weights = total - cap * above, left
+        if n == stopped:
+            break
+        stopped = n
+    target = F.when(over, (cap * F.col("source_size")).cast("double"))
+    return weighed.select("source", "source_size", target.otherwise((F.lit(share) * F.col("weight")).cast("double") / F.lit(float(max(weights, 1)))).alias("target"))
+
+
+def balance(cells: DataFrame, cap: int = CAP, ridge: float = RIDGE, rounds: int = 60) -> DataFrame:
+    """Add `rate` to cells (source, size, n, source_size, target) by Newton's method on the dual."""
+    words = F.col("n") * F.col("size").cast("double")
+    log_size = F.log2(F.col("size").cast("double"))
+    total, mean, square = cells.filter("size > 0").agg(F.coalesce(F.sum(words), F.lit(0.0)), F.sum(words * log_size), F.sum(words * log_size * log_size)).first()
+    if not total:
+        return cells.withColumn("rate", F.lit(0.0))
+    mean /= total
+    spread = sqrt(max(square / total - mean * mean, 0.0))
+    # Sums of floating-point numbers depend on their order, so what is this small is rounding.
+    f1 = (log_size - mean) / spread if spread > 1e-6 else F.lit(0.0)
+    capped = F.col("target") >= cap * F.col("source_size")
+    open_cells = cells.filter((F.col("size") > 0) & ~capped & (F.col("target") > 0))
+    open_cells = cut(open_cells.select("source", "target", "source_size", words.alias("w"), f1.alias("f1"), (f1 * f1 - 1 if spread > 1e-6 else F.lit(0.0)).alias("f2")))
+    sources = open_cells.groupBy("source").agg(F.max("target").alias("target"), F.max("source_size").alias("source_size"))
+    mean_rate = F.col("target") / F.col("source_size")
+    lams = cut(sources.select(F.col("source").alias("s"), F.log((cap - 1) * mean_rate / (cap - mean_rate)).alias("lam")))
+    m1 = m2 = 0.0
+    for _ in range(rounds):
+        at = open_cells.join(lams, F.col("source").eqNullSafe(F.col("s")))
+        at = at.withColumn("r", _rate(F.col("lam") + m1 * F.col("f1") + m2 * F.col("f2"), cap))
+        at = at.withColumns({"wr": F.col("w") * F.col("r"), "wh": F.col("w") * F.col("r") * (1 - F.col("r") / cap)})
+        add = lambda x: F.sum(x)
+        wh, a, b = F.col("wh"), F.col("f1"), F.col("f2")
+        sums = cut(
+            at.groupBy("source").agg(
+                F.max("lam").alias("lam"), F.max("target").alias("target"), (add("wr") - F.max("target")).alias("g"), add(wh).alias("h"), add(wh * a).alias("a1"), add(wh * b).alias("a2"),
+                add(wh * a * a).alias("b11"), add(wh * a * b).alias("b12"), add(wh * b * b).alias("b22"), add(F.col("wr") * a).alias("g1"), add(F.col("wr") * b).alias("g2"),
+            )
+        )
+        g, h, a1, a2 = (F.col(c) for c in ("g", "h", "a1", "a2"))
+        s11, s12, s22, r1, r2, off = sums.agg(
+            add(F.col("b11") - a1 * a1 / h), add(F.col("b12") - a1 * a2 / h), add(F.col("b22") - a2 * a2 / h),
+            add(a1 * g / h - F.col("g1")), add(a2 * g / h - F.col("g2")), F.max(F.abs(g) / F.col("target")),
+        ).first()
+        if off is None:
+            break
+        s11, s22, r1, r2 = s11 + ridge * total, s22 + ridge * total, r1 - ridge * total * m1, r2 - ridge * total * m2
+        det = s11 * s22 - s12 * s12
+        d1, d2 = (r1 * s22 - r2 * s12) / det, (r2 * s11 - r1 * s12) / det
+        shrink = min(1.0, 1.0 / max(abs(d1), abs(d2), 1e-300))
+        d1, d2 = d1 * shrink, d2 * shrink
+        if off < 1e-9 and max(abs(d1), abs(d2)) < 1e-9:
+            break
+        step = (-g - a1 * d1 - a2 * d2) / h
+        lams = sums.select(F.col("source").alias("s"), (F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).alias("lam"))
+        m1, m2 = m1 + d1, m2 + d2
+    else:
+        raise RuntimeError(f"the mix did not converge in {rounds} rounds")
+    tilted = _rate(F.col("lam") + m1 * f1 + m2 * (f1 * f1 - 1 if spread > 1e-6 else F.lit(0.0)), cap)
+    rate = F.when((F.col("size") == 0) | (F.col("target") == 0), 0.0).when(capped, float(cap)).otherwise(tilted)
+    return cells.join(lams, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rate", rate).drop("s", "lam")
+
+
+def _rate(z: Column, cap: int) -> Column:
+    return cap / (1 + (cap - 1) * F.exp(-z))
+
+
+def entropy_mix(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", cap: int = CAP, buckets: int = BUCKETS, rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken.
 
     Documents of one source and size are ranked in at least `buckets` buckets, and in so many that none holds more than about `rows`.
     """
-    sized = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
-    buckets = max(buckets, sized.count() // rows)
-    docs = sized.withColumn("bucket", md5_int(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"))) % buckets)
+    sized = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("digest")))
+    docs = sized.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(max(buckets, sized.count() // rows))))
     classes = docs.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     per_size = cut(classes.groupBy("source", "size").agg(F.sum("n").alias("n")))
-    sizes = per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    lams = tilt(source_targets(sizes).withColumn("mass", F.col("source_size").cast("double")))
-    parts = F.when(F.col("source_size") > 0, F.least(F.round(F.exp("lam") * PARTS).cast("long"), F.lit(CAP * PARTS).cast("long"))).otherwise(F.lit(0).cast("long"))
-    rates = cut(lams.select(F.col("source").alias("s"), "source_size", "target", parts.alias("parts")))
-    ups = _extra_copies(classes, per_size, rates)
-    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    ranked = docs.join(ups, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
-    ranked = ranked.withColumn("rank", F.row_number().over(in_bucket))
-    copies = F.floor(F.col("parts") / PARTS) + F.when(F.col("rank") <= F.col("ups"), 1).otherwise(0)
-    return ranked.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("parts") / PARTS).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
+    targets = source_targets(per_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).withColumnRenamed("source", "s")
+    cells = cut(balance(cut(per_size.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")), cap).withColumn("parts", F.round(F.col("rate") * PARTS).cast("long")).withColumn("rate", F.col("parts") / F.lit(PARTS)))
+    # Long documents are rounded first, and the others' rates scaled to what is left of the target.
+    cells = cells.withColumn("long", F.col("size") * LONG > F.col("target"))
+    weight = F.col("parts").cast("decimal(12,0)") * (F.col("n") * F.col("size")).cast("decimal(20,0)")
+    expected = (F.sum(F.when(~F.col("long"), weight).otherwise(F.lit(0).cast("decimal(30,0)"))) / F.lit(PARTS)).cast("double")
+    first = cut(cells.filter("long").withColumnRenamed("target", "goal").join(cells.groupBy(F.col("source").alias("o")).agg(expected.alias("others")), F.col("source").eqNullSafe(F.col("o"))).drop("o"))
+    long = _phases(first.withColumn("target", F.col("goal") - F.col("others"))).drop("others", "target").withColumnRenamed("goal", "target")
+    done = long.groupBy(F.col("source").alias("o")).agg(F.max("words").alias("done"))
+    done = cells.groupBy("source").agg(expected.alias("others")).join(done, F.col("source").eqNullSafe(F.col("o")), "left").select(F.col("source").alias("o"), "others", F.coalesce("done", F.lit(0)).alias("done"))
+    rest = cut(cells.filter("not long").join(done, F.col("source").eqNullSafe(F.col("o"))).drop("o").withColumnRenamed("target", "goal").withColumn("target", F.greatest(F.col("goal") - F.col("done"), F.lit(0.0))))
+    scaled = F.when(F.col("others") > 0, F.least(F.col("rate") * F.col("target") / F.col("others"), F.lit(float(cap)))).otherwise(0.0)
+    others = _phases(rest.withColumn("parts", F.round(scaled * PARTS).cast("long"))).drop("others", "done", "target").withColumnRenamed("goal", "target")
+    chosen = cut(long.unionByName(others).select(F.col("source").alias("s"), F.col("size").alias("z"), "source_size", "target", "rate", "parts", "start", "u"))
+    by_bucket = Window.partitionBy("source", "size").orderBy("bucket")
+    dealt = classes.withColumn("before", F.sum("n").over(by_bucket) - F.col("n")).join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    dealt = dealt.select("s", "z", F.col("bucket").alias("b"), "before", "source_size", "target", "rate", "parts", "start", "u")
+    in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("digest", "doc_id")
+    ranked = docs.withColumn("rank", F.row_number().over(in_bucket)).join(dealt, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
+    upto = lambda k: _whole(F.col("start") + k.cast("decimal(18,0)") * F.col("parts").cast("decimal(12,0)"), F.col("u"))
+    place = F.col("before") + F.col("rank")
+    return ranked.withColumn("copies", (upto(place) - upto(place - 1)).cast("long")).select(
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
-def _extra_copies(classes: DataFrame, per_size: DataFrame, rates: DataFrame) -> DataFrame:
-    """(s, z, b, source_size, target, parts, ups): how many documents of each source, size and bucket get one copy more than floor(rate).
+def _phases(cells: DataFrame) -> DataFrame:
+    """Add to cells (source, size, n, parts, target) `start`, the rates of the source's longer documents, and the source's starting point `u` and `words` taken: of PHASES points the one that comes closest to the target."""
+    exact = F.col("n").cast("decimal(18,0)") * F.col("parts").cast("decimal(12,0)")
+    by_size = Window.partitionBy("source").orderBy(F.desc("size"))
+    placed = cut(cells.withColumn("start", (F.sum(exact).over(by_size) - exact).cast("decimal(38,0)")).withColumn("all", exact.cast("decimal(38,0)")))
+    words = lambda u: (_whole(F.col("start") + F.col("all"), u) - _whole(F.col("start"), u)) * F.col("size")
+    tried = placed.select("source", "target", F.explode(F.transform(F.sequence(F.lit(0), F.lit(PHASES - 1)), lambda u: F.struct(u.alias("u"), words(u).alias("words")))).alias("x"))
+    tried = tried.groupBy("source", F.col("x.u").alias("u")).agg(F.sum("x.words").alias("words"), F.max("target").alias("target"))
+    best = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("miss"), "u", "words")).alias("best"))
+    best = best.select(F.col("source").alias("s"), F.col("best.u").alias("u"), F.col("best.words").alias("words"))
+    return placed.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s", "all")
 
-    Documents of a source stand in order of falling size; at a fraction f above the floor the
-    first k hold floor(f k + u) extra copies. Of PHASES values of u, each source takes the one that
-    brings its words closest to the target (the least, on a tie).
-    """
-    fraction = F.col("parts") % PARTS
-    by_size = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = per_size.join(rates, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("upto", F.sum("n").over(by_size))
-    share = lambda u: _share(F.col("upto"), fraction, u) - _share(F.col("upto") - F.col("n"), fraction, u)
-    phases = F.transform(F.sequence(F.lit(0), F.lit(PHASES - 1)), lambda u: F.struct(u.alias("u"), ((F.floor(F.col("parts") / PARTS) * F.col("n") + share(u)) * F.col("size")).alias("words")))
-    tried = placed.select("source", "target", F.explode(phases).alias("x")).groupBy("source", F.col("x.u").alias("u")).agg(F.sum("x.words").alias("words"), F.max("target").alias("target"))
-    best = tried.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("miss"), "u"))["u"].alias("u"))
-    best = best.withColumnRenamed("source", "s")
-    spread = placed.join(best, F.col("source").eqNullSafe(F.col("s"))).select("s", F.col("size").alias("z"), "source_size", "target", "parts", "u", (F.col("upto") - F.col("n")).alias("start"))
-    by_bucket = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = classes.withColumn("inside", F.sum("n").over(by_bucket)).join(spread, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    end = F.col("start") + F.col("inside")
-    ups = _share(end, fraction, F.col("u")) - _share(end - F.col("n"), fraction, F.col("u"))
-    return dealt.select("s", "z", F.col("bucket").alias("b"), "source_size", "target", "parts", ups.alias("ups"))
-
-
-def _share(k: Column, fraction: Column, phase: Column) -> Column:
-    """floor(k * fraction / PARTS + phase / PHASES) in whole numbers."""
-    whole, rest = F.floor(k / PARTS), k % PARTS
-    return whole * fraction + F.floor((rest.cast("decimal(10,0)") * fraction.cast("decimal(10,0)") + (phase * (PARTS // PHASES)).cast("decimal(10,0)")) / PARTS).cast("long")
+
+def _whole(parts: Column, phase: Column) -> Column:
+    """floor(parts / PARTS + phase / PHASES)."""
+    return F.floor((parts + (phase * (PARTS // PHASES)).cast("decimal(12,0)")) / F.lit(PARTS).cast("decimal(12,0)")).cast("long")

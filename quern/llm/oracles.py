@@ -44,46 +44,6 @@ FROM documents d LEFT JOIN (
 ) c USING (doc_id)
 """
 
-_MIX_BASE = rf"""
-docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '#'), 1, 8))::BIGINT % 64 AS bucket FROM {{docs}}
-), sizes AS (SELECT source, sum(size)::HUGEINT AS s FROM docs GROUP BY source
-), weighed AS (SELECT source, s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sizes
-), room AS (
-  SELECT *, sum(s) OVER () - 3 * coalesce(sum(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
-    sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws, row_number() OVER o AS place
-  FROM weighed WINDOW o AS (ORDER BY s / w::DOUBLE, source NULLS LAST)
-), first AS (SELECT rest AS l, ws AS lw, place AS p FROM room WHERE rest * w <= 3 * s * ws ORDER BY place LIMIT 1
-), targets AS (
-  SELECT source, s, CASE WHEN place < p THEN (3 * s)::DOUBLE ELSE (l * w)::DOUBLE / lw::DOUBLE END AS target FROM room, first
-), rates AS (
-  SELECT source, s::BIGINT AS source_size, target, CASE WHEN s > 0 THEN least(3000000000, round(target / s::DOUBLE * 1000000000)::BIGINT) ELSE 0 END::HUGEINT AS parts FROM targets
-), per_size AS (SELECT source, size, count(*) AS n FROM docs GROUP BY ALL
-), placed AS (
-  SELECT p.source, size, n, source_size, target, parts, sum(n) OVER (PARTITION BY p.source ORDER BY size DESC) AS upto
-  FROM per_size p JOIN rates r ON p.source IS NOT DISTINCT FROM r.source
-), tried AS (
-  SELECT source, u, sum((parts // 1000000000 * n + (upto * (parts % 1000000000) + u * 62500000) // 1000000000 - ((upto - n) * (parts % 1000000000) + u * 62500000) // 1000000000) * size) AS words, max(target) AS target
-  FROM placed, range(16) t(u) GROUP BY ALL
-), best AS (SELECT source, arg_min(u, (abs(words::DOUBLE - target), u)) AS u FROM tried GROUP BY source
-), ranked AS (
-  SELECT d.*, row_number() OVER (PARTITION BY source, size ORDER BY bucket, md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS k,
-    row_number() OVER (PARTITION BY source, size, bucket ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) AS r,
-    count(*) OVER (PARTITION BY source, size, bucket) AS nb
-  FROM docs d
-), counted AS (
-  SELECT k.*, p.source_size, p.target, p.parts, b.u, p.upto - p.n + k - r AS start
-  FROM ranked k JOIN placed p ON k.source IS NOT DISTINCT FROM p.source AND k.size = p.size JOIN best b ON k.source IS NOT DISTINCT FROM b.source
-), mixed AS (
-  SELECT doc_id, source, size, source_size, target, parts / 1000000000::DOUBLE AS rate,
-    CASE WHEN size = 0 THEN 0 ELSE parts // 1000000000
-      + (r <= ((start + nb) * (parts % 1000000000) + u * 62500000) // 1000000000 - (start * (parts % 1000000000) + u * 62500000) // 1000000000)::INT END::BIGINT AS copies
-  FROM counted
-)"""
-
-MIX = "WITH " + _MIX_BASE.replace("{docs}", "documents") + " SELECT *, copies * size AS taken FROM mixed"
-
 _HOST = r"nullif(regexp_replace(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', ''), '')"
 _PATH = r"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
 _MARK = "('0x' || substr(md5({x}), 1, 8))::BIGINT"

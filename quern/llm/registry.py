@@ -107,5 +107,4 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_derivatives": oracles.WARC,
         "op2_quality_rules": oracles.QUALITY.replace("{stop}", ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))),
         "line_dedup": oracles.LINES,
-        "op5_entropy_mix": oracles.MIX,
     }

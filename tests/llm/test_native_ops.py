@@ -3,6 +3,7 @@
 import datetime
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from quern.llm import warc
@@ -95,6 +96,40 @@ def test_mix_meets_targets(spark):
     assert entropy_mix(df.limit(0)).collect() == []
 
 
+def test_rates_solve_the_dual(spark):
+    """The problem is strictly convex, so rates that meet the conditions of its optimum are the optimum."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.lognormal(2 + i % 3, 1.1)), f"s{i % 7}", "e") for i in range(3000)] + [(9000 + i, "w w w", "tiny", "e") for i in range(4)]
+    got = entropy_mix(spark.createDataFrame(rows, "doc_id long, text string, source string, rate string")).toPandas()
+    got = got[got["size"] > 0]
+    assert (got[got["source"] == "tiny"]["rate"] == 3).all()
+    w, x = got["size"].to_numpy(float), np.log2(got["size"].to_numpy(float))
+    mean = (w * x).sum() / w.sum()
+    spread = np.sqrt((w * x * x).sum() / w.sum() - mean**2)
+    free = (got["source"] != "tiny").to_numpy()
+    got, w, f1 = got[free], w[free], ((x - mean) / spread)[free]
+    r = got["rate"].to_numpy()
+    codes, names = got["source"].factorize()
+    a = np.column_stack([codes[:, None] == np.arange(len(names)), f1, f1**2 - 1])
+    z = np.log(2 * r / (3 - r))
+    fit = np.linalg.lstsq(a, z, rcond=None)[0]
+    assert np.abs(a @ fit - z).max() < 1e-6 and np.abs(fit[-2:]).min() > 1e-3
+    per_source = np.bincount(codes, w * r) / got.groupby("source", sort=False)["target"].first()[names].to_numpy()
+    assert np.abs(per_source - 1).max() < 1e-6
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    for k, f in ((-2, f1), (-1, f1**2 - 1)):
+        assert abs((w * r * f).sum() / total + 1e-3 * fit[k]) < 1e-6
+    taken = got.groupby("source")["taken"].sum()
+    assert (abs(taken - got.groupby("source")["target"].first()) <= 30).all()
+
+
+def test_many_sources_are_ranked_by_ranges(spark):
+    sizes = {f"{i:x}é": i % 50 for i in range(500)} | {None: 7}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)
+    got, want = {r["source"]: r["target"] for r in source_targets(df).collect()}, plain_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 # --- URL filters ---
 
 
