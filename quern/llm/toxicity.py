@@ -6,7 +6,7 @@ difference of a text's score before the squashing and its copies', so mentions o
 stop to weigh and the words around them have to carry the label: neutral mentions score lower.
 
 `train` works on a bounded sample of the labelled rows: of either label about `per_label` documents at most, those with
-the least digests of their id, weighted back to all rows; of near copies among them one is taken. They are drawn among the labels, so the sampled ids are a
+the least digests of their id, weighted back to all rows; near copies among them share the weight of one. They are drawn among the labels, so the sampled ids are a
 small table and texts are not shuffled to meet them. Features are words and the first letters of longer ones, which catch a word's forms.
 Spark counts them in both classes of that sample and keeps the up to VOCABULARY that tell the classes apart best by
 the likelihood ratio, where that is more than chance gives among so many, and all identity terms; what comes to the
@@ -34,7 +34,7 @@ from quern.llm.common import cut
 from quern.llm.common import words as words_of
 
 PER_LABEL = 6000
-VOCABULARY = 1000
+VOCABULARY = 20_000
 THRESHOLD = 0.7
 #: Lengths of the starts of words that are features.
 STARTS = (4, 5)
@@ -49,8 +49,20 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrant", "immigrants", "refugee", "refugees", "foreigner", "foreigners"),
     ("deaf", "blind", "disabled"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("schwule", "lesben", "bisexuelle", "transsexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "migranten"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+    ("gays", "lesbiennes", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+    ("homosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
-NEUTRAL = ("person", "people")
+NEUTRAL = ("person", "people", "menschen", "leute", "personnes", "gens", "personas", "gente")
 
 
 @dataclass
@@ -84,46 +96,45 @@ def swaps(words: set[str], identity=IDENTITY, neutral=NEUTRAL) -> list[set[str]]
 
 
 def _bounded(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
-    """(text, label) of the sample, and the number of rows of each label. The sample is drawn among the labels, before texts are read."""
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_d"), F.col(label).cast("int").alias("label"))
+    """(text, label, weight) of the sample, and the number of rows of each label. The sample is drawn among the labels, before texts are read."""
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("drawn_id"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, per_label / n) for k, n in counts.items()}
     limit = F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)) * (1 << 20)
-    drawn = cut(rows.filter(F.pmod(F.xxhash64(F.col("_d").cast("string")), F.lit(1 << 20)) < limit))
+    drawn = cut(rows.filter(F.pmod(F.xxhash64(F.col("drawn_id").cast("string")), F.lit(1 << 20)) < limit))
     small = drawn.count() <= 4 * per_label
-    joined = docs.filter(F.col(text).isNotNull()).join(F.broadcast(drawn) if small else drawn, F.col(doc_id) == F.col("_d"))
-    return cut(_families(joined.select(F.col(text).alias("text"), "label"))), counts
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("text_id"), F.col(text).alias("text"))
+    joined = texts.join(F.broadcast(drawn) if small else drawn, F.col("text_id") == F.col("drawn_id"))
+    return cut(_weighed(joined.select("text", "label"))), counts
 
 
-def _families(sample: DataFrame) -> DataFrame:
-    """One text of each family of near copies in the sample.
+def _weighed(sample: DataFrame) -> DataFrame:
+    """Add `weight`, one part of the number of texts of that label that agree in the least and the greatest digest of their runs of three words.
 
-    Copies of one text would make its rare words look like marks of its label. Texts that share the least digest of their
-    runs of three words are of a family, and likewise those that share the greatest.
+    Copies of one text would make its rare words look like marks of its label. Near copies mostly agree in both digests, and other texts don't.
     """
-    for pick in (F.array_min, F.array_max):
-        w = words_of(F.col("text"))
-        runs = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)))
-        keyed = sample.withColumn("_w", w).withColumn("_k", F.when(F.size("_w") >= 3, pick(runs)).otherwise(F.xxhash64("text")))
-        sample = keyed.groupBy("label", "_k").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
-    return sample
+    w = words_of(F.col("text"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get(F.col("w"), i), F.get(F.col("w"), i + 1), F.get(F.col("w"), i + 2)))
+    ends = F.when(F.size("w") >= 3, F.struct(F.array_min("runs").alias("a"), F.array_max("runs").alias("b"))).otherwise(F.struct(F.xxhash64("text").alias("a"), F.lit(0).cast("long").alias("b")))
+    keyed = sample.withColumn("w", w).withColumn("runs", F.when(F.size("w") >= 3, runs)).withColumn("ends", ends).drop("w", "runs")
+    copies = keyed.groupBy(F.col("label").alias("l"), F.col("ends").alias("e")).agg(F.count("*").alias("copies"))
+    return keyed.join(copies, (F.col("label") == F.col("l")) & (F.col("ends") == F.col("e"))).select("text", "label", (1 / F.col("copies")).alias("weight"))
 
 
-def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[list[str], dict[int, int]]:
-    """The features that tell the labels apart best, and the number of texts of each label."""
+def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[list[str], dict[int, float]]:
+    """The features that tell the labels apart best, and the weight of each label's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: dict[str, list[int]] = {}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            count: dict[str, list[float]] = {}
+            for text, label, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for name in features(tokens(text), terms):
-                    count.setdefault(name, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.int64()) for k in (0, 1))], ["name", "clean", "toxic"])
+                    count.setdefault(name, [0.0, 0.0])[label] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *(pa.array([c[k] for c in count.values()], pa.float64()) for k in (0, 1))], ["name", "clean", "toxic"])
 
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()}
     n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    counted = sample.select("text", "label").mapInArrow(run, "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counted = cut(counted.filter(F.col("clean") + F.col("toxic") >= 3))
+    counted = cut(sample.select("text", "label", "weight").mapInArrow(run, "name string, clean double, toxic double").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     both = F.col("clean") + F.col("toxic")
     part = lambda seen, expected: F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
     ratio = sum(
@@ -133,7 +144,8 @@ def _vocabulary(sample: DataFrame, size: int, terms: frozenset[str]) -> tuple[li
         F.lit(0.0),
     )
     chance = 2 * float(np.log(max(counted.count(), 2)))
-    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") > chance).orderBy(F.desc("ratio"), "name").limit(size)
+    # Weights are sums of fractions, so ratios are compared to six digits.
+    best = counted.withColumn("ratio", F.round(ratio, 6)).filter(F.col("ratio") > chance).orderBy(F.desc("ratio"), "name").limit(size)
     return sorted({*terms, *(r["name"] for r in best.select("name").collect())}), totals
 
 
@@ -163,27 +175,28 @@ def train(
                 # A copy is written down as its change: the term that goes and the one that comes.
                 changes = [(next(iter(words - c), None), next(iter(c - words), None)) for c in swaps(words, identity, neutral)]
                 copies.append([number[w] if w else -1 for change in changes for w in change])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, kind), pa.array(copies, kind)], ["label", "words", "changes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, kind), pa.array(copies, kind)], ["label", "weight", "words", "changes"])
 
-    rows = sample.select("text", "label").mapInArrow(run, "label int, words array<int>, changes array<int>").toPandas()
-    y = rows["label"].to_numpy(np.float64)
+    rows = sample.select("text", "label", "weight").mapInArrow(run, "label int, weight double, words array<int>, changes array<int>").toPandas()
+    y, weight = rows["label"].to_numpy(np.float64), rows["weight"].to_numpy(np.float64)
     held = [np.asarray(w, np.int64) for w in rows["words"]]
     owner, index = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate([*held, np.zeros(0, np.int64)])
     changes = np.concatenate([np.zeros(0, np.int64), *(np.asarray(c, np.int64) for c in rows["changes"])]).reshape(-1, 2)
-    w, base = np.zeros(len(vocabulary) + 1), float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
+    per_change = np.repeat(weight, [len(c) // 2 for c in rows["changes"]])
+    w, base = np.zeros(len(vocabulary) + 1), float(np.log(totals[1] / totals[0]))
     gone, come = np.where(changes < 0, len(vocabulary), changes).T  # the last weight stays 0
     # Gradient steps with momentum; steps are scaled by how often each word occurs.
-    seen = np.bincount(index, minlength=len(w)) + np.bincount(gone, minlength=len(w)) + np.bincount(come, minlength=len(w))
-    scale = 1 / (0.25 * seen + ridge + 2 * fairness * (np.bincount(gone, minlength=len(w)) + np.bincount(come, minlength=len(w))) + 1)
+    swapped = np.bincount(gone, per_change, len(w)) + np.bincount(come, per_change, len(w))
+    scale = 1 / (0.25 * np.bincount(index, weight[owner], len(w)) + ridge + 2 * fairness * swapped + 1)
     speed, base_speed = np.zeros_like(w), 0.0
     for _ in range(rounds):
         z = base + np.bincount(owner, w[index], len(held))
-        error = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
         slope = np.bincount(index, error[owner], len(w)) + ridge * w
-        apart = fairness * (w[come] - w[gone])
+        apart = fairness * per_change * (w[come] - w[gone])
         slope += np.bincount(come, apart, len(w)) - np.bincount(gone, apart, len(w))
         speed = 0.9 * speed - 0.5 * scale * slope
-        base_speed = 0.9 * base_speed - 0.5 * error.sum() / (0.25 * len(y) + 1)
+        base_speed = 0.9 * base_speed - 0.5 * error.sum() / (0.25 * weight.sum() + 1)
         w, base = w + speed, base + base_speed
         w[-1] = 0.0
     # Back to the share of the labels in all labelled rows.
