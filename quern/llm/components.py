@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut, release
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b); root is the least node of its component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b); root is the least node of its component. Rounds go on until every component is a star."""
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
-        if _is_forest_of_stars(now):
-            break
+    while not _is_forest_of_stars(now):
         now = cut(_small_star(_large_star(now)))
         release(now.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

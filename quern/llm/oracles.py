@@ -83,27 +83,44 @@ def _warc() -> str:
     from quern.llm import warc
 
     q = lambda s: "'" + s.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in warc.NAMES.items()) + "}"
+    ref = "&" + warc.REFERENCE
+
+    def decoded(x: str, k: str) -> str:
+        number = f"CASE WHEN {k} SIMILAR TO '#[xX].*' THEN ('0x' || substr({k}, 3))::INT ELSE substr({k}, 2)::INT END"
+        character = f"CASE WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr(({number})::INT) ELSE chr(65533) END"
+        one = f"CASE WHEN {k} LIKE '#%' THEN {character} ELSE coalesce(m[{k}], '&' || {k} || ';') END"
+        refs = f"list_transform(regexp_extract_all({x}, {q(ref)}), lambda {k}_: substr({k}_, 2, length({k}_) - 2))"
+        return f"array_to_string(list_transform(list_zip(string_split_regex({x}, {q(ref)}), list_transform({refs}, lambda {k}: {one})), lambda {k}z: {k}z[1] || coalesce({k}z[2], '')), '')"
+
+    blank = warc.BLANKS
     text = f"regexp_replace(html, {q(warc.HIDDEN)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {q(warc.BLOCKS)}, chr(10), 'g'), {q(warc.TAGS)}, '', 'g')"
     title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
-    for name, character in warc.REFERENCES:
-        text, title = (f"replace({x}, {q(name)}, {q(character)})" for x in (text, title))
-    text = f"regexp_replace({text}, '[ \\t\\x0B\\f\\r]+', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
     urn = lambda x: "'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({x}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
     crlf = "chr(13) || chr(10)"
+    server = "[" + ", ".join(q(x) for x in warc.SERVERS) + "]"
     return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {urn("page_id::VARCHAR || ' ' || url")} AS source FROM pages
+WITH names AS (SELECT {names} AS m
+), p AS (SELECT page_id, url, coalesce(html, '') AS html, {urn("page_id::VARCHAR || ' ' || url")} AS source, {_MARK.format(x="page_id::VARCHAR")} AS mark, m FROM pages, names
+), h AS (
+  SELECT *, CASE WHEN mark % 23 = 0 THEN '404 Not Found' WHEN mark % 29 = 0 THEN '503 Service Unavailable' ELSE '200 OK' END AS status,
+    ['Server: ' || {server}[mark % 3 + 1], CASE WHEN mark % 2 = 0 THEN 'Content-Type: text/html; charset=utf-8' ELSE 'content-type:text/html' END,
+      'Content-Length: ' || strlen(html), 'X-Cache: ' || CASE WHEN mark % 5 = 0 THEN 'HIT' ELSE 'MISS' END] AS lines,
+    {text} AS raw, {title} AS head_title, list_transform(regexp_extract_all(html, {q(warc.LINK)}, 1), lambda x: regexp_replace(x, '^["'']|["'']$', '', 'g')) AS raw_links FROM p
 ), t AS (
-  SELECT *, {text} AS body, trim(regexp_replace({title}, '[ \\t\\x0B\\f\\r\\n]+', ' ', 'g')) AS title,
-    regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS links FROM p
+  SELECT *, 'HTTP/1.1 ' || status || {crlf} || array_to_string(CASE WHEN mark % 7 = 0 THEN list_reverse(lines) ELSE lines END, {crlf}) || {crlf} || {crlf} AS head,
+    CASE WHEN mark % 2 = 0 THEN 'text/html; charset=utf-8' ELSE 'text/html' END AS kind,
+    regexp_replace(regexp_replace(regexp_replace({decoded("raw", "b")}, {q(blank)}, ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g') AS body,
+    trim(regexp_replace({decoded("head_title", "c")}, {q(blank.replace("[ ", "[ " + chr(92) + "n"))}, ' ', 'g')) AS title,
+    list_transform(raw_links, lambda x: {decoded("x", "d")}) AS links FROM h
 ), r AS (
   SELECT *, 'conversion' AS warc_type, 'text/plain' AS content_type, body AS content FROM t
-  UNION ALL SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || {crlf} || 'http-status: 200' || {crlf} || 'content-type: text/html; charset=utf-8' || {crlf}
+  UNION ALL SELECT *, 'metadata', 'application/warc-fields', 'title: ' || title || {crlf} || 'http-status: ' || status[1:3] || {crlf} || 'content-type: ' || kind || {crlf}
     || 'text-length: ' || length(body) || {crlf} || 'outlinks: ' || len(links) || array_to_string(list_transform(links, lambda x: {crlf} || 'outlink: ' || x), '') || {crlf} FROM t
 )
 SELECT page_id, warc_type, {urn("source || ' ' || warc_type")} AS record_id, source AS refers_to, url AS target_uri,
-  strftime(DATE '2024-01-01' + (page_id % 366)::INT, '%Y-%m-%d') || 'T00:00:00Z' AS warc_date, '200' AS source_status, 'text/html; charset=utf-8' AS source_content_type,
+  strftime(DATE '2024-01-01' + (page_id % 366)::INT, '%Y-%m-%d') || 'T00:00:00Z' AS warc_date, status[1:3] AS source_status, kind AS source_content_type, head AS source_http_headers,
   'sha1:' || sha1(html) AS source_payload_digest, content_type, strlen(content)::BIGINT AS content_length, 'sha1:' || sha1(content) AS block_digest, content
 FROM r
 """

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import words
+from quern.llm.common import free_names, words
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -71,43 +71,44 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Append the columns of MEASURES. Arrays that a later step reads more than once get a projection of their own."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.drop(*MEASURES).withColumns({"_w": words(F.col(text)), "_lines": lines})
+    out = df.drop(*(c for c in df.columns if c.lower() in MEASURES and c != text))
+    w, lines, h, s, p = free_names(out, "w", "lines", "h", "s", "p")
+    out = out.withColumns({w: words(F.col(text)), lines: F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     # Windows of five words as 64-bit digests; a text under five words has none.
     out = out.withColumn(
-        "_h",
+        h,
         F.when(
-            F.size("_w") >= WINDOW,
-            F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)])),
+            F.size(w) >= WINDOW,
+            F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(F.col(w), i + k) for k in range(WINDOW)])),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     # Only a text with a repeated window has its (digest, position) pairs sorted.
     out = out.withColumn(
-        "_s",
+        s,
         F.when(
-            F.size(F.array_distinct("_h")) < F.size("_h"),
-            F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
+            F.size(F.array_distinct(h)) < F.size(h),
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
         ),
     )
-    same = lambda e, j: (e["h"] == F.get(F.col("_s"), j - 1)["h"]) | (e["h"] == F.get(F.col("_s"), j + 1)["h"])
-    out = out.withColumn("_p", F.sort_array(F.filter(F.transform("_s", lambda e, j: F.when(same(e, j), e["i"])), lambda x: x.isNotNull())))
+    same = lambda e, j: (e["h"] == F.get(F.col(s), j - 1)["h"]) | (e["h"] == F.get(F.col(s), j + 1)["h"])
+    out = out.withColumn(p, F.sort_array(F.filter(F.transform(s, lambda e, j: F.when(same(e, j), e["i"])), lambda x: x.isNotNull())))
     covered = F.aggregate(
-        F.transform("_p", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), j + 1) - x, F.lit(WINDOW)))),
+        F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p), j + 1) - x, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
     stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS)))
     return out.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
             "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
+            "n_lines": F.size(lines).cast("long"),
             "n_stop_words": F.regexp_count(F.lower(body), F.lit(r"(?<![^\x20\x09-\x0D])(?:" + "|".join(dict.fromkeys(STOP_WORDS)) + r")(?![^\x20\x09-\x0D.,;:!?#*$%&|<>])")).cast("long"),
         }
-    ).drop("_w", "_lines", "_h", "_s", "_p")
+    ).drop(w, lines, h, s, p)
 
 
 def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:

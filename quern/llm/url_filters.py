@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import md5_int
+from quern.llm.common import free_names, md5_int
 
 ALLOW = ("allow",)
 VERDICT = ("host", "n_active", "matched_list", "matched_kind", "matched_pattern", "listed_on", "blocked")
@@ -70,6 +70,7 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     """Append to each capture the columns of VERDICT, as of its day of fetching."""
     listed = intervals(entries).withColumnRenamed("kind", "k").withColumnRenamed("pattern", "p")
     kept = captures.drop(*VERDICT)
+    u, d = free_names(kept, "u", "d")
     pairs = kept.select(F.col(url).alias("_u"), F.col(fetched).cast("date").alias("_d")).dropna().distinct()
     keyed = pairs.select("_u", "_d", F.inline(patterns(F.col("_u"))))
     in_force = (F.col("valid_from") <= F.col("_d")) & (F.col("valid_to").isNull() | (F.col("_d") < F.col("valid_to")))
@@ -80,10 +81,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     )
     verdicts = hits.groupBy("_u", "_d").agg(F.count("*").alias("n_active"), F.max(best).alias("b"))
     verdicts = verdicts.select(
-        "_u", "_d", "n_active", F.col("b.list").alias("matched_list"), F.col("b.kind").alias("matched_kind"),
+        F.col("_u").alias(u), F.col("_d").alias(d), "n_active", F.col("b.list").alias("matched_list"), F.col("b.kind").alias("matched_kind"),
         F.col("b.pattern").alias("matched_pattern"), F.col("b.valid_from").alias("listed_on"), (~F.col("b.allowed")).alias("blocked"),
     )
-    out = kept.join(verdicts, (F.col(url) == F.col("_u")) & (F.col(fetched).cast("date") == F.col("_d")), "left").drop("_u", "_d")
+    out = kept.join(verdicts, (F.col(url) == F.col(u)) & (F.col(fetched).cast("date") == F.col(d)), "left").drop(u, d)
     return out.withColumns({"host": host(F.col(url)), "n_active": F.coalesce("n_active", F.lit(0)), "blocked": F.coalesce("blocked", F.lit(False))})
 
 

@@ -2,49 +2,70 @@
 
 `derive` turns each response into two linked records: a `metadata` record with the figures of the
 page, and a `conversion` record with its plain text. Both name the response in WARC-Refers-To and
-keep its target, date, HTTP status, content type and payload digest; each has an own record id,
+keep its target, date, HTTP status, content type, whole block of HTTP headers and payload digest; each has an own record id,
 derived from the response's, and a digest of its block. All of it is one projection over the
 responses: no shuffle, and no state beyond a row.
 
 Defined results: a null payload counts as an empty one; a null header or target stays out of the
 record's header; a response with a null id gets ids derived from the empty string; repeated
 responses each give their two records, with equal ids; an empty table gives an empty result;
-extra columns are dropped. Of character references, the five of XML, nbsp and #39 are decoded,
-the others stay as they are.
+extra columns are dropped. Character references by number or by a name of HTML 4 are decoded, also in titles and links; references to no
+character become U+FFFD, and unknown names stay as they are.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import md5_int
+
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<noscript\b.*?</noscript[^>]*>"
 BLOCKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|aside|main|title|head|body|html|blockquote|pre|form|figure)\b[^>]*>"
 TAGS = r"</?[A-Za-z!?][^>]*>"
-# Character references, the ampersand last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: What follows the ampersand of a character reference.
+REFERENCE = r"(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+NAMES = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
+BLANKS = r"[ \t\x0B\f\r\x{00A0}]+"
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def decoded(text: Column) -> Column:
-    for name, character in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """The text with its character references decoded, each once."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+
+    def part(x: Column) -> Column:
+        name = F.substring_index(x, ";", 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        point = number.cast("int")
+        valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        character = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        found = F.when(name.startswith("#"), character).otherwise(F.try_element_at(names, name))
+        return F.coalesce(F.concat(found, F.substr(x, F.length(name) + 2)), F.concat(F.lit("&"), x))
+
+    parts = F.split(text, f"&(?={REFERENCE})")
+    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))
+    return F.when(text.contains("&"), joined).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """The text of a page: hidden elements dropped, block elements on lines of their own, other tags dropped."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     out = F.regexp_replace(F.regexp_replace(out, BLOCKS, "\n"), TAGS, "")
-    out = F.regexp_replace(decoded(out), r"[ \t\x0B\f\r]+", " ")
+    out = F.regexp_replace(decoded(out), BLANKS, " ")
     return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(decoded(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)), r"[ \t\x0B\f\r\n]+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)), r"[ \t\x0B\f\r\n\x{00A0}]+", " "))
 
 
 def links(html: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    """The targets of a page's links, in order."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
+    return F.transform(found, lambda x: decoded(F.regexp_replace(x, "^[\"']|[\"']$", "")))
 
 
 def urn(value: Column) -> Column:
@@ -57,10 +78,21 @@ def digest(value: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(value))
 
 
+SERVERS = ("nginx", "Apache/2.4.57 (Debian)", "cloudflare")
+
+
 def responses_from_pages(pages: DataFrame) -> DataFrame:
-    """Response records (record_id, target_uri, warc_date, http_headers, payload, payload_digest) for pages (page_id, url, html)."""
+    """Response records (record_id, target_uri, warc_date, http_headers, payload, payload_digest) for pages (page_id, url, html).
+
+    The pages have no headers, so status, server, spelling and order of these come from digests of the page's id.
+    """
     body = F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    mark = md5_int(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    status = F.when(mark % 23 == 0, "404 Not Found").when(mark % 29 == 0, "503 Service Unavailable").otherwise("200 OK")
+    server = F.element_at(F.array(*map(F.lit, SERVERS)), (mark % 3 + 1).cast("int"))
+    kind = F.when(mark % 2 == 0, "Content-Type: text/html; charset=utf-8").otherwise("content-type:text/html")
+    lines = F.array(F.concat(F.lit("Server: "), server), kind, F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")), F.concat(F.lit("X-Cache: "), F.when(mark % 5 == 0, "HIT").otherwise("MISS")))
+    head = F.concat(F.lit("HTTP/1.1 "), status, F.lit("\r\n"), F.array_join(F.when(mark % 7 == 0, F.reverse(lines)).otherwise(lines), "\r\n"), F.lit("\r\n\r\n"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.coalesce("page_id", F.lit(0)) % 366).cast("int"))
     return pages.select(
         urn(F.concat_ws(" ", F.col("page_id").cast("string"), "url")).alias("record_id"),
@@ -80,7 +112,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     kind = F.trim(F.regexp_extract(F.coalesce("http_headers", F.lit("")), r"(?i)\r\nContent-Type:([^\r\n]*)", 1))
     # The text and the links are used several times, so they get a projection of their own.
     read = responses.select(
-        *keep, "record_id", "target_uri", "warc_date", "payload_digest", source.alias("_source"),
+        *keep, "record_id", "target_uri", "warc_date", "payload_digest", F.col("http_headers").alias("source_http_headers"), source.alias("_source"),
         status.alias("source_status"), kind.alias("source_content_type"),
         plain_text(F.col("payload")).alias("_text"), title(F.col("payload")).alias("_title"), links(F.col("payload")).alias("_links"),
     )
@@ -97,12 +129,12 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     both = read.select(
-        *keep, "record_id", "target_uri", "warc_date", "payload_digest", "source_status", "source_content_type",
+        *keep, "record_id", "target_uri", "warc_date", "payload_digest", "source_status", "source_content_type", "source_http_headers",
         F.inline(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("_text")))),
     )
     return both.select(
         *keep, "warc_type", F.col("derived_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
-        "source_status", "source_content_type", F.col("payload_digest").alias("source_payload_digest"), "content_type",
+        "source_status", "source_content_type", "source_http_headers", F.col("payload_digest").alias("source_payload_digest"), "content_type",
         F.octet_length("content").cast("long").alias("content_length"), digest(F.col("content")).alias("block_digest"), "content",
     )
 
@@ -116,6 +148,7 @@ HEADER = (
     ("WARC-Date", "warc_date"),
     ("WARC-Source-Status", "source_status"),
     ("WARC-Source-Content-Type", "source_content_type"),
+    ("WARC-Source-HTTP-Headers", "source_http_headers"),
     ("WARC-Payload-Digest", "source_payload_digest"),
     ("WARC-Block-Digest", "block_digest"),
     ("Content-Type", "content_type"),
@@ -124,13 +157,13 @@ HEADER = (
 
 
 def serialize(records: DataFrame) -> DataFrame:
-    """One column, `value`: each record as WARC/1.1 text. Written with line separator "\\r\\n\\r\\n", part files are WARC files."""
-    head = [F.concat(F.lit(f"{name}: "), F.col(column).cast("string"), F.lit("\r\n")) for name, column in HEADER]
+    """One column, `value`: each record as WARC/1.1 text, the source's headers folded. Written with line separator "\\r\\n\\r\\n", part files are WARC files."""
+    head = [F.concat(F.lit(f"{name}: "), F.replace(F.col(column).cast("string"), F.lit("\r\n"), F.lit("\r\n\t")), F.lit("\r\n")) for name, column in HEADER]
     return records.select(F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("", *head), F.lit("\r\n"), F.col("content")).alias("value"))
 
 
 def parse(values: DataFrame) -> DataFrame:
     """The records of `serialize`, read back."""
     head = F.substring_index("value", "\r\n\r\n", 1)
-    fields = [F.nullif(F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1), F.lit("")).alias(column) for name, column in HEADER]
+    fields = [F.nullif(F.replace(F.regexp_extract(head, rf"\r\n{name}: ((?:[^\r\n]|\r\n\t)*)", 1), F.lit("\r\n\t"), F.lit("\r\n")), F.lit("")).alias(column) for name, column in HEADER]
     return values.select(*fields, F.expr("substring(value, length(substring_index(value, '\r\n\r\n', 1)) + 5)").alias("content")).withColumn("content_length", F.col("content_length").cast("long"))

@@ -1,10 +1,12 @@
 """Edge cases of the operators that are DataFrame operations only: quality rules, mixing, URL filters, WARC derivatives."""
 
 import datetime
+import html
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import warc
 from quern.llm.mixing import entropy_mix, source_targets
@@ -34,6 +36,7 @@ def test_measures_equal_the_plain_way(spark):
     rows = [(i, t, 5, "clash") for i, t in enumerate(TEXTS)] + [(3, "a b c d", 5, "clash"), (None, "a b c d", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, _w string")
     got = measures(df).collect()
+    assert {r["_w"] for r in got} == {"clash", None}
     assert len(got) == len(rows)
     for r in got:
         assert {k: r[k] for k in plain_measures("")} == plain_measures(r["text"]), r["doc_id"]
@@ -153,8 +156,9 @@ def test_as_of(spark):
     assert {(r["pattern"], r["valid_from"], r["valid_to"]) for r in intervals(listed).collect()} == {("bad.com", day(10), day(20)), ("bad.com", day(30), None), ("ok.bad.com", day(12), None), ("fine.org/x", day(0), None)}
     rows = [(1, "http://a.bad.com/", day(9)), (2, "http://a.bad.com/", day(10)), (3, "http://bad.com/", day(20)), (4, "http://bad.com/", day(31)), (5, "http://ok.bad.com/p", day(15)), (6, "http://ok.bad.com/p", day(11)),
             (7, "http://fine.org/x/y", day(5)), (8, "http://fine.org/xy", day(5)), (9, None, day(5)), (10, "http://bad.com/", None), (4, "http://bad.com/", day(31))]
-    captures = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, fetched date, host string")
+    captures = spark.createDataFrame([(*r, "h", 1, 2, 3) for r in rows], "page_id long, url string, fetched date, host string, _u int, _d int, k int")
     got = url_filter(captures, listed).collect()
+    assert {(r["_u"], r["_d"], r["k"]) for r in got} == {(1, 2, 3)}
     assert len(got) == len(rows)
     assert {r["page_id"] for r in got if r["blocked"]} == {2, 4, 6, 7}
     allowed = next(r for r in got if r["page_id"] == 5)
@@ -167,8 +171,8 @@ def test_as_of(spark):
 
 
 def test_round_trip(spark):
-    html = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><p>One <b>two</b><br>three &lt;x&gt;</p>\r\n<a class="l" href="http://x/">link</a></body></html>'
-    pages = spark.createDataFrame([(1, "http://a/", html, 0), (2, None, None, 0), (3, "http://c/", "", 0), (3, "http://c/", "", 0), (None, "http://d/", "<p>" + "word " * 50_000, 0)], "page_id long, url string, html string, record_id int")
+    page = '<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head><body><!-- no --><p>One <b>two</b><br>three &lt;x&gt;</p>\r\n<a class="l" href="http://x/">link</a></body></html>'
+    pages = spark.createDataFrame([(1, "http://a/", page, 0), (2, None, None, 0), (3, "http://c/", "", 0), (3, "http://c/", "", 0), (None, "http://d/", "<p>" + "word " * 50_000, 0)], "page_id long, url string, html string, record_id int")
     records = warc.derive(warc.responses_from_pages(pages))
     rows = records.collect()
     assert len(rows) == 10
@@ -181,3 +185,25 @@ def test_round_trip(spark):
     back = warc.parse(warc.serialize(records)).select(*records.columns).collect()
     assert sorted(map(str, back)) == sorted(map(str, rows))
     assert warc.derive(warc.responses_from_pages(pages.limit(0))).collect() == []
+    head = text["source_http_headers"]
+    assert head.startswith("HTTP/1.1 200 OK\r\n") and head.endswith("\r\n\r\n") and f"Content-Length: {len(page)}\r\n" in head and "X-Cache: " in head
+
+
+def test_references_and_links(spark):
+    raw = ["&copy;&middot; &#8364;&#x1F600;&amp;amp; a&lt;b", "&nosuch; & &; &#; &#xZ; &#0; &#xD800; &#1114112;", "a&b;c", "", "&eacute;", "no;refs&"]
+    got = [r["d"] for r in spark.createDataFrame(list(enumerate(raw)), "i int, x string").select("i", warc.decoded(F.col("x")).alias("d")).orderBy("i").collect()]
+    assert got == [html.unescape(x) for x in raw]
+    page = """<a href="/a?x=1&amp;y=2">1</a><A class=x HREF='/b'>2</A><a id="k" href = /c>3</a><a data-href="/no">4</a><area href="/no"><a\nhref=""></a>"""
+    row = spark.createDataFrame([(page,)], "x string").select(warc.links(F.col("x")).alias("l")).first()
+    assert row["l"] == ["/a?x=1&y=2", "/b", "/c", ""]
+
+
+def test_headers_pass_whole(spark):
+    head = "HTTP/1.0 301 Moved\r\nLOCATION: http://x/\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\ncontent-TYPE:  text/html \r\n\r\n"
+    rows = [("<r1>", "http://a/", "2024-01-01T00:00:00Z", head, "<p>x</p>", "sha1:0"), ("<r2>", "http://b/", "2024-01-01T00:00:00Z", None, None, None)]
+    records = warc.derive(spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string"))
+    got = records.collect()
+    assert {(r["refers_to"], r["source_http_headers"]) for r in got} == {("<r1>", head), ("<r2>", None)}
+    assert {(r["source_status"], r["source_content_type"]) for r in got if r["refers_to"] == "<r1>"} == {("301", "text/html")}
+    back = warc.parse(warc.serialize(records.filter("refers_to = '<r1>'"))).collect()
+    assert {r["source_http_headers"] for r in back} == {head}
