@@ -15,14 +15,14 @@ over the sum of the greater ones, is 0.8 or more.
    all components of a band agree. Each bucket ties its members to its least, and connected
    components of these ties are the candidate groups; no pairs are made.
 3. Members of a group fetch their texts once, and `linked` compares bags exactly within the group, leaving out
-   pairs that are already connected. Groups over CHUNK are dealt out in chunks: first each
+   pairs that are already connected. Groups of more than CHUNK documents or CHUNK_WORDS shingles are dealt out in chunks: first each
    chunk with one common anchor, then what is still apart against the whole group, chunk by chunk.
 4. Connected components of the exact links are the result.
 
 Defined results: a null text counts as an empty one, and a text without words is alike to nothing;
 one to four words make one shingle; rows that agree in doc_id and text are one document and get
 the same answer; a null doc_id is a value that comes after all others; an empty table gives an
-empty result; extra columns do not matter, and `deduplicate` passes them on.
+empty result; ids may be of any type that Spark can order; extra columns of any name do not matter, and `deduplicate` passes them on.
 """
 
 from __future__ import annotations
@@ -32,16 +32,17 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from quern.llm.common import cut, groups_of
+from quern.llm.common import cut, free_names, groups_of
 from quern.llm.components import components
 from quern.llm.shingles import bags, blocks, mix, shingles
 
 BANDS, ROWS = 32, 8
 SIMILARITY = 0.8
-CHUNK = 1000
+CHUNK, CHUNK_WORDS = 1000, 2_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +111,7 @@ def _draw(seed: np.ndarray, step: np.ndarray, width: np.ndarray, time: np.ndarra
 
 
 def signatures(df: DataFrame, text: str, doc_id: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_digest, node, bands): `node` is a digest of the bag, null without words; `bands` has a digest per band."""
+    """(doc_id, text_digest, node, bands, size): `node` is a digest of the bag, null without words; `bands` has a digest per band; `size` counts the bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(bands, dtype=np.uint64) + np.uint64(77))
@@ -128,10 +129,13 @@ def signatures(df: DataFrame, text: str, doc_id: str, bands: int = BANDS, rows:
                     node[full] = mix(np.add.reduceat(mix(digests ^ mix(weights.astype(np.uint64))), starts))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands), pa.array(key.reshape(-1).view(np.int64)))
                 part = batch.slice(block.start, len(block))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64), mask=~full), lists], ["doc_id", "text_digest", "node", "bands"])
+                size = np.bincount(np.repeat(np.arange(len(counts)), counts), weights, len(counts)).astype(np.int64)
+                columns = [part.column(0), part.column(1), pa.array(node.view(np.int64), mask=~full), lists, pa.array(size)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "node", "bands", "size"])
 
-    slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_digest long, node long, bands array<long>")
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
+    schema = StructType([slim.schema["doc_id"]]).add("text_digest", "long").add("node", "long").add("bands", ArrayType(LongType())).add("size", "long")
+    return slim.mapInArrow(run, schema)
 
 
 def linked(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -190,14 +194,14 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     signed = cut(signatures(df, text, doc_id, bands, rows))
     # One member speaks for each class of equal bags.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest"))
-    classes = cut(signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands")))
+    classes = cut(signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     buckets = classes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("band").alias("k"), "least")
     ties = buckets.join(shared, F.col("band") == F.col("k")).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    grouped = components(ties)
-    sized = cut(grouped.join(grouped.groupBy("root").agg(F.count("*").alias("n")), "root").withColumn("chunks", F.ceil(F.col("n") / chunk)))
+    grouped = components(ties).join(classes.select("node", "size"), "node")
+    sized = cut(grouped.join(grouped.groupBy("root").agg(_chunks(chunk).alias("chunks")), "root"))
     speakers = classes.select("node", "first.doc_id", "first.text_digest").join(sized, "node").select(F.col("doc_id").alias("d"), F.col("text_digest").alias("t"), "node", "root", "chunks")
-    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
     bodies = texts.join(speakers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_digest") == F.col("t"))).select("node", "root", "chunks", "text")
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     at = F.when((F.col("node") == F.col("root")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
@@ -215,16 +219,22 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     return out.select("doc_id", "text_digest", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), (alone | mine).alias("kept"))
 
 
+def _chunks(chunk: int) -> Column:
+    """The number of chunks for the documents of a group."""
+    return F.ceil(F.greatest(F.count("*") / chunk, F.sum("size") / (CHUNK_WORDS * chunk / CHUNK)))
+
+
 def _across(wide: DataFrame, labels: DataFrame, texts: DataFrame, speakers: DataFrame, similarity: float, chunk: int) -> DataFrame:
     """Links of groups of several chunks that lie across chunks.
 
     What is not in the largest part of its group so far is compared with the whole group.
     """
-    parts = wide.select("node", F.col("root").alias("grp")).join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = wide.select("node", "size", F.col("root").alias("grp")).join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = parts.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("all"))
-    strays = counts.join(largest, "grp").filter("label <> main").groupBy("grp").agg(F.sum("n").alias("strays"))
-    todo = cut(parts.join(largest, "grp").join(strays, "grp").withColumns({"stray": F.col("label") != F.col("main"), "x": F.ceil(F.col("strays") / chunk), "y": F.ceil(F.col("all") / chunk)}))
+    largest = counts.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+    marked = parts.join(largest, "grp").withColumn("stray", F.col("label") != F.col("main"))
+    strays = marked.filter("stray").groupBy("grp").agg(_chunks(chunk).alias("x"))
+    todo = cut(marked.join(strays, "grp").join(marked.groupBy("grp").agg(_chunks(chunk).alias("y")), "grp"))
     bodies = speakers.select("d", "t", "node").join(todo, "node")
     bodies = texts.join(bodies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_digest") == F.col("t")))
     count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -237,7 +247,8 @@ def _across(wide: DataFrame, labels: DataFrame, texts: DataFrame, speakers: Data
 
 def deduplicate(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `df` that stay: of each class the first document, once."""
-    kept = near_duplicates(df, text, doc_id, **options).filter("kept").select(F.col("doc_id").alias("_d"), F.col("text_digest").alias("_t"))
-    keyed = df.withColumn("_td", F.xxhash64(F.col(text)))
-    out = keyed.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_td") == F.col("_t")), "left_semi")
-    return out.dropDuplicates([doc_id, "_td"]).drop("_td")
+    d, t, own = free_names(df, "d", "t", "digest")
+    kept = near_duplicates(df, text, doc_id, **options).filter("kept").select(F.col("doc_id").alias(d), F.col("text_digest").alias(t))
+    keyed = df.withColumn(own, F.xxhash64(F.col(text)))
+    out = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col(d)) & (F.col(own) == F.col(t)), "left_semi")
+    return out.dropDuplicates([doc_id, own]).drop(own)

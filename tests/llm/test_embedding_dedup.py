@@ -27,8 +27,8 @@ def brute(rows, threshold=0.95):
     return sorted(((k if k is not None else -1, links[i], least.get(find(i), -1)) for i, (k, _) in enumerate(rows)))
 
 
-@pytest.mark.parametrize("chunk", [1024, 60])
-def test_links_and_components(spark, chunk):
+@pytest.mark.parametrize(("chunk", "kind"), [(1024, "double"), (60, "double"), (1024, "float")])
+def test_links_and_components(spark, chunk, kind):
     rng = np.random.default_rng(3)
     rows, k = [], 0
     for _ in range(150):
@@ -40,7 +40,9 @@ def test_links_and_components(spark, chunk):
     rows += [(2000 + i, (hot + 0.04 * rng.standard_normal(16)).tolist()) for i in range(200)]
     rows += [(3000 + i, rows[0][1]) for i in range(5)] + [(3000, rows[0][1]), (None, rows[0][1])]
     rows += [(4000, None), (4001, [0.0] * 16), (4002, [None] + [1.0] * 15), (4003, [float("nan")] * 16), (4004, [float("inf")] * 16), (4005, []), (4006, [1.0, 0.0]), (4007, [2.0, 0.01]), (4008, [0.0] * 16)]
-    df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "vec_id long, embedding array<double>, node int, n string")
+    if kind == "float":
+        rows = [(a, b and [x if x is None else float(np.float32(x)) for x in b]) for a, b in rows]
+    df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], f"vec_id long, embedding array<{kind}>, node int, n string")
     got = near_vectors(df, recall=0.9999, chunk=chunk).collect()
     assert sorted((r["vec_id"] if r["vec_id"] is not None else -1, r["n_links"], r["component_id"] if r["component_id"] is not None else -1) for r in got) == brute(rows)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)

@@ -107,7 +107,7 @@ def test_classes_equal_brute_force(spark, chunk):
     want = {}
     for row, found in brute([r for r in rows if bag(r[1])]).items():
         want[row] = found
-    df = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, node string, root int")
+    df = spark.createDataFrame([(*r, "n", 1, 2, 3) for r in rows], "doc_id long, text string, node string, root int, _d int, _t int")
     got = minhash.near_duplicates(df, chunk=chunk).join(df.selectExpr("doc_id as d", "text", "xxhash64(text) as t").distinct(), F.expr("doc_id <=> d and text_digest = t")).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -119,6 +119,16 @@ def test_classes_equal_brute_force(spark, chunk):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_ids_may_be_strings_and_groups_are_bounded_by_size(spark, monkeypatch):
+    rng = random.Random(4)
+    long = " ".join(str(rng.random()) for _ in range(400))
+    texts = [long + f" end{i} of it" for i in range(12)] + ["another text altogether here now"]
+    rows = [(f"d{i:02}", t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(minhash, "CHUNK_WORDS", 900)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {f"d{i:02}": "d00" if i < 12 else "d12" for i in range(13)}
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(1000, 1100)]
