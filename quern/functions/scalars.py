@@ -207,3 +207,10 @@ def tile_of_path(path: Column) -> Column:
 def elevation(r: Column, g: Column, b: Column) -> Column:
     """Metres of a colour in which elevation tiles are coded."""
     return r * 256.0 + g + b / 256.0 - 32768
+
+
+def key_hash(text: Column) -> Column:
+    """A 32-bit hash of a text, by 31 times the hash so far plus the next UTF-16 unit."""
+    points = F.transform(F.when(text != "", F.split(text, "")).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>"))), lambda c: F.ascii(c).cast("long"))
+    units = F.flatten(F.transform(points, lambda p: F.when(p > 65535, F.array(55296 + F.floor((p - 65536) / 1024), 56320 + (p - 65536) % 1024)).otherwise(F.array(p))))
+    return F.aggregate(units, F.lit(0).cast("long"), lambda a, u: (a * 31 + u) % 4294967296)

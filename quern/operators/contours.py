@@ -33,7 +33,7 @@ def crossings(grid: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def _edge(r, c, down: int):
     col = lambda x: F.col(x) if isinstance(x, str) else x
-    return (col(r) * 100_000 + col(c)) * 2 + down
+    return (col(r) * (1 << 30) + col(c)) * 2 + down
 
 
 def traced(grid: DataFrame, thresholds: DataFrame) -> DataFrame:

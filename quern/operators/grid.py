@@ -6,10 +6,15 @@ Boards are independent, so every operator partitions by board, and neighbours me
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ["board", "r", "c"]
+_ROOT = 2**0.5
 
 
 def quantile_bands(grid: DataFrame, coverage: tuple[float, ...] = (0.5, 0.25, 0.12)) -> DataFrame:
@@ -101,26 +106,57 @@ def smooth(grid: DataFrame, weights: tuple[int, ...], side: int) -> DataFrame:
     return along(across, "r", "total").filter(F.col("seen") == full).select(*CELL, "total")
 
 
+def _board_kernel(grid: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: str, columns: tuple[str, ...] = ("board", "r", "c")) -> DataFrame:
+    """Run a kernel over each board's samples, of which there are at most its cells."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([f(table)])
+
+    return grid.select(*columns).groupBy("board").applyInArrow(run, schema)
+
+
+def _nearer(s: np.ndarray, d: np.ndarray, s2: np.ndarray, d2: np.ndarray) -> None:
+    """Take the steps (s2, d2) where they are fewer than (s, d)."""
+    less = s2 + d2 * _ROOT < s + d * _ROOT
+    s[less], d[less] = s2[less], d2[less]
+
+
+def _along(s: np.ndarray, d: np.ndarray) -> None:
+    """Let straight steps go on along a row, both ways."""
+    place = np.arange(len(s))
+    for way in (1, -1):
+        a, b = s[::way], d[::way]
+        ahead = a + b * _ROOT - place
+        least = np.minimum.accumulate(ahead)
+        source = np.maximum.accumulate(np.where(ahead == least, place, 0))
+        _nearer(a, b, a[source] + place - source, b[source])
+
+
 def octile_distance(grid: DataFrame, side: int) -> DataFrame:
-    """(board, r, c, straight, diagonal): steps from each sample to the nearest absent cell, by octile distance.
+    """(board, r, c, straight, diagonal): steps from each sample to the nearest absent cell or the frame around the board, by octile distance.
 
-    A pass down each row and each column gives every sample the nearest absent cell of each row of its board, so a sample
-    meets `side` candidates, not all absent cells. Distances compare as straight + diagonal * sqrt 2.
+    A board is a kernel's group: two passes over its rows, in which steps come from the row before and go on along the row. Distances compare as
+    straight + diagonal * sqrt 2.
     """
-    lines = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(side).cast("long")))
-    frame = grid.select("board").distinct().select("board", lines.alias("r")).select("board", "r", lines.alias("c"))
-    outside = frame.join(grid, CELL, "left_anti")
-    marked = frame.join(outside.withColumn("out", F.col("c")), CELL, "left")
-    left = Window.partitionBy("board", "r").orderBy("c")
-    right = Window.partitionBy("board", "r").orderBy(F.desc("c"))
-    near = marked.withColumns({"a": F.last("out", True).over(left), "b": F.last("out", True).over(right)})
-    # Horizontal distance to the nearest absent cell of the row, for each row.
-    rows = near.select("board", F.col("r").alias("r2"), "c", F.least(F.col("c") - F.col("a"), F.col("b") - F.col("c")).alias("dx"))
-    pair = grid.select(*CELL).join(rows, ["board", "c"]).withColumn("dy", F.abs(F.col("r") - F.col("r2")))
-    step = F.struct(
-        (F.greatest("dx", "dy") - F.least("dx", "dy") + F.least("dx", "dy") * F.sqrt(F.lit(2.0))).alias("d"), (F.greatest("dx", "dy") - F.least("dx", "dy")).alias("straight"), F.least("dx", "dy").alias("diagonal")
-    )
-    return pair.groupBy(*CELL).agg(F.min(step).alias("m")).select(*CELL, "m.straight", "m.diagonal")
+
+    def passes(table: pa.Table) -> pa.RecordBatch:
+        r, c = (table.column(k).to_numpy().astype(int) for k in ("r", "c"))
+        s = np.zeros((side + 2, side + 2), np.int64)
+        d = np.zeros_like(s)
+        s[r + 1, c + 1] = 4 * side
+        for way in (1, -1):
+            rows_s, rows_d = s[::way], d[::way]
+            _along(rows_s[0], rows_d[0])
+            for k in range(1, side + 2):
+                up_s, up_d, here_s, here_d = rows_s[k - 1], rows_d[k - 1], rows_s[k], rows_d[k]
+                _nearer(here_s, here_d, up_s + 1, up_d)
+                _nearer(here_s[1:], here_d[1:], up_s[:-1], up_d[:-1] + 1)
+                _nearer(here_s[:-1], here_d[:-1], up_s[1:], up_d[1:] + 1)
+                _along(here_s, here_d)
+        found = [table.column(k).combine_chunks().cast(pa.int64()) for k in ("board", "r", "c")]
+        return pa.RecordBatch.from_arrays([*found, pa.array(s[r + 1, c + 1]), pa.array(d[r + 1, c + 1])], ["board", "r", "c", "straight", "diagonal"])
+
+    return _board_kernel(grid, passes, "board long, r long, c long, straight long, diagonal long")
 
 
 def resample(grid: DataFrame, side: int, target: int) -> DataFrame:
@@ -147,26 +183,25 @@ def resample(grid: DataFrame, side: int, target: int) -> DataFrame:
 def water_bodies(grid: DataFrame, side: int) -> DataFrame:
     """(board, body, cells, first): 8-connected bodies of absent cells; bodies are numbered by their first cell in row-major order.
 
-    A board is one small group (at most `side` squared cells), labelled by a union of row runs.
+    A board is a kernel's group: every cell takes the least number of its neighbours and then that cell's own, until nothing changes.
     """
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        wet = {(r, c) for r in range(side) for c in range(side)} - set(zip(pdf["r"], pdf["c"], strict=True))
-        rows, seen = [], set()
-        for cell in sorted(wet):
-            if cell in seen:
-                continue
-            stack, size = [cell], 0
-            seen.add(cell)
-            while stack:
-                y, x = stack.pop()
-                size += 1
-                for n in ((y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
-                    if n in wet and n not in seen:
-                        seen.add(n)
-                        stack.append(n)
-            rows.append((int(pdf["board"].iloc[0]), len(rows), size, cell[0] * side + cell[1]))
-        return pd.DataFrame(rows, columns=["board", "body", "cells", "first"])
-
-    return grid.select(*CELL).groupBy("board").applyInPandas(label, "board long, body long, cells long, first long")
+
+    def label(table: pa.Table) -> pa.RecordBatch:
+        r, c = (table.column(k).to_numpy().astype(int) for k in ("r", "c"))
+        none = side * side
+        number = np.full((side + 2, side + 2), none, np.int64)
+        number[1:-1, 1:-1] = np.arange(none).reshape(side, side)
+        number[r + 1, c + 1] = none
+        wet = number[1:-1, 1:-1] < none
+        while True:
+            near = np.minimum.reduce([number[1 + a : side + 1 + a, 1 + b : side + 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+            flat = np.append(np.where(wet, near, none).reshape(-1), none)
+            flat = flat[flat]
+            if (flat[:-1].reshape(side, side) == number[1:-1, 1:-1]).all():
+                break
+            number[1:-1, 1:-1] = flat[:-1].reshape(side, side)
+        first, cells = np.unique(number[1:-1, 1:-1][wet], return_counts=True)
+        board = np.full(len(first), table.column("board")[0].as_py(), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(board), pa.array(np.arange(len(first))), pa.array(cells.astype(np.int64)), pa.array(first)], ["board", "body", "cells", "first"])
+
+    return _board_kernel(grid, label, "board long, body long, cells long, first long")

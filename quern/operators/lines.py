@@ -35,69 +35,78 @@ def keep_outside(lines: DataFrame, circles: list[tuple[float, float, float]], ke
     """(key, i, t0, t1): the parts of each segment outside all circles.
 
     Segments are cut at every crossing, and a part stays if its middle is outside of every circle. The circles are a
-    short list of the caller's.
+    short list of the caller's. Each step is a projection of its own, so that no term is worked out twice.
     """
+    d = lambda c: F.col(f"s.{c}").cast("double")
     segs = lines.select(key, F.explode(geo.segments(F.col("line"))).alias("s")).filter("s.x <> s.x2 or s.y <> s.y2")
-    s = F.col("s")
-    cuts = [F.when(geo.disk_interval(s, *c).isNotNull(), geo.disk_interval(s, *c)) for c in circles]
-    ts = F.array_sort(F.array_distinct(F.filter(F.array(F.lit(0.0), F.lit(1.0), *[c[k] for c in cuts for k in ("t0", "t1")]), lambda t: t.isNotNull())))
-    cut = segs.withColumn("ts", ts)
-    spans = cut.select(key, "s", F.posexplode(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice(F.col("ts"), F.lit(2), F.size("ts") - 1), lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))).alias("k", "t"))
-    m = (F.col("t.t0") + F.col("t.t1")) / 2
-    mx, my = F.col("s.x") + (F.col("s.x2") - F.col("s.x")) * m, F.col("s.y") + (F.col("s.y2") - F.col("s.y")) * m
+    ends = segs.select(key, F.col("s.i").alias("i"), d("x").alias("x"), d("y").alias("y"), (d("x2") - d("x")).alias("dx"), (d("y2") - d("y")).alias("dy"))
+    ends = ends.withColumn("dd", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    n = range(len(circles))
+    part = lambda name, k: F.col(f"{name}{k}")
+    away = lambda f, g: {f"{f}{k}": g(k, F.col("x") - circles[k][0], F.col("y") - circles[k][1]) for k in n}
+    ends = ends.withColumns(away("fd", lambda k, fx, fy: fx * F.col("dx") + fy * F.col("dy")) | away("ff", lambda k, fx, fy: fx * fx + fy * fy - circles[k][2] ** 2))
+    ends = ends.withColumns({f"disc{k}": part("fd", k) * part("fd", k) - F.col("dd") * part("ff", k) for k in n})
+    ends = ends.withColumns({f"root{k}": F.when(part("disc", k) >= 0, F.sqrt(part("disc", k))) for k in n})
+    ends = ends.withColumns({f"lo{k}": F.greatest(F.lit(0.0), (-part("fd", k) - part("root", k)) / F.col("dd")) for k in n} | {f"hi{k}": F.least(F.lit(1.0), (-part("fd", k) + part("root", k)) / F.col("dd")) for k in n})
+    met = lambda k: part("root", k).isNotNull() & (part("hi", k) >= part("lo", k))
+    cuts = F.array(F.lit(0.0), F.lit(1.0), *[F.when(met(k), part(name, k)) for k in n for name in ("lo", "hi")])
+    cut = ends.withColumn("ts", F.array_sort(F.array_distinct(F.array_compact(cuts)))).select(key, "i", "x", "y", "dx", "dy", "ts")
+    spans = cut.select(key, "i", "x", "y", "dx", "dy", F.posexplode("ts").alias("k", "t0"), "ts").withColumn("t1", F.get(F.col("ts"), F.col("k") + 1)).filter("t1 is not null")
+    m = (F.col("t0") + F.col("t1")) / 2
+    spans = spans.withColumns({"mx": F.col("x") + F.col("dx") * m, "my": F.col("y") + F.col("dy") * m})
     out = F.lit(True)
     for cx, cy, r in circles:
-        out = out & ((mx - cx) * (mx - cx) + (my - cy) * (my - cy) >= r * r)
-    return spans.filter(out).select(key, F.col("s.i").alias("i"), F.col("t.t0").alias("t0"), F.col("t.t1").alias("t1"))
-
+        out = out & ((F.col("mx") - cx) * (F.col("mx") - cx) + (F.col("my") - cy) * (F.col("my") - cy) >= r * r)
+    return spans.filter(out).select(key, "i", "t0", "t1")
 
 
 def crossings(rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
     """(group, a, b): pairs of rings of a group with segments that meet, touching included.
 
-    A uniform grid of `cell` makes it an equi-join: a segment is listed under the cells that its box covers, and segments
-    meet in the cells they share; their pairs are checked exactly and counted once.
+    A uniform grid of `cell` makes it an equi-join: a segment is listed under the cells that its box covers, and a pair of segments
+    whose boxes meet is checked in the first cell that both cover.
     """
-    s = rings.select(group, "id", F.explode(geo.segments(F.col("ring"))).alias("s")).select(group, "id", "s.*")
-    span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
-    celled = s.withColumn("cx", F.explode(span(F.least("x", "x2"), F.greatest("x", "x2")))).withColumn("cy", F.explode(span(F.least("y", "y2"), F.greatest("y", "y2"))))
+    s = rings.select(group, "id", F.explode(geo.segments(F.col("ring"))).alias("s")).select(group, "id", "s.x", "s.y", "s.x2", "s.y2")
+    s = s.withColumns({"lx": F.least("x", "x2"), "hx": F.greatest("x", "x2"), "ly": F.least("y", "y2"), "hy": F.greatest("y", "y2")})
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    celled = s.withColumn("cx", F.explode(span("lx", "hx"))).withColumn("cy", F.explode(span("ly", "hy")))
     a, b = celled.alias("a"), celled.alias("b")
-    both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (group, "cx", "cy")] + [F.col("a.id") < F.col("b.id")])
     c = lambda side, k: F.col(f"{side}.{k}")
+    boxes = (c("a", "lx") <= c("b", "hx")) & (c("b", "lx") <= c("a", "hx")) & (c("a", "ly") <= c("b", "hy")) & (c("b", "ly") <= c("a", "hy"))
+    first = (c("a", "cx") == F.floor(F.greatest(c("a", "lx"), c("b", "lx")) / cell)) & (c("a", "cy") == F.floor(F.greatest(c("a", "ly"), c("b", "ly")) / cell))
+    both = a.join(b, [c("a", k) == c("b", k) for k in (group, "cx", "cy")] + [c("a", "id") < c("b", "id"), boxes, first])
 
     def turn(p: str, q: str, x: str) -> Column:
         """The side of segment p on which vertex x of segment q lies."""
         px, py, qx, qy = c(p, "x"), c(p, "y"), c(q, f"x{x}"), c(q, f"y{x}")
         return F.signum((c(p, "x2") - px) * (qy - py) - (c(p, "y2") - py) * (qx - px))
 
-    def on(p: str, q: str, x: str) -> Column:
-        """Whether vertex x of segment q lies on segment p, if it is on its line."""
-        qx, qy = c(q, f"x{x}"), c(q, f"y{x}")
-        return (turn(p, q, x) == 0) & qx.between(F.least(c(p, "x"), c(p, "x2")), F.greatest(c(p, "x"), c(p, "x2"))) & qy.between(F.least(c(p, "y"), c(p, "y2")), F.greatest(c(p, "y"), c(p, "y2")))
-
-    proper = (turn("a", "b", "") * turn("a", "b", "2") < 0) & (turn("b", "a", "") * turn("b", "a", "2") < 0)
+    turns = {f"{p}{q}{x}": turn(p, q, x) for p, q in (("a", "b"), ("b", "a")) for x in ("", "2")}
+    sided = both.select(c("a", group).alias(group), c("a", "id").alias("a_id"), c("b", "id").alias("b_id"), *(t.alias(k) for k, t in turns.items()), *(F.struct(*(c(p, k) for k in ("x", "y", "x2", "y2", "lx", "hx", "ly", "hy"))).alias(p) for p in "ab"))
+    # A vertex on a segment's line is on the segment if it is in its box.
+    on = lambda p, q, x: (F.col(f"{p}{q}{x}") == 0) & c(q, f"x{x}").between(c(p, "lx"), c(p, "hx")) & c(q, f"y{x}").between(c(p, "ly"), c(p, "hy"))
+    proper = (F.col("ab") * F.col("ab2") < 0) & (F.col("ba") * F.col("ba2") < 0)
     meets = proper | on("a", "b", "") | on("a", "b", "2") | on("b", "a", "") | on("b", "a", "2")
-    return both.filter(meets).select(c("a", group).alias(group), c("a", "id").alias("a"), c("b", "id").alias("b")).distinct()
+    return sided.filter(meets).select(group, F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def nearest_pairs(pairs: DataFrame) -> DataFrame:
-    """The shortest way from a vertex of `ring` to `other` or back, for each row (id, ring, other); the first one on a tie."""
-
-    def ways(of: str, to: str, back: int) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            def way(s: Column, j: Column) -> Column:
-                d = lambda x: x.cast("double")
-                dx, dy = d(s["x2"] - s["x"]), d(s["y2"] - s["y"])
-                t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d(p["x"] - s["x"]) * dx + d(p["y"] - s["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
-                ex, ey = d(p["x"]) - (d(s["x"]) + t * dx), d(p["y"]) - (d(s["y"]) + t * dy)
-                return F.struct((ex * ex + ey * ey).alias("d"), F.lit(back).alias("back"), i.alias("i"), j.alias("j"))
-
-            return F.transform(geo.segments(F.col(to)), way)
+    """The shortest way from a vertex of `ring` to `other` or back, for each row (id, ring, other); the first one on a tie.
 
-        return F.array_min(F.flatten(F.transform(F.slice(F.col(of), 1, F.size(of) - 1), one)))
-
-    best = F.least(ways("ring", "other", 0), ways("other", "ring", 1))
-    return pairs.withColumn("best", best).select("id", F.col("best.back").alias("back"), F.col("best.i").cast("int").alias("vertex"), F.col("best.j").cast("int").alias("segment"), F.sqrt("best.d").alias("distance"))
+    Each vertex becomes a row with the other ring's segments, so that these are made once for a ring, and the ways are combined by a grouped minimum.
+    """
+    own, other = geo.segments(F.col("ring")), geo.segments(F.col("other"))
+    way = lambda back, of, to: F.struct(F.lit(back).alias("back"), of.alias("of"), to.alias("to"))
+    ways = pairs.select("id", F.explode(F.array(way(0, own, other), way(1, other, own))).alias("w"))
+    vertices = ways.select("id", F.col("w.back").alias("back"), F.posexplode("w.of").alias("i", "p"), F.col("w.to").alias("to"))
+    at = vertices.select("id", "back", "i", F.col("p.x").cast("double").alias("px"), F.col("p.y").cast("double").alias("py"), F.posexplode("to").alias("j", "s"))
+    d = lambda c: c.cast("double")
+    at = at.select("id", "back", "i", "j", "px", "py", d(F.col("s.x")).alias("x"), d(F.col("s.y")).alias("y"), d(F.col("s.x2") - F.col("s.x")).alias("dx"), d(F.col("s.y2") - F.col("s.y")).alias("dy"))
+    x, y, dx, dy, px, py = (F.col(k) for k in ("x", "y", "dx", "dy", "px", "py"))
+    at = at.withColumn("t", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x) * dx + (py - y) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0)))
+    at = at.withColumns({"ex": px - (x + F.col("t") * dx), "ey": py - (y + F.col("t") * dy)})
+    best = at.groupBy("id").agg(F.min(F.struct((F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")).alias("d"), "back", "i", "j")).alias("best"))
+    return best.select("id", "best.back", F.col("best.i").alias("vertex"), F.col("best.j").alias("segment"), F.sqrt("best.d").alias("distance"))
 
 
 def interior_points(rings: DataFrame) -> DataFrame:

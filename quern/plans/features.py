@@ -51,35 +51,32 @@ def road_label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LABELS_SQL = f"""{POINTS}, labels AS (
-  SELECT id AS ix, id % 40 AS board, CASE WHEN id % 3 = 0 THEN 'poi' ELSE 'place' END AS kind, list_extract(['city', 'town', 'village', 'hamlet', 'islet', 'other'], (id % 6 + 1)::INT) AS label_class, rank, name,
-    (id * 7919 % 1200)::BIGINT AS x, (id * 104729 % 900)::BIGINT AS y FROM points WHERE id < 2000),
+  SELECT id AS ix, id // 50 AS board, CASE WHEN id % 3 = 0 THEN 'poi' ELSE 'place' END AS kind, list_extract(['city', 'town', 'village', 'hamlet', 'islet', 'other'], (id % 6 + 1)::INT) AS label_class, rank, name,
+    (id * 7919 % 1200)::BIGINT AS x, (id * 104729 % 900)::BIGINT AS y FROM points),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY CASE kind WHEN 'place' THEN 0 ELSE 1 END,
   CASE WHEN kind = 'place' THEN CASE label_class WHEN 'city' THEN 0 WHEN 'town' THEN 1 WHEN 'village' THEN 2 WHEN 'hamlet' THEN 6 WHEN 'islet' THEN 8 ELSE 11 END ELSE 0 END, rank, name, ix) AS place FROM labels)"""
 
 
-def _labels(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = F.array(*map(F.lit, ("city", "town", "village", "hamlet", "islet", "other")))
     i = F.col("id")
     p = points(spark, sf_dir)
-    labels = (p if every else p.filter("id < 2000")).select(
-        i.alias("ix"), (i % 40 if not every else F.floor(i / 50)).alias("board"), F.when(i % 3 == 0, "poi").otherwise("place").alias("kind"), F.element_at(classes, (i % 6 + 1).cast("int")).alias("label_class"),
+    labels = p.select(
+        i.alias("ix"), F.floor(i / 50).alias("board"), F.when(i % 3 == 0, "poi").otherwise("place").alias("kind"), F.element_at(classes, (i % 6 + 1).cast("int")).alias("label_class"),
         "rank", "name", (i * 7919 % 1200).alias("x"), (i * 104729 % 900).alias("y"),
     )
     order = op.label_order(F.col("kind"), F.col("label_class"), F.col("rank"), F.col("name"), F.col("ix"))
     return labels.withColumn("place", F.row_number().over(Window.partitionBy("board").orderBy(*order)))
 
 
-_EVERY_SQL = _LABELS_SQL.replace("id % 40 AS board", "id // 50 AS board").replace(" WHERE id < 2000)", ")")
-
-
-@query("label_priority", f"WITH {_EVERY_SQL} SELECT board, ix, kind, label_class, rank, name, place FROM ordered")
+@query("label_priority", f"WITH {_LABELS_SQL} SELECT board, ix, kind, label_class, rank, name, place FROM ordered")
 def label_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(spark, sf_dir, True).select("board", "ix", "kind", "label_class", "rank", "name", F.col("place").cast("long").alias("place"))
+    return _labels(spark, sf_dir).select("board", "ix", "kind", "label_class", "rank", "name", F.col("place").cast("long").alias("place"))
 
 
 @query(
     "label_placement",
-    f"""WITH RECURSIVE {_EVERY_SQL}, box AS (SELECT *, x - 24 * length(name) // 2 AS a, y - 15 AS b, x + 24 * length(name) // 2 AS c, y + 15 AS d FROM ordered),
+    f"""WITH RECURSIVE {_LABELS_SQL}, box AS (SELECT *, x - 24 * length(name) // 2 AS a, y - 15 AS b, x + 24 * length(name) // 2 AS c, y + 15 AS d FROM ordered),
 fold AS (
   SELECT board, 0::BIGINT AS place, NULL::BIGINT AS ix, '' AS reason, []::STRUCT(a BIGINT, b BIGINT, c BIGINT, d BIGINT, name VARCHAR)[] AS done FROM (SELECT DISTINCT board FROM box)
   UNION ALL
@@ -89,7 +86,7 @@ fold AS (
 SELECT board, ix, reason FROM fold WHERE place > 0""",
 )
 def label_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.place_labels(_labels(spark, sf_dir, True), 1200, 900, 24, 30)
+    return op.place_labels(_labels(spark, sf_dir), 1200, 900, 24, 30)
 
 
 @query("override_join", f"WITH {POINTS}, o AS (SELECT id AS object_id, CASE WHEN id % 2 = 0 THEN lng + 1 END AS lng, CASE WHEN id % 5 = 0 THEN lat - 1 END AS lat FROM points WHERE id % 10 < 6) SELECT p.id AS object_id, coalesce(o.lng, p.lng) AS lng, coalesce(o.lat, p.lat) AS lat, p.name FROM points p LEFT JOIN o ON o.object_id = p.id")

@@ -101,9 +101,11 @@ def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WATER_BODIES = f"""WITH RECURSIVE {GRID}, wet AS (
   SELECT b.board, r, c, r * 64 + c AS id FROM (SELECT DISTINCT board FROM grid) b, range(64) t(r), range(64) u(c)
   WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.board = b.board AND g.r = t.r AND g.c = u.c)
+), near AS MATERIALIZED (
+  SELECT a.board, a.id, b.id AS other FROM wet a, range(-1, 2) y(dy), range(-1, 2) x(dx), wet b WHERE b.board = a.board AND b.r = a.r + dy AND b.c = a.c + dx
 ), reach AS (
   SELECT board, id AS start, id FROM wet
-  UNION SELECT q.board, q.start, n.id FROM reach q JOIN wet n ON n.board = q.board AND abs(n.r - q.id // 64) <= 1 AND abs(n.c - q.id % 64) <= 1
+  UNION SELECT q.board, q.start, n.other FROM reach q JOIN near n ON n.board = q.board AND n.id = q.id
 ), least AS (SELECT board, start, min(id) AS first FROM reach GROUP BY ALL)
 SELECT board, row_number() OVER (PARTITION BY board ORDER BY first) - 1 AS body, count(*) AS cells, first FROM least GROUP BY board, first"""
 

@@ -61,14 +61,17 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(board, r, c, v): elevation samples in whole cents from lineitem, eight boards of 64 x 64 cells; an absent cell is water."""
+    """(board, r, c, v): elevation samples in whole cents from lineitem, boards of 64 x 64 cells; an absent cell is water.
+
+    A board takes a span of 2,048 orders, so the boards grow in number with the table and keep their share of absent cells.
+    """
     return table(spark, sf_dir, "lineitem").groupBy(
-        (F.col("l_suppkey") % 8).alias("board"), (F.col("l_orderkey") % SIDE).alias("r"), (F.col("l_partkey") % SIDE).alias("c")
+        F.floor(F.col("l_orderkey") / 2048).alias("board"), (F.col("l_orderkey") % SIDE).alias("r"), (F.col("l_partkey") % SIDE).alias("c")
     ).agg(F.max(F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("v"))
 
 
 GRID = """grid AS (
-  SELECT l_suppkey % 8 AS board, l_orderkey % 64 AS r, l_partkey % 64 AS c, max(floor(l_extendedprice * 100 + 0.5)::BIGINT) AS v FROM lineitem GROUP BY ALL)"""
+  SELECT l_orderkey // 2048 AS board, l_orderkey % 64 AS r, l_partkey % 64 AS c, max(floor(l_extendedprice * 100 + 0.5)::BIGINT) AS v FROM lineitem GROUP BY ALL)"""
 
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import geometry as geo
 from quern.operators import lines as op
+from quern.operators import spatial as sp
 from quern.plans.lenses import POLYLINES, RINGS, VERTICES, polylines, rings
 from quern.plans.registry import query
 
@@ -31,16 +32,18 @@ def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "point_in_ring",
-    f"""WITH {POLYLINES}, {RINGS}, p AS (SELECT id AS pid, class, floor(line[1].x / 2::DOUBLE)::BIGINT AS x, floor(line[1].y / 2::DOUBLE)::BIGINT AS y FROM polylines WHERE id % 5 = 0),
+    f"""WITH {POLYLINES}, {RINGS}, p AS (SELECT id AS pid, class, floor(line[1].x / 2::DOUBLE)::BIGINT AS x, floor(line[1].y / 2::DOUBLE)::BIGINT AS y FROM polylines),
 h AS (SELECT pid, e.id, count(*) FILTER (WHERE (e.y > p.y) <> (e.y2 > p.y) AND p.x::DOUBLE < (e.x2 - e.x)::DOUBLE * (p.y - e.y)::DOUBLE / nullif((e.y2 - e.y)::DOUBLE, 0) + e.x::DOUBLE) AS n
   FROM p JOIN edges e ON e.class = p.class GROUP BY ALL)
 SELECT pid, count(*) FILTER (WHERE n % 2 = 1) AS inside, count(*) AS rings FROM h GROUP BY pid""",
 )
 def point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda k: F.floor(F.get("line", 0)[k] / 2)
-    points = polylines(spark, sf_dir).filter("id % 5 = 0").select(F.col("id").alias("pid"), F.col("class").alias("k"), half("x").alias("x"), half("y").alias("y"))
-    met = rings(spark, sf_dir).join(points, F.col("class") == F.col("k"))
-    return met.withColumn("hit", geo.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("pid").agg(F.count_if("hit").alias("inside"), F.count("*").alias("rings"))
+    points = polylines(spark, sf_dir).select(F.col("id").alias("pid"), "class", half("x").alias("x"), half("y").alias("y"))
+    r = rings(spark, sf_dir)
+    inside = sp.points_in_rings(points, r, 4000, "class").groupBy(F.col("pid").alias("p")).agg(F.count("*").alias("inside"))
+    counts = r.groupBy(F.col("class").alias("k")).agg(F.count("*").alias("rings"))
+    return points.join(counts, F.col("class") == F.col("k")).join(inside, F.col("pid") == F.col("p"), "left").select("pid", F.coalesce("inside", F.lit(0)).alias("inside"), "rings")
 
 
 @query(
@@ -148,7 +151,7 @@ _MEET = (
 
 @query("crossing_rings", f"WITH {POLYLINES}, {RINGS} SELECT DISTINCT a.id // 8 AS board, a.id AS a, b.id AS b FROM edges a JOIN edges b ON a.id // 8 = b.id // 8 AND a.id < b.id WHERE {_MEET}")
 def crossing_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.crossings(rings(spark, sf_dir).withColumn("board", F.floor(F.col("id") / 8)), 4000)
+    return op.crossings(rings(spark, sf_dir).withColumn("board", F.floor(F.col("id") / 8)), 6000)
 
 
 @query(

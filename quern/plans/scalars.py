@@ -29,13 +29,13 @@ def mercator_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tile_plan",
-    f"""WITH {POINTS}, q AS (SELECT id, (1 << least(14, greatest(5, rank % 18)))::BIGINT AS n, least(14, greatest(5, rank % 18))::INT AS z, lng, greatest(-85.051129::DOUBLE, least(85.051129::DOUBLE, lat)) * pi() / 180 AS phi FROM points WHERE id % 10 < 9),
+    f"""WITH {POINTS}, q AS (SELECT id, (1 << least(14, greatest(5, rank % 18)))::BIGINT AS n, least(14, greatest(5, rank % 18))::INT AS z, lng, greatest(-85.051129::DOUBLE, least(85.051129::DOUBLE, lat)) * pi() / 180 AS phi FROM points),
 t AS (SELECT id, z, n, floor((lng + 180) / 360 * n)::BIGINT AS x, floor({_Y} * n)::BIGINT AS y FROM q)
 SELECT id, z, ((x + dx) % n + n) % n AS x, y + dy AS y FROM t, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE y + dy BETWEEN 0 AND n - 1""",
 )
 def tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tile of each point and the ring of tiles around it; columns wrap, rows end at the poles."""
-    p = points(spark, sf_dir).filter("id % 10 < 9").withColumn("z", sc.tile_zoom(F.col("rank") % 18))
+    p = points(spark, sf_dir).withColumn("z", sc.tile_zoom(F.col("rank") % 18))
     n = F.pow(F.lit(2.0), F.col("z")).cast("long")
     at = p.withColumn("n", n).select("id", "z", "n", F.floor(sc.mercator_x(F.col("lng")) * F.col("n")).alias("x"), F.floor(sc.mercator_y(F.col("lat")) * F.col("n")).alias("y"))
     ring = at.withColumn("x", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1))).withColumn("y", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - 1), F.least(F.col("n") - 1, F.col("y") + 1))))

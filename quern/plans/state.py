@@ -1,4 +1,4 @@
-"""Queries of the time-driven operators on the arrivals lens."""
+"""Queries of the time-driven operators on the arrivals lens: pacing, validity, change and retention of events."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ _HOUR = 3_600_000_000
 
 @query("rate_limiter", f"WITH {ARRIVALS}, n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY t, id) - 1 AS i FROM arrivals) SELECT id, kind, t, i * 60000000 + max(t - i * 60000000) OVER (PARTITION BY kind ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS start FROM n")
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One queue for each provider (the event type), a request a minute."""
+    """Events of each kind spaced out to at most one a minute, in order."""
     return st.rate_limited(arrivals(spark, sf_dir), 60_000_000, "kind").select("id", "kind", "t", "start")
 
 
@@ -91,7 +91,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A folder for a stream's checkpoint and output: in spark.checkpoint.dir, or on this machine if that is all of the cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

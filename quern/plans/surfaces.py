@@ -17,7 +17,7 @@ _CELL = 1000
 
 @query(
     "rasterize_rings",
-    f"""WITH {POLYLINES}, {RINGS}, k AS (SELECT id, generate_series AS r FROM (SELECT id, min(y) AS lo, max(y) AS hi FROM edges WHERE id % 4 = 0 GROUP BY id), generate_series(lo // 1000 - 2, hi // 1000 + 2)),
+    f"""WITH {POLYLINES}, {RINGS}, k AS (SELECT id, generate_series AS r FROM (SELECT id, min(y) AS lo, max(y) AS hi FROM edges GROUP BY id), generate_series(lo // 1000 - 2, hi // 1000 + 2)),
 c AS (SELECT k.id, k.r, (x2 - x)::DOUBLE * ((k.r * 1000 + 500) - y)::DOUBLE / (y2 - y)::DOUBLE + x::DOUBLE AS cx FROM k JOIN edges e ON e.id = k.id AND (e.y > k.r * 1000 + 500) <> (e.y2 > k.r * 1000 + 500)),
 p AS (SELECT *, row_number() OVER o AS n, lead(cx) OVER o AS nx FROM c WINDOW o AS (PARTITION BY id, r ORDER BY cx)),
 s AS (SELECT id, r, ceil((cx - 500) / 1000)::BIGINT AS a, ceil((nx - 500) / 1000)::BIGINT - 1 AS b FROM p WHERE n % 2 = 1)
@@ -27,7 +27,7 @@ def rasterize_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of 1 mm with their centre inside each ring, by row: scanline crossings in order, taken in pairs."""
     from pyspark.sql import Window
 
-    e = rings(spark, sf_dir).filter("id % 4 = 0").select("id", F.explode(geo.segments(F.col("ring"))).alias("s")).select("id", "s.*").filter("y <> y2")
+    e = rings(spark, sf_dir).select("id", F.explode(geo.segments(F.col("ring"))).alias("s")).select("id", "s.*").filter("y <> y2")
     half = _CELL // 2
     rows = F.sequence(F.floor((F.least("y", "y2") - half) / _CELL), F.floor((F.greatest("y", "y2") - half) / _CELL) + 1)
     hit = e.withColumn("r", F.explode(rows)).withColumn("at", F.col("r") * _CELL + half).filter((F.col("y") > F.col("at")) != (F.col("y2") > F.col("at")))
