@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quern.llm import oracles
 from quern.llm.common import table
 from quern.llm.embedding_dedup import near_vectors
@@ -22,6 +21,12 @@ from quern.llm.warc import derive, responses_from_pages
 from quern.llm.quality_rules import MEASURES, STOP_WORDS, quality_rules
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetched", day_of(F.concat(F.lit("fetch"), F.col("page_id").cast("string")), 366))
@@ -86,7 +91,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_url_filters": op1_url_filters,
         "op4_warc_derivatives": op4_warc_derivatives,
         "op2_quality_rules": op2_quality_rules,
