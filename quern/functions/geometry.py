@@ -141,3 +141,46 @@ def chord_interval(s: Column, chord_y: float) -> Column:
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(chord_y) - s["y"].cast("double")) / F.nullif((s["y2"] - s["y"]).cast("double"), F.lit(0.0))))
     pair = lambda x, y: F.struct(x.alias("t0"), y.alias("t1"))
     return F.when(a & b, pair(F.lit(0.0), F.lit(1.0))).when(a, pair(F.lit(0.0), t)).when(b, pair(t, F.lit(1.0)))
+
+
+#: Metres of a degree.
+DEGREE = 111_320
+
+
+def ring_square_metres(ring: Column) -> Column:
+    """Square metres of a ring in degrees: its plane area, narrowed by the latitude of its first vertex."""
+    cross = F.aggregate(segments(ring), F.lit(0.0), lambda a, s: a + (s["x"] * s["y2"] - s["x2"] * s["y"]))
+    return F.abs(cross / 2) * float(DEGREE) * float(DEGREE) * F.cos(F.get(ring, 0)["y"] * F.pi() / 180)
+
+
+def distance_metres(a: Column, b: Column) -> Column:
+    dx, dy = (a["x"] - b["x"]) * F.cos(a["y"] * F.pi() / 180), a["y"] - b["y"]
+    return F.sqrt(dx * dx + dy * dy) * float(DEGREE)
+
+
+def vertex_mean(ring: Column) -> Column:
+    """The mean of a ring's vertices, the closing one left out."""
+    own = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0)))
+    mean = lambda k: F.aggregate(own, F.lit(0.0), lambda a, p: a + p[k]) / F.nullif(F.size(own), F.lit(0))
+    return F.struct(F.coalesce(mean("x"), F.lit(0.0)).alias("x"), F.coalesce(mean("y"), F.lit(0.0)).alias("y"))
+
+
+def area_centre(ring: Column) -> Column:
+    """The centre of a ring's area; its first vertex if it has none."""
+    f = lambda s: (s["x"] * s["y2"] - s["x2"] * s["y"]).cast("double")
+    total = lambda g: F.aggregate(segments(ring), F.lit(0.0), lambda a, s: a + g(s))
+    area = F.nullif(3 * total(f), F.lit(0.0))
+    centre = lambda k: F.coalesce(total(lambda s: (s[k] + s[k + "2"]) * f(s)) / area, F.get(ring, 0)[k].cast("double"))
+    return F.struct(centre("x").alias("x"), centre("y").alias("y"))
+
+
+def extent(ring: Column) -> Column:
+    box = bounds(ring)
+    return F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+
+
+def sampled(ring: Column, most: int) -> Column:
+    """A closed ring's vertices, at even strides if there are more than `most`."""
+    own = F.when(F.size(ring) > 1, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+    stride = F.greatest(F.lit(1), F.ceil(F.size(own) / most)).cast("int")
+    return F.filter(own, lambda p, i: i % stride == 0)
