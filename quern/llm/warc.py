@@ -33,7 +33,8 @@ LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def decoded(text: Column) -> Column:
-    """The text with its character references decoded, each once."""
+    """The text with its character references decoded, each once; &amp; comes last."""
+    rare = rf"&(?!amp;)(?={REFERENCE})"
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
 
     def part(x: Column) -> Column:
@@ -42,12 +43,12 @@ def decoded(text: Column) -> Column:
         point = number.cast("int")
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
         character = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        found = F.when(name.startswith("#"), character).otherwise(F.try_element_at(names, name))
+        # A reference to an ampersand stands as &amp; until the end.
+        found = F.when(name.startswith("#"), F.when(point == 38, "&amp;").otherwise(character)).otherwise(F.try_element_at(names, name))
         return F.coalesce(F.concat(found, F.substr(x, F.length(name) + 2)), F.concat(F.lit("&"), x))
 
-    parts = F.split(text, f"&(?={REFERENCE})")
-    joined = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), part), ""))
-    return F.when(text.contains("&"), joined).otherwise(text)
+    parts = F.transform(F.split(text, rare), lambda x, i: F.when(i == 0, x).otherwise(part(x)))
+    return F.replace(F.array_join(parts, ""), F.lit("&amp;"), F.lit("&"))
 
 
 def plain_text(html: Column) -> Column:
@@ -55,7 +56,7 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     out = F.regexp_replace(F.regexp_replace(out, BLOCKS, "\n"), TAGS, "")
     out = F.regexp_replace(decoded(out), BLANKS, " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
@@ -65,7 +66,8 @@ def title(html: Column) -> Column:
 def links(html: Column) -> Column:
     """The targets of a page's links, in order."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LINK), F.lit(1))
-    return F.transform(found, lambda x: decoded(F.regexp_replace(x, "^[\"']|[\"']$", "")))
+    bare = lambda x: F.when(x.startswith('"') | x.startswith("'"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.transform(found, lambda x: F.when(x.contains("&"), decoded(bare(x))).otherwise(bare(x)))
 
 
 def urn(value: Column) -> Column:
