@@ -13,8 +13,7 @@ repeated unit itself. The offsets of what was cut, in characters of the original
 blanks after it along, and a line that has no word left goes with its line end.
 
 The first occurrences come from a grouped minimum, which is combined before the shuffle, and meet the
-units again in a plain join, so a line that a third of the documents share is a large partition
-that Spark splits, not a group in one task. Each document's text crosses the network once, with the numbers of its units to cut.
+units again in a join whose commonest keys are salted, so a line that a third of the documents share is dealt to many tasks. Each document's text crosses the network once, with the numbers of its units to cut.
 
 Defined results: a null text stays null with nothing removed; a text without words stays as it
 is; rows that agree in doc_id and text are one document and get the same answer; a null doc_id
@@ -32,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from quern.llm.common import free_names
+from quern.llm.common import cut, free_names
 from quern.llm.shingles import blocks, mix, powers, word_digests, word_edges
 
 LEAST = 8
 #: Words on either side that decide whether a phrase ends where there is no mark.
 AROUND = 4
+SALTS = 64
 #: Bytes at the end of a word in which a mark ends a sentence, as quotes and other signs may follow it.
 TAIL = 4
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -158,10 +158,15 @@ def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     """
     found = find_units(df, text, doc_id, least, whole_lines)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest", "number")
-    first = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select(F.col("high").alias("h"), F.col("low").alias("l"), "first")
+    first = cut(found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("high").alias("h"), F.col("low").alias("l"), "first", "n"))
+    # Units with more than a thousandth of all repeats, of which there are fewer than a thousand, meet their first occurrence in SALTS places.
+    common = F.col("n") > max(1000, (first.agg(F.sum("n")).first()[0] or 0) // 1000)
+    salted = first.withColumn("salt", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    hot = F.broadcast(first.filter(common).select(F.col("h").alias("hot_h"), F.col("l").alias("hot_l")))
+    own = F.when(F.col("hot_h").isNotNull(), F.pmod(F.xxhash64("doc_id", "text_digest", "number"), F.lit(SALTS))).otherwise(0).cast("int")
+    found = found.join(hot, (F.col("high") == F.col("hot_h")) & (F.col("low") == F.col("hot_l")), "left").withColumn("own", own).drop("hot_h", "hot_l")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_digest") == F.col("first.text_digest")) & (F.col("number") == F.col("first.number"))
-    gone = found.join(first, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))).filter(~stays)
+    gone = found.join(salted, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("own") == F.col("salt"))).filter(~stays)
     keyed = df.drop("removed")
     d, t, marks = free_names(keyed, "d", "t", "marks")
     # At most the units of one document.

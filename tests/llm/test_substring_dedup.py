@@ -152,3 +152,9 @@ def test_whole_lines_only(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["text"], r["n_removed"], r["removed_chars"]) for r in line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][1], 0, 0), 2: ("Own. shared sentence.\n", 2, 8), 3: (None, 0, 0), 4: ("\n", 2, 8)}
+
+
+def test_a_line_of_very_many_documents_is_cut_from_all_but_the_first(spark):
+    df = spark.range(2500).selectExpr("id AS doc_id", "concat('own line ', id, '\nAll rights reserved') AS text")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup(df).collect()}
+    assert got[0].endswith("reserved") and all(got[i] == f"own line {i}\n" for i in range(1, 2500))
