@@ -6,6 +6,7 @@
    one-for-two exchange from an emptier bin to one at least as full increases the sum of squared fills, so the emptiest
    bins empty. Of the exchanges that an emptier bin can make, the one that leaves the fuller one least room is made. It ends when the bins are as few
    as the tokens allow, or no exchange helps. Bins with the same content are one kind and are exchanged together.
+   One-for-two exchanges are left to the last shard.
 3. Bins that are full are done, but for as many as are underfull. The pieces of these, some percent, are dealt out anew in fewer shards, until one
    shard is left; it also reopens full bins if it has more bins than its tokens need.
 
@@ -103,16 +104,16 @@ def fold(counts: dict[int, int], limit: int) -> Counter[Bin]:
 class Search:
     """Local search over kinds of bins.
 
-    `slots[c]` has the ways to make room for c tokens in an underfull bin: (bin, pieces that leave it) -> the bin's fill. Ways with
-    two leaving pieces are only listed from the time that nothing else helps.
+    `slots[c]` has the ways to make room for c tokens in an underfull bin: (bin, the piece that leaves it, if any) -> the bin's fill. Ways with
+    two leaving pieces are many, so they are not listed but looked for once nothing else helps, if `pairs` says so.
     """
 
-    def __init__(self, kinds: dict[Bin, int], limit: int):
-        self.limit = limit
+    def __init__(self, kinds: dict[Bin, int], limit: int, pairs: bool = True):
+        self.limit, self.pairs = limit, pairs
         self.full: Counter[Bin] = Counter()
         self.under: dict[Bin, int] = {}
         self.slots: defaultdict[int, dict] = defaultdict(dict)
-        self.pair_slots: defaultdict[int, dict] | None = None
+        self.sums: dict[Bin, np.ndarray] = {}  # of two pieces, for the bins that were looked at
         self.rooms: list[int] = []  # the keys of `slots` in order
         self.queue: list[tuple[int, Bin]] = []
         self.bins = 0
@@ -136,8 +137,6 @@ class Search:
                 if not at:
                     insort(self.rooms, self.limit - fill + sum(out))
                 at[kind, out] = fill
-            if self.pair_slots is not None:
-                self._list_pairs(kind, fill)
 
     def take(self, kind: Bin, n: int) -> None:
         self.bins -= n
@@ -145,24 +144,18 @@ class Search:
         if self.under[kind]:
             return
         del self.under[kind]
+        self.sums.pop(kind, None)
         free = self.limit - sum(kind)
         for out in self._leave(kind):
             at = self.slots[free + sum(out)]
             del at[kind, out]
             if not at:
                 del self.rooms[bisect_left(self.rooms, free + sum(out))]
-        if self.pair_slots is not None:
-            for out in set(combinations(kind, 2)):
-                del self.pair_slots[free + sum(out)][kind, out]
 
     @staticmethod
     def _leave(kind: Bin) -> list[Bin]:
         return [(), *((x,) for x in set(kind))]
 
-    def _list_pairs(self, kind: Bin, fill: int) -> None:
-        for out in set(combinations(kind, 2)):
-            self.pair_slots[self.limit - fill + sum(out)][kind, out] = fill
-
     def find(self, low: Bin) -> tuple[Bin, Bin, Bin] | None:
         """What to exchange between `low` and a bin at least as full: (given, the bin, taken)."""
         fill, alone = sum(low), self.under[low] == 1
@@ -184,15 +177,23 @@ class Search:
                     return best[1:]
             if best:
                 return best[1:]
-        if self.pair_slots is None:
-            self.pair_slots = defaultdict(dict)
-            for kind in self.under:
-                self._list_pairs(kind, sum(kind))
-        for x in sorted(set(low), reverse=True):
-            for room in range(x, x + most):
-                for (kind, out), f in self.pair_slots.get(room, {}).items():
-                    if sum(out) < x and f >= fill and (kind != low or not alone):
-                        return (x,), kind, out
+        return self._two_leave(low) if self.pairs else None
+
+    def _two_leave(self, low: Bin) -> tuple[Bin, Bin, Bin] | None:
+        """One piece of `low` for two of a bin at least as full."""
+        own, fill = np.unique(low), sum(low)
+        for kind, n in self.under.items():
+            if len(kind) < 2 or sum(kind) < fill or (kind == low and n == 1):
+                continue
+            if kind not in self.sums:
+                self.sums[kind] = np.unique([a + b for a, b in set(combinations(kind, 2))])
+            sums = self.sums[kind]
+            # The largest sum below each of the low bin's pieces.
+            at = np.searchsorted(sums, own) - 1
+            fits = (at >= 0) & (own - sums[at] <= self.limit - sum(kind))
+            if fits.any():
+                k = int(fits.argmax())
+                return (int(own[k]),), kind, next(p for p in combinations(kind, 2) if sum(p) == sums[at[k]])
         return None
 
     def exchange(self, low: Bin, give: Bin, high: Bin, out: Bin) -> None:
@@ -247,9 +248,9 @@ def lengths_of(kinds: dict[Bin, int]) -> Counter[int]:
     return out
 
 
-def pack_lengths(counts: dict[int, int], limit: int = LIMIT, reopenings: int = 0) -> Counter[Bin]:
+def pack_lengths(counts: dict[int, int], limit: int = LIMIT, reopenings: int = 0, pairs: bool = True) -> Counter[Bin]:
     """A packing of {length: pieces} as {bin: how many}."""
-    kinds = Search(fold(counts, limit), limit).run()
+    kinds = Search(fold(counts, limit), limit, pairs).run()
     least = fewest(kinds, limit)
     for turn in range(reopenings):
         if sum(kinds.values()) <= least:
@@ -284,7 +285,7 @@ def place(lengths: np.ndarray, limit: int, reopenings: int) -> tuple[np.ndarray,
     values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
     following = dict(zip(values.tolist(), first.tolist(), strict=True))
     ids, offsets, done = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
-    kinds = pack_lengths(dict(zip(values.tolist(), n.tolist(), strict=True)), limit, reopenings)
+    kinds = pack_lengths(dict(zip(values.tolist(), n.tolist(), strict=True)), limit, reopenings, reopenings > 0)
     number, along = 0, sum(bins for kind, bins in kinds.items() if sum(kind) < limit)
     for kind, bins in sorted(kinds.items(), key=lambda x: (-len(x[0]), x)):
         offset, full = 0, sum(kind) == limit
