@@ -61,12 +61,28 @@ def keep_outside(lines: DataFrame, circles: list[tuple[float, float, float]], ke
 
 
 def crossings(rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
-    """(group, a, b): pairs of rings of a group with segments that meet, touching included.
+    """(group, a, b): pairs of rings of a group with segments that meet, touching included."""
+    s = rings.select(F.col(group).alias("group"), "id", F.explode(geo.segments(F.col("ring"))).alias("s")).select("group", "id", "s.i", "s.x", "s.y", "s.x2", "s.y2")
+    met = _meeting(s, cell, F.col("a.id") < F.col("b.id"))
+    return met.select(F.col("a.group").alias(group), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def self_crossings(rings: DataFrame, cell: int) -> DataFrame:
+    """(id, crossings, x, y): rings with edges that meet though they aren't neighbours, and the middle between the first two's starts."""
+    s = rings.select("id", F.size("ring").alias("n"), F.explode(geo.segments(F.col("ring"))).alias("s")).select(F.col("id").alias("group"), "n", "s.i", "s.x", "s.y", "s.x2", "s.y2")
+    apart = (F.col("b.i") > F.col("a.i") + 1) & ~((F.col("a.i") == 1) & (F.col("b.i") == F.col("a.n") - 1))
+    met = _meeting(s, cell, apart)
+    middle = lambda k: (F.col(f"a.{k}") + F.col(f"b.{k}")) / 2
+    first = F.min(F.struct(F.col("a.i").alias("i"), F.col("b.i").alias("j"), middle("x").alias("x"), middle("y").alias("y")))
+    return met.groupBy(F.col("a.group").alias("id")).agg(F.count("*").alias("crossings"), first.alias("f")).select("id", "crossings", "f.x", "f.y")
+
+
+def _meeting(s: DataFrame, cell: int, pairs: Column) -> DataFrame:
+    """(a, b): pairs of segments (group, x, y, x2, y2, ..) of a group that meet, of those for which `pairs` holds.
 
     A uniform grid of `cell` makes it an equi-join: a segment is listed under the cells that its box covers, and a pair of segments
     whose boxes meet is checked in the first cell that both cover.
     """
-    s = rings.select(group, "id", F.explode(geo.segments(F.col("ring"))).alias("s")).select(group, "id", "s.x", "s.y", "s.x2", "s.y2")
     s = s.withColumns({"lx": F.least("x", "x2"), "hx": F.greatest("x", "x2"), "ly": F.least("y", "y2"), "hy": F.greatest("y", "y2")})
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     celled = s.withColumn("cx", F.explode(span("lx", "hx"))).withColumn("cy", F.explode(span("ly", "hy")))
@@ -74,7 +90,7 @@ def crossings(rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
     c = lambda side, k: F.col(f"{side}.{k}")
     boxes = (c("a", "lx") <= c("b", "hx")) & (c("b", "lx") <= c("a", "hx")) & (c("a", "ly") <= c("b", "hy")) & (c("b", "ly") <= c("a", "hy"))
     first = (c("a", "cx") == F.floor(F.greatest(c("a", "lx"), c("b", "lx")) / cell)) & (c("a", "cy") == F.floor(F.greatest(c("a", "ly"), c("b", "ly")) / cell))
-    both = a.join(b, [c("a", k) == c("b", k) for k in (group, "cx", "cy")] + [c("a", "id") < c("b", "id"), boxes, first])
+    both = a.join(b, [c("a", k) == c("b", k) for k in ("group", "cx", "cy")] + [pairs, boxes, first])
 
     def turn(p: str, q: str, x: str) -> Column:
         """The side of segment p on which vertex x of segment q lies."""
@@ -82,12 +98,12 @@ def crossings(rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
         return F.signum((c(p, "x2") - px) * (qy - py) - (c(p, "y2") - py) * (qx - px))
 
     turns = {f"{p}{q}{x}": turn(p, q, x) for p, q in (("a", "b"), ("b", "a")) for x in ("", "2")}
-    sided = both.select(c("a", group).alias(group), c("a", "id").alias("a_id"), c("b", "id").alias("b_id"), *(t.alias(k) for k, t in turns.items()), *(F.struct(*(c(p, k) for k in ("x", "y", "x2", "y2", "lx", "hx", "ly", "hy"))).alias(p) for p in "ab"))
+    sided = both.select(*(F.struct(*(c(p, k) for k in s.columns)).alias(p) for p in "ab"), *(t.alias(k) for k, t in turns.items()))
     # A vertex on a segment's line is on the segment if it is in its box.
     on = lambda p, q, x: (F.col(f"{p}{q}{x}") == 0) & c(q, f"x{x}").between(c(p, "lx"), c(p, "hx")) & c(q, f"y{x}").between(c(p, "ly"), c(p, "hy"))
     proper = (F.col("ab") * F.col("ab2") < 0) & (F.col("ba") * F.col("ba2") < 0)
     meets = proper | on("a", "b", "") | on("a", "b", "2") | on("b", "a", "") | on("b", "a", "2")
-    return sided.filter(meets).select(group, F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return sided.filter(meets).select("a", "b")
 
 
 def nearest_pairs(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 A polygon set is an array of closed rings of (x, y) in micrometres, even-odd. The kernel cuts the plane into
 slabs at every vertex and crossing; inside a slab edges don't meet, so the set is a row of
 trapezoids there, and a Boolean of two sets is decided trapezoid by trapezoid. Areas are exact up to rounding of the crossings.
+The trapezoids' sides are then stitched to rings in whole micrometres, outer ones counter-clockwise and holes clockwise (as y goes up), so a result is
+a polygon set again: kernels can be chained, and results written out.
 Rows are independent; each holds the rings of one feature, which the capture limits bound.
 """
 
@@ -15,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 RINGS = "array<array<struct<x: long, y: long>>>"
+_RINGS = ArrayType(ArrayType(StructType().add("x", LongType()).add("y", LongType())))
 OPERATIONS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
     "union": lambda a, b: a | b,
     "intersection": lambda a, b: a & b,
@@ -35,16 +39,20 @@ def edges_of(rings: list) -> np.ndarray:
 def _levels(e: np.ndarray) -> np.ndarray:
     """The heights of all vertices and crossings."""
     ys = [e[:, 1], e[:, 3]]
+    low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    order = np.argsort(low, kind="stable")
+    e, low, high = e[order], low[order], high[order]
     d = e[:, 2:] - e[:, :2]
-    for k in range(0, len(e), 256):
-        a, da = e[k : k + 256, None, :], d[k : k + 256, None, :]
-        cross = da[..., 0] * d[None, :, 1] - da[..., 1] * d[None, :, 0]
+    for k in range(0, len(e), 128):
+        # Edges from here on that begin below the block's top; the ones before have met the block already.
+        stop = int(np.searchsorted(low, high[k : k + 128].max(), "right"))
+        a, da, b, db = e[k : k + 128, None, :], d[k : k + 128, None, :], e[None, k:stop], d[None, k:stop]
+        cross = da[..., 0] * db[..., 1] - da[..., 1] * db[..., 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            rx, ry = e[None, :, 0] - a[..., 0], e[None, :, 1] - a[..., 1]
-            t = (rx * d[None, :, 1] - ry * d[None, :, 0]) / cross
+            rx, ry = b[..., 0] - a[..., 0], b[..., 1] - a[..., 1]
+            t = (rx * db[..., 1] - ry * db[..., 0]) / cross
             u = (rx * da[..., 1] - ry * da[..., 0]) / cross
-        hit = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        i, j = np.nonzero(hit)
+        i, j = np.nonzero((cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
         ys.append(a[i, 0, 1] + t[i, j] * da[i, 0, 1])
     return np.unique(np.round(np.concatenate(ys), 6))
 
@@ -91,6 +99,90 @@ def area(t: np.ndarray) -> float:
     return float(((t[:, 1] - t[:, 0]) * ((t[:, 4] - t[:, 2]) + (t[:, 5] - t[:, 3])) / 2).sum())
 
 
+#: Thousandths of a micrometre within which places on a level are one.
+_SNAP = 5
+
+
+def rings_of(t: np.ndarray) -> list[np.ndarray]:
+    """The rings around trapezoids, closed, in whole micrometres."""
+    if not len(t):
+        return []
+    t = np.round(t * 1000).astype(np.int64)
+    t = t[t[:, 0] < t[:, 1]]
+    y0, y1, l0, l1, r0, r1 = t.T
+    # Edges that cross on a level come to almost the same place on it.
+    at, x = np.concatenate([y0, y1, y0, y1]), np.concatenate([l0, l1, r0, r1])
+    order = np.lexsort((x, at))
+    fresh = np.append(True, (np.diff(at[order]) != 0) | (np.diff(x[order]) > _SNAP))
+    x[order] = x[order][np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0))]
+    l0, l1, r0, r1 = x.reshape(4, -1)
+    sides = [np.column_stack([l1, y1, l0, y0]), np.column_stack([r0, y0, r1, y1])]
+    # Along each level, what lies above it and what lies below, from left to right.
+    n = len(t)
+    at, x = np.concatenate([y0, y0, y1, y1]), np.concatenate([l0, r0, l1, r1])
+    up, down = np.repeat([1, -1, 0, 0], n), np.repeat([0, 0, 1, -1], n)
+    order = np.lexsort((x, at))
+    at, x, up, down = at[order], x[order], np.cumsum(up[order]) > 0, np.cumsum(down[order]) > 0
+    gap = (at[1:] == at[:-1]) & (x[1:] > x[:-1])
+    for here, back in (((up & ~down)[:-1] & gap, False), ((down & ~up)[:-1] & gap, True)):
+        a, b = np.column_stack([x[:-1], at[:-1]])[here], np.column_stack([x[1:], at[1:]])[here]
+        sides.append(np.concatenate([b, a] if back else [a, b], axis=1))
+    e = np.concatenate(sides)
+    e = e[(e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])]
+    _, node = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0, return_inverse=True)
+    start, end = node.reshape(-1)[: len(e)], node.reshape(-1)[len(e) :]
+    # Where two trapezoids share a side it is no edge.
+    real = ~np.isin(start * len(node) + end, end * len(node) + start)
+    e, start, end = e[real], start[real], end[real]
+    out = np.argsort(start, kind="stable")
+    first, last = np.searchsorted(start[out], end), np.searchsorted(start[out], end, "right")
+    follow = np.where(last > first, out[np.minimum(first, len(e) - 1)], -1)
+    angle = np.arctan2((e[:, 3] - e[:, 1]).astype(float), (e[:, 2] - e[:, 0]).astype(float))
+    for k in np.flatnonzero(last - first > 1):
+        # Where rings touch, the next side is the first one clockwise from the way back, so they stay apart.
+        ways = out[first[k] : last[k]]
+        turn = (angle[k] + np.pi - angle[ways]) % (2 * np.pi)
+        follow[k] = ways[np.argmin(np.where(turn < 1e-12, 2 * np.pi, turn))]
+    used = np.zeros(len(e), bool)
+    found = []
+    for k in range(len(e)):
+        path = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            path.append(k)
+            k = follow[k]
+        if len(path) > 2:
+            ring = _straightened(e[path, :2] / 1000.0)
+            if len(ring) > 3:
+                found.append(ring)
+    return found
+
+
+def _straightened(p: np.ndarray) -> np.ndarray:
+    """A ring in whole micrometres without the vertices that slabs have put on its edges."""
+    kept: list[np.ndarray] = []
+    for v in [*p, p[0], p[1]]:
+        while len(kept) > 1 and _between(kept[-2], kept[-1], v):
+            kept.pop()
+        kept.append(v)
+    ring = np.round(np.array(kept[1:]))
+    if len(ring) > 1:
+        ring = ring[np.append(True, (ring[1:] != ring[:-1]).any(axis=1))]
+    ring = np.concatenate([ring, ring[:1]]) if len(ring) and (ring[0] != ring[-1]).any() else ring
+    return ring if len(ring) > 3 and signed_area(ring) else ring[:0]
+
+
+def _between(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bool:
+    d, q = c - a, b - a
+    length = float(np.hypot(*d))
+    return length > 0 and abs(d[0] * q[1] - d[1] * q[0]) <= 0.003 * length and 0 <= d @ q <= length * length
+
+
+def signed_area(ring: np.ndarray) -> float:
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+
+
 def circle(radius: float, tolerance: float) -> np.ndarray:
     """A closed polygon about a circle's centre, off the circle by the tolerance at most."""
     n = min(2048, max(12, ceil(pi / acos(max(-1.0, 1 - tolerance / radius)))))
@@ -98,19 +190,35 @@ def circle(radius: float, tolerance: float) -> np.ndarray:
     return radius * np.column_stack([np.cos(k), np.sin(k)])
 
 
-def band(rings: list, radius: float, tolerance: float) -> np.ndarray:
-    """The edges of a stroke of half-width `radius` along rings: a box for each edge and a circle for each vertex, all turning the same way."""
+def band(lines: list, radius: float, tolerance: float) -> np.ndarray:
+    """The edges of a stroke of half-width `radius` along lines or rings: a box for each edge and a circle for each vertex, all turning the same way."""
     cap = circle(radius, tolerance)
     out = [np.zeros((0, 4))]
-    for ring in rings:
-        p = np.asarray(ring, float).reshape(-1, 2)
-        out += [edges_of([cap + v]) for v in p[:-1]]
-        for a, b in zip(p[:-1], p[1:], strict=True):
-            length = np.hypot(*(b - a))
-            if length:
-                n = np.array([a[1] - b[1], b[0] - a[0]]) / length * radius
-                out.append(edges_of([[a - n, b - n, b + n, a + n, a - n]]))
-    return np.concatenate(out)
+    for line in lines:
+        p = np.asarray(line, float).reshape(-1, 2)
+        if not len(p):
+            continue
+        ends = p if len(p) == 1 or (p[0] != p[-1]).any() else p[:-1]
+        around = (cap[None] + ends[:, None]).round(6)
+        out.append(np.concatenate([around[:, :-1], around[:, 1:]], axis=2).reshape(-1, 4))
+        a, b = p[:-1], p[1:]
+        length = np.hypot(*(b - a).T)
+        a, b, length = a[length > 0], b[length > 0], length[length > 0]
+        n = np.column_stack([a[:, 1] - b[:, 1], b[:, 0] - a[:, 0]]) / length[:, None] * radius
+        box = np.stack([a - n, b - n, b + n, a + n, a - n], axis=1)
+        out.append(np.concatenate([box[:, :-1], box[:, 1:]], axis=2).reshape(-1, 4))
+    e = np.concatenate(out)
+    return e[e[:, 1] != e[:, 3]]
+
+
+def stroke(lines: list, radius: float, tolerance: float = 20.0) -> np.ndarray:
+    """Trapezoids of a stroke along lines."""
+    return trapezoids([band(lines, radius, tolerance)], lambda a: a, wound=(0,))
+
+
+def union(sets: list) -> np.ndarray:
+    """Trapezoids of the union of polygon sets."""
+    return trapezoids([edges_of(s) for s in sets], lambda *inside: np.logical_or.reduce(inside))
 
 
 def offset(rings: list, distance: float, tolerance: float = 20.0) -> np.ndarray:
@@ -123,36 +231,66 @@ def offset(rings: list, distance: float, tolerance: float = 20.0) -> np.ndarray:
     return trapezoids([own, stroke], lambda a, b: a & ~b, wound=(1,))
 
 
-def _pairs(value) -> list:
-    return [[(p["x"], p["y"]) for p in ring] for ring in value or []]
-
+def ring_sets(column: pa.Array) -> list[list[np.ndarray]]:
+    """For each row its rings (or lines) as arrays of (x, y); a null has none, and rings with missing coordinates are left out."""
+    rings = column.values
+    points = rings.values
+    xy = np.column_stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")])
+    ends, rows = rings.offsets.to_numpy(), column.offsets.to_numpy()
+    out = []
+    for known, a, b in zip(column.is_valid().to_pylist(), rows[:-1], rows[1:], strict=True):
+        found = [xy[ends[k] : ends[k + 1]] for k in range(a, b)] if known else []
+        out.append([r for r in found if np.isfinite(r).all()])
+    return out
 
-def _rows(t: np.ndarray) -> list[dict]:
-    return [dict(zip(("y0", "y1", "left0", "left1", "right0", "right1"), map(float, r), strict=True)) for r in t]
 
+def _lists(rows: list[list[np.ndarray]]) -> pa.Array:
+    """Rings of (x, y) as an Arrow column."""
+    rings = [r for row in rows for r in row]
+    xy = np.concatenate([np.zeros((0, 2)), *rings]).astype(np.int64)
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32)
+    sizes = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), points))
 
-_SHAPE = "array<struct<y0: double, y1: double, left0: double, left1: double, right0: double, right1: double>>"
 
-
-def _kernel(df: DataFrame, inputs: list[str], f: Callable[..., np.ndarray]) -> DataFrame:
-    """Append `area` and `shape` (trapezoids) of a kernel over columns of rings."""
-    names = [c for c in df.columns if c not in ("area", "shape")]
-    places = [names.index(c) for c in inputs]
-    kind = pa.list_(pa.struct([(k, pa.float64()) for k in ("y0", "y1", "left0", "left1", "right0", "right1")]))
+def _kernel(df: DataFrame, inputs: list[str], f: Callable[..., np.ndarray], result: str = "rings") -> DataFrame:
+    """Append `area` and `result`, the rings of a kernel over columns of rings and of numbers."""
+    names = [c for c in df.columns if c not in ("area", result)]
+    every = df.select(*names, *(F.col(c).alias(f"_{k}") for k, c in enumerate(inputs)))
+    schema = StructType(df.select(*names).schema.fields).add("area", "double").add(result, _RINGS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [f(*x) for x in zip(*(batch.column(p).to_pylist() for p in places), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([area(t) for t in made], pa.float64()), pa.array([_rows(t) for t in made], kind)], [*names, "area", "shape"])
+            given = [batch.column(len(names) + k) for k in range(len(inputs))]
+            made = [f(*x) for x in zip(*(ring_sets(c) if pa.types.is_list(c.type) else c.to_pylist() for c in given), strict=True)]
+            columns = [batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([area(t) for t in made], pa.float64()), _lists([rings_of(t) for t in made])], [*names, "area", result])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + f", area double, shape {_SHAPE}"
-    return df.select(*names).mapInArrow(run, schema)
+    return every.mapInArrow(run, schema)
 
 
-def boolean(df: DataFrame, a: str, b: str, operation: str) -> DataFrame:
-    """Append area and shape of a Boolean of two columns of rings."""
+def boolean(df: DataFrame, a: str, b: str, operation: str, result: str = "rings") -> DataFrame:
+    """Append area and rings of a Boolean of two columns of rings."""
     keep = OPERATIONS[operation]
-    return _kernel(df, [a, b], lambda x, y: trapezoids([edges_of(_pairs(x)), edges_of(_pairs(y))], keep))
+    return _kernel(df, [a, b], lambda x, y: trapezoids([edges_of(x), edges_of(y)], keep), result)
+
+
+def normalized(df: DataFrame, rings: str, result: str = "rings") -> DataFrame:
+    """Append area and rings of an even-odd set: rings that don't cross themselves or each other, turned outwards and inwards."""
+    return _kernel(df, [rings], lambda x: trapezoids([edges_of(x)], lambda a: a), result)
+
+
+def union_all(df: DataFrame, rings: str, key: list[str], result: str = "rings") -> DataFrame:
+    """(key, area, rings): the union of each group's sets, each even-odd on its own. A group is one feature's or board's, which the capture limits bound."""
+    schema = StructType([df.schema[k] for k in key]).add("area", "double").add(result, _RINGS)
+
+    def join(table: pa.Table) -> pa.Table:
+        sets = [s for chunk in table.column(rings).chunks for s in ring_sets(chunk)]
+        t = union(sets)
+        return pa.table([*(table.column(k).slice(0, 1).combine_chunks() for k in key), pa.array([area(t)]), _lists([rings_of(t)])], [*key, "area", result])
+
+    return df.select(*key, rings).groupBy(*key).applyInArrow(join, schema)
 
 
 def boolean_areas(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -163,37 +301,31 @@ def boolean_areas(df: DataFrame, a: str, b: str) -> DataFrame:
     names = [c for c in df.columns if c not in OPERATIONS]
     places = [names.index(c) for c in (a, b)]
 
-    def one(x, y) -> tuple[float, ...]:
-        left, right = edges_of(_pairs(x)), edges_of(_pairs(y))
+    def one(x: list, y: list) -> tuple[float, ...]:
+        left, right = edges_of(x), edges_of(y)
         own, other = (area(trapezoids([e], lambda i: i)) for e in (left, right))
         both = area(trapezoids([left, right], OPERATIONS["intersection"]))
         return own + other - both, both, own - both, own + other - 2 * both
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [one(*x) for x in zip(*(batch.column(p).to_pylist() for p in places), strict=True)]
+            made = [one(*x) for x in zip(*(ring_sets(batch.column(p)) for p in places), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in made], pa.float64()) for k in range(4))], [*names, *OPERATIONS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + "".join(f", `{k}` double" for k in OPERATIONS)
+    schema = StructType(df.select(*names).schema.fields)
+    for k in OPERATIONS:
+        schema = schema.add(k, "double")
     return df.select(*names).mapInArrow(run, schema)
 
 
-def buffered(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0) -> DataFrame:
-    return _kernel(df, [rings], lambda x: offset(_pairs(x), distance, tolerance))
+def buffered(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0, result: str = "rings") -> DataFrame:
+    """Append area and rings of a set grown or shrunk by a distance."""
+    return _kernel(df, [rings], lambda x: offset(x, distance, tolerance), result)
 
 
-def buffer_areas(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0) -> DataFrame:
-    """Append `area` and `parts` (the number of trapezoids) of an offset, without its shape."""
-    names = [c for c in df.columns if c not in ("area", "parts")]
-    place = names.index(rings)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [(area(t), len(t)) for t in (offset(_pairs(x), distance, tolerance) for x in batch.column(place).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([m[0] for m in made], pa.float64()), pa.array([m[1] for m in made], pa.int32())], [*names, "area", "parts"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema) + ", area double, parts int"
-    return df.select(*names).mapInArrow(run, schema)
+def stroked(df: DataFrame, lines: str, half_width: str, tolerance: float = 20.0, result: str = "rings") -> DataFrame:
+    """Append area and rings of strokes along a column of lines, of the half-width in another."""
+    return _kernel(df, [lines, half_width], lambda x, r: stroke(x, r, tolerance), result)
 
 
 def islands(shapes: DataFrame, least: float, rings: str = "rings") -> DataFrame:

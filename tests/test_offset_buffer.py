@@ -33,4 +33,4 @@ def test_every_ring_counts_whole(spark, tmp_path):
         for name, d in (("grown", 500.0), ("shrunk", -500.0)):
             want = sampled(ring, d)
             assert abs(got[i][name] - want) < 0.01 * sampled(ring, 500.0)
-        assert got[i]["parts"] > 0
+        assert got[i]["outlines"] > 0

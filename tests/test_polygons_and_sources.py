@@ -43,6 +43,51 @@ def test_holes_and_offsets():
     assert poly.area(poly.offset([square(0, 0, 10)], -20)) == 0
 
 
+def outline(rings):
+    return sum(np.hypot(*np.diff(r, axis=0).T).sum() for r in rings)
+
+
+@pytest.mark.parametrize("name", list(poly.OPERATIONS))
+def test_rings_enclose_what_the_trapezoids_cover(name):
+    rng = np.random.default_rng(len(name))
+    for _ in range(25):
+        a, b = ([np.vstack([p, p[:1]])] for p in (np.round(rng.uniform(-15000, 15000, (n, 2))) for n in rng.integers(3, 30, 2)))
+        t = poly.trapezoids([poly.edges_of(a), poly.edges_of(b)], poly.OPERATIONS[name])
+        rings = poly.rings_of(t)
+        assert all((r[0] == r[-1]).all() and len(r) > 3 for r in rings)
+        # Vertices are rounded to whole micrometres.
+        slack = outline(rings) + 1
+        assert abs(sum(map(poly.signed_area, rings)) - poly.area(t)) < slack
+        assert abs(poly.area(poly.trapezoids([poly.edges_of(rings)], lambda i: i)) - poly.area(t)) < 2 * slack
+
+
+def test_rings_of_holes_and_corners_that_touch():
+    rings = poly.rings_of(poly.trapezoids([poly.edges_of([square(0, 0, 1000), square(250, 250, 500)])], lambda i: i))
+    assert sorted(map(poly.signed_area, rings)) == [-250_000, 1_000_000] and {len(r) for r in rings} == {5}
+    rings = poly.rings_of(poly.union([[square(0, 0, 1000)], [square(1000, 1000, 500)], [square(200, 200, 100)]]))
+    assert sorted(map(poly.signed_area, rings)) == [250_000, 1_000_000]
+    assert poly.rings_of(poly.union([])) == []
+
+
+def test_results_chain_and_are_written(spark):
+    row = lambda *rings: [[{"x": x, "y": y} for x, y in r] for r in rings]
+    df = spark.createDataFrame([(1, row(square(0, 0, 10_000)), row(square(5000, 5000, 10_000))), (2, row(square(0, 0, 10_000)), row()), (3, None, row(square(0, 0, 10_000)))], f"id long, a {poly.RINGS}, b {poly.RINGS}")
+    less = poly.boolean(df, "a", "b", "difference", "c")
+    back = poly.boolean(less, "c", "b", "union", "d")
+    got = {r["id"]: r["area"] for r in back.collect()}
+    assert got == {1: pytest.approx(175e6), 2: pytest.approx(100e6), 3: pytest.approx(100e6)}
+    path = back.filter("id = 1").select(svg.path(F.array("d")).alias("p")).first()["p"]
+    assert path.count("M") == 1 and path.count("L") == 7 and path.endswith("Z") and "15 15" in path
+
+
+def test_strokes_of_lines(spark):
+    lines = [[{"x": 0, "y": 0}, {"x": 5000, "y": 0}, {"x": 5000, "y": 5000}]]
+    df = spark.createDataFrame([(1, lines, 500.0), (2, [], 500.0)], f"id long, lines {poly.RINGS}, r double")
+    got = {r["id"]: (r["area"], len(r["rings"])) for r in poly.stroked(df, "lines", "r", 0.01).collect()}
+    assert got[2] == (0.0, 0) and got[1][1] == 1
+    assert got[1][0] == pytest.approx(2 * 5000 * 1000 + math.pi * 250_000 - (250_000 - math.pi * 62_500), rel=2e-3)
+
+
 def test_islands(spark):
     rings = [[{"x": x, "y": y} for x, y in square(0, 0, n)] for n in (100, 3, 20)]
     df = spark.createDataFrame([(1, rings)], f"id long, rings {poly.RINGS}")
