@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 MAX_LATITUDE = 85.051129
 # Fixed values of the lattice noise.
 SEED_SALT = 0x1D4C9A36
+GRAIN_STRETCH = 4
 LATTICE_X, LATTICE_Y = 0x2F6B4D93, 0x51C3A8E7
 MIX_A, MIX_B, MIX_C = 0x7A3D1C4B, 0x3E95B2D1, 0x58F16A0F
 
@@ -80,6 +81,17 @@ def noise_hash(x: Column, y: Column, seed: Column) -> Column:
     return fold(times32(fold(h, 16), MIX_A), 14)
 
 
+def noise_word(x: int, y: int, seed: int) -> int:
+    """The same hash of plain numbers."""
+    h = ((seed & _WORD) ^ SEED_SALT) * MIX_A & _WORD
+    h ^= (x & _WORD) * LATTICE_X & _WORD
+    h = (h ^ (h >> 15)) * MIX_B & _WORD
+    h ^= (y & _WORD) * LATTICE_Y & _WORD
+    h = (h ^ (h >> 13)) * MIX_C & _WORD
+    h = (h ^ (h >> 16)) * MIX_A & _WORD
+    return h ^ (h >> 14)
+
+
 def smoothstep(x: Column) -> Column:
     return x * x * (3 - 2 * x)
 
@@ -105,6 +117,11 @@ def fractal_noise(x: Column, y: Column, seed: Column, octaves: int, roughness: f
     return total / weight
 
 
+def noise_contrast(n: Column) -> Column:
+    """Noise about a half, spread out and kept within a half of nothing."""
+    return let((n - 0.5) * 3, lambda x: x / (1 + 2 * F.abs(x)))
+
+
 # --- Depth curves on [0, 1] ---
 
 

@@ -7,12 +7,15 @@ Boards are independent, so every operator partitions by board, and neighbours me
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import cos, pi, sin
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import scalars as sc
+
 CELL = ["board", "r", "c"]
 _ROOT = 2**0.5
 
@@ -205,3 +208,29 @@ def water_bodies(grid: DataFrame, side: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(board), pa.array(np.arange(len(first))), pa.array(cells.astype(np.int64)), pa.array(first)], ["board", "body", "cells", "first"])
 
     return _board_kernel(grid, label, "board long, body long, cells long, first long")
+
+
+def sampled_noise(places: DataFrame, seed: int, octaves: int, roughness: float, ridged: float, warp: float, angle: float, grain: float) -> DataFrame:
+    """Add `noise` at (x, y): octaves of noise on a plane that is stretched along a grain, if there is one, and then bent by two noises of its own.
+
+    Each step is a projection of its own, so that no noise is worked out twice.
+    """
+    names = free_columns(places, 4)
+    u, v, pu, pv = names
+    x, y = F.col("x"), F.col("y")
+    c, s = cos(angle * pi / 180), sin(angle * pi / 180)
+    at = places.withColumns({u: (x * c + y * s) / (1 + sc.GRAIN_STRETCH * grain), v: y * c - x * s} if grain else {u: x, v: y})
+    if grain:
+        at = at.withColumns({u: F.col(u) * c - F.col(v) * s, v: F.col(u) * s + F.col(v) * c})
+    stream = lambda n: F.lit(sc.noise_word(0, n, seed)).cast("long")
+    if warp:
+        push = lambda n: sc.fractal_noise(F.col(u) * 0.5, F.col(v) * 0.5, stream(n), 2, 0.5, 0.0)
+        at = at.withColumns({pu: push(0x35), pv: push(0x47)})
+        at = at.withColumns({u: F.col(u) + (2 * F.col(pu) - 1) * warp, v: F.col(v) + (2 * F.col(pv) - 1) * warp})
+    return at.withColumn("noise", sc.fractal_noise(F.col(u), F.col(v), stream(0x23), octaves, roughness, ridged)).drop(*names)
+
+
+def free_columns(df: DataFrame, n: int) -> list[str]:
+    """n names that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [name for k in range(n + len(taken)) if (name := f"_{k}") not in taken][:n]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
+from quern.operators import grid as g
 from quern.plans.lenses import DEPTHS, POINTS, depths, points, table
 from quern.plans.registry import query
 
@@ -92,9 +93,43 @@ def value_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", _NANO(sc.value_noise(F.col("lng") / 4, F.col("lat") / 4, F.lit(7).cast("long"))).alias("noise"))
 
 
-@query("fractal_noise")
+def _fractal(source: str, x: str, y: str, seed: int, octaves: int, roughness: float, ridged: float, name: str) -> str:
+    """CTEs that end in `name`: the rows of `source` (with an id) and a column `name` of octaves of value noise."""
+    seeds = ", ".join(f"({k}, {sc.noise_word(k, 0x11, seed)})" for k in range(octaves))
+    corner = lambda a, b: f"max(CASE WHEN dx = {a} AND dy = {b} THEN h6 END) / 4294967296::DOUBLE"
+    weight = sum(roughness**k for k in range(octaves))
+    return f"""{name}_o AS (SELECT id, k, s, ({x}) * (1 << k) + k * 0.3719::DOUBLE AS x, ({y}) * (1 << k) + k * 0.6173::DOUBLE AS y FROM {source}, (VALUES {seeds}) t(k, s)),
+{name}_c AS (SELECT *, floor(x)::BIGINT AS x0, floor(y)::BIGINT AS y0, floor(x)::BIGINT + dx AS px, floor(y)::BIGINT + dy AS py FROM {name}_o, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)),
+{_hash_ctes(f"{name}_c", "px", "py", "s", f"{name}_s")}, {name}_v AS (SELECT id, k, x - x0 AS fx, y - y0 AS fy, {corner(0, 0)} AS a, {corner(1, 0)} AS b, {corner(0, 1)} AS c, {corner(1, 1)} AS d FROM {name}_s6 GROUP BY ALL),
+{name}_t AS (SELECT id, k, a + (b - a) * (fx * fx * (3 - 2 * fx)) AS top, c + (d - c) * (fx * fx * (3 - 2 * fx)) AS bottom, fy * fy * (3 - 2 * fy) AS sy FROM {name}_v),
+{name}_n AS (SELECT id, k, top + (bottom - top) * sy AS v FROM {name}_t),
+{name} AS (SELECT p.*, z.f AS {name} FROM {source} p JOIN (SELECT id, sum(pow({roughness}::DOUBLE, k) * (v + (pow(1 - abs(2 * v - 1), 2) - v) * {ridged}::DOUBLE)) / {weight}::DOUBLE AS f FROM {name}_n GROUP BY id) z USING (id))"""
+
+
+_FINE = lambda c: F.floor(c * 1e9 + 0.26)
+
+
+@query("fractal_noise", f"WITH {POINTS}, {_fractal('points', 'lng / 8', 'lat / 8', 1, 4, 0.5, 0.3, 'f')} SELECT id, floor(f * 1e9 + 0.26)::BIGINT AS noise FROM f")
 def fractal_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("id", sc.fractal_noise(F.col("lng") / 8, F.col("lat") / 8, F.lit(1).cast("long"), 4, 0.5, 0.3).alias("noise"))
+    return points(spark, sf_dir).select("id", _FINE(sc.fractal_noise(F.col("lng") / 8, F.col("lat") / 8, F.lit(1).cast("long"), 4, 0.5, 0.3)).alias("noise"))
+
+
+_TURN = "30 * pi() / 180"
+_GRAIN = f"(lng / 8 * cos({_TURN}) + lat / 8 * sin({_TURN})) / 3 AS along, lat / 8 * cos({_TURN}) - lng / 8 * sin({_TURN}) AS across"
+
+
+@query(
+    "noise_sampler",
+    f"""WITH {POINTS}, g AS (SELECT *, {_GRAIN} FROM points), uv AS (SELECT id, along * cos({_TURN}) - across * sin({_TURN}) AS u, along * sin({_TURN}) + across * cos({_TURN}) AS v FROM g),
+{_fractal('uv', 'u * 0.5::DOUBLE', 'v * 0.5::DOUBLE', sc.noise_word(0, 0x35, 9), 2, 0.5, 0.0, 'wu')}, {_fractal('wu', 'u * 0.5::DOUBLE', 'v * 0.5::DOUBLE', sc.noise_word(0, 0x47, 9), 2, 0.5, 0.0, 'wv')},
+b AS (SELECT id, u + (2 * wu - 1) * 0.8::DOUBLE AS u, v + (2 * wv - 1) * 0.8::DOUBLE AS v FROM wv), {_fractal('b', 'u', 'v', sc.noise_word(0, 0x23, 9), 3, 0.6, 0.5, 'm')},
+k AS (SELECT id, m, (m - 0.5::DOUBLE) * 3 AS x FROM m) SELECT id, floor(m * 1e9 + 0.26)::BIGINT AS noise, floor(x / (1 + 2 * abs(x)) * 1e9 + 0.26)::BIGINT AS contrast FROM k""",
+)
+def noise_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise with a grain of half strength at 30 degrees, bent by 0.8 of a feature, and its contrast."""
+    p = points(spark, sf_dir).select("id", (F.col("lng") / 8).alias("x"), (F.col("lat") / 8).alias("y"))
+    p = g.sampled_noise(p, 9, 3, 0.6, 0.5, 0.8, 30.0, 0.5)
+    return p.select("id", _FINE(F.col("noise")).alias("noise"), _FINE(sc.noise_contrast(F.col("noise"))).alias("contrast"))
 
 
 _PROFILES = ("even-slope", "smooth-basin", "broad-shelf", "stepped-benches")
