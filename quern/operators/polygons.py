@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from quern.functions.settings import SAGITTA
+
 RINGS = "array<array<struct<x: long, y: long>>>"
 _RINGS = ArrayType(ArrayType(StructType().add("x", LongType()).add("y", LongType())))
 OPERATIONS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
@@ -58,13 +60,13 @@ def _levels(e: np.ndarray) -> np.ndarray:
 
 
 def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound: tuple[int, ...] = ()) -> np.ndarray:
-    """(y0, y1, left0, left1, right0, right1): where `keep` of the layers' insides holds.
+    """(y0, y1, left0, left1, right0, right1, left, right): where `keep` of the layers' insides holds, and the numbers of the edges on either side.
 
     Each layer is even-odd on its own edges, but those in `wound` hold wherever their edges wind around: a union of rings that turn the same way.
     """
     e = np.concatenate(layers) if layers else np.zeros((0, 4))
     if not len(e):
-        return np.zeros((0, 6))
+        return np.zeros((0, 8))
     layer = np.repeat(np.arange(len(layers)), [len(x) for x in layers])
     low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
     slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
@@ -92,7 +94,7 @@ def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound:
     p, q, at = edge[change[::2]], edge[change[1::2]], slab[change[::2]]
     y0, y1 = levels[at], levels[at + 1]
     x_at = lambda i, y: e[i, 0] + slope[i] * (y - e[i, 1])
-    return np.column_stack([y0, y1, x_at(p, y0), x_at(p, y1), x_at(q, y0), x_at(q, y1)])
+    return np.column_stack([y0, y1, x_at(p, y0), x_at(p, y1), x_at(q, y0), x_at(q, y1), p, q])
 
 
 def area(t: np.ndarray) -> float:
@@ -107,9 +109,10 @@ def rings_of(t: np.ndarray) -> list[np.ndarray]:
     """The rings around trapezoids, closed, in whole micrometres."""
     if not len(t):
         return []
-    t = np.round(t * 1000).astype(np.int64)
-    t = t[t[:, 0] < t[:, 1]]
-    y0, y1, l0, l1, r0, r1 = t.T
+    owner = t[:, 6:].astype(np.int64)
+    t = np.round(t[:, :6] * 1000).astype(np.int64)
+    tall = t[:, 0] < t[:, 1]
+    (y0, y1, l0, l1, r0, r1), (left, right) = t[tall].T, owner[tall].T
     # Edges that cross on a level come to almost the same place on it.
     at, x = np.concatenate([y0, y1, y0, y1]), np.concatenate([l0, l1, r0, r1])
     order = np.lexsort((x, at))
@@ -118,7 +121,7 @@ def rings_of(t: np.ndarray) -> list[np.ndarray]:
     l0, l1, r0, r1 = x.reshape(4, -1)
     sides = [np.column_stack([l1, y1, l0, y0]), np.column_stack([r0, y0, r1, y1])]
     # Along each level, what lies above it and what lies below, from left to right.
-    n = len(t)
+    n = len(y0)
     at, x = np.concatenate([y0, y0, y1, y1]), np.concatenate([l0, r0, l1, r1])
     up, down = np.repeat([1, -1, 0, 0], n), np.repeat([0, 0, 1, -1], n)
     order = np.lexsort((x, at))
@@ -128,12 +131,15 @@ def rings_of(t: np.ndarray) -> list[np.ndarray]:
         a, b = np.column_stack([x[:-1], at[:-1]])[here], np.column_stack([x[1:], at[1:]])[here]
         sides.append(np.concatenate([b, a] if back else [a, b], axis=1))
     e = np.concatenate(sides)
-    e = e[(e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])]
+    # The edge that a side lies on; level sides have none.
+    owner = np.concatenate([left, right, np.full(len(e) - 2 * n, -1)])
+    moves = (e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])
+    e, owner = e[moves], owner[moves]
     _, node = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0, return_inverse=True)
     start, end = node.reshape(-1)[: len(e)], node.reshape(-1)[len(e) :]
     # Where two trapezoids share a side it is no edge.
     real = ~np.isin(start * len(node) + end, end * len(node) + start)
-    e, start, end = e[real], start[real], end[real]
+    e, owner, start, end = e[real], owner[real], start[real], end[real]
     out = np.argsort(start, kind="stable")
     first, last = np.searchsorted(start[out], end), np.searchsorted(start[out], end, "right")
     follow = np.where(last > first, out[np.minimum(first, len(e) - 1)], -1)
@@ -143,16 +149,19 @@ def rings_of(t: np.ndarray) -> list[np.ndarray]:
         ways = out[first[k] : last[k]]
         turn = (angle[k] + np.pi - angle[ways]) % (2 * np.pi)
         follow[k] = ways[np.argmin(np.where(turn < 1e-12, 2 * np.pi, turn))]
-    used = np.zeros(len(e), bool)
+    used, after = bytearray(len(e)), follow.tolist()
     found = []
     for k in range(len(e)):
         path = []
         while k >= 0 and not used[k]:
-            used[k] = True
+            used[k] = 1
             path.append(k)
-            k = follow[k]
+            k = after[k]
         if len(path) > 2:
-            ring = _straightened(e[path, :2] / 1000.0)
+            # Where a slab has cut an edge there is no corner.
+            own = owner[path]
+            corner = (own != np.roll(own, 1)) | (own < 0)
+            ring = _straightened(e[np.array(path)[corner], :2] / 1000.0) if corner.sum() > 2 else ()
             if len(ring) > 3:
                 found.append(ring)
     return found
@@ -323,9 +332,10 @@ def buffered(df: DataFrame, rings: str, distance: float, tolerance: float = 20.0
     return _kernel(df, [rings], lambda x: offset(x, distance, tolerance), result)
 
 
-def stroked(df: DataFrame, lines: str, half_width: str, tolerance: float = 20.0, result: str = "rings") -> DataFrame:
-    """Append area and rings of strokes along a column of lines, of the half-width in another."""
-    return _kernel(df, [lines, half_width], lambda x, r: stroke(x, r, tolerance), result)
+def stroked(df: DataFrame, lines: str, half_width: str, tolerance: float | None = 20.0, result: str = "rings") -> DataFrame:
+    """Append area and rings of strokes along a column of lines, of the half-width in another; without a tolerance caps are as fine as the half-width asks for."""
+    return _kernel(df, [lines, half_width], lambda x, r: stroke(x, r, tolerance or min(20.0, max(0.1, r * SAGITTA))), result)
+
 
 
 def islands(shapes: DataFrame, least: float, rings: str = "rings") -> DataFrame:

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import geometry as geo
+from quern.functions import scalars as sc
+from quern.operators import features as op
+from quern.operators import layers
 from quern.operators import lines as ln
 from quern.operators import polygons as poly
 from quern.operators import spatial as sp
-from quern.plans.lenses import POLYLINES, RINGS, VERTICES, polylines, rings
+from quern.plans.features import _roads
+from quern.plans.lenses import POLYLINES, RINGS, SIDE, VERTICES, grid, polylines, rings
 from quern.plans.lines import _DISK, _MEET, _hashed, _runs
 from quern.plans.registry import query
 
@@ -176,3 +180,21 @@ def water_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sp.points_in_rings(at, rings(spark, sf_dir), 8000)
     shore, hole = found.filter("id % 2 = 0").select("pid", F.col("id").alias("body")), found.filter("id % 2 = 1").select("pid", (F.col("id") - 1).alias("body"))
     return shore.join(hole, ["pid", "body"], "left_anti")
+
+
+@query("road_engraving")
+def road_engraving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads of four lines a board, stroked by class and joined to one engraved area."""
+    roads = _roads(spark, sf_dir).select(
+        F.floor(F.col("id") / 4).alias("board"), "line", sc.round_half_up(op.road_width(F.col("road_class"), F.lit(228.6), F.lit(1.0)) * 1000).cast("long").alias("width")
+    )
+    return layers.road_engraving(roads).select("board", "widths", F.size("rings").alias("outlines"), "area")
+
+
+@query("nested_levels")
+def nested_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four nested bands of each board's elevations, at even heights."""
+    v = grid(spark, sf_dir)
+    low, high = F.min("v"), F.max("v")
+    heights = v.groupBy("board").agg(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.floor(low + k * (high - low) / 5)).alias("t")).select("board", F.explode("t").alias("threshold"))
+    return layers.nested_bands(v, heights, SIDE).select("board", "level", "threshold", "area", "outside", F.size("rings").alias("outlines"))
