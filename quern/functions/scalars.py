@@ -154,9 +154,9 @@ def bank(t: Column, steepness: float) -> Column:
     return F.when((x == 0) | (x == 1) | F.lit(k == 0), x).otherwise(x * (1 + k) / (1 + k * x))
 
 
-def terrace(v: Column, levels: int, strength: float) -> Column:
-    """Depths drawn towards the nearest of `levels` benches; none is drawn to the surface."""
-    level = clamp(round_half_up(v * levels), 1, levels) / levels
+def terrace(v: Column, levels: int, strength: float, deepest: Column | None = None) -> Column:
+    """Depths drawn towards the nearest of `levels` benches, down to the bench `deepest` at most; none is drawn to the surface."""
+    level = F.greatest(F.lit(1), F.least(F.lit(levels) if deepest is None else deepest, round_half_up(v * levels))) / levels
     return F.when((v <= 0) | F.lit(strength <= 0), v).otherwise(level if strength >= 1 else v + (level - v) * strength)
 
 

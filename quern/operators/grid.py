@@ -7,6 +7,7 @@ Boards are independent, so every operator partitions by board, and neighbours me
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import cos, pi, sin
 
 import numpy as np
@@ -183,33 +184,99 @@ def resample(grid: DataFrame, side: int, target: int) -> DataFrame:
     return got.groupBy(*CELL).agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.count("*").alias("n")).filter("n = 4").drop("n")
 
 
-def water_bodies(grid: DataFrame, side: int) -> DataFrame:
-    """(board, body, cells, first): 8-connected bodies of absent cells; bodies are numbered by their first cell in row-major order.
+def _numbered(inside: np.ndarray) -> np.ndarray:
+    """The least row-major number of each 8-connected body of cells, and the number of cells elsewhere: every cell takes the least number of its neighbours and then that cell's own, until nothing changes."""
+    side, none = inside.shape[0], inside.size
+    number = np.full((side + 2, side + 2), none, np.int64)
+    number[1:-1, 1:-1] = np.where(inside, np.arange(none).reshape(inside.shape), none)
+    while True:
+        near = np.minimum.reduce([number[1 + a : side + 1 + a, 1 + b : side + 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        flat = np.append(np.where(inside, near, none).reshape(-1), none)
+        found = flat[flat][:-1].reshape(inside.shape)
+        if (found == number[1:-1, 1:-1]).all():
+            return found
+        number[1:-1, 1:-1] = found
 
-    A board is a kernel's group: every cell takes the least number of its neighbours and then that cell's own, until nothing changes.
-    """
+
+def water_bodies(grid: DataFrame, side: int) -> DataFrame:
+    """(board, body, cells, first): 8-connected bodies of absent cells; bodies are numbered by their first cell in row-major order. A board is a kernel's group."""
 
     def label(table: pa.Table) -> pa.RecordBatch:
-        r, c = (table.column(k).to_numpy().astype(int) for k in ("r", "c"))
-        none = side * side
-        number = np.full((side + 2, side + 2), none, np.int64)
-        number[1:-1, 1:-1] = np.arange(none).reshape(side, side)
-        number[r + 1, c + 1] = none
-        wet = number[1:-1, 1:-1] < none
-        while True:
-            near = np.minimum.reduce([number[1 + a : side + 1 + a, 1 + b : side + 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)])
-            flat = np.append(np.where(wet, near, none).reshape(-1), none)
-            flat = flat[flat]
-            if (flat[:-1].reshape(side, side) == number[1:-1, 1:-1]).all():
-                break
-            number[1:-1, 1:-1] = flat[:-1].reshape(side, side)
-        first, cells = np.unique(number[1:-1, 1:-1][wet], return_counts=True)
+        wet = np.ones((side, side), bool)
+        wet[tuple(table.column(k).to_numpy().astype(int) for k in ("r", "c"))] = False
+        first, cells = np.unique(_numbered(wet)[wet], return_counts=True)
         board = np.full(len(first), table.column("board")[0].as_py(), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(board), pa.array(np.arange(len(first))), pa.array(cells.astype(np.int64)), pa.array(first)], ["board", "body", "cells", "first"])
 
     return _board_kernel(grid, label, "board long, body long, cells long, first long")
 
 
+def connected_cells(cells: DataFrame, side: int) -> DataFrame:
+    """(board, r, c, first): for each of the cells (board, r, c) the row-major number of the first one of its 8-connected body."""
+
+    def label(table: pa.Table) -> pa.RecordBatch:
+        r, c = (table.column(k).to_numpy().astype(int) for k in ("r", "c"))
+        inside = np.zeros((side, side), bool)
+        inside[r, c] = True
+        found = [table.column(k).combine_chunks().cast(pa.int64()) for k in CELL]
+        return pa.RecordBatch.from_arrays([*found, pa.array(_numbered(inside)[r, c])], [*CELL, "first"])
+
+    return _board_kernel(cells, label, "board long, r long, c long, first long")
+
+
+@dataclass(frozen=True)
+class Terrain:
+    """How deep water gets: see `terrain_depths`."""
+
+    profile: str = "smooth-basin"
+    deepest: float = 1.0
+    bank: float = 0.5
+    shelf: float = 0.1
+    benches: int = 6
+    terracing: float = 0.0
+    noise: float = 0.4
+    feature: float = 0.2
+    seed: int = 1
+    octaves: int = 4
+    roughness: float = 0.5
+    ridged: float = 0.0
+    warp: float = 0.0
+    grain_angle: float = 0.0
+    grain: float = 0.0
+    body_scale: float = 0.5
+    least_cells: int = 16
+
+
+def terrain_depths(cells: DataFrame, side: int, t: Terrain) -> DataFrame:
+    """(board, r, c, first, depth) for cells of water (board, r, c), by their distance from the shore.
+
+    Distances count from 0 at a body's rim to 1 at its farthest cell, are pushed by noise that fades out towards the shore, and pass the shelf, the
+    bank and the profile. A body's deepest cell gets a depth by the body's size beside its board's largest, and benches as far down as that. Bodies under
+    `least_cells` stay flat.
+    """
+    away = octile_distance(cells, side).select(*CELL, (F.col("straight") + F.col("diagonal") * F.sqrt(F.lit(2.0))).alias("d"))
+    at = connected_cells(cells, side).join(away, CELL)
+    bodies = at.groupBy("board", "first").agg(F.count("*").alias("n"), F.max("d").alias("far"))
+    largest = bodies.groupBy("board").agg(F.max("n").alias("most"))
+    scale = F.when(F.col("n") < t.least_cells, 0.0).otherwise(F.pow(F.col("n") / F.col("most"), F.lit(t.body_scale)))
+    bodies = bodies.join(largest, "board").withColumn("scale", scale).withColumn("top", F.least(F.lit(t.benches), F.floor(F.col("scale") * t.benches)))
+    at = at.join(bodies, ["board", "first"]).withColumn("t", (F.col("d") - 0.5) / (F.col("far") - 0.5))
+    if t.noise > 0:
+        size = t.feature * side
+        at = at.withColumns({"x": (F.col("c") + 0.5) / size, "y": (F.col("r") + 0.5) / size})
+        at = sampled_noise(at, t.seed, t.octaves, t.roughness, t.ridged, t.warp, t.grain_angle, t.grain)
+        push = sc.noise_contrast(F.col("noise")) * F.when(F.col("t") < t.noise, F.col("t") / t.noise).otherwise(1.0)
+        at = at.withColumn("t", (F.col("t") + t.noise * push) / (1 + t.noise / 2))
+    shaped = at.withColumn("s", sc.shelf(F.col("t"), t.shelf)).withColumn("s", sc.bank(F.col("s"), t.bank)).withColumn("v", sc.profile(F.lit(t.profile), F.col("s")))
+    top = shaped.groupBy(F.col("board").alias("b"), F.col("first").alias("f")).agg(F.max("v").alias("max"))
+    out = shaped.join(top, (F.col("board") == F.col("b")) & (F.col("first") == F.col("f"))).withColumn("target", t.deepest * F.col("scale"))
+    plain = F.when(F.col("max") > 0, F.when(F.col("v") == F.col("max"), F.col("target")).otherwise(F.least("target", F.col("v") * (F.col("target") / F.col("max"))))).otherwise(0.0)
+    out = out.withColumn("plain", plain)
+    benched = F.least("target", t.deepest * sc.terrace(F.col("plain") / t.deepest, t.benches, t.terracing, F.col("top")))
+    depth = F.when((F.lit(t.terracing) > 0) & (F.col("top") >= 1) & (F.col("max") > 0), benched).otherwise(F.col("plain"))
+    return out.select(*CELL, "first", F.when(F.col("n") >= t.least_cells, depth).otherwise(0.0).alias("depth"))
+
+
 def sampled_noise(places: DataFrame, seed: int, octaves: int, roughness: float, ridged: float, warp: float, angle: float, grain: float) -> DataFrame:
     """Add `noise` at (x, y): octaves of noise on a plane that is stretched along a grain, if there is one, and then bent by two noises of its own.
 

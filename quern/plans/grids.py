@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
+from quern.functions.scalars import noise_word
 from quern.operators import grid as g
 from quern.plans.lenses import GRID, SIDE, grid
 from quern.plans.registry import ORACLES, query
+from quern.plans.scalars import _fractal
 
 
 @query(
@@ -127,3 +129,35 @@ def depth_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = d.withColumn("t", F.col("d") / F.max("d").over(Window.partitionBy("board")))
     v = t.withColumn("v", sc.profile(F.lit("smooth-basin"), F.col("t")))
     return v.select("board", "r", "c", F.floor(sc.terrace(F.col("v"), 6, 0.5) * 1e7 + 0.26).alias("depth"))
+
+
+_TERRAIN = g.Terrain(deepest=0.8, bank=0.75, shelf=0.2, terracing=0.5, noise=0.4, feature=0.25, seed=5, octaves=2, ridged=0.2, least_cells=2)
+
+
+def _terrain_sql() -> str:
+    head = _WATER_BODIES[: _WATER_BODIES.index("SELECT board, row_number()")]
+    t = _TERRAIN
+    return f"""{head}, spot AS (SELECT w.board, w.r, w.c, w.id AS cell, w.board * 4096 + w.id AS id, l.first FROM wet w JOIN least l ON l.board = w.board AND l.start = w.id),
+land AS (SELECT board, r, c FROM grid UNION ALL SELECT board, r, c FROM (SELECT DISTINCT board FROM grid), range(-1, 65) t(r), range(-1, 65) u(c) WHERE r IN (-1, 64) OR c IN (-1, 64)),
+away AS (SELECT s.id, min(greatest(abs(s.r - o.r), abs(s.c - o.c)) - least(abs(s.r - o.r), abs(s.c - o.c)) + least(abs(s.r - o.r), abs(s.c - o.c)) * sqrt(2::DOUBLE)) AS d FROM spot s JOIN land o ON o.board = s.board GROUP BY s.id),
+placed AS (SELECT spot.*, d, count(*) OVER b AS n, max(d) OVER b AS far FROM spot JOIN away USING (id) WINDOW b AS (PARTITION BY board, first)),
+sized AS (SELECT *, CASE WHEN n < {t.least_cells} THEN 0 ELSE sqrt(n::DOUBLE / max(n) OVER (PARTITION BY board)::DOUBLE) END AS scale, (d - 0.5::DOUBLE) / (far - 0.5::DOUBLE) AS t, (c + 0.5::DOUBLE) / 16 AS x, (r + 0.5::DOUBLE) / 16 AS y FROM placed),
+{_fractal('sized', 'x', 'y', noise_word(0, 0x23, t.seed), t.octaves, t.roughness, t.ridged, 'm')},
+pushed AS (SELECT *, least(6, floor(scale * 6)) AS top, greatest(0, least(1, (t + 0.4::DOUBLE * ((m - 0.5::DOUBLE) * 3 / (1 + 2 * abs((m - 0.5::DOUBLE) * 3))) * CASE WHEN t < 0.4::DOUBLE THEN t / 0.4::DOUBLE ELSE 1 END) / 1.2::DOUBLE)) AS p FROM m),
+shelved AS (SELECT *, CASE WHEN p IN (0, 1) THEN p WHEN p < 0.2::DOUBLE THEN 0.15::DOUBLE * p / 0.2::DOUBLE ELSE 0.15::DOUBLE + 0.85::DOUBLE * (p - 0.2::DOUBLE) / 0.8::DOUBLE END AS s FROM pushed),
+banked AS (SELECT *, CASE WHEN s IN (0, 1) THEN s ELSE s * 4 / (1 + 3 * s) END AS k FROM shelved), shaped AS (SELECT *, k * (2 - k) AS v FROM banked),
+topped AS (SELECT *, max(v) OVER (PARTITION BY board, first) AS most, {t.deepest}::DOUBLE * scale AS target FROM shaped),
+plain AS (SELECT *, CASE WHEN most > 0 THEN CASE WHEN v = most THEN target ELSE least(target, v * (target / most)) END ELSE 0 END AS z FROM topped),
+benched AS (SELECT *, z / {t.deepest}::DOUBLE AS q FROM plain),
+done AS (SELECT *, CASE WHEN n < {t.least_cells} THEN 0 WHEN top >= 1 AND most > 0 THEN least(target, {t.deepest}::DOUBLE * CASE WHEN q <= 0 THEN q ELSE q + (greatest(1, least(top, floor(q * 6 + 0.5))) / 6::DOUBLE - q) * 0.5::DOUBLE END) ELSE z END AS depth FROM benched)
+SELECT board, r, c, first, floor(depth * 1e7 + 0.26)::BIGINT AS depth FROM done"""
+
+
+@query("terrain_depths", _terrain_sql())
+def terrain_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of each board's absent cells, with noise, shelf, bank, profile, benches and smaller bodies shallower."""
+    v = grid(spark, sf_dir)
+    axis = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long")))
+    every = v.select("board").distinct().select("board", axis.alias("r")).select("board", "r", axis.alias("c"))
+    water = every.join(v, ["board", "r", "c"], "left_anti")
+    return g.terrain_depths(water, SIDE, _TERRAIN).withColumn("depth", F.floor(F.col("depth") * 1e7 + 0.26))
