@@ -46,7 +46,7 @@ PHASES = 16
 #: A document is long if this many of its size exceed its source's target.
 LONG = 200
 #: Weight of the multipliers' squares for the length moments, for each word of the corpus.
-RIDGE = 1e-3
+RIDGE = 0.05
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def balance(cells: DataFrame, cap: int = CAP, ridge: float = RIDGE, rounds: int
     mean_rate = F.col("target") / F.col("source_size")
     lams = cut(sources.select(F.col("source").alias("s"), F.log((cap - 1) * mean_rate / (cap - mean_rate)).alias("lam")))
     m1 = m2 = 0.0
-    for _ in range(rounds):
+    for turn in range(2 * rounds):
         at = open_cells.join(lams, F.col("source").eqNullSafe(F.col("s")))
         at = at.withColumn("r", _rate(F.col("lam") + m1 * F.col("f1") + m2 * F.col("f2"), cap))
         at = at.withColumns({"wr": F.col("w") * F.col("r"), "wh": F.col("w") * F.col("r") * (1 - F.col("r") / cap)})
@@ -122,7 +122,8 @@ def balance(cells: DataFrame, cap: int = CAP, ridge: float = RIDGE, rounds: int
         s11, s22, r1, r2 = s11 + ridge * total, s22 + ridge * total, r1 - ridge * total * m1, r2 - ridge * total * m2
         det = s11 * s22 - s12 * s12
         d1, d2 = (r1 * s22 - r2 * s12) / det, (r2 * s11 - r1 * s12) / det
-        shrink = min(1.0, 1.0 / max(abs(d1), abs(d2), 1e-300))
+        # Where lengths hardly differ within sources the moments can't be met and their multipliers go far; after `rounds` they stay, and the sources' follow.
+        shrink = min(1.0, 2.0 / max(abs(d1), abs(d2), 1e-300)) if turn < rounds else 0.0
         d1, d2 = d1 * shrink, d2 * shrink
         if off < 1e-9 and max(abs(d1), abs(d2)) < 1e-9:
             break
@@ -130,7 +131,7 @@ def balance(cells: DataFrame, cap: int = CAP, ridge: float = RIDGE, rounds: int
         lams = sums.select(F.col("source").alias("s"), (F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).alias("lam"))
         m1, m2 = m1 + d1, m2 + d2
     else:
-        raise RuntimeError(f"the mix did not converge in {rounds} rounds")
+        raise RuntimeError(f"the mix did not converge in {2 * rounds} rounds")
     tilted = _rate(F.col("lam") + m1 * f1 + m2 * (f1 * f1 - 1 if spread > 1e-6 else F.lit(0.0)), cap)
     rate = F.when((F.col("size") == 0) | (F.col("target") == 0), 0.0).when(capped, float(cap)).otherwise(tilted)
     return cells.join(lams, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rate", rate).drop("s", "lam")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import warc
-from quern.llm.mixing import entropy_mix, source_targets
+from quern.llm.mixing import RIDGE, entropy_mix, source_targets
 from quern.llm.quality_rules import Rule, measures, quality_rules
 from quern.llm.url_filters import intervals, patterns, url_filter
 
@@ -121,11 +121,21 @@ def test_rates_solve_the_dual(spark):
     assert np.abs(per_source - 1).max() < 1e-6
     total = sum(len(t.split()) for _, t, *_ in rows)
     for k, f in ((-2, f1), (-1, f1**2 - 1)):
-        assert abs((w * r * f).sum() / total + 1e-3 * fit[k]) < 1e-6
+        assert abs((w * r * f).sum() / total + RIDGE * fit[k]) < 1e-6
     taken = got.groupby("source")["taken"].sum()
     assert (abs(taken - got.groupby("source")["target"].first()) <= 30).all()
 
 
+@pytest.mark.parametrize("sizes", [{"a": [6] * 6, "b": [3, 3]}, {"a": [1000] * 3, "b": [1] * 40, "c": [1000, 999]}, {"a": [1, 20_000], "b": [5, 5, 6]}, {"a": [7]}, {"a": [1] * 50 + [3000], "b": [2] * 9}])
+def test_mixes_whose_lengths_cant_be_balanced(spark, sizes):
+    rows = [(f"{s}{k}", "w " * n, s) for s, all_ in sizes.items() for k, n in enumerate(all_)]
+    got = entropy_mix(spark.createDataFrame(rows, "doc_id string, text string, source string")).toPandas()
+    want = plain_targets({s: sum(n) for s, n in sizes.items()})
+    for s, found in got.groupby("source"):
+        assert (found["copies"] <= 3).all() and abs((found["size"] * found["rate"]).sum() - want[s]) < 1e-5 * want[s]
+        assert abs(found["taken"].sum() - want[s]) <= max(sizes[s])
+
+
 def test_many_sources_are_ranked_by_ranges(spark):
     sizes = {f"{i:x}é": i % 50 for i in range(500)} | {None: 7}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)
