@@ -83,7 +83,7 @@ def noise_hash(x: Column, y: Column, seed: Column) -> Column:
 
 def noise_word(x: int, y: int, seed: int) -> int:
     """The same hash of plain numbers."""
-    h = ((seed & _WORD) ^ SEED_SALT) * MIX_A & _WORD
+    h = hash_start(seed)
     h ^= (x & _WORD) * LATTICE_X & _WORD
     h = (h ^ (h >> 15)) * MIX_B & _WORD
     h ^= (y & _WORD) * LATTICE_Y & _WORD
@@ -92,6 +92,11 @@ def noise_word(x: int, y: int, seed: int) -> int:
     return h ^ (h >> 14)
 
 
+def hash_start(seed: int) -> int:
+    """The lattice hash's first value, which depends on the seed alone."""
+    return ((seed & _WORD) ^ SEED_SALT) * MIX_A & _WORD
+
+
 def smoothstep(x: Column) -> Column:
     return x * x * (3 - 2 * x)
 
@@ -107,16 +112,6 @@ def value_noise(x: Column, y: Column, seed: Column) -> Column:
     return let(F.struct(x.alias("x"), y.alias("y"), seed.alias("seed")), blend)
 
 
-def fractal_noise(x: Column, y: Column, seed: Column, octaves: int, roughness: float, ridged: float) -> Column:
-    """Octaves of value noise at doubling frequency; each is blended towards its ridged form."""
-    total, weight = F.lit(0.0), 0.0
-    for k in range(octaves):
-        octave = value_noise(x * float(2**k) + k * 0.3719, y * float(2**k) + k * 0.6173, noise_hash(F.lit(k).cast("long"), F.lit(0x11).cast("long"), seed))
-        total = total + roughness**k * let(octave, lambda v: v + (F.pow(1 - F.abs(2 * v - 1), F.lit(2.0)) - v) * ridged)
-        weight += roughness**k
-    return total / weight
-
-
 def noise_contrast(n: Column) -> Column:
     """Noise about a half, spread out and kept within a half of nothing."""
     return let((n - 0.5) * 3, lambda x: x / (1 + 2 * F.abs(x)))

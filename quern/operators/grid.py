@@ -277,24 +277,82 @@ def terrain_depths(cells: DataFrame, side: int, t: Terrain) -> DataFrame:
     return out.select(*CELL, "first", F.when(F.col("n") >= t.least_cells, depth).otherwise(0.0).alias("depth"))
 
 
+@dataclass(frozen=True)
+class Fractal:
+    """Octaves of noise at the columns x and y."""
+
+    x: str
+    y: str
+    seed: int
+    octaves: int
+    roughness: float
+    ridged: float
+
+
+def fractal_noises(places: DataFrame, wanted: dict[str, Fractal]) -> DataFrame:
+    """Add a column of fractal noise for each of `wanted`.
+
+    The lattice hash is a chain of steps that each use the last value twice. Each step is a projection over all octaves and corners at once, so nothing is worked out
+    twice and all of it is compiled code.
+    """
+    octaves = [(name, k, f) for name, f in wanted.items() for k in range(f.octaves)]
+    kept = places.columns
+    col = lambda *key: "__" + "_".join(map(str, key))
+    c = lambda *key: F.col(col(*key))
+
+    def step(df: DataFrame, made: dict[tuple, Column], *also: str) -> DataFrame:
+        held = [x for x in df.columns if x in kept or x.startswith(tuple(also))] if also else kept
+        return df.select(*held, *(v.alias(col(*k)) for k, v in made.items()))
+
+    def times(v: Column, k: int) -> Column:
+        low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+        return low(F.shiftleft(low(F.shiftright(v, 16) * k), 16) + v.bitwiseAND(F.lit(0xFFFF)) * k)
+
+    fold = lambda v, n: v.bitwiseXOR(F.shiftright(v, n))
+    at = {}
+    for name, k, f in octaves:
+        for axis, shift in (("x", 0.3719), ("y", 0.6173)):
+            at[axis, name, k] = F.col(f.x if axis == "x" else f.y) * float(2**k) + k * shift
+    df = step(places, at)
+    df = step(df, {key: c(*key) for key in at} | {("f", *key): F.floor(c(*key)) for key in at})
+    ends = {("s", *key): sc.smoothstep(c(*key) - c("f", *key)) for key in at}
+    corner = {("i", *key, d): (c("f", *key) + d).bitwiseAND(F.lit(0xFFFFFFFF)) for key in at for d in (0, 1)}
+    df = step(df, ends | corner)
+    df = step(df, {("t", *key[1:]): times(c(*key), sc.LATTICE_X if key[1] == "x" else sc.LATTICE_Y) for key in corner}, "__s_")
+    start = {(name, k): sc.hash_start(sc.noise_word(k, 0x11, f.seed)) for name, k, f in octaves}
+    df = step(df, {("h", n, k, d): c("t", "x", n, k, d).bitwiseXOR(F.lit(start[n, k])) for n, k, _ in octaves for d in (0, 1)}, "__s_", "__t_y_")
+    df = step(df, {("h", n, k, d): fold(c("h", n, k, d), 15) for n, k, _ in octaves for d in (0, 1)}, "__s_", "__t_y_")
+    df = step(df, {("h", n, k, d): times(c("h", n, k, d), sc.MIX_B) for n, k, _ in octaves for d in (0, 1)}, "__s_", "__t_y_")
+    corners = [(n, k, a, b) for n, k, _ in octaves for a in (0, 1) for b in (0, 1)]
+    df = step(df, {("g", n, k, a, b): c("h", n, k, a).bitwiseXOR(c("t", "y", n, k, b)) for n, k, a, b in corners}, "__s_")
+    for made in (lambda v: fold(v, 13), lambda v: times(v, sc.MIX_C), lambda v: fold(v, 16), lambda v: times(v, sc.MIX_A), lambda v: fold(v, 14)):
+        df = step(df, {("g", *key): made(c("g", *key)) for key in corners}, "__s_")
+    unit = lambda n, k, a, b: c("g", n, k, a, b) / F.lit(4294967296.0)
+    df = step(df, {("m", n, k, b): unit(n, k, 0, b) + (unit(n, k, 1, b) - unit(n, k, 0, b)) * c("s", "x", n, k) for n, k, _ in octaves for b in (0, 1)}, "__s_y_")
+    df = step(df, {("v", n, k): c("m", n, k, 0) + (c("m", n, k, 1) - c("m", n, k, 0)) * c("s", "y", n, k) for n, k, _ in octaves})
+    df = step(df, {("v", n, k): c("v", n, k) + (F.pow(1 - F.abs(2 * c("v", n, k) - 1), F.lit(2.0)) - c("v", n, k)) * f.ridged for n, k, f in octaves})
+    total = lambda n, f: sum((f.roughness**k * c("v", n, k) for k in range(f.octaves)), F.lit(0.0)) / sum(f.roughness**k for k in range(f.octaves))
+    return df.select(*kept, *(total(n, f).alias(n) for n, f in wanted.items()))
+
+
 def sampled_noise(places: DataFrame, seed: int, octaves: int, roughness: float, ridged: float, warp: float, angle: float, grain: float) -> DataFrame:
     """Add `noise` at (x, y): octaves of noise on a plane that is stretched along a grain, if there is one, and then bent by two noises of its own.
 
     Each step is a projection of its own, so that no noise is worked out twice.
     """
-    names = free_columns(places, 4)
-    u, v, pu, pv = names
+    names = free_columns(places, 6)
+    u, v, pu, pv, hu, hv = names
     x, y = F.col("x"), F.col("y")
     c, s = cos(angle * pi / 180), sin(angle * pi / 180)
     at = places.withColumns({u: (x * c + y * s) / (1 + sc.GRAIN_STRETCH * grain), v: y * c - x * s} if grain else {u: x, v: y})
     if grain:
         at = at.withColumns({u: F.col(u) * c - F.col(v) * s, v: F.col(u) * s + F.col(v) * c})
-    stream = lambda n: F.lit(sc.noise_word(0, n, seed)).cast("long")
+    stream = lambda n: sc.noise_word(0, n, seed)
     if warp:
-        push = lambda n: sc.fractal_noise(F.col(u) * 0.5, F.col(v) * 0.5, stream(n), 2, 0.5, 0.0)
-        at = at.withColumns({pu: push(0x35), pv: push(0x47)})
+        at = at.withColumns({hu: F.col(u) * 0.5, hv: F.col(v) * 0.5})
+        at = fractal_noises(at, {pu: Fractal(hu, hv, stream(0x35), 2, 0.5, 0.0), pv: Fractal(hu, hv, stream(0x47), 2, 0.5, 0.0)})
         at = at.withColumns({u: F.col(u) + (2 * F.col(pu) - 1) * warp, v: F.col(v) + (2 * F.col(pv) - 1) * warp})
-    return at.withColumn("noise", sc.fractal_noise(F.col(u), F.col(v), stream(0x23), octaves, roughness, ridged)).drop(*names)
+    return fractal_noises(at.drop("noise"), {"noise": Fractal(u, v, stream(0x23), octaves, roughness, ridged)}).drop(*names)
 
 
 def free_columns(df: DataFrame, n: int) -> list[str]:

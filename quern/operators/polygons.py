@@ -135,8 +135,9 @@ def rings_of(t: np.ndarray) -> list[np.ndarray]:
     owner = np.concatenate([left, right, np.full(len(e) - 2 * n, -1)])
     moves = (e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])
     e, owner = e[moves], owner[moves]
-    _, node = np.unique(np.concatenate([e[:, :2], e[:, 2:]]), axis=0, return_inverse=True)
-    start, end = node.reshape(-1)[: len(e)], node.reshape(-1)[len(e) :]
+    # Coordinates have less than 31 bits.
+    _, node = np.unique(np.concatenate([(e[:, 0] << 32) + e[:, 1], (e[:, 2] << 32) + e[:, 3]]), return_inverse=True)
+    start, end = node[: len(e)], node[len(e) :]
     # Where two trapezoids share a side it is no edge.
     real = ~np.isin(start * len(node) + end, end * len(node) + start)
     e, owner, start, end = e[real], owner[real], start[real], end[real]

@@ -111,7 +111,8 @@ _FINE = lambda c: F.floor(c * 1e9 + 0.26)
 
 @query("fractal_noise", f"WITH {POINTS}, {_fractal('points', 'lng / 8', 'lat / 8', 1, 4, 0.5, 0.3, 'f')} SELECT id, floor(f * 1e9 + 0.26)::BIGINT AS noise FROM f")
 def fractal_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("id", _FINE(sc.fractal_noise(F.col("lng") / 8, F.col("lat") / 8, F.lit(1).cast("long"), 4, 0.5, 0.3)).alias("noise"))
+    p = points(spark, sf_dir).select("id", (F.col("lng") / 8).alias("x"), (F.col("lat") / 8).alias("y"))
+    return g.fractal_noises(p, {"noise": g.Fractal("x", "y", 1, 4, 0.5, 0.3)}).select("id", _FINE(F.col("noise")).alias("noise"))
 
 
 _TURN = "30 * pi() / 180"
