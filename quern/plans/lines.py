@@ -41,7 +41,7 @@ def point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda k: F.floor(F.get("line", 0)[k] / 2)
     points = polylines(spark, sf_dir).select(F.col("id").alias("pid"), "class", half("x").alias("x"), half("y").alias("y"))
     r = rings(spark, sf_dir)
-    inside = sp.points_in_rings(points, r, 4000, "class").groupBy(F.col("pid").alias("p")).agg(F.count("*").alias("inside"))
+    inside = sp.points_in_rings(points, r, 8000, "class").groupBy(F.col("pid").alias("p")).agg(F.count("*").alias("inside"))
     counts = r.groupBy(F.col("class").alias("k")).agg(F.count("*").alias("rings"))
     return points.join(counts, F.col("class") == F.col("k")).join(inside, F.col("pid") == F.col("p"), "left").select("pid", F.coalesce("inside", F.lit(0)).alias("inside"), "rings")
 
