@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import oracles
+from quern.llm import oracles, oracles_more
 from quern.llm.common import table
 from quern.llm.embedding_dedup import near_vectors
 from quern.llm.language_id import identify, learn
+from quern.llm.merkle import COLUMNS, audited, lower_ascii, record_digest
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents
@@ -89,6 +90,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score", "distance")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = record_digest(lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in COLUMNS)
+    claim = F.when(F.coalesce(fold(5) == 0, F.lit(False)), tampered).otherwise(record_digest(map(F.col, COLUMNS)))
+    return audited(docs, claim).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
@@ -103,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -112,4 +121,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_derivatives": oracles.WARC,
         "op2_quality_rules": oracles.QUALITY.replace("{stop}", ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))),
         "line_dedup": oracles.LINES,
+        "op13_merkle_manifest": oracles_more.MERKLE,
     }
