@@ -14,8 +14,9 @@ from quern.llm.language_id import identify, learn
 from quern.llm.merkle import COLUMNS, audited, lower_ascii, record_digest
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
-from quern.llm.packing import pack_documents
+from quern.llm.packing import pack_documents, tokenizer_path
 from quern.llm.substring_dedup import substring_dedup
+from quern.llm.token_files import token_files
 from quern.llm.toxicity import score, train
 from quern.llm.url_filters import day_of, entries_from_pages, url_filter
 from quern.llm.warc import derive, responses_from_pages
@@ -90,6 +91,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score", "distance")
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = record_digest(lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in COLUMNS)
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
+        "op12_token_files": op12_token_files,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 

@@ -84,7 +84,7 @@ class _Words(dict):
         return out
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -99,7 +99,7 @@ def _merger(vocabulary: dict[str, int]):
     """A function from a part's bytes and _END to its ids, by merges in the order of ids."""
     import tiktoken
 
-    byte = {letter: b for b, letter in enumerate(_byte_letters())}
+    byte = {letter: b for b, letter in enumerate(byte_letters())}
     ranks = {_END: max(vocabulary.values()) + 1}
     for token, i in vocabulary.items():
         if token.startswith("<|"):
