@@ -60,3 +60,30 @@ WITH RECURSIVE {CRC_TABLE}, hashed AS (
 SELECT doc_id, leaf, b.digest AS subroot, t.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
 FROM leaves s JOIN subroots b USING (tree) JOIN tops t ON t.n = 1 JOIN ends USING (k) LEFT JOIN proofs USING (k)
 """
+
+SPELLING = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents
+), per_doc AS (SELECT d, run, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY d, run
+), hashed AS (SELECT run, c, {crc32(utf8("d || ':' || run"))} AS h FROM per_doc, crc_table
+), counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed
+), words AS (SELECT word, sum(c)::BIGINT AS n FROM counted WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), less AS (
+  SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word
+), best AS (
+  SELECT near.word, count(*) AS n_near, min((-w.n, encode(near))) AS b FROM near JOIN words w ON w.word = near.near GROUP BY near.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * w.n THEN decode(b[2]) END AS form, CASE WHEN -b[1] >= 5 * w.n THEN -b[1] END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), up AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN forms f ON f.word = up.root WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""

@@ -15,6 +15,7 @@ from quern.llm.merkle import COLUMNS, audited, lower_ascii, record_digest
 from quern.llm.minhash import near_duplicates
 from quern.llm.mixing import entropy_mix
 from quern.llm.packing import pack_documents, tokenizer_path
+from quern.llm.spelling import counted_words, variants
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.token_files import token_files
 from quern.llm.toxicity import score, train
@@ -91,6 +92,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score", "distance")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(counted_words(table(spark, sf_dir, "documents")))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -116,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_language_id": op9_language_id,
         "op10_bag_minhash": op10_bag_minhash,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_token_files": op12_token_files,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -127,5 +133,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_derivatives": oracles.WARC,
         "op2_quality_rules": oracles.QUALITY.replace("{stop}", ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))),
         "line_dedup": oracles.LINES,
+        "op11_spelling_variants": oracles_more.SPELLING,
         "op13_merkle_manifest": oracles_more.MERKLE,
     }
