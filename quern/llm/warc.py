@@ -9,7 +9,7 @@ responses: no shuffle, and no state beyond a row.
 Defined results: a null payload counts as an empty one; a null header or target stays out of the
 record's header; a response with a null id gets ids derived from the empty string; repeated
 responses each give their two records, with equal ids; an empty table gives an empty result;
-extra columns are dropped. Character references by number or by a name of HTML 4 are decoded, also in titles and links; references to no
+extra columns are dropped but for those that `keep` names, which may have any name but an output column's: such a one is replaced by it. Character references by number or by a name of HTML 4 are decoded, also in titles and links; references to no
 character become U+FFFD, and unknown names stay as they are.
 """
 
@@ -19,8 +19,9 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quern.llm.common import md5_int
+from quern.llm.common import free_names, md5_int
 
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<noscript\b.*?</noscript[^>]*>"
 BLOCKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|header|footer|aside|main|title|head|body|html|blockquote|pre|form|figure)\b[^>]*>"
@@ -95,7 +96,9 @@ def responses_from_pages(pages: DataFrame) -> DataFrame:
     kind = F.when(mark % 2 == 0, "Content-Type: text/html; charset=utf-8").otherwise("content-type:text/html")
     lines = F.array(F.concat(F.lit("Server: "), server), kind, F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")), F.concat(F.lit("X-Cache: "), F.when(mark % 5 == 0, "HIT").otherwise("MISS")))
     head = F.concat(F.lit("HTTP/1.1 "), status, F.lit("\r\n"), F.array_join(F.when(mark % 7 == 0, F.reverse(lines)).otherwise(lines), "\r\n"), F.lit("\r\n\r\n"))
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.coalesce("page_id", F.lit(0)) % 366).cast("int"))
+    # Ids of other types than numbers are dated by their digests.
+    number = F.coalesce("page_id", F.lit(0)) if isinstance(pages.schema["page_id"].dataType, IntegralType) else mark
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (number % 366).cast("int"))
     return pages.select(
         urn(F.concat_ws(" ", F.col("page_id").cast("string"), "url")).alias("record_id"),
         F.col("url").alias("target_uri"),
@@ -107,14 +110,26 @@ def responses_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of a derived record.
+OUTPUT = (
+    "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "source_status", "source_content_type", "source_http_headers", "source_payload_digest", "content_type",
+    "content_length", "block_digest", "content",
+)
+
+
 def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two rows per response; `keep` names columns of the responses to pass on."""
+    keep = [c for c in keep if c not in OUTPUT]
+    # Kept columns go by generated names until the end, so that they clash with no step's own.
+    held = dict(zip(free_names(responses, *(f"keep{k}" for k in range(len(keep)))), keep, strict=True))
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in keep}
+    kept = [F.col(quoted[c]).alias(name) for name, c in held.items()]
     source = F.coalesce("record_id", F.lit(""))
     status = F.regexp_extract(F.coalesce("http_headers", F.lit("")), r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     kind = F.trim(F.regexp_extract(F.coalesce("http_headers", F.lit("")), r"(?i)\r\nContent-Type:([^\r\n]*)", 1))
     # The text and the links are used several times, so they get a projection of their own.
     read = responses.select(
-        *keep, "record_id", "target_uri", "warc_date", "payload_digest", F.col("http_headers").alias("source_http_headers"), source.alias("_source"),
+        *kept, "record_id", "target_uri", "warc_date", "payload_digest", F.col("http_headers").alias("source_http_headers"), source.alias("_source"),
         status.alias("source_status"), kind.alias("source_content_type"),
         plain_text(F.col("payload")).alias("_text"), title(F.col("payload")).alias("_title"), links(F.col("payload")).alias("_links"),
     )
@@ -131,11 +146,11 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         )
 
     both = read.select(
-        *keep, "record_id", "target_uri", "warc_date", "payload_digest", "source_status", "source_content_type", "source_http_headers",
+        *held, "record_id", "target_uri", "warc_date", "payload_digest", "source_status", "source_content_type", "source_http_headers",
         F.inline(F.array(record("metadata", "application/warc-fields", fields), record("conversion", "text/plain", F.col("_text")))),
     )
     return both.select(
-        *keep, "warc_type", F.col("derived_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
+        *(F.col(name).alias(c) for name, c in held.items()), "warc_type", F.col("derived_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
         "source_status", "source_content_type", "source_http_headers", F.col("payload_digest").alias("source_payload_digest"), "content_type",
         F.octet_length("content").cast("long").alias("content_length"), digest(F.col("content")).alias("block_digest"), "content",
     )

@@ -217,3 +217,12 @@ def test_headers_pass_whole(spark):
     assert {(r["source_status"], r["source_content_type"]) for r in got if r["refers_to"] == "<r1>"} == {("301", "text/html")}
     back = warc.parse(warc.serialize(records.filter("refers_to = '<r1>'"))).collect()
     assert {r["source_http_headers"] for r in back} == {head}
+
+
+def test_warc_keeps_columns_of_any_name_and_ids_of_any_type(spark):
+    pages = spark.createDataFrame([("a-1", "http://x", "<title>T</title><p>body</p>")], "page_id string, url string, html string")
+    odd = ["_text", "_links", "_title", "_source", "derived_id", "status", "a `tick", "_keep0"]
+    responses = warc.responses_from_pages(pages).withColumns({c: F.lit(f"own {c}") for c in odd}).withColumn("content", F.lit("mine"))
+    got = warc.derive(responses, keep=(*odd, "page_id", "content")).collect()
+    assert len(got) == 2 and all(r[c] == f"own {c}" and r["page_id"] == "a-1" for r in got for c in odd)
+    assert {r["content"] for r in got if r["warc_type"] == "conversion"} == {"T\nbody"} or all("mine" not in r["content"] for r in got)
