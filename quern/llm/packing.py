@@ -5,10 +5,10 @@
    a first packing, and `Search` then exchanges pieces between underfull bins. A move, a one-for-one, a two-for-one or a
    one-for-two exchange from an emptier bin to one at least as full increases the sum of squared fills, so the emptiest
    bins empty. Of the exchanges that an emptier bin can make, the one that leaves the fuller one least room is made. It ends when the bins are as few
-   as the tokens allow, or no exchange helps. Bins with the same content are one kind and are exchanged together.
-   One-for-two exchanges are left to the last shard.
+   as the pieces allow (`fewest`), or no exchange helps. Bins with the same content are one kind and are exchanged together. Every
+   shard is searched with all of these moves.
 3. Bins that are full are done, but for as many as are underfull. The pieces of these, some percent, are dealt out anew in fewer shards, until one
-   shard is left; it also reopens full bins if it has more bins than its tokens need.
+   shard is left; it also reopens full bins if it has more bins than its pieces need.
 
 A shard is a bounded group and shards are even, whatever lengths, ids or copies are common: pieces are dealt by their
 place in the checkpointed table. Nothing comes to the driver but row counts.
@@ -105,11 +105,11 @@ class Search:
     """Local search over kinds of bins.
 
     `slots[c]` has the ways to make room for c tokens in an underfull bin: (bin, the piece that leaves it, if any) -> the bin's fill. Ways with
-    two leaving pieces are many, so they are not listed but looked for once nothing else helps, if `pairs` says so.
+    two leaving pieces are many, so they are not listed but looked for once nothing else helps.
     """
 
-    def __init__(self, kinds: dict[Bin, int], limit: int, pairs: bool = True):
-        self.limit, self.pairs = limit, pairs
+    def __init__(self, kinds: dict[Bin, int], limit: int):
+        self.limit = limit
         self.full: Counter[Bin] = Counter()
         self.under: dict[Bin, int] = {}
         self.slots: defaultdict[int, dict] = defaultdict(dict)
@@ -177,7 +177,7 @@ class Search:
                     return best[1:]
             if best:
                 return best[1:]
-        return self._two_leave(low) if self.pairs else None
+        return self._two_leave(low)
 
     def _two_leave(self, low: Bin) -> tuple[Bin, Bin, Bin] | None:
         """One piece of `low` for two of a bin at least as full."""
@@ -209,7 +209,7 @@ class Search:
         self.add(tuple(sorted((*new_high, *give), reverse=True)), n)
 
     def run(self) -> Counter[Bin]:
-        """Exchange until the bins are as few as the tokens allow or no exchange helps."""
+        """Exchange until the bins are as few as the pieces allow or no exchange helps."""
         least = fewest(self.under, self.limit) + sum(self.full.values())
         stuck: list[Bin] = []
         moved = False
@@ -236,8 +236,30 @@ class Search:
 
 
 def fewest(kinds: dict[Bin, int], limit: int) -> int:
-    """The bins that the tokens need."""
-    return -(-sum(sum(k) * n for k, n in kinds.items()) // limit)
+    """A number of bins below which no packing of these pieces can go.
+
+    Besides the tokens themselves it sees pieces that fill a bin badly. Two kinds of rounding keep whatever fits one bin within one bin: a piece counts as
+    so many k-th parts of a bin as it has whole (k+1)-th parts, so pieces over a half count one, those over a third
+    a half, and so on; or pieces over limit - a count as whole bins, and those under a as nothing.
+    """
+    lengths = lengths_of(kinds)
+    if not lengths:
+        return 0
+    x, n = (np.array(v, np.int64) for v in zip(*sorted(lengths.items()), strict=True))
+    best = -(-int((x * n).sum()) // limit)
+    for k in range(1, 25):
+        # In limit * k-th parts; a whole number of (k+1)-th parts keeps its own size.
+        parts = np.where((k + 1) * x % limit == 0, k * x, (k + 1) * x // limit * limit)
+        best = max(best, -(-int((parts * n).sum()) // (limit * k)))
+    half = x[x <= limit // 2]
+    tokens = np.concatenate([[0], np.cumsum(x * n)])
+    count = np.concatenate([[0], np.cumsum(n)])
+    # Pieces from a to limit - a by their tokens, and longer ones by their number.
+    low, high = np.searchsorted(x, half), np.searchsorted(x, limit - half, "right")
+    if half.size:
+        bound = count[-1] - count[high] + -(-(tokens[high] - tokens[low]) // limit)
+        best = max(best, int(bound.max()))
+    return best
 
 
 def lengths_of(kinds: dict[Bin, int]) -> Counter[int]:
@@ -248,9 +270,9 @@ def lengths_of(kinds: dict[Bin, int]) -> Counter[int]:
     return out
 
 
-def pack_lengths(counts: dict[int, int], limit: int = LIMIT, reopenings: int = 0, pairs: bool = True) -> Counter[Bin]:
+def pack_lengths(counts: dict[int, int], limit: int = LIMIT, reopenings: int = 0) -> Counter[Bin]:
     """A packing of {length: pieces} as {bin: how many}."""
-    kinds = Search(fold(counts, limit), limit, pairs).run()
+    kinds = Search(fold(counts, limit), limit).run()
     least = fewest(kinds, limit)
     for turn in range(reopenings):
         if sum(kinds.values()) <= least:
@@ -285,7 +307,7 @@ def place(lengths: np.ndarray, limit: int, reopenings: int) -> tuple[np.ndarray,
     values, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
     following = dict(zip(values.tolist(), first.tolist(), strict=True))
     ids, offsets, done = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
-    kinds = pack_lengths(dict(zip(values.tolist(), n.tolist(), strict=True)), limit, reopenings, reopenings > 0)
+    kinds = pack_lengths(dict(zip(values.tolist(), n.tolist(), strict=True)), limit, reopenings)
     number, along = 0, sum(bins for kind, bins in kinds.items() if sum(kind) < limit)
     for kind, bins in sorted(kinds.items(), key=lambda x: (-len(x[0]), x)):
         offset, full = 0, sum(kind) == limit

@@ -91,7 +91,9 @@ def test_search_against_exhaustive_search(seed):
             assert packing.lengths_of(kinds) == items and all(sum(k) <= limit for k in kinds)
         best = fewest_bins(items.elements(), limit)
         assert sum(found.values()) == best
-        if sum(alone.values()) > packing.fewest(alone, limit):
+        # The search leaves full bins alone, and ends where the others can't be fewer.
+        first = packing.Search(start, limit)
+        if sum(alone.values()) > packing.fewest(first.under, limit) + sum(first.full.values()):
             assert not helps(alone, limit)
         helped += sum(start.values()) > sum(alone.values())
     assert helped
@@ -126,3 +128,19 @@ def test_documents_edge_cases(spark):
     assert packing.pack_documents(df.limit(0)).collect() == []
     named = df.withColumn("doc_id", df["doc_id"].cast("string"))
     assert Counter(r["doc_id"] for r in packing.pack_documents(named).collect())["3"] == 2
+
+
+def test_the_bound_sees_halves_and_thirds_and_is_never_too_high():
+    assert packing.fewest({(1500,): 90, (10,): 200}, 4096) == 45
+    assert packing.fewest({(2049,): 7, (100,): 3}, 4096) == 7 and packing.fewest({}, 10) == 0
+    assert packing.fewest({(9,): 4, (2,): 10}, 10) == 6
+    rng = random.Random(7)
+    for _ in range(300):
+        limit = rng.choice([10, 12, 20, 100])
+        items = Counter(rng.randint(1, max(1, int(limit * rng.choice([1, 0.6, 0.4])))) for _ in range(rng.randint(1, 8)))
+        assert packing.fewest({(x,): n for x, n in items.items()}, limit) <= fewest_bins(items.elements(), limit)
+
+
+def test_pieces_over_a_third_end_the_search():
+    counts = {1500: 90, 10: 200, 7: 100}
+    assert sum(packing.pack_lengths(counts, 4096, 10**9).values()) == 45
