@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a maximal run of characters other than space and the ASCII controls from tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -53,6 +56,18 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any name, as it can't name those with a backtick: `run` has them by place."""
+    numbered = [f"c{k}" for k in range(len(schema.fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(numbered)
+
+    fields = [StructField(name, f.dataType, f.nullable) for name, f in zip(numbered, schema.fields, strict=True)]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(renamed, StructType(fields)).toDF(*schema.names)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint."""
     shared_folder(df.sparkSession)
@@ -76,7 +91,6 @@ def md5_int(value: Column, digits: int = 8) -> Column:
 def groups_of(batches, key: str):
     """The groups of sorted record batches, as Arrow tables; a group may span batches."""
     import numpy as np
-    import pyarrow as pa
 
     held: list[pa.Table] = []
     for batch in batches:

@@ -6,8 +6,8 @@ stand at the ends of words, and ties go by code point. `learn` makes one for eac
 distance: the sum of the differences in rank, with the profile's length for an n-gram that the
 language's profile lacks. The score is second / (best + second), from 0.5 for a tie to 1.
 
-Profiles are learned from a bounded sample: of each language at most `per_language` documents, those with
-the least digests of doc_id; the text counts whole. A profile has `size` n-grams, so the model has at most
+Profiles are learned from a bounded sample: of each language about `per_language` documents, those with
+the least digests of doc_id and text, where rows that agree in both count once; the text counts whole, in blocks of BLOCK characters at a time. A profile has `size` n-grams, so the model has at most
 size rows for each language and is shipped with the task's code.
 
 Defined results: a text that is null or has no letter gets `und` with score 0, as does every text
@@ -25,10 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from quern.llm.common import map_batches
 
 SIZE = 300
 PER_LANGUAGE = 4000
 UNKNOWN = "und"
+#: Characters whose n-grams are counted at once.
+BLOCK = 1 << 20
 _BLANK = 32
 
 
@@ -69,22 +74,32 @@ def profile(text: str, size: int) -> np.ndarray:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", size: int = SIZE, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """The profile of every language: n-gram codes, most frequent first."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 20)).alias("h")
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("digest")
     )
     # One row per language.
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n) * (1 << 20))])
-    sample = rows.filter(F.col("h") < F.try_element_at(bound, F.col("lang"))).select("lang", "text")
+    drawn = rows.filter(F.pmod("digest", F.lit(1 << 20)) < F.try_element_at(bound, F.col("lang")))
+    sample = drawn.dropDuplicates(["lang", "digest"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist())
-            texts = batch.column(1).to_pylist()
-            for name in np.unique(names):
-                codes, n = np.unique(np.concatenate([ngrams(texts[i]) for i in np.flatnonzero(names == name)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
+            held: dict[str, list[str]] = {}
+            sizes: dict[str, int] = {}
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(name, []).append(value.as_py())
+                sizes[name] = sizes.get(name, 0) + len(held[name][-1])
+                if sizes[name] >= BLOCK:
+                    yield counted(name, held.pop(name))
+                    del sizes[name]
+            for name, texts in held.items():
+                yield counted(name, texts)
+
+    def counted(name: str, texts: list[str]) -> pa.RecordBatch:
+        codes, n = np.unique(np.concatenate([ngrams(x) for x in texts]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
     summed = sample.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= size)
@@ -122,8 +137,7 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             found = [judge(x) for x in batch.column(place).to_pylist()]
             lang, score, distance = zip(*found, strict=True) if found else ((), (), ())
             extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(distance, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns)) if columns[k] in passed), *extra], [*(c for c in columns if c in passed), "lang_pred", "score", "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*columns, "lang_pred", "score", "distance"])
 
-    passed = set(columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double, distance double"
-    return kept.mapInArrow(run, schema)
+    schema = StructType(list(kept.schema.fields)).add("lang_pred", "string").add("score", "double").add("distance", "double")
+    return map_batches(kept, run, schema)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quern.llm.common import cut
+from quern.llm.common import cut, map_batches
 from quern.llm.common import words as words_of
 
 PER_LABEL = 6000
@@ -216,5 +217,5 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = TH
             extra = [pa.array(found, pa.float64()), pa.array([int(x >= threshold) for x in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
-    return kept.mapInArrow(run, schema)
+    schema = StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer")
+    return map_batches(kept, run, schema)

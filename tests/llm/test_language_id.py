@@ -63,3 +63,30 @@ def test_profile_of_a_very_long_text():
     assert [name(int(c)) for c in profile(base, SIZE)] == want
     # Every count is 120 times as large, so the order is the same.
     assert [name(int(c)) for c in profile(long, SIZE)] == want
+
+
+def test_the_sample_is_bounded_where_ids_are_missing_or_rows_repeat(spark):
+    rows = [(None, f"{EN} {i}", "en") for i in range(600)] + [(None, EN, "en")] * 600 + [(i, f"{FR} {i}", "fr") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+
+    def counted(self, f, schema):
+        seen.append(dict(self.groupBy("lang").count().collect()))
+        return keep(self, f, schema)
+
+    keep = type(df).mapInArrow
+    type(df).mapInArrow = counted
+    try:
+        profiles = learn(df, per_language=50)
+    finally:
+        type(df).mapInArrow = keep
+    assert 10 <= seen[0]["en"] <= 80 and seen[0]["fr"] == 40
+    assert set(profiles) == {"en", "fr"}
+
+
+def test_blocks_and_odd_column_names(spark, monkeypatch):
+    df = spark.createDataFrame([(1, EN, "en", 0), (2, FR, "fr", 0), (3, EN + FR, "en", 0)], "doc_id long, text string, lang string, `a ``tick` int")
+    want = learn(df)
+    monkeypatch.setattr("quern.llm.language_id.BLOCK", 10)
+    assert learn(df) == want
+    assert {r["a `tick"] for r in identify(df, want).collect()} == {0}
