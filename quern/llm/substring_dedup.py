@@ -8,7 +8,8 @@ whole line if it is shorter. So a line of any length counts as a whole, and less
 
 Units are normalised (ASCII letters in lower case, white space between words as one space) and digested to 128 bits.
 Digests are grouped over the whole corpus; of equal units the one that ranks first by (doc_id, text digest,
-place in the text) stays, and the phrases of all others are cut out. Nothing else is: what lies between two cuts stays unless it is part of a
+place in the text) stays, and the phrases of all others are cut out, but for those that a first occurrence of a repeated unit shares. So
+every first occurrence stands whole, also where a unit overlaps itself. Nothing else is cut: what lies between two cuts stays unless it is part of a
 repeated unit itself. The offsets of what was cut, in characters of the original text, come with the result. A cut takes the
 blanks after it along, and a line that has no word left goes with its line end.
 
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from quern.llm.common import cut, free_names
+from quern.llm.common import cut, free_names, map_batches
 from quern.llm.shingles import blocks, mix, powers, word_digests, word_edges
 
 LEAST = 8
 #: Words on either side that decide whether a phrase ends where there is no mark.
 AROUND = 4
 SALTS = 64
+#: Bytes of text whose units are found at once.
+BLOCK = 1 << 18
 #: Bytes at the end of a word in which a mark ends a sentence, as quotes and other signs may follow it.
 TAIL = 4
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -109,7 +112,7 @@ def find_units(df: DataFrame, text: str, doc_id: str, least: int, whole_lines: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data, bounds in blocks(batch.column(2)):
+            for block, data, bounds in blocks(batch.column(2), BLOCK):
                 found = units(data, bounds, least, whole_lines)
                 part = batch.slice(block.start, len(block))
                 at = pa.array(found["text"])
@@ -121,15 +124,19 @@ def find_units(df: DataFrame, text: str, doc_id: str, least: int, whole_lines: b
     return slim.mapInArrow(run, schema)
 
 
-def cut_text(text: str, gone: list[int], least: int = LEAST, whole_lines: bool = False) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the phrases of the units in `gone`, and the offsets of what was cut, in characters."""
+def cut_text(text: str, gone: list[int], kept: list[int], least: int = LEAST, whole_lines: bool = False) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the phrases of the units in `gone` that no unit in `kept` has, and the offsets of what was cut, in characters."""
     raw = np.frombuffer(text.encode(), np.uint8)
     found = units(raw, np.array([0, len(raw)]), least, whole_lines)
     n = len(found["start"])
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, found["a"][gone], 1)
-    np.add.at(edges, found["b"][gone] + 1, -1)
-    away = np.cumsum(edges)[:n] > 0
+
+    def covered(numbers: list[int]) -> np.ndarray:
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, found["a"][numbers], 1)
+        np.add.at(edges, found["b"][numbers] + 1, -1)
+        return np.cumsum(edges)[:n] > 0
+
+    away = covered(gone) & ~covered(kept)
     line = found["line"]
     stays = np.zeros(line[-1] + 1, bool)
     np.logical_or.at(stays, line, ~away)
@@ -158,7 +165,9 @@ def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     """
     found = find_units(df, text, doc_id, least, whole_lines)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest", "number")
-    first = cut(found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("high").alias("h"), F.col("low").alias("l"), "first", "n"))
+    # Repeated rows have the same occurrences.
+    grouped = found.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    first = cut(grouped.select(F.col("high").alias("h"), F.col("low").alias("l"), "first", "n"))
     # Units with more than a thousandth of all repeats, of which there are fewer than a thousand, meet their first occurrence in SALTS places.
     common = F.col("n") > max(1000, (first.agg(F.sum("n")).first()[0] or 0) // 1000)
     salted = first.withColumn("salt", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
@@ -166,14 +175,16 @@ def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     own = F.when(F.col("hot_h").isNotNull(), F.pmod(F.xxhash64("doc_id", "text_digest", "number"), F.lit(SALTS))).otherwise(0).cast("int")
     found = found.join(hot, (F.col("high") == F.col("hot_h")) & (F.col("low") == F.col("hot_l")), "left").withColumn("own", own).drop("hot_h", "hot_l")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_digest") == F.col("first.text_digest")) & (F.col("number") == F.col("first.number"))
-    gone = found.join(salted, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("own") == F.col("salt"))).filter(~stays)
+    repeated = found.join(salted, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("own") == F.col("salt"))).withColumn("stays", stays)
     keyed = df.drop("removed")
     d, t, marks = free_names(keyed, "d", "t", "marks")
     # At most the units of one document.
-    gone = gone.groupBy("doc_id", "text_digest").agg(F.collect_set("number").alias(marks)).select(F.col("doc_id").alias(d), F.col("text_digest").alias(t), marks)
+    numbers = lambda condition: F.array_sort(F.collect_set(F.when(condition, F.col("number"))))
+    sides = F.struct(numbers(~F.col("stays")).alias("gone"), numbers(F.col("stays")).alias("kept"))
+    gone = repeated.groupBy("doc_id", "text_digest").agg(sides.alias(marks)).filter(F.size(f"{marks}.gone") > 0).select(F.col("doc_id").alias(d), F.col("text_digest").alias(t), marks)
     marked = keyed.join(gone, F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(t)), "left").drop(d, t)
     names = keyed.columns
-    schema = StructType(keyed.schema.fields).add("removed", ArrayType(StructType().add("start", "long").add("end", "long")))
+    schema = StructType(list(keyed.schema.fields)).add("removed", ArrayType(StructType().add("start", "long").add("end", "long")))
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +194,10 @@ def substring_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
             new, spans = texts.to_pylist(), [[] for _ in cuts]
             for i, mark in enumerate(cuts):
                 if mark:
-                    new[i], spans[i] = cut_text(new[i], mark, least, whole_lines)
+                    new[i], spans[i] = cut_text(new[i], mark["gone"], mark["kept"], least, whole_lines)
             columns = [batch.column(k) for k in range(len(names))]
             columns[place] = pa.array(new, texts.type)
             removed = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
             yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "removed"])
 
-    return marked.mapInArrow(run, schema)
+    return map_batches(marked, run, schema)

@@ -1,8 +1,10 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import substring_dedup as op
 from quern.llm.registry import line_dedup
@@ -51,16 +53,18 @@ def plain_units(text, least=LEAST):
 def brute(rows):
     """{(doc_id, text): the words' spans that go}"""
     order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    cut = {r: plain_units(r[1] or "") for r in order}
+    key = lambda found, a, b: tuple(w[2] for p in found[a : b + 1] for w in p)
+    total = Counter(key(found, a, b) for found, runs in cut.values() for a, b in runs)
     seen, out = set(), {}
-    for doc_id, text in order:
-        found, runs = plain_units(text or "")
-        gone = set()
+    for row in order:
+        found, runs = cut[row]
+        gone, kept = set(), set()
         for a, b in runs:
-            key = tuple(w[2] for p in found[a : b + 1] for w in p)
-            if key in seen:
-                gone.update((w[0], w[1]) for p in found[a : b + 1] for w in p)
-            seen.add(key)
-        out[doc_id, text] = gone
+            unit = key(found, a, b)
+            (gone if unit in seen else kept if total[unit] > 1 else set()).update((w[0], w[1]) for p in found[a : b + 1] for w in p)
+            seen.add(unit)
+        out[row] = gone - kept
     return out
 
 
@@ -80,7 +84,7 @@ def corpus(seed):
 def test_cuts_equal_brute_force(spark, seed):
     rows = [(i, t) for i, t in enumerate(corpus(seed))]
     rows += [(100, rows[3][1]), (100, rows[3][1]), (None, rows[4][1]), (101, None), (102, ""), (103, " \n "), (104, rows[5][1] * 30), (105, "one " * 300)]
-    df = spark.createDataFrame([(a, b, "s", 1, 2, 3) for a, b in rows], "doc_id long, text string, `number` string, removed int, _d int, _t int")
+    df = spark.createDataFrame([(a, b, "s", 1, 2, 3) for a, b in rows], "doc_id long, text string, `number` string, removed int, _d int, _t int").withColumn("odd ` name", F.lit(4))
     got = substring_dedup(df).collect()
     assert len(got) == len(rows)
     want = brute(rows)
@@ -158,3 +162,18 @@ def test_a_line_of_very_many_documents_is_cut_from_all_but_the_first(spark):
     df = spark.range(2500).selectExpr("id AS doc_id", "concat('own line ', id, '\nAll rights reserved') AS text")
     got = {r["doc_id"]: r["text"] for r in substring_dedup(df).collect()}
     assert got[0].endswith("reserved") and all(got[i] == f"own line {i}\n" for i in range(1, 2500))
+
+
+def test_first_occurrences_stand_where_units_overlap_themselves(spark):
+    part = "So it goes on. And on it goes. "
+    rows = [(1, "Ha. " * 12), (2, part * 5), (3, "Ha. " * 9), (4, "A word before. " + part * 2), (1, "Ha. " * 12), (5, "One of a kind here. Two of a kind there. End of it now."), (5, "One of a kind here. Two of a kind there. End of it now.")]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "Ha. " * 8 and got[5] == rows[-1][1]
+    # Every unit of the corpus still stands somewhere.
+    left = {tuple(w[2] for p in found[a : b + 1] for w in p) for found, runs in map(plain_units, got.values()) for a, b in runs}
+    words = lambda text: [w[2] for p in plain_units(text)[0] for w in p]
+    for _, text in rows[:2]:
+        found, runs = plain_units(text)
+        for a, b in runs:
+            unit = [w[2] for p in found[a : b + 1] for w in p]
+            assert tuple(unit) in left or any(unit == words(t)[i : i + len(unit)] for t in got.values() for i in range(len(words(t))))
