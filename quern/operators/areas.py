@@ -71,15 +71,26 @@ def starts_inside(lines: DataFrame, rings: DataFrame, cell: int, group: str = "b
     # The first segment of some length tells where a line starts.
     segs = _segments(lines, "line", F.col(group).alias("group"), F.col("id"))
     at = segs.groupBy("group", "id").agg(F.min_by(F.struct("x", "y"), "i").alias("p")).select("group", "id", F.col("p.x").alias("px"), F.col("p.y").alias("py")).withColumn("cy", F.floor(F.col("py") / cell))
-    edges = _segments(rings, "ring", F.col(group).alias("ring_group")).filter("y <> y2")
-    edges = edges.withColumn("row", F.explode(_cells(F.least("y", "y2"), F.greatest("y", "y2"), cell)))
+    odd = _ray_hits(at, _segments(rings, "ring", F.col(group).alias("ring_group")), cell).groupBy("group", "id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return odd.select(F.col("group").alias(group), "id")
+
+
+def _ray_hits(at: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
+    """Points (group, px, py, cy, ..) joined with the edges (ring_group, x, y, x2, y2, ..) of their group that a ray to their right meets, by rows of cells."""
+    edges = edges.filter("y <> y2").withColumn("row", F.explode(_cells(F.least("y", "y2"), F.greatest("y", "y2"), cell)))
     near = at.join(edges, (F.col("group") == F.col("ring_group")) & (F.col("cy") == F.col("row")))
     ex, ey = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     # Shifted upwards, a vertex at the ray's height is above it.
     spans = (F.col("y") >= F.col("py")) != (F.col("y2") >= F.col("py"))
     before = _line_left(_turn(F.col("x"), F.col("y"), ex, ey, F.col("px"), F.col("py")), ex, ey) == (ey > 0)
-    odd = near.filter(spans & before).groupBy("group", "id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    return odd.select(F.col("group").alias(group), "id")
+    return near.filter(spans & before)
+
+
+def rings_around(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame:
+    """(group, pid, id): the rings (group, id, ring) around points (group, pid, px, py) of their group."""
+    edges = _segments(rings, "ring", F.col("group").alias("ring_group"), F.col("id").alias("id"))
+    hits = _ray_hits(points.withColumn("cy", F.floor(F.col("py") / cell)), edges, cell)
+    return hits.groupBy("group", "pid", "id").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
 
 
 def pieces(lines: DataFrame, rings: DataFrame, cell: int, group: str = "board") -> DataFrame:

@@ -59,20 +59,14 @@ def _levels(e: np.ndarray) -> np.ndarray:
     return np.unique(np.round(np.concatenate(ys), 6))
 
 
-def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound: tuple[int, ...] = ()) -> np.ndarray:
-    """(y0, y1, left0, left1, right0, right1, left, right): where `keep` of the layers' insides holds, and the numbers of the edges on either side.
-
-    Each layer is even-odd on its own edges, but those in `wound` hold wherever their edges wind around: a union of rings that turn the same way.
-    """
-    e = np.concatenate(layers) if layers else np.zeros((0, 4))
-    if not len(e):
-        return np.zeros((0, 8))
+def _decomposed(layers: list[np.ndarray], wound: tuple[int, ...] = ()) -> tuple:
+    """Every edge in every slab that it passes through, slab by slab from left to right, and whether each layer holds right of it."""
+    e = np.concatenate(layers)
     layer = np.repeat(np.arange(len(layers)), [len(x) for x in layers])
     low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
     slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
     levels = _levels(e)
     middles = (levels[:-1] + levels[1:]) / 2
-    # Every edge in every slab that it passes through, slab by slab from left to right.
     first, last = np.searchsorted(middles, low), np.searchsorted(middles, high)
     n = last - first
     edge = np.repeat(np.arange(len(e)), n)
@@ -87,7 +81,12 @@ def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound:
             step[e[edge, 1] > e[edge, 3]] *= -1
         passed = np.concatenate([[0], np.cumsum(step)])
         inside.append((passed[1:] - passed[starts]) % 2 == 1 if k not in wound else passed[1:] != passed[starts])
-    on = keep(*inside)
+    return e, slope, levels, edge, slab, starts, inside
+
+
+def _kept(parts: tuple, on: np.ndarray) -> np.ndarray:
+    """The trapezoids of a decomposition right of whose left edge `on` holds."""
+    e, slope, levels, edge, slab, starts, _ = parts
     before = np.concatenate([[False], on[:-1]])
     before[starts == np.arange(len(slab))] = False
     change = np.flatnonzero(on != before)
@@ -97,6 +96,25 @@ def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound:
     return np.column_stack([y0, y1, x_at(p, y0), x_at(p, y1), x_at(q, y0), x_at(q, y1), p, q])
 
 
+def trapezoids(layers: list[np.ndarray], keep: Callable[..., np.ndarray], wound: tuple[int, ...] = ()) -> np.ndarray:
+    """(y0, y1, left0, left1, right0, right1, left, right): where `keep` of the layers' insides holds, and the numbers of the edges on either side.
+
+    Each layer is even-odd on its own edges, but those in `wound` hold wherever their edges wind around: a union of rings that turn the same way.
+    """
+    if not sum(map(len, layers)):
+        return np.zeros((0, 8))
+    parts = _decomposed(layers, wound)
+    return _kept(parts, keep(*parts[-1]))
+
+
+def running_unions(layers: list[np.ndarray]) -> list[np.ndarray]:
+    """For each layer the trapezoids of its union with all before it, from one decomposition."""
+    if not sum(map(len, layers)):
+        return [np.zeros((0, 8)) for _ in layers]
+    parts = _decomposed(layers)
+    return [_kept(parts, on) for on in np.logical_or.accumulate(np.array(parts[-1]))]
+
+
 def area(t: np.ndarray) -> float:
     return float(((t[:, 1] - t[:, 0]) * ((t[:, 4] - t[:, 2]) + (t[:, 5] - t[:, 3])) / 2).sum())
 
