@@ -187,23 +187,39 @@ def path_not_finite(path: Column) -> Column:
     return path.rlike("(?i)NaN|Infinity") | F.exists(F.regexp_extract_all(path, F.lit(r"[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"), F.lit(0)), lambda t: ~finite(t.cast("double")))
 
 
+#: How many numbers a segment of each command of path data has.
+SEGMENT = {"M": 2, "L": 2, "T": 2, "C": 6, "S": 4, "Q": 4, "A": 7, "H": 1, "V": 1, "Z": 0}
+
+
 def moved_path(path: Column, dx: Column, dy: Column) -> Column:
-    """Path data of absolute M, L, C, Q, H, V and Z commands, moved; null if it holds another command or no whole pairs."""
-    tokens = F.regexp_extract_all(path, F.lit(r"[A-Za-z]|[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"), F.lit(0))
+    """Path data moved by (dx, dy), with three decimals at most.
+
+    Points of absolute commands move, of an arc the end alone; numbers of relative ones are steps and stay, but for the pair of a relative
+    `m` that opens the path. Null where numbers are too few, too many, not finite, or stand before any command. Empty data, and any that moves by nothing, stay.
+    """
+    tokens = F.regexp_extract_all(path, F.lit(r"[MmLlHhVvCcSsQqTtAaZz]|[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"), F.lit(0))
+    sizes = F.create_map(*(F.lit(x) for pair in SEGMENT.items() for x in pair))
+    size = lambda c: F.coalesce(F.try_element_at(sizes, F.upper(c)), F.lit(0))
     start = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("ok"))
+    whole = lambda a: F.when(size(a["c"]) == 0, a["n"] == 0).otherwise((a["n"] > 0) & (a["n"] % size(a["c"]) == 0))
 
     def step(a: Column, t: Column) -> Column:
-        letter = t.rlike("^[A-Za-z]$")
-        # Numbers go x, y, x, y after a command, all x after H and all y after V.
-        across = (a["c"] == "H") | ((a["c"] != "V") & (a["n"] % 2 == 0))
-        moved = F.when(letter, t).otherwise((t.cast("double") + F.when(across, dx).otherwise(dy)).cast("string"))
-        whole = F.when(a["c"].isin("H", "V"), a["n"] >= 1).when(a["c"] == "Z", a["n"] == 0).when(a["c"] == "", F.lit(True)).otherwise((a["n"] > 0) & (a["n"] % 2 == 0))
-        ok = a["ok"] & F.when(letter, t.isin("M", "L", "C", "Q", "H", "V", "Z") & whole).otherwise(a["c"].isin("M", "L", "C", "Q", "H", "V"))
-        return F.struct(F.when(letter, t).otherwise(a["c"]).alias("c"), F.when(letter, 0).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(moved)).alias("out"), ok.alias("ok"))
+        letter, upper, k = t.rlike("^[A-Za-z]$"), F.upper(a["c"]), a["n"] % F.greatest(size(a["c"]), F.lit(1))
+        # Which number of its segment a token is tells whether it is an x, a y or neither.
+        shift = F.when(upper == "A", F.when(k == 5, dx).when(k == 6, dy).otherwise(0.0)).when(upper == "H", dx).when(upper == "V", dy).when(k % 2 == 0, dx).otherwise(dy)
+        opens = (a["c"] == "m") & (a["n"] < 2) & (F.size(a["out"]) == a["n"] + 1)
+        number = F.when(letter, F.lit(0.0)).otherwise(t.try_cast("double")) + F.when((a["c"] == upper) | opens, shift).otherwise(0.0)
+        ok = a["ok"] & F.when(letter, whole(a)).otherwise((size(a["c"]) > 0) & finite(number))
+        return F.struct(F.when(letter, t).otherwise(a["c"]).alias("c"), F.when(letter, 0).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.when(letter, t).otherwise(_decimals(number)))).alias("out"), ok.alias("ok"))
 
     end = F.aggregate(tokens, start, step)
-    good = lambda a: a["ok"] & F.when(a["c"].isin("H", "V"), a["n"] >= 1).when(a["c"] == "Z", a["n"] == 0).otherwise((a["n"] > 0) & (a["n"] % 2 == 0))
-    return F.transform(F.array(end), lambda a: F.when(good(a), F.array_join(a["out"], " ")))[0]
+    moved = F.transform(F.array(end), lambda a: F.when(a["ok"] & whole(a), F.array_join(a["out"], " ")))[0]
+    return F.when((path == "") | ((dx == 0) & (dy == 0)), path).otherwise(moved)
+
+
+def _decimals(x: Column) -> Column:
+    """A number's text with three decimals at most."""
+    return F.regexp_replace(F.round(x, 3).cast("decimal(30,3)").cast("string"), r"\.?0+$", "")
 
 
 def plate_path(mode: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column, padding: Column) -> Column:
@@ -240,6 +256,7 @@ def road_label_place(base: Column, normal: Column, offset: Column, flip_all: Col
     return F.struct(at("x").alias("x"), at("y").alias("y"), flip.alias("flipped"))
 
 
+# The sentences of the two functions below are part of what a checked design shows.
 def neck_text(attached: Column, measured: Column, saturated: Column, least: Column) -> Column:
     found = F.concat(F.format_string("%.2f", measured.cast("double")), F.lit("mm"), F.when(saturated, "+").otherwise(""), F.lit(" of material joins the loop to the body (minimum "), plain_number(least), F.lit("mm)"))
     return F.when(attached, found).otherwise("the loop is not joined to the body at all")

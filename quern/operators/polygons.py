@@ -260,7 +260,7 @@ def offset(rings: list, distance: float, tolerance: float = 20.0) -> np.ndarray:
 
 
 def ring_sets(column: pa.Array) -> list[list[np.ndarray]]:
-    """For each row its rings (or lines) as arrays of (x, y); a null has none, and rings with missing coordinates are left out."""
+    """For each row its rings (or lines) as arrays of (x, y); a null has none. A missing or infinite coordinate is an error: a lost ring would be a hole in the product."""
     rings = column.values
     points = rings.values
     xy = np.column_stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")])
@@ -268,7 +268,9 @@ def ring_sets(column: pa.Array) -> list[list[np.ndarray]]:
     out = []
     for known, a, b in zip(column.is_valid().to_pylist(), rows[:-1], rows[1:], strict=True):
         found = [xy[ends[k] : ends[k + 1]] for k in range(a, b)] if known else []
-        out.append([r for r in found if np.isfinite(r).all()])
+        if not all(np.isfinite(r).all() for r in found):
+            raise ValueError("a ring has a coordinate that is missing or not finite")
+        out.append(found)
     return out
 
 

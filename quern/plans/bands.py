@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.geometry import double_area
 from quern.operators import bands as bd
 from quern.operators import contours as ct
+from quern.operators import surveys as sv
 from quern.operators.graph import checkpointed
 from quern.operators.layers import closed_grid
 from quern.plans.lenses import POLYLINES, SIDE, grid, polylines
@@ -91,3 +92,47 @@ def contour_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region at least as deep as each depth, of boards of eight rings at three depths."""
     rings = _boxes(spark, sf_dir).select("board", F.floor(F.col("id") % 8 / 3).alias("depth"), F.get("rings", 0).alias("ring"))
     return bd.contour_regions(rings, "board").select("board", "depth", F.round("area").cast("long").alias("area"))
+
+
+_APART = 12000
+_SURVEYS = f"""{POLYLINES}, {_BOXES}, water AS (SELECT id AS body, board * {_APART} + x AS x, y, board * {_APART} + x + w AS x2, y + h AS y2 FROM b),
+survey AS (SELECT body AS key, x + 700 + body % 5 * 300 AS x, y - 400 + body % 3 * 500 AS y, x2 - 500 + body % 7 * 200 AS x2, y2 + body % 4 * 100 AS y2 FROM water),
+pairs AS (SELECT key, body, greatest(0, least(w.x2, s.x2) - greatest(w.x, s.x)) * greatest(0, least(w.y2, s.y2) - greatest(w.y, s.y)) AS shared, least((w.x2 - w.x) * (w.y2 - w.y), (s.x2 - s.x) * (s.y2 - s.y)) AS smaller,
+  key % 3 = 0 AND s.x + 10 BETWEEN w.x AND w.x2 - 1 AND s.y + 10 BETWEEN w.y AND w.y2 - 1 AS point FROM water w JOIN survey s ON true),
+found AS (SELECT key, body, CASE WHEN point THEN 'point' ELSE 'overlap' END AS how, CASE WHEN NOT point THEN shared END AS shared FROM pairs WHERE point OR shared > 0 AND shared >= 0.5 * smaller)"""
+
+
+def _surveys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Deep points, contours and waters: boxes of all boards side by side, each with a survey that is a little off, and three depths."""
+    b = _boxes(spark, sf_dir).withColumn("x", F.col("x") + F.col("board") * _APART)
+    i, x, y = F.col("id"), F.col("x"), F.col("y")
+    waters = b.select(i.alias("body"), F.array(_within(0)).alias("rings"))
+    s = b.select(i.alias("key"), (x + 700 + i % 5 * 300).alias("x"), (y - 400 + i % 3 * 500).alias("y"), (x + F.col("w") - 500 + i % 7 * 200).alias("x2"), (y + F.col("h") + i % 4 * 100).alias("y2"))
+    inset = lambda d: _box(F.col("x") + d, F.col("y") + d, F.col("x2") - d, F.col("y2") - d)
+    depths = F.array(*(F.struct(F.lit(d).cast("long").alias("depth"), inset(d * 20).alias("ring")) for d in (0, 5, 10)))
+    contours = s.select("key", F.explode(depths).alias("c")).select("key", "c.*")
+    return s.filter("key % 3 = 0").select("key", (F.col("x") + 10).alias("x"), (F.col("y") + 10).alias("y")), contours, waters
+
+
+@query("survey_matches", f"WITH {_SURVEYS} SELECT key, body, how, shared FROM found")
+def survey_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surveys of each body of water, by deep point or by overlap."""
+    points, contours, waters = _surveys(spark, sf_dir)
+    found = sv.matches(points, contours.select("key", "ring"), waters, 4000)
+    return found.select("key", "body", "how", F.round("shared").cast("long").alias("shared"))
+
+
+@query(
+    "measured_depths",
+    f"""WITH {_SURVEYS}, r AS (SELECT DISTINCT body, depth, x + depth * 20 AS x, y + depth * 20 AS y, x2 - depth * 20 AS x2, y2 - depth * 20 AS y2 FROM found JOIN survey USING (key) JOIN (VALUES (5), (10)) t(depth) ON true),
+xs AS (SELECT body, v, lead(v) OVER (PARTITION BY body ORDER BY v) AS v2 FROM (SELECT body, x AS v FROM r UNION SELECT body, x2 FROM r)),
+ys AS (SELECT body, v, lead(v) OVER (PARTITION BY body ORDER BY v) AS v2 FROM (SELECT body, y AS v FROM r UNION SELECT body, y2 FROM r)),
+c AS (SELECT xs.body, xs.v AS x, xs.v2 AS x2, ys.v AS y, ys.v2 AS y2 FROM xs JOIN ys USING (body) WHERE xs.v2 IS NOT NULL AND ys.v2 IS NOT NULL),
+o AS (SELECT c.body, r.depth, c.x, c.y, (c.x2 - c.x) * (c.y2 - c.y) AS area FROM c JOIN r ON r.body = c.body AND r.x <= c.x AND r.x2 >= c.x2 AND r.y <= c.y AND r.y2 >= c.y2 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT body, depth::BIGINT AS depth, sum(area)::BIGINT AS area FROM (SELECT DISTINCT d.body, d.depth, o.x, o.y, o.area FROM (SELECT DISTINCT body, depth FROM r) d JOIN o ON o.body = d.body AND o.depth >= d.depth) GROUP BY body, depth""",
+)
+def measured_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth regions of each body from all the surveys that were matched to it."""
+    points, contours, waters = _surveys(spark, sf_dir)
+    found = checkpointed(sv.matches(points, contours.select("key", "ring"), waters, 4000))
+    return sv.measured_depths(found, contours).select("body", "depth", F.round("area").cast("long").alias("area"))

@@ -121,7 +121,8 @@ def loop_and_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PATHS = ("M0 0 L{a} {b} Z", "M{a} 1.5 L2 {b}", "M0 0 L1 {a} Z M3 3 L{b} 4", "M1 2 C1 2 {a} 4 5 {b} Q1 1 2 2 H9 V{a} Z", "M0 0 L{a} NaN Z", "M0 0 l{a} 1 Z", "M0 {a} {b} Z")
+_PATHS = ("M0 0 L{a} {b} Z", "M{a} 1.5 L2 {b}", "M0 0 L1 {a} Z M3 3 L{b} 4", "M1 2 C1 2 {a} 4 5 {b} Q1 1 2 2 H9 V{a} Z", "M0 0 L{a} NaN Z", "M0 0 l{a} 1 Z", "M0 {a} {b} Z",
+    "m1 2 3 4 A5 6 0 0 1 {a} {b} z", "M1 1 S2 2 {a} 3 T4 {b} c1 1 2 2 {a} 0 h{a} v1 Z", "M0 0 C1 2 3 4 5 {a} 7 8 Z")
 
 
 @query(
@@ -129,9 +130,11 @@ _PATHS = ("M0 0 L{a} {b} Z", "M{a} 1.5 L2 {b}", "M0 0 L1 {a} Z M3 3 L{b} 4", "M1
     f"""WITH {POINTS}, p AS (SELECT id, rank, replace(replace(list_extract([{', '.join(f"'{p}'" for p in _PATHS)}], (id % {len(_PATHS)} + 1)::INT), '{{a}}', (id % 50)::VARCHAR), '{{b}}', '-' || (rank % 9)::VARCHAR || '.25') AS d FROM points),
 t AS (SELECT *, list_filter(list_transform(string_split_regex(replace(replace(d, 'm', 'M'), 'M', chr(1) || 'M'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM p)
 SELECT id, d, len(parts) > 0 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '[Zz]\\s*$'))) = 0 AS closed, regexp_matches(d, '(?i)NaN|Infinity') AS not_finite,
-  CASE id % {len(_PATHS)} WHEN 0 THEN 'M 10.0 -5.0 L ' || (id % 50 + 10)::DOUBLE || ' ' || (-(rank % 9) - 5.25)::DOUBLE || ' Z' WHEN 1 THEN 'M ' || (id % 50 + 10)::DOUBLE || ' -3.5 L 12.0 ' || (-(rank % 9) - 5.25)::DOUBLE
-    WHEN 2 THEN 'M 10.0 -5.0 L 11.0 ' || (id % 50 - 5)::DOUBLE || ' Z M 13.0 -2.0 L ' || (10 - rank % 9 - 0.25)::DOUBLE || ' -1.0'
-    WHEN 3 THEN 'M 11.0 -3.0 C 11.0 -3.0 ' || (id % 50 + 10)::DOUBLE || ' -1.0 15.0 ' || (-(rank % 9) - 5.25)::DOUBLE || ' Q 11.0 -4.0 12.0 -3.0 H 19.0 V ' || (id % 50 - 5)::DOUBLE || ' Z' END AS moved FROM t""",
+  CASE id % {len(_PATHS)} WHEN 0 THEN 'M 10 -5 L ' || a10 || ' ' || b5 || ' Z' WHEN 1 THEN 'M ' || a10 || ' -3.5 L 12 ' || b5
+    WHEN 2 THEN 'M 10 -5 L 11 ' || a5 || ' Z M 13 -2 L ' || (9 - rank % 9) || '.75 -1' WHEN 3 THEN 'M 11 -3 C 11 -3 ' || a10 || ' -1 15 ' || b5 || ' Q 11 -4 12 -3 H 19 V ' || a5 || ' Z'
+    WHEN 5 THEN 'M 10 -5 l ' || id % 50 || ' 1 Z' WHEN 7 THEN 'm 11 -3 3 4 A 5 6 0 0 1 ' || a10 || ' ' || b5 || ' z'
+    WHEN 8 THEN 'M 11 -4 S 12 -3 ' || a10 || ' -2 T 14 ' || b5 || ' c 1 1 2 2 ' || id % 50 || ' 0 h ' || id % 50 || ' v 1 Z' END AS moved
+FROM (SELECT *, (id % 50 + 10)::VARCHAR AS a10, (id % 50 - 5)::VARCHAR AS a5, '-' || (rank % 9 + 5) || '.25' AS b5 FROM t)""",
 )
 def path_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path data: whether it is closed and finite, and moved by (10, -5) where it is well formed."""

@@ -116,3 +116,17 @@ def test_tile_paths(spark):
     df = spark.createDataFrame([("/api/terrain/3/7/7.png",), ("/api/terrain/3/8/7.png",), ("/api/terrain/16/0/0.png",), ("/x/3/1/1.png",)], "p string")
     got = [r["v"] and tuple(r["v"]) for r in df.select(sc.tile_of_path(F.col("p")).alias("v")).collect()]
     assert got == [(3, 7, 7), None, None, None]
+
+
+def test_paths_move_by_their_commands(spark):
+    from quern.functions import settings as st
+
+    cases = {
+        "M0 0L10 0 10 10Z": "M 5 -2 L 15 -2 15 8 Z", "M 1,1 C 1 2 3 4 5 6 7 8 9 10 11 12": "M 6 -1 C 6 0 8 2 10 4 12 6 14 8 16 10", "H3 V4 h1 v1": "H 8 V 2 h 1 v 1",
+        "m1 1 2 2 l3 3": "m 6 -1 2 2 l 3 3", "M0 0 m1 1": "M 5 -2 m 1 1", "A1 2 30 0 1 4 5": "A 1 2 30 0 1 9 3", "a1 2 30 0 1 4 5": "a 1 2 30 0 1 4 5", "M.5-.25": "M 5.5 -2.25",
+        "M1e1 1.00049": "M 15 -1", "M-5 2": "M 0 0", "": "", "1 2": None, "M1": None, "M1 2 3": None, "C1 2 3 4": None, "M1 2 Z 3": None, "L": None, "M1e999 0": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "d string")
+    got = {r["d"]: r["m"] for r in df.select("d", st.moved_path(F.col("d"), F.lit(5.0), F.lit(-2.0)).alias("m")).collect()}
+    assert got == cases
+    assert df.filter("d = 'M1'").select(st.moved_path(F.col("d"), F.lit(0.0), F.lit(0.0)).alias("m")).first()["m"] == "M1"
