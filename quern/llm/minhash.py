@@ -14,9 +14,10 @@ over the sum of the greater ones, is 0.8 or more.
 2. Documents with equal bags form a class, and classes are banded: two classes are candidates if
    all components of a band agree. Each bucket ties its members to its least, and connected
    components of these ties are the candidate groups; no pairs are made.
-3. Members of a group fetch their texts once, and `linked` compares bags exactly within the group, leaving out
-   pairs that are already connected. Groups of more than CHUNK documents or CHUNK_WORDS shingles are dealt out in chunks: first each
-   chunk with one common anchor, then what is still apart against the whole group, chunk by chunk.
+3. Members of a group fetch their texts once and are shingled once; what is shuffled are the digests of their bags' elements. `linked`
+   compares bags exactly within the group, leaving out pairs that are already connected. Groups of more than CHUNK
+   documents or CHUNK_WORDS shingles are dealt out in chunks: first each chunk with one common anchor, then what is still apart
+   against the whole group, chunk by chunk.
 4. Connected components of the exact links are the result.
 
 Defined results: a null text counts as an empty one, and a text without words is alike to nothing;
@@ -42,7 +43,9 @@ from quern.llm.shingles import bags, blocks, mix, shingles
 
 BANDS, ROWS = 32, 8
 SIMILARITY = 0.8
-CHUNK, CHUNK_WORDS = 1000, 2_000_000
+CHUNK, CHUNK_WORDS = 1000, 1_000_000
+#: Bytes of text that are shingled at once on the way to a comparison.
+BLOCK = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,27 +141,38 @@ def signatures(df: DataFrame, text: str, doc_id: str, bands: int = BANDS, rows:
     return slim.mapInArrow(run, schema)
 
 
+def elements(df: DataFrame, text: str) -> DataFrame:
+    """`df` with `elements` in place of its text: digests of the bag's elements, where an occurrence of a shingle is one of its own, so that bags are sets."""
+    keep = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data, bounds in blocks(batch.column(len(keep)), BLOCK):
+                digests, weights, counts = bags(*shingles(data, bounds))
+                order = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
+                values = mix(np.repeat(digests, weights) + order.astype(np.uint64) * _GOLDEN)
+                sizes = np.bincount(np.repeat(np.arange(len(counts)), counts), weights, len(counts)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+                part = batch.slice(block.start, len(block))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), lists], [*keep, "elements"])
+
+    schema = StructType(df.select(*keep).schema.fields).add("elements", ArrayType(LongType()))
+    return df.select(*keep, text).mapInArrow(run, schema)
+
+
 def linked(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Exact links (a, b) within each group, enough of them to connect what is connected.
 
-    `rows` has grp, node, label, compare and text. Pairs with one member at least that has `compare` are
+    `rows` has grp, node, label, compare and elements. Pairs with one member at least that has `compare` are
     looked at, unless their labels are equal or other links have connected them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, "grp"):
-            text = group.column("text").combine_chunks()
-            parts = []
-            sizes = []
-            for _, data, bounds in blocks(text):
-                digests, weights, counts = bags(*shingles(data, bounds))
-                # An occurrence of a shingle is an element of its own, so bags become sets.
-                order = np.arange(int(weights.sum())) - np.repeat(np.cumsum(weights) - weights, weights)
-                elements = mix(np.repeat(digests, weights) + order.astype(np.uint64) * _GOLDEN)
-                parts.append(elements)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                sizes.append(np.bincount(owner, weights, len(counts)).astype(np.int64))
-            found = list(_links(np.concatenate(parts), np.concatenate(sizes), group.column("label").to_numpy(), group.column("compare").to_numpy(zero_copy_only=False), similarity))
+            lists = group.column("elements").combine_chunks()
+            ends = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+            found = list(_links(values, np.diff(ends).astype(np.int64), group.column("label").to_numpy(), group.column("compare").to_numpy(zero_copy_only=False), similarity))
             node = group.column("node").to_numpy()
             a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
@@ -203,9 +217,10 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     speakers = classes.select("node", "first.doc_id", "first.text_digest").join(sized, "node").select(F.col("doc_id").alias("d"), F.col("text_digest").alias("t"), "node", "root", "chunks")
     texts = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_digest"), F.col(text).alias("text"))
     bodies = texts.join(speakers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_digest") == F.col("t"))).select("node", "root", "chunks", "text")
+    bodies = elements(bodies, "text")
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     at = F.when((F.col("node") == F.col("root")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
-    dealt = bodies.withColumn("at", F.explode(at)).select(F.xxhash64("root", "at").alias("grp"), "node", F.col("node").alias("label"), F.lit(True).alias("compare"), "text")
+    dealt = bodies.withColumn("at", F.explode(at)).select(F.xxhash64("root", "at").alias("grp"), "node", F.col("node").alias("label"), F.lit(True).alias("compare"), "elements")
     links = cut(linked(dealt, similarity))
     labels = components(links)
     wide = sized.filter("chunks > 1")
@@ -237,11 +252,12 @@ def _across(wide: DataFrame, labels: DataFrame, texts: DataFrame, speakers: Data
     todo = cut(marked.join(strays, "grp").join(marked.groupBy("grp").agg(_chunks(chunk).alias("y")), "grp"))
     bodies = speakers.select("d", "t", "node").join(todo, "node")
     bodies = texts.join(bodies, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_digest") == F.col("t")))
+    bodies = elements(bodies.select("grp", "node", "label", "stray", "x", "y", "text"), "text")
     count = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     mark = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), F.col(c))
-    stray = bodies.filter("stray").select("grp", "node", "label", "text", mark("x").alias("i"), F.explode(count("y")).alias("j"), F.lit(True).alias("compare"))
-    whole = bodies.select("grp", "node", "label", "text", F.explode(count("x")).alias("i"), mark("y").alias("j"), F.lit(False).alias("compare"))
-    both = stray.union(whole).select(F.xxhash64("grp", "i", "j").alias("grp"), "node", "label", "compare", "text")
+    stray = bodies.filter("stray").select("grp", "node", "label", "elements", mark("x").alias("i"), F.explode(count("y")).alias("j"), F.lit(True).alias("compare"))
+    whole = bodies.select("grp", "node", "label", "elements", F.explode(count("x")).alias("i"), mark("y").alias("j"), F.lit(False).alias("compare"))
+    both = stray.union(whole).select(F.xxhash64("grp", "i", "j").alias("grp"), "node", "label", "compare", "elements")
     return linked(both, similarity)
 
 
