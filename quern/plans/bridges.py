@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import areas
 from quern.operators import bridges as br
+from quern.operators import spans
 from quern.plans.lenses import POLYLINES, polylines
 from quern.plans.registry import query
 
@@ -136,3 +137,22 @@ def bridge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tunnels_over_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tunnels below water."""
     return br.tunnels_over_water(_roads(spark, sf_dir), _water(spark, sf_dir), _CELL)
+
+
+@query(
+    "least_widths",
+    f"""WITH {_LINES}, segs AS (
+  SELECT * FROM (SELECT board, id, i, line[i].x AS x, line[i].y AS y, line[i + 1].x AS x2, line[i + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(line))) AS i FROM placed)) WHERE x <> x2 OR y <> y2),
+sized AS (SELECT *, sqrt((x2 - x)::DOUBLE * (x2 - x)::DOUBLE + (y2 - y)::DOUBLE * (y2 - y)::DOUBLE) AS size FROM segs),
+walked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY board, id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS walked, sum(size) OVER (PARTITION BY board, id) AS length FROM sized),
+placed_at AS (SELECT *, unnest(range(0, ceil(size / 2000)::BIGINT)) * 2000 AS d FROM walked),
+sta AS (SELECT board, id, x + (x2 - x)::DOUBLE * (d / size) AS px, y + (y2 - y)::DOUBLE * (d / size) AS py FROM placed_at WHERE walked + d >= least(length * 0.1, 2000) AND walked + d <= length - least(length * 0.1, 2000)),
+shore AS (SELECT * FROM (SELECT board, ring[i].x AS x, ring[i].y AS y, (ring[i + 1].x - ring[i].x)::DOUBLE AS dx, (ring[i + 1].y - ring[i].y)::DOUBLE AS dy FROM (SELECT *, unnest(range(1, len(ring))) AS i FROM water)) WHERE dx <> 0 OR dy <> 0),
+near AS (SELECT board, id, px - (x + t * dx) AS ex, py - (y + t * dy) AS ey FROM (SELECT board, id, px, py, x, y, dx, dy, greatest(0, least(1, ((px - x) * dx + (py - y) * dy) / (dx * dx + dy * dy))) AS t FROM sta JOIN shore USING (board))),
+best AS (SELECT board, id, min(sqrt(ex * ex + ey * ey)) AS distance FROM near GROUP BY board, id)
+SELECT board, id, round(coalesce(distance * 2, 0), 3) AS width FROM placed LEFT JOIN best USING (board, id)""",
+)
+def least_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least width between every polyline and the shores of its board."""
+    found = spans.least_widths(_lines(spark, sf_dir), _water(spark, sf_dir), 500, step=2000)
+    return found.select("board", "id", F.round("width", 3).alias("width"))
