@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def first_by_key(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
@@ -48,17 +49,20 @@ def drain(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "appe
     Each micro-batch overwrites a folder of its own number, so a batch that is run again leaves no second copy. In complete
     mode the last batch holds the whole result.
     """
-    done = []
+    out = f"{folder}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        done.append(number)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    if not done:
+    # The folder itself says which batches there are, those of earlier runs included.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], stream.schema)
-    kept = [max(done)] if mode == "complete" else done
-    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/batch={n}" for n in kept])
+    found = spark.read.schema(StructType(list(stream.schema.fields)).add("batch", "long")).parquet(out)
+    if mode == "complete":
+        found = found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return found.drop("batch")
 
 
 def upsert(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> Callable[[], None]:

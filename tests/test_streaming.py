@@ -28,6 +28,14 @@ def test_first_by_key(spark, tmp_path):
     assert got.count() == 5
 
 
+def test_drain_reads_the_batches_of_earlier_runs(spark, tmp_path):
+    _, stream = events(spark, tmp_path)
+    first = streams.drain(spark, streams.first_by_key(stream, ["key"], "10 hours"), f"{tmp_path}/c5").count()
+    assert first == 5
+    # Nothing new has come, and what was written before the restart is still the result.
+    assert streams.drain(spark, streams.first_by_key(stream, ["key"], "10 hours"), f"{tmp_path}/c5").count() == 5
+
+
 def test_bursts_equal_debounce(spark, tmp_path):
     batch, stream = events(spark, tmp_path)
     got = streams.drain(spark, streams.bursts(stream, "key", "19999999 microseconds", "1 hour"), f"{tmp_path}/c3", "complete")
