@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as sc
+from quern.operators import polygons as poly
+from quern.operators.surveys import box_pairs
 
 # Place classes by rank, and those that never get a label.
 PLACES = ("city", "town", "village", "suburb", "quarter", "neighbourhood", "hamlet", "island", "islet", "locality", "isolated_dwelling")
 EXCLUDED = ("continent", "country", "state", "province")
+# Fixed value: the share of a label's box that may lie over water.
+WATER_SHARE = 0.02
 
 
 def lookup(column: Column, values: dict, default) -> Column:
@@ -42,33 +46,76 @@ def label_order(kind: Column, label_class: Column, rank: Column, name: Column, i
     return [place, order, rank, name, ix]
 
 
-def place_labels(labels: DataFrame, width: int, height: int, letter: int, line: int) -> DataFrame:
-    """(board, ix, placed, reason): labels placed one after the other by `place`, their order on the board.
+def _label_box(letter: int, line: int) -> dict[str, Column]:
+    """The sides of the box around a label's middle: `letter` wide for each letter, `line` tall."""
+    half, tall = F.floor(letter * F.length("name") / 2), line // 2
+    return {"a": F.col("x") - half, "b": F.col("y") - tall, "c": F.col("x") + half, "d": F.col("y") + tall}
 
-    A label is dropped if its name is on the board, its box leaves the board, or it overlaps a box placed before. Each
-    board is a fold over its own labels; boards run in parallel.
+
+def over_water(labels: DataFrame, water: DataFrame, letter: int, line: int, cell: int, share: float = WATER_SHARE) -> DataFrame:
+    """`labels` (board, ix, name, x, y) with `wet`: whether more than `share` of the label's box lies over water (board, rings). Pairs of boxes meet by cells."""
+    boxed = labels.select("board", F.col("ix").alias("id"), *(v.alias(k) for k, v in _label_box(letter, line).items()))
+    corner = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
+    ring = F.array(corner("a", "b"), corner("c", "b"), corner("c", "d"), corner("a", "d"), corner("a", "b"))
+    boxes = boxed.select("board", F.struct("board", "id").alias("id"), F.array(ring).alias("rings"), ((F.col("c") - F.col("a")) * (F.col("d") - F.col("b"))).alias("size"))
+    bodies = water.select("board", F.monotonically_increasing_id().alias("id"), "rings")
+    near = box_pairs(boxes, bodies, cell, ["board"]).join(boxes.select(F.col("id").alias("l"), F.col("rings").alias("own"), "size"), "l").join(bodies.select(F.col("id").alias("r"), F.col("rings").alias("body")), "r")
+    shared = poly.boolean(near, "own", "body", "intersection").groupBy("l", "size").agg(F.sum("area").alias("area"))
+    wet = shared.filter(F.col("area") > F.col("size") * share).select("l.board", F.col("l.id").alias("ix"), F.lit(True).alias("wet"))
+    return labels.drop("wet").join(wet, ["board", "ix"], "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
+
+
+def place_labels(labels: DataFrame, width: int, height: int, letter: int, line: int, inset: int = 0, keep_out: DataFrame | None = None) -> DataFrame:
+    """(board, ix, reason): labels placed one after the other by `place`, their order on the board.
+
+    A label is dropped if its place's class gets none (`excluded`), its name is on the board, whatever its case and blanks (`duplicate`), its box leaves the
+    board less the inset (`outside`), it overlaps a box placed before or one to keep out of (`collision`), or it is `wet` (`water`). `kind`, `label_class` and `wet` may be
+    missing; `keep_out` has board, a, b, c, d. Each board is a fold over its own labels, in which boxes are looked up by cells; boards run in parallel.
     """
     import pandas as pd
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes, names, out = [], set(), []
+    none = {"kind": F.lit("poi"), "label_class": F.lit(""), "wet": F.lit(False)}
+    box = _label_box(letter, line)
+    given = labels.select("board", "ix", "place", "name", *(F.col(c) if c in labels.columns else v.alias(c) for c, v in none.items()), *(v.cast("long").alias(k) for k, v in box.items()))
+    kept = labels.select("board", *(F.lit(None).cast("long").alias(k) for k in box)).filter(F.lit(False)) if keep_out is None else keep_out.select("board", *(F.col(k).cast("long").alias(k) for k in box))
+    kept = kept.toDF("away_from", *box)
+    # Boxes are listed under the squares that they cover.
+    side = max(4 * line, 1)
+
+    def fold(pdf: pd.DataFrame, away: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[tuple[int, int], list[tuple]] = {}
+        names: set[str] = set()
+        out = []
+
+        def squares(b: tuple) -> list[tuple[int, int]]:
+            return [(i, j) for i in range(b[0] // side, b[2] // side + 1) for j in range(b[1] // side, b[3] // side + 1)]
+
+        def take(b: tuple) -> None:
+            for at in squares(b):
+                taken.setdefault(at, []).append(b)
+
+        for b in away[["a", "b", "c", "d"]].itertuples(index=False, name=None):
+            take(b)
         for r in pdf.sort_values("place").itertuples():
-            half, tall = letter * len(r.name) // 2, line // 2
-            box = (r.x - half, r.y - tall, r.x + half, r.y + tall)
-            if r.name in names:
+            b, key = (r.a, r.b, r.c, r.d), r.name.strip().lower()
+            if r.kind == "place" and r.label_class in EXCLUDED:
+                reason = "excluded"
+            elif key in names:
                 reason = "duplicate"
-            elif box[0] < 0 or box[1] < 0 or box[2] > width or box[3] > height:
+            elif b[0] < inset or b[1] < inset or b[2] > width - inset or b[3] > height - inset:
                 reason = "outside"
-            elif any(box[0] < b[2] and b[0] < box[2] and box[1] < b[3] and b[1] < box[3] for b in boxes):
+            elif any(b[0] < q[2] and q[0] < b[2] and b[1] < q[3] and q[1] < b[3] for at in squares(b) for q in taken.get(at, ())):
                 reason = "collision"
+            elif r.wet:
+                reason = "water"
             else:
                 reason = "placed"
-                boxes.append(box)
-                names.add(r.name)
+                take(b)
+                names.add(key)
             out.append((r.board, r.ix, reason))
         return pd.DataFrame(out, columns=["board", "ix", "reason"])
 
-    return labels.groupBy("board").applyInPandas(fold, "board long, ix long, reason string")
+    return given.groupBy("board").cogroup(kept.groupBy("away_from")).applyInPandas(fold, "board long, ix long, reason string")
 
 
 def with_overrides(objects: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:

@@ -15,18 +15,22 @@ from quern.operators.graph import checkpointed
 LEAST_SHARE = 0.5
 
 
-def box_pairs(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
-    """(l, r): pairs of rows (id, rings) of two tables whose boxes overlap in more than an edge. An equi-join on cells; a pair is taken in the first cell that both cover."""
+def box_pairs(left: DataFrame, right: DataFrame, cell: int, group: list[str] | None = None) -> DataFrame:
+    """(l, r): pairs of rows (id, rings) of two tables whose boxes overlap in more than an edge, of the same `group` columns if there are any.
+
+    An equi-join on cells; a pair is taken in the first cell that both cover.
+    """
+    group = group or []
 
     def celled(df: DataFrame) -> DataFrame:
-        boxed = df.select("id", bounds(F.flatten("rings")).alias("b")).select("id", "b.*")
+        boxed = df.select("id", *group, bounds(F.flatten("rings")).alias("b")).select("id", *group, "b.*")
         return boxed.withColumn("cx", F.explode(_cells(F.col("min_x"), F.col("max_x"), cell))).withColumn("cy", F.explode(_cells(F.col("min_y"), F.col("max_y"), cell)))
 
     a, b = celled(left).alias("a"), celled(right).alias("b")
     c = lambda side, k: F.col(f"{side}.{k}")
     meet = (c("a", "min_x") < c("b", "max_x")) & (c("b", "min_x") < c("a", "max_x")) & (c("a", "min_y") < c("b", "max_y")) & (c("b", "min_y") < c("a", "max_y"))
     first = (c("a", "cx") == F.floor(F.greatest(c("a", "min_x"), c("b", "min_x")) / cell)) & (c("a", "cy") == F.floor(F.greatest(c("a", "min_y"), c("b", "min_y")) / cell))
-    return a.join(b, [c("a", k) == c("b", k) for k in ("cx", "cy")] + [meet, first]).select(c("a", "id").alias("l"), c("b", "id").alias("r"))
+    return a.join(b, [c("a", k) == c("b", k) for k in ("cx", "cy", *group)] + [meet, first]).select(c("a", "id").alias("l"), c("b", "id").alias("r"))
 
 
 def _area(rings: Column) -> Column:

@@ -76,17 +76,28 @@ def label_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_placement",
-    f"""WITH RECURSIVE {_LABELS_SQL}, box AS (SELECT *, x - 24 * length(name) // 2 AS a, y - 15 AS b, x + 24 * length(name) // 2 AS c, y + 15 AS d FROM ordered),
+    f"""WITH RECURSIVE {_LABELS_SQL}, named AS (SELECT board, ix, place, kind, x, y, CASE WHEN ix % 11 = 0 THEN 'country' ELSE label_class END AS label_class, CASE WHEN ix % 4 = 0 THEN 'P' || ix % 30 || ' ' ELSE 'p' || ix % 30 END AS name FROM ordered),
+box AS (SELECT *, x - 24 * length(name) // 2 AS a, y - 15 AS b, x + 24 * length(name) // 2 AS c, y + 15 AS d, lower(trim(name)) AS key, board * 53 % 900 AS wx, board * 31 % 600 AS wy FROM named),
+judged AS (SELECT *, kind = 'place' AND label_class = 'country' AS excluded, greatest(0, least(c, wx + 300) - greatest(a, wx)) * greatest(0, least(d, wy + 200) - greatest(b, wy)) > 0.02 * (c - a) * (d - b) AS wet,
+  a < 10 OR b < 10 OR c > 1190 OR d > 890 AS leaves, a < 600 AND 400 < c AND b < 500 AND 450 < d AS titled FROM box),
 fold AS (
-  SELECT board, 0::BIGINT AS place, NULL::BIGINT AS ix, '' AS reason, []::STRUCT(a BIGINT, b BIGINT, c BIGINT, d BIGINT, name VARCHAR)[] AS done FROM (SELECT DISTINCT board FROM box)
+  SELECT board, 0::BIGINT AS place, NULL::BIGINT AS ix, '' AS reason, []::STRUCT(a BIGINT, b BIGINT, c BIGINT, d BIGINT, key VARCHAR)[] AS done FROM (SELECT DISTINCT board FROM box)
   UNION ALL
-  SELECT f.board, n.place, n.ix, n.reason, CASE WHEN n.reason = 'placed' THEN list_append(f.done, {{'a': n.a, 'b': n.b, 'c': n.c, 'd': n.d, 'name': n.name}}) ELSE f.done END
-  FROM fold f JOIN LATERAL (SELECT x.*, CASE WHEN list_bool_or(list_transform(f.done, lambda q: q.name = x.name)) THEN 'duplicate' WHEN x.a < 0 OR x.b < 0 OR x.c > 1200 OR x.d > 900 THEN 'outside'
-    WHEN list_bool_or(list_transform(f.done, lambda q: x.a < q.c AND q.a < x.c AND x.b < q.d AND q.b < x.d)) THEN 'collision' ELSE 'placed' END AS reason FROM box x WHERE x.board = f.board AND x.place = f.place + 1) n ON true)
+  SELECT f.board, n.place, n.ix, n.reason, CASE WHEN n.reason = 'placed' THEN list_append(f.done, {{'a': n.a, 'b': n.b, 'c': n.c, 'd': n.d, 'key': n.key}}) ELSE f.done END
+  FROM fold f JOIN LATERAL (SELECT x.*, CASE WHEN excluded THEN 'excluded' WHEN list_bool_or(list_transform(f.done, lambda q: q.key = x.key)) THEN 'duplicate' WHEN leaves THEN 'outside'
+    WHEN titled OR list_bool_or(list_transform(f.done, lambda q: x.a < q.c AND q.a < x.c AND x.b < q.d AND q.b < x.d)) THEN 'collision' WHEN wet THEN 'water' ELSE 'placed' END AS reason FROM judged x WHERE x.board = f.board AND x.place = f.place + 1) n ON true)
 SELECT board, ix, reason FROM fold WHERE place > 0""",
 )
 def label_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.place_labels(_labels(spark, sf_dir), 1200, 900, 24, 30)
+    """Labels on boards with a body of water and a title's box, a tenth of them of a class that gets none, with names that recur in other letters."""
+    i = F.col("ix")
+    labels = _labels(spark, sf_dir).withColumns({"label_class": F.when(i % 11 == 0, "country").otherwise(F.col("label_class")), "name": F.when(i % 4 == 0, F.concat(F.lit("P"), i % 30, F.lit(" "))).otherwise(F.concat(F.lit("p"), i % 30))})
+    boards = labels.select("board").distinct()
+    x, y = F.col("board") * 53 % 900, F.col("board") * 31 % 600
+    at = lambda dx, dy: F.struct((x + dx).cast("long").alias("x"), (y + dy).cast("long").alias("y"))
+    water = boards.select("board", F.array(F.array(at(0, 0), at(300, 0), at(300, 200), at(0, 200), at(0, 0))).alias("rings"))
+    title = boards.select("board", F.lit(400).alias("a"), F.lit(450).alias("b"), F.lit(600).alias("c"), F.lit(500).alias("d"))
+    return op.place_labels(op.over_water(labels, water, 24, 30, 300), 1200, 900, 24, 30, inset=10, keep_out=title)
 
 
 @query("override_join", f"WITH {POINTS}, o AS (SELECT id AS object_id, CASE WHEN id % 2 = 0 THEN lng + 1 END AS lng, CASE WHEN id % 5 = 0 THEN lat - 1 END AS lat FROM points WHERE id % 10 < 6) SELECT p.id AS object_id, coalesce(o.lng, p.lng) AS lng, coalesce(o.lat, p.lat) AS lat, p.name FROM points p LEFT JOIN o ON o.object_id = p.id")
