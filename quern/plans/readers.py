@@ -74,6 +74,34 @@ def captured_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("ix").alias("id"), "kind", "part", "class", "name", "rank", F.size("geometry").cast("long").alias("vertices"))
 
 
+_MAP_LAYERS = ("water", "transportation", "transportation_name", "place", "building")
+_CLASSES = ("motorway", "residential", "footway", "rail", "town", "island")
+_OF_ROADS = "CASE class WHEN 'motorway' THEN 'motorway' WHEN 'residential' THEN 'minor' WHEN 'footway' THEN 'service' END"
+
+
+@query(
+    "map_features",
+    f"""WITH {POLYLINES}, f AS (
+  SELECT id, k, id * 2 + k AS ix, {list(_MAP_LAYERS)}[(id % 5 + 1)::INT] AS layer, {list(_KINDS)}[(id // 5 % 6 + 1)::INT] AS kind, {list(_CLASSES)}[(id // 7 % 6 + 1)::INT] AS class, CASE WHEN id % 4 > 0 THEN 'n' || id END AS name, line
+  FROM polylines, range(2) t(k) WHERE k = 0 OR id % 3 > 0),
+g AS (SELECT *, CASE layer WHEN 'water' THEN 'water' WHEN 'place' THEN 'place' ELSE 'road' END AS of FROM f WHERE layer <> 'building'),
+h AS (SELECT *, CASE of WHEN 'road' THEN {_OF_ROADS} WHEN 'place' THEN CASE WHEN class = 'town' THEN class END END AS label FROM g)
+SELECT of AS kind, ix, part::INT AS part, label AS class, CASE of WHEN 'road' THEN name WHEN 'place' THEN coalesce(name, '') END AS name, CASE part WHEN 0 THEN len(line) ELSE 2 END AS vertices FROM h, range(2) t(part)
+WHERE (part = 0 OR kind LIKE 'Multi%') AND CASE of WHEN 'water' THEN kind LIKE '%Polygon' WHEN 'road' THEN kind LIKE '%LineString' AND label IS NOT NULL ELSE kind = 'Point' AND label IS NOT NULL END""",
+)
+def map_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered features of which a third come twice, as two tiles give them, and others differ in a property alone."""
+    i = F.col("id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    some = lambda when, key, value: F.when(when, F.create_map(F.lit(key), value)).otherwise(F.create_map().cast("map<string,string>"))
+    f = polylines(spark, sf_dir).select(i.alias("feature_id"), F.lit("tiles").alias("source"), pick(_MAP_LAYERS, i).alias("source_layer"), pick(_KINDS, F.floor(i / 5)).alias("geom_type"), pick(_CLASSES, F.floor(i / 7)).alias("class"), "line")
+    i = F.col("feature_id")
+    f = f.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ix", i * 2 + F.col("k"))
+    named = F.map_concat(F.create_map(F.lit("class"), F.col("class")), some(i % 4 > 0, "name", F.concat(F.lit("n"), i.cast("string"))), some((F.col("k") == 1) & (i % 3 > 0), "tunnel", F.lit("1")))
+    f = f.withColumns({"properties": named, "parts": F.when(F.col("geom_type").startswith("Multi"), F.array("line", F.slice("line", 1, 2))).otherwise(F.array("line"))})
+    return readers.map_features(f).select("kind", "ix", "part", "class", "name", F.size("geometry").cast("long").alias("vertices"))
+
+
 _SETTINGS = {"version": 2, "widthMm": 228.6, "heightMm": 228.6, "style": "plain", "labels": True}
 
 

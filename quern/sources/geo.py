@@ -79,6 +79,38 @@ def captured_features(df: DataFrame) -> DataFrame:
     return known.filter(fits).select("kind", "ix", F.posexplode("parts").alias("part", "geometry"), F.try_element_at(p, F.lit("class")).alias("class"), name.alias("name"), F.coalesce(F.try_element_at(p, F.lit("rank")).try_cast("int"), F.lit(99)).alias("rank"))
 
 
+# Source layers of a map's tiles, the road class that each transport class counts as (rails, ferries and lifts are none), and the classes of places.
+MAP_LAYERS = {"water": "water", "transportation": "road", "transportation_name": "road", "place": "place"}
+ROAD_CLASSES = {
+    "motorway": "motorway", "trunk": "trunk", "primary": "primary", "secondary": "secondary", "tertiary": "tertiary", "minor": "minor", "residential": "minor", "unclassified": "minor",
+    "living_street": "minor", "service": "service", "track": "service", "path": "service", "footway": "service", "cycleway": "service", "pedestrian": "service", "bridleway": "service",
+    "steps": "service", "busway": "service", "raceway": "service",
+}
+PLACE_CLASSES = ("city", "town", "village", "hamlet")
+
+
+def map_features(df: DataFrame) -> DataFrame:
+    """(kind, ix, part, class, name, geometry): the water, roads and places of rendered map features, each feature once.
+
+    `df` has ix, source, source_layer, feature_id, geom_type, properties (a map) and parts (lines, rings or points). Neighbouring tiles give a feature several
+    times: rows that agree in all but `ix` are one, and the first stays. They are grouped by a digest, combined before the shuffle, and only the
+    digests and places are shuffled. Roads of a class that is no road's, places of other classes and geometries that don't fit are left out; a missing name of a place is empty.
+    """
+    layers = F.create_map(*(F.lit(x) for kv in MAP_LAYERS.items() for x in kv))
+    roads = F.create_map(*(F.lit(x) for kv in ROAD_CLASSES.items() for x in kv))
+    known = df.withColumn("kind", F.try_element_at(layers, F.col("source_layer"))).filter("kind is not null")
+    properties = F.array_sort(F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,string>"))))
+    mark = F.sha2(F.to_json(F.struct("source", "source_layer", "feature_id", "geom_type", "parts", properties.alias("p"))), 256)
+    first = known.groupBy(mark.alias("mark")).agg(F.min("ix").alias("first")).select("first")
+    once = known.join(first, F.col("ix") == F.col("first"), "left_semi")
+    given = F.try_element_at(F.col("properties"), F.lit("class"))
+    label = F.when(F.col("kind") == "road", F.try_element_at(roads, given)).when((F.col("kind") == "place") & given.isin(*PLACE_CLASSES), given)
+    fits = F.when(F.col("kind") == "water", F.col("geom_type").isin("Polygon", "MultiPolygon")).when(F.col("kind") == "road", F.col("geom_type").isin("LineString", "MultiLineString")).otherwise(F.col("geom_type") == "Point")
+    name = F.try_element_at(F.col("properties"), F.lit("name"))
+    out = once.withColumns({"class": label, "name": F.when(F.col("kind") == "place", F.coalesce(name, F.lit(""))).when(F.col("kind") == "road", name)})
+    return out.filter(fits & ((F.col("kind") == "water") | F.col("class").isNotNull())).select("kind", "ix", F.posexplode("parts").alias("part", "geometry"), "class", "name").select("kind", "ix", "part", "class", "name", "geometry")
+
+
 def _places(df: DataFrame, rows: Column, most: int) -> DataFrame:
     keys = [c for c in df.columns if c != "json"]
     out = df.select(*keys, F.posexplode(F.slice(F.filter(rows, lambda r: r["lng"].isNotNull() & r["lat"].isNotNull() & (r["label"] != "")), 1, most)).alias("place", "r"))
