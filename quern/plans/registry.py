@@ -24,7 +24,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quern.plans import bands, bridges, features, frames, grids, lines, more, readers, scalars, settings, shapes, state, surfaces  # noqa: F401
+    from quern.plans import bands, bridges, features, frames, grids, lines, more, readers, scalars, settings, shapes, state, surfaces, tiles  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -33,6 +33,12 @@ def pixels(content: bytes) -> np.ndarray:
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             data += body
+        elif kind == b"IEND":
+            break
+    else:
+        raise ValueError("a PNG that is cut short")
+    if head is None:
+        raise ValueError("a PNG without a header")
     width, height, depth, colour, _, _, interlaced = head
     if depth != 8 or interlaced or colour not in CHANNELS:
         raise ValueError("a PNG of 8 bits without interlacing is needed")

@@ -192,3 +192,14 @@ def test_svg_and_zip(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out/board=1").first()[0] == text
     content = svg.zipped(drawn.select("board", F.lit("a.svg").alias("name"), "svg")).first()["content"]
     assert zipfile.ZipFile(io.BytesIO(content)).read("a.svg").decode() == text
+
+
+def test_a_png_that_is_cut_short_is_refused():
+    from quern.plans.tiles import encoded
+
+    image = np.arange(6 * 4 * 3).reshape(6, 4, 3) * 7 % 256
+    whole = encoded(image)
+    assert (png.pixels(whole) == image).all()
+    for bad in (whole[:-12], whole[:8], b"GIF89a" + whole, png.SIGNATURE + whole[-12:]):
+        with pytest.raises(ValueError, match="PNG"):
+            png.pixels(bad)
