@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quern.llm.common import shared_folder
+from quern.llm.common import cut, shared_folder
 from quern.llm.tokens import byte_letters
 
 END = 2
@@ -57,14 +58,10 @@ _HEADER = 8
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
     """The number of bits of each unsigned 64-bit integer, exactly."""
-    out = np.zeros(len(values), np.int64)
-    rest = values.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        big = high > 0
-        out[big] += step
-        rest[big] = high[big]
-    return out + (rest > 0)
+    high = values >> np.uint64(32)
+    low = values & np.uint64(0xFFFFFFFF)
+    # A float's exponent is exact for less than 53 bits.
+    return np.where(high > 0, np.frexp(high.astype(float))[1] + 32, np.frexp(low.astype(float))[1])
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +72,15 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     room = np.minimum(block - place % block, n - place)
     # The densest selector whose values fit, at every place; a block's last word may hold fewer than its selector says.
     choice = np.zeros(n, np.int64)
-    for s in reversed(_USED):
-        fits = width <= WIDTHS[s]
-        # The next place that doesn't fit, seen from each.
-        gap = np.minimum.accumulate(np.where(fits, n, place)[::-1])[::-1]
-        choice[fits & (gap - place >= np.minimum(COUNTS[s], room))] = s
+    for s in _USED:
+        fit = np.flatnonzero(width <= WIDTHS[s])
+        # How far the values fit from here on, without a gap.
+        last = np.append(np.flatnonzero(np.diff(fit) != 1), fit.size - 1) if fit.size else fit
+        run = np.repeat(fit[last], np.diff(last, prepend=-1)) + 1 - fit
+        here = fit[(run >= np.minimum(COUNTS[s], room[fit])) & (choice[fit] == 0)]
+        choice[here] = s
+        if (choice > 0).all():
+            break
     taken = np.minimum(COUNTS[choice], room)
     at, starts, step = 0, [], taken.tolist()
     while at < n:
@@ -93,9 +94,11 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         if s == 0:
             words[mine] |= np.arange(mine.size, dtype=np.uint64)
             continue
-        for k in range(int(COUNTS[s])):
-            have = mine[k < taken[start[mine]]]
-            words[have] |= values[start[have] + k] << np.uint64(k * WIDTHS[s])
+        first, have = start[mine], taken[start[mine]]
+        for k in range(int(have.max())):
+            if have.min() <= k:
+                mine, first, have = mine[have > k], first[have > k], have[have > k]
+            words[mine] |= values[first + k] << np.uint64(k * WIDTHS[s])
     return words, np.searchsorted(start, np.arange(0, n, block)), values[start[chosen == 0]]
 
 
@@ -155,13 +158,16 @@ class ByteBpe:
 
     The vocabulary's rules split a text to pieces before any merge: a word with the space before it, a number, a
     run of signs, or white space. A piece's ids don't depend on its neighbours, so each is merged once by
-    the library's model and kept in a cache, which is emptied when it is full. Texts in which the library's and
-    Python's notions of white space differ, or with what may be a special token, go through the library whole.
+    the library's model and kept in a cache, which gives up what is not used again when it is full. A text is cut at spaces and line ends first, and at
+    all white space where two such characters meet. Texts in which the library's and Python's notions of
+    white space differ, or with what may be a special token, go through the library whole.
     """
 
-    CACHED = 300_000
+    CACHED = 250_000
     _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    _WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+    _MEET = re.compile(r"\s\s")
+    _MARKS = frozenset(",.;:!?")
+    _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         import regex
@@ -172,7 +178,8 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_letters()))
         # Fixed value: the split of byte-level vocabularies.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.units = _Cache(self._unit, self.CACHED)
+        # A word by what stands before it: nothing is a space, a line end is itself.
+        self.spaced = _Cache(lambda x: self._unit(x if x[:1] == "\n" else f" {x}"), self.CACHED)
         self.known = _Cache(self._piece, self.CACHED)
 
     @staticmethod
@@ -181,26 +188,38 @@ class ByteBpe:
         return ByteBpe(path)
 
     def __call__(self, text: str) -> bytes:
-        if self._WHOLE.search(text):
+        if any(x in text for x in self._WHOLE):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.units.__getitem__, self._UNIT.findall(text)))
+        if self._MEET.search(text):
+            return b"".join([self.spaced[x[1:]] if x[0] == " " and x[1:2] != "\n" else self._unit(x) for x in self._UNIT.findall(text)])
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._unit(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def _unit(self, unit: str) -> bytes:
+        if unit.removeprefix(" ").isalpha():
+            return self.known[unit]
+        if unit[-1:] in self._MARKS and unit[:-1].removeprefix(" ").isalpha():
+            return self.known[unit[:-1]] + self.known[unit[-1]]
         return b"".join(map(self.known.__getitem__, self.pieces(unit)))
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([token.id for token in self.model.tokenize(spelled)], "<u4").tobytes()
+        spelled = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(spelled)]).tobytes()
 
 
 class _Cache(dict):
+    """Made values by key. When `most` are held, all but those that are used again before the next `most` are given up."""
+
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
@@ -276,7 +295,7 @@ def _read(spark: SparkSession, folder: str, made, column: str, kind: pa.DataType
 
     files = spark.read.format("binaryFile").load(folder).select("content")
     # One row per record, thousands of documents each; the window runs over partitions first, then within them.
-    heads = files.mapInArrow(totals, "partition long, number long, n long")
+    heads = cut(files.mapInArrow(totals, "partition long, number long, n long"))
     whole = heads.groupBy("partition").agg(F.sum("n").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = whole.select("partition", before(Window.orderBy("partition")).alias("first"))

@@ -69,9 +69,11 @@ def test_cached_pieces_equal_the_library():
         assert np.frombuffer(mine(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_a_full_cache_starts_anew():
-    cache = tf._Cache(str.encode, 2)
-    assert [cache[x] for x in "abca"] == [b"a", b"b", b"c", b"a"] and len(cache) <= 2
+def test_a_full_cache_gives_up_what_is_not_used_again():
+    made = []
+    cache = tf._Cache(lambda x: made.append(x) or x.encode(), 2)
+    assert [cache[x] for x in "abcadcea"] == [x.encode() for x in "abcadcea"]
+    assert len(cache) <= 2 and made.count("c") == 1 and made.count("d") == 1
 
 
 def rows():
