@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.areas import _cells, _segments
-from quern.operators.graph import checkpointed
+from quern.operators.areas import _segments
 
 #: The distance between stations, and what is left out at either end: a share of the line, and that much at most (micrometres).
 STEP, END_SHARE, END_MOST = 250, 0.1, 2000.0
@@ -37,27 +36,11 @@ def _distance() -> Column:
 def least_widths(lines: DataFrame, rings: DataFrame, reach: int, step: int = STEP, group: str = "board") -> DataFrame:
     """(group, id, width): twice the least distance of a line's stations from the edges of its group's rings (group, ring); 0 without stations or edges.
 
-    The search goes by rounds of growing cells. In a round of cells as wide as the reach a station meets the edges in its own and the eight cells around,
-    which are all within reach. A line is done when a distance is within reach, as no later round can find a lesser one; the others go on with twice
-    the reach. So an edge is met about as far away as it needs to be, and no line meets all edges.
+    A group's lines and rings are bounded by the capture limits, so its stations meet its edges in one equi-join, and an edge is one row however large its box is.
+    Edges are many more than Spark takes from the size of the table, so the join is told to shuffle and not to broadcast them. `reach` changes no result: it is where
+    a search by rounds of cells would begin.
     """
-    every = checkpointed(stations(lines, step, group))
-    edges = checkpointed(_segments(rings, "ring", F.col(group).alias("g")).select("g", "x", "y", "x2", "y2"))
-    left = every.join(edges.select(F.col("g").alias(group)).distinct(), group, "left_semi")
-    found = []
-    around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    while not left.isEmpty():
-        listed = edges.withColumn("cx", F.explode(_cells(F.least("x", "x2"), F.greatest("x", "x2"), reach))).withColumn("cy", F.explode(_cells(F.least("y", "y2"), F.greatest("y", "y2"), reach)))
-        at = left.withColumn("n", F.explode(around)).withColumns({"sx": F.floor(F.col("px") / reach) + F.col("n.a"), "sy": F.floor(F.col("py") / reach) + F.col("n.b")})
-        near = at.join(listed, (F.col(group) == F.col("g")) & (F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy")))
-        best = checkpointed(near.groupBy(group, "id").agg(F.min(_distance()).alias("distance")).filter(F.col("distance") <= reach))
-        found.append(best)
-        left = checkpointed(left.join(best.select(group, "id"), [group, "id"], "left_anti"))
-        reach *= 2
-    out = lines.select(group, "id")
-    if not found:
-        return out.withColumn("width", F.lit(0.0))
-    done = found[0]
-    for more in found[1:]:
-        done = done.union(more)
-    return out.join(done, [group, "id"], "left").select(group, "id", F.coalesce(F.col("distance") * 2, F.lit(0.0)).alias("width"))
+    edges = _segments(rings, "ring", F.col(group).alias("g")).select("g", "x", "y", "x2", "y2").distinct()
+    near = stations(lines, step, group).join(edges.hint("shuffle_hash"), F.col(group) == F.col("g"))
+    best = near.groupBy(group, "id").agg(F.min(_distance()).alias("distance"))
+    return lines.select(group, "id").join(best, [group, "id"], "left").select(group, "id", F.coalesce(F.col("distance") * 2, F.lit(0.0)).alias("width"))

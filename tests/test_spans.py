@@ -49,3 +49,11 @@ def test_widths_equal_all_pairs(spark):
         assert got[k] == pytest.approx(plain(line, rings.get(k[0], []), 250)), k
     assert got[3, 9] == 80 and got[4, 0] == 0 and got[1, 9] == 0
     assert {r["width"] for r in spans.least_widths(df, shores.filter(F.lit(False)), 300).collect()} == {0.0}
+
+
+def test_an_edge_is_one_row_however_large_its_box_is(spark):
+    far = 4_000_000_000
+    lines = spark.createDataFrame([(0, 1, [(1000, 500), (3000, 500)])], f"board long, id long, line {RING}")
+    shores = spark.createDataFrame([(0, [(0, 0), (far, 0), (far, far), (0, far), (0, 0)])], f"board long, ring {RING}")
+    found = spans.least_widths(lines, shores, 1)
+    assert [(r["id"], r["width"]) for r in found.collect()] == [(1, 1000.0)]
