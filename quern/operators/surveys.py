@@ -45,9 +45,13 @@ def matches(points: DataFrame, outlines: DataFrame, waters: DataFrame, cell: int
     `points` (key, x, y) has surveys' deep points, `outlines` (key, ring) their contours, of which the largest is a survey's outline, and `waters` (body, rings) an
     outline with holes each. A survey with a point in a body is matched by `point`; any other by `overlap`, if at least `share` of the smaller of both areas is common.
     """
-    edges = _segments(waters.select("body", F.explode("rings").alias("ring")), "ring", F.lit(0).alias("ring_group"), F.col("body"))
-    at = points.select(F.lit(0).alias("group"), "key", F.monotonically_increasing_id().alias("n"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("y") / cell).alias("cy"))
-    by_point = _ray_hits(at, edges, cell).groupBy("key", "n", "body").agg(F.count("*").alias("hits")).filter("hits % 2 = 1").select("key", "body").distinct()
+    edges = _segments(waters.select("body", F.explode("rings").alias("ring")), "ring", F.col("body").alias("ring_group"))
+    # A point is only held against the waters whose box covers its cell.
+    celled = lambda df: df.withColumn("cx", F.explode(_cells(F.col("b.min_x"), F.col("b.max_x"), cell))).withColumn("cy", F.explode(_cells(F.col("b.min_y"), F.col("b.max_y"), cell)))
+    boxes = celled(waters.select("body", bounds(F.flatten("rings")).alias("b")))
+    at = points.select("key", F.monotonically_increasing_id().alias("n"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    at = at.join(boxes, ["cx", "cy"]).select(F.col("body").alias("group"), "key", "n", "px", "py", "cy")
+    by_point = _ray_hits(at, edges, cell).groupBy("key", "n", "group").agg(F.count("*").alias("hits")).filter("hits % 2 = 1").select("key", F.col("group").alias("body")).distinct()
     by_point = checkpointed(by_point)
     largest = outlines.groupBy("key").agg(F.min(F.struct((-F.abs(double_area(F.col("ring")))).alias("minus"), "ring"))["ring"].alias("outer"))
     left = largest.select(F.col("key").alias("id"), F.array("outer").alias("rings"))

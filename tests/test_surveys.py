@@ -62,3 +62,20 @@ def test_depths_come_from_all_matched_surveys(spark):
     got = {r["depth"]: r["area"] for r in sv.measured_depths(found, contours, least_area=100.0).collect()}
     assert got == {5: pytest.approx(2 * 800 * 800), 10: pytest.approx(400 * 400)}
     assert sv.matches(points.filter(F.lit(False)), contours.select("key", "ring").filter(F.lit(False)), waters, 500).count() == 0
+
+
+def test_points_are_held_against_waters_near_them_only(spark):
+    from quern.operators import surveys
+
+    box = lambda x: [[(x, 0), (x + 900, 0), (x + 900, 900), (x, 900), (x, 0)]]
+    n, ring = 40, "array<struct<x: long, y: long>>"
+    waters = spark.createDataFrame([(k, box(k * 2000)) for k in range(n)], f"body long, rings array<{ring}>")
+    points = spark.createDataFrame([(k, k * 2000 + 100, 100) for k in range(n)], "key long, x long, y long")
+    met = []
+    hits, surveys._ray_hits = surveys._ray_hits, lambda at, edges, cell: (met.append(at.count()), hits(at, edges, cell))[1]
+    try:
+        found = surveys.matches(points, spark.createDataFrame([], f"key long, ring {ring}"), waters, 1000).collect()
+    finally:
+        surveys._ray_hits = hits
+    assert sorted((r["key"], r["body"], r["how"]) for r in found) == [(k, k, "point") for k in range(n)]
+    assert met == [n]
