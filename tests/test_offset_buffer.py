@@ -34,3 +34,13 @@ def test_every_ring_counts_whole(spark, tmp_path):
             want = sampled(ring, d)
             assert abs(got[i][name] - want) < 0.01 * sampled(ring, 500.0)
         assert got[i]["outlines"] > 0
+
+
+def test_a_kernel_hands_on_its_rows_as_it_goes(spark, monkeypatch):
+    from quern.operators import polygons as poly
+
+    monkeypatch.setattr(poly, "MOST_HELD", 10)
+    box = lambda k: [[(0, 0), (k + 9, 0), (k + 9, 10), (0, 10), (0, 0)]]
+    df = spark.createDataFrame([(k, box(k) if k % 5 else None) for k in range(12)], f"id long, rings {poly.RINGS}").coalesce(1)
+    got = {r["id"]: (r["area"], len(r["out"])) for r in poly.normalized(df, "rings", "out").collect()}
+    assert got == {k: ((k + 9) * 10.0, 1) if k % 5 else (0.0, 0) for k in range(12)}
