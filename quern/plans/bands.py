@@ -22,8 +22,9 @@ def _contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = F.min("v"), F.max("v")
     heights = v.groupBy("board").agg(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.floor(low + k * (high - low) / 5)).alias("t")).select("board", F.explode("t").alias("threshold"))
     ring = F.transform("path", lambda p: F.struct(F.round(p["x"] * 1000).cast("long").alias("x"), F.round(p["y"] * 1000).cast("long").alias("y")))
-    traced = checkpointed(ct.traced(checkpointed(closed_grid(v, SIDE)), checkpointed(heights)))
-    closed = traced.select(F.struct("board", "threshold").alias("group"), F.col("line").alias("id"), F.concat(ring, F.slice(ring, 1, 1)).alias("ring"))
+    traced = ct.traced(closed_grid(v, SIDE), heights)
+    # Rings are made once and kept; else a filter on a ring makes it anew for each of its vertices.
+    closed = checkpointed(traced.select(F.struct("board", "threshold").alias("group"), F.col("line").alias("id"), F.concat(ring, F.slice(ring, 1, 1)).alias("ring")))
     return closed.filter(double_area(F.col("ring")) != 0)
 
 
