@@ -8,13 +8,22 @@ and inside and outside alternate along every line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quern.functions import geometry as geo
 
 #: Pieces of a segment shorter than this share of it are dropped.
 LEAST_SHARE = 1e-12
+#: Coordinates are below this, so that turns are exact in 64 bits; and how many segments meet eight times as many edges at once.
+LARGEST, BLOCK = 1 << 30, 128
 
 
 def _cells(lo: Column, hi: Column, cell: int) -> Column:
@@ -41,38 +50,108 @@ def _line_left(turn: Column, ex: Column, ey: Column) -> Column:
     return (turn > 0) | ((turn == 0) & ((ey > 0) | ((ey == 0) & (ex < 0))))
 
 
-def crossing_places(lines: DataFrame, rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
-    """(group, id, i, t): the places t on segments i of lines at which edges of the group's rings cross them.
+def _coordinates(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vertices (x, y) of all lines of a column, and each vertex's line and place on it, from 1."""
+    at, owner, place, first = [], [], [], 0
+    for chunk in column.chunks:
+        sizes = np.nan_to_num(pc.list_value_length(chunk).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        points = chunk.flatten()
+        xy = np.column_stack([pc.struct_field(points, k).to_numpy(zero_copy_only=False) for k in ("x", "y")])
+        if xy.dtype.kind != "i" or (len(xy) and np.abs(xy).max() >= LARGEST):
+            raise ValueError("a line has a coordinate that is missing, not whole or too large")
+        at.append(xy.astype(np.int64))
+        owner.append(np.repeat(np.arange(len(chunk)) + first, sizes))
+        place.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
+        first += len(chunk)
+    return np.concatenate([np.zeros((0, 2), np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([np.zeros(0, np.int64), *place])
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments (x, y, x2, y2) of all lines of a column, without those of no length, and each one's line and place on it, from 1."""
+    at, owner, place = _coordinates(column)
+    s = np.concatenate([at[:-1], at[1:]], axis=1)
+    real = (owner[:-1] == owner[1:]) & (s[:, :2] != s[:, 2:]).any(axis=1)
+    return s[real], owner[:-1][real], place[:-1][real]
+
+
+def _met(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (segment, t), in order, at which edges cross segments. Blocks of segments meet the edges that begin before the block's end and end after its begin."""
+    low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    order = np.argsort(low, kind="stable")
+    e, low, top = e[order], low[order], np.maximum.accumulate(high[order])
+    left, right = np.minimum(s[:, 0], s[:, 2]), np.maximum(s[:, 0], s[:, 2])
+    by = np.argsort(left, kind="stable")
+    at, places = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k in range(0, len(s), BLOCK):
+        mine = by[k : k + BLOCK]
+        stop = int(np.searchsorted(low, right[mine].max(), "right"))
+        for j in range(int(np.searchsorted(top, left[mine[0]])), stop, BLOCK * 8):
+            x, y, x2, y2 = (s[mine, c][:, None] for c in range(4))
+            px, py, qx, qy = (e[j : min(stop, j + BLOCK * 8), c] for c in range(4))
+            dx, dy, ex, ey = x2 - x, y2 - y, qx - px, qy - py
+            ring = [_ring_left(_turn(x, y, dx, dy, a, b), dx, dy) for a, b in ((px, py), (qx, qy))]
+            turns = [_turn(px, py, ex, ey, a, b) for a, b in ((x, y), (x2, y2))]
+            line = [_line_left(t, ex, ey) for t in turns]
+            i, m = np.nonzero((ring[0] != ring[1]) & (line[0] != line[1]))
+            # The segment's ends lie on either side of the edge, in proportion to their turns.
+            at.append(mine[i])
+            places.append(turns[0][i, m].astype(float) / (turns[0] - turns[1])[i, m].astype(float))
+    at, places = np.concatenate(at), np.concatenate(places)
+    order = np.lexsort((places, at))
+    return at[order], places[order]
+
+
+def _started(x: np.ndarray, y: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Whether points lie inside, by the edges on a ray to their right. Shifted upwards, a vertex at the ray's height is above it."""
+    odd = np.zeros(len(x), bool)
+    e = e[e[:, 1] != e[:, 3]]
+    for k in range(0, len(x), BLOCK):
+        a, b = x[k : k + BLOCK, None], y[k : k + BLOCK, None]
+        for j in range(0, len(e), BLOCK * 8):
+            px, py, qx, qy = e[j : j + BLOCK * 8].T
+            before = _line_left(_turn(px, py, qx - px, qy - py, a, b), qx - px, qy - py) == (qy > py)
+            odd[k : k + BLOCK] ^= (((py >= b) != (qy >= b)) & before).sum(axis=1) % 2 == 1
+    return odd
+
+
+def _cut(lines: pa.Table, rings: pa.Table) -> dict[str, np.ndarray]:
+    """The pieces of a group's lines along every line: `of`, the line's row, and i, t0, t1, inside, x0, y0, x1, y1."""
+    s, of, i = _joined(lines.column("line"))
+    e, _, _ = _joined(rings.column("ring"))
+    at, t = _met(s, e)
+    n = np.bincount(at, minlength=len(s))
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(s) else np.zeros(0, np.int64)
+    line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
+    crossed = np.cumsum(n) - n
+    before = crossed - crossed[first][line] + _started(s[first, 0], s[first, 1], e)[line]
+    # A segment with n places has n + 1 pieces.
+    seg = np.repeat(np.arange(len(s)), n + 1)
+    k = np.arange(len(seg)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    t0, t1 = np.zeros(len(seg)), np.ones(len(seg))
+    t0[k > 0], t1[k < n[seg]] = t, t
+    out = {"of": of[seg], "i": i[seg].astype(np.int32), "t0": t0, "t1": t1, "inside": (before[seg] + k) % 2 == 1}
+    # A segment's ends are its vertices, without rounding.
+    for name, share in (("0", t0), ("1", t1)):
+        for c, axis in enumerate("xy"):
+            a, b = s[seg, c], s[seg, c + 2]
+            out[axis + name] = np.where(share == 1, b.astype(float), a.astype(float) + (b - a).astype(float) * share)
+    held = t1 - t0 >= LEAST_SHARE
+    return {name: v[held] for name, v in out.items()}
+
+
+def in_groups(lines: DataFrame, rings: DataFrame, group: str, made: Callable[[pa.Table, dict[str, np.ndarray]], dict[str, pa.Array | np.ndarray]], schema: StructType) -> DataFrame:
+    """`made` of each group's lines (group, id, line, ..) and their pieces. Lines and rings are shuffled once, as they are; what a group holds is bounded by the capture limits.
 
-    An equi-join on the cells that segments' and edges' boxes cover; a pair is taken in the first cell that both cover.
+    Pieces and what follows from them are many times the lines, so they are made in the group and never shuffled.
     """
-    boxed = lambda s: s.withColumns({"lx": F.least("x", "x2"), "hx": F.greatest("x", "x2"), "ly": F.least("y", "y2"), "hy": F.greatest("y", "y2")})
-    celled = lambda s: boxed(s).withColumn("cx", F.explode(_cells(F.col("lx"), F.col("hx"), cell))).withColumn("cy", F.explode(_cells(F.col("ly"), F.col("hy"), cell)))
-    a = celled(_segments(lines, "line", F.col(group).alias("group"), F.col("id"))).alias("a")
-    b = celled(_segments(rings, "ring", F.col(group).alias("group"))).alias("b")
-    c = lambda side, k: F.col(f"{side}.{k}")
-    meet = (c("a", "lx") <= c("b", "hx")) & (c("b", "lx") <= c("a", "hx")) & (c("a", "ly") <= c("b", "hy")) & (c("b", "ly") <= c("a", "hy"))
-    first = (c("a", "cx") == F.floor(F.greatest(c("a", "lx"), c("b", "lx")) / cell)) & (c("a", "cy") == F.floor(F.greatest(c("a", "ly"), c("b", "ly")) / cell))
-    both = a.join(b, [c("a", k) == c("b", k) for k in ("group", "cx", "cy")] + [meet, first])
-    d = {"dx": c("a", "x2") - c("a", "x"), "dy": c("a", "y2") - c("a", "y"), "ex": c("b", "x2") - c("b", "x"), "ey": c("b", "y2") - c("b", "y")}
-    of = lambda side, x, y, dx, dy, q, k: _turn(c(side, x), c(side, y), dx, dy, c(q, f"x{k}"), c(q, f"y{k}"))
-    turns = {f"ring{k}": of("a", "x", "y", d["dx"], d["dy"], "b", k) for k in ("", "2")} | {f"line{k}": of("b", "x", "y", d["ex"], d["ey"], "a", k) for k in ("", "2")}
-    sided = both.select(c("a", "group").alias("group"), c("a", "id").alias("id"), c("a", "i").alias("i"), *(v.alias(k) for k, v in (d | turns).items()))
-    ring = [_ring_left(F.col(f"ring{k}"), F.col("dx"), F.col("dy")) for k in ("", "2")]
-    line = [_line_left(F.col(f"line{k}"), F.col("ex"), F.col("ey")) for k in ("", "2")]
-    # The segment's ends lie on either side of the edge, in proportion to their turns.
-    t = F.col("line").cast("double") / (F.col("line") - F.col("line2")).cast("double")
-    met = sided.filter((ring[0] != ring[1]) & (line[0] != line[1]))
-    return met.select(F.col("group").alias(group), "id", "i", t.alias("t"))
-
-
-def starts_inside(lines: DataFrame, rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
-    """(group, id): the lines whose first vertex lies inside, by the edges on a ray to its right. An equi-join on rows of cells."""
-    # The first segment of some length tells where a line starts.
-    segs = _segments(lines, "line", F.col(group).alias("group"), F.col("id"))
-    at = segs.groupBy("group", "id").agg(F.min_by(F.struct("x", "y"), "i").alias("p")).select("group", "id", F.col("p.x").alias("px"), F.col("p.y").alias("py")).withColumn("cy", F.floor(F.col("py") / cell))
-    odd = _ray_hits(at, _segments(rings, "ring", F.col(group).alias("ring_group")), cell).groupBy("group", "id").agg(F.count("*").alias("n")).filter("n % 2 = 1")
-    return odd.select(F.col("group").alias(group), "id")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = made(left, _cut(left, right)) if left.num_rows else {}
+        return pa.table([pa.array(columns[f.name], types[f.name]) if f.name in columns else pa.nulls(0, types[f.name]) for f in schema], names=schema.names)
+
+    types = {f.name: f.type for f in to_arrow_schema(schema)}
+    given = rings.select(F.col(group).alias("_group"), "ring").filter("_group is not null")
+    return lines.filter(F.size("line") >= 2).groupBy(group).cogroup(given.groupBy("_group")).applyInArrow(work, schema)
 
 
 def _ray_hits(at: DataFrame, edges: DataFrame, cell: int) -> DataFrame:
@@ -93,20 +172,39 @@ def rings_around(points: DataFrame, rings: DataFrame, cell: int) -> DataFrame:
     return hits.groupBy("group", "pid", "id").agg(F.count("*").alias("n")).filter("n % 2 = 1").drop("n")
 
 
-def pieces(lines: DataFrame, rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
-    """(group, id, i, t0, t1, inside, x0, y0, x1, y1): the segments of lines, cut where the group's rings cross them."""
-    crossed = crossing_places(lines, rings, cell, group).groupBy(group, "id", "i").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    inside = starts_inside(lines, rings, cell, group).withColumn("started", F.lit(1))
-    segs = _segments(lines, "line", F.col(group), F.col("id")).join(crossed, [group, "id", "i"], "left").join(inside, [group, "id"], "left")
-    ts = F.coalesce("ts", F.array().cast("array<double>"))
-    before = F.coalesce(F.sum(F.size(ts)).over(Window.partitionBy(group, "id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = segs.withColumns({"ts": F.concat(F.array(F.lit(0.0)), ts, F.array(F.lit(1.0))), "before": before + F.coalesce("started", F.lit(0))})
-    spans = F.transform(F.slice("ts", F.lit(2), F.size("ts") - 1), lambda t1, k: F.struct(F.get(F.col("ts"), k).alias("t0"), t1.alias("t1"), ((F.col("before") + k) % 2 == 1).alias("inside")))
-    out = cut.select(group, "id", "i", "x", "y", "x2", "y2", F.explode(spans).alias("p")).filter(F.col("p.t1") - F.col("p.t0") >= LEAST_SHARE)
-    # A segment's ends are its vertices, without rounding.
-    at = lambda k, t: F.when(t == 1, F.col(f"{k}2").cast("double")).otherwise(F.col(k).cast("double") + (F.col(f"{k}2") - F.col(k)).cast("double") * t)
-    places = {f"{k}{n}": at(k, F.col(f"p.t{n}")) for n in (0, 1) for k in ("x", "y")}
-    return out.select(group, "id", "i", "p.*", *(v.alias(k) for k, v in places.items()))
+def pieces(lines: DataFrame, rings: DataFrame, cell: int = 0, group: str = "board") -> DataFrame:
+    """(group, id, i, t0, t1, inside, x0, y0, x1, y1): the segments of lines, cut where the group's rings cross them. `cell` has no effect: a group meets as arrays."""
+    schema = StructType([lines.schema[group], lines.schema["id"]]).add("i", "integer").add("t0", "double").add("t1", "double").add("inside", "boolean")
+    for k in ("x0", "y0", "x1", "y1"):
+        schema = schema.add(k, "double")
+    return in_groups(lines.select(group, "id", "line"), rings, group, lambda table, cut: {c: table.column(c).take(pa.array(cut["of"])).combine_chunks() for c in (group, "id")} | cut, schema)
+
+
+RUN = "run long, inside boolean, first int, t0 double, last int, t1 double, length double, starts boolean, ends boolean, line array<struct<x: double, y: double>>"
+
+
+def run_columns(cut: dict[str, np.ndarray]) -> dict[str, pa.Array | np.ndarray]:
+    """The longest stretches of lines inside or outside, from `_cut`: RUN's columns, `of`, and `piece`, the first piece of each."""
+    of, inside = cut["of"], cut["inside"]
+    turns = np.append(True, of[1:] != of[:-1])[: len(of)]
+    new = turns | np.append(True, inside[1:] != inside[:-1])[: len(of)]
+    a = np.flatnonzero(new)
+    n = np.diff(np.append(a, len(of)))
+    z = a + n - 1
+    opens = turns[a]
+    number = np.arange(len(a)) - np.maximum.accumulate(np.where(opens, np.arange(len(a)), 0)) + 1
+    size = np.sqrt((cut["x1"] - cut["x0"]) ** 2 + (cut["y1"] - cut["y0"]) ** 2)
+    vertex = np.repeat(np.arange(len(a)), n) + np.arange(len(of)) + 1
+    xy = []
+    for k in "xy":
+        v = np.empty(len(of) + len(a))
+        v[vertex], v[a + np.arange(len(a))] = cut[f"{k}1"], cut[f"{k}0"][a]
+        xy.append(pa.array(v))
+    ends = np.append(opens[1:], True)[: len(a)]
+    return {
+        "of": of[a], "piece": a, "run": number, "inside": inside[a], "first": cut["i"][a], "t0": cut["t0"][a], "last": cut["i"][z], "t1": cut["t1"][z], "length": np.add.reduceat(size, a) if len(a) else size,
+        "starts": opens, "ends": ends, "line": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n + 1)).astype(np.int32)), pa.StructArray.from_arrays(xy, ["x", "y"])),
+    }
 
 
 def runs(cut: DataFrame, group: str = "board") -> DataFrame:
@@ -128,6 +226,17 @@ def runs(cut: DataFrame, group: str = "board") -> DataFrame:
     return out.withColumns({"starts": F.col("run") == 1, "ends": F.col("run") == F.col("runs"), "line": line}).drop("runs", "parts", "start")
 
 
-def lines_in_areas(lines: DataFrame, rings: DataFrame, cell: int, group: str = "board") -> DataFrame:
-    """`runs` inside the group's rings: the lines clipped to the area."""
-    return runs(pieces(lines, rings, cell, group), group).filter("inside")
+def stretches(lines: DataFrame, rings: DataFrame, group: str = "board") -> DataFrame:
+    """`runs` of lines and rings, made in one group without a shuffle of pieces."""
+    schema = StructType([lines.schema[group], lines.schema["id"], *StructType.fromDDL(RUN).fields])
+
+    def made(table: pa.Table, cut: dict[str, np.ndarray]) -> dict[str, pa.Array | np.ndarray]:
+        out = run_columns(cut)
+        return {c: table.column(c).take(pa.array(out["of"])).combine_chunks() for c in (group, "id")} | out
+
+    return in_groups(lines.select(group, "id", "line"), rings, group, made, schema)
+
+
+def lines_in_areas(lines: DataFrame, rings: DataFrame, cell: int = 0, group: str = "board") -> DataFrame:
+    """`stretches` inside the group's rings: the lines clipped to the area. `cell` has no effect."""
+    return stretches(lines, rings, group).filter("inside")

@@ -8,76 +8,107 @@ other a dead end. A tunnel has no deck.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.operators import polygons as poly
-from quern.operators.areas import pieces, runs
-from quern.operators.graph import checkpointed, components
+from quern.operators.areas import RUN, in_groups, pieces, run_columns
 
 #: Fixed values, in micrometres: how close a node and a stretch are one place, how near the edge is the edge, and the width below which a tab is reported.
 TOUCH, EDGE, LEAST_WIDTH = 10.0, 0.001, 3000
 
 
-def _key(x: Column, y: Column) -> Column:
-    """A place to a tenth of a micrometre."""
-    tenth = lambda c: F.floor(c * 10 + 0.5).cast("long")
-    return F.struct(tenth(x).alias("kx"), tenth(y).alias("ky"))
-
-
-def crossings(roads: DataFrame, water: DataFrame, width: int, height: int, cell: int, group: str = "board") -> DataFrame:
+def crossings(roads: DataFrame, water: DataFrame, width: int, height: int, cell: int = 0, group: str = "board", lined: bool = True) -> DataFrame:
     """(group, id, run, first, t0, last, t1, length, line, exits, root, bridge): the stretches of roads (group, id, line, tunnel) over water, but for tunnels'.
 
     `exits` counts the ends on land of the stretch, `root` is the first stretch of its crossing, and `bridge` tells whether the crossing has two or more.
+    A `width` of roads is kept; `line` is left out unless `lined`. Roads and water of a group meet in one task, so neither pieces nor ends are shuffled; `cell` has no effect.
     """
-    cut = checkpointed(runs(pieces(roads.filter(F.size("line") >= 2), water, cell, group), group))
-    ends = lambda r: F.array(
-        F.struct(F.lit(0).alias("side"), F.col("starts").alias("last"), F.element_at("line", 1).alias("p")), F.struct(F.lit(1).alias("side"), F.col("ends").alias("last"), F.element_at("line", -1).alias("p"))
-    )
-    every = cut.select(group, "inside", F.struct("id", "run").alias("node"), F.explode(ends(cut)).alias("e")).select(group, "inside", "node", F.col("e.last").alias("line_end"), F.col("e.p.x").alias("x"), F.col("e.p.y").alias("y"))
-    every = every.withColumn("key", _key(F.col("x"), F.col("y")))
-    dry = every.filter("not inside and line_end").select(group, "key").distinct().withColumn("dry", F.lit(True))
-    edge = (F.col("x") <= EDGE) | (F.col("y") <= EDGE) | (F.col("x") >= width - EDGE) | (F.col("y") >= height - EDGE)
-    tunnels = roads.filter("tunnel").select(group, F.col("id").alias("tunnel_id"))
-    deck = lambda df, id_: df.join(tunnels.withColumnRenamed(group, "g"), (F.col(group) == F.col("g")) & (F.col(id_) == F.col("tunnel_id")), "left_anti")
-    wet = deck(every.filter("inside").withColumn("road", F.col("node.id")), "road").join(dry, [group, "key"], "left")
-    kind = F.when(~F.col("line_end"), "exit").when(edge, "edge").when(F.col("dry"), "exit").otherwise("node")
-    wet = checkpointed(wet.withColumn("kind", kind).select(group, "node", "kind", "key", "x", "y"))
-    decks = deck(cut.filter("inside"), "id")
-    nodes = wet.filter("kind = 'node'")
-    shared = nodes.groupBy(group, "key").agg(F.min("node").alias("least"))
-    same = nodes.join(shared, [group, "key"]).select(group, F.col("node").alias("a"), F.col("least").alias("b"))
-    links = same.union(_touching(nodes, decks, cell, group)).select(F.struct(group, "a").alias("a"), F.struct(F.col(group), F.col("b").alias("a")).alias("b"))
-    roots = components(links.filter("a <> b")).select(F.col(f"node.{group}").alias("g"), F.col("node.a").alias("n"), F.col("root.a").alias("r"))
-    exits = wet.groupBy(group, "node").agg(F.count(F.when(F.col("kind") == "exit", 1)).alias("exits"))
-    rooted = exits.join(roots, (F.col(group) == F.col("g")) & (F.col("node") == F.col("n")), "left").select(group, "node", "exits", F.coalesce("r", "node").alias("root"))
-    whole = rooted.groupBy(group, "root").agg((F.sum("exits") >= 2).alias("bridge"))
-    told = rooted.join(whole, [group, "root"]).select(F.col(group), F.col("node.id").alias("id"), F.col("node.run").alias("run"), "exits", "root", "bridge")
-    return decks.join(told, [group, "id", "run"]).select(group, "id", "run", "first", "t0", "last", "t1", "length", "line", "exits", "root", "bridge")
-
-
-def _touching(nodes: DataFrame, decks: DataFrame, cell: int, group: str) -> DataFrame:
-    """(group, a, b): nodes of stretches a that lie on a segment of another stretch b. A segment is listed under the cells of its box, made wider by the tolerance."""
-    ends = F.zip_with(F.slice("line", F.lit(1), F.size("line") - 1), F.slice("line", F.lit(2), F.size("line") - 1), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
-    segs = decks.select(F.col(group).alias("g"), F.struct("id", "run").alias("b"), F.explode(ends).alias("s")).select("g", "b", "s.*")
-    span = lambda k: F.sequence(F.floor((F.least(f"{k}1", f"{k}2") - TOUCH) / cell), F.floor((F.greatest(f"{k}1", f"{k}2") + TOUCH) / cell))
-    segs = segs.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    at = nodes.select(group, F.col("node").alias("a"), F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("x") / cell).alias("nx"), F.floor(F.col("y") / cell).alias("ny"))
-    both = at.join(segs, (F.col(group) == F.col("g")) & (F.col("nx") == F.col("cx")) & (F.col("ny") == F.col("cy")) & (F.col("a") != F.col("b")))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
-    ex, ey = F.col("px") - (F.col("x1") + t * dx), F.col("py") - (F.col("y1") + t * dy)
-    return both.filter(ex * ex + ey * ey <= TOUCH * TOUCH).select(group, "a", "b").distinct()
-
-
-def tunnels_over_water(roads: DataFrame, water: DataFrame, cell: int, group: str = "board") -> DataFrame:
+    known = ["id", *(c for c in ("width",) if c in roads.columns)]
+    schema = StructType([roads.schema[k] for k in (group, *known)])
+    for f in StructType.fromDDL(RUN).fields:
+        if f.name in ("run", "first", "t0", "last", "t1", "length") or lined and f.name == "line":
+            schema = schema.add(f)
+    schema = schema.add("exits", "long").add("root", StructType([roads.schema["id"], StructField("run", LongType())])).add("bridge", "boolean")
+
+    def made(table: pa.Table, cut: dict[str, np.ndarray]) -> dict[str, pa.Array | np.ndarray]:
+        runs = run_columns(cut)
+        tunnel = table.column("tunnel").fill_null(False).to_numpy()
+        names = table.column("id").combine_chunks()
+        decks = np.flatnonzero(runs["inside"] & ~tunnel[runs["of"]])
+        exits, root, bridge = _crossed(cut, runs, decks, names.to_pylist(), width, height)
+        out = {k: v.take(pa.array(decks)) if isinstance(v, pa.Array) else v[decks] for k, v in runs.items()}
+        at = lambda k: pa.array(runs["of"][k])
+        firsts = pa.StructArray.from_arrays([names.take(at(decks[root])), pa.array(runs["run"][decks[root]])], ["id", "run"])
+        return out | {c: table.column(c).combine_chunks().take(at(decks)) for c in (group, *known)} | {"exits": exits, "root": firsts, "bridge": bridge}
+
+    return in_groups(roads.select(group, *known, "line", "tunnel"), water, group, made, schema)
+
+
+def _crossed(cut: dict[str, np.ndarray], runs: dict[str, np.ndarray], decks: np.ndarray, names: list, width: int, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the decks (numbers of runs) its exits, the number of its crossing's first deck, and whether the crossing is a bridge."""
+    first = runs["piece"]
+    last = np.append(first[1:], len(cut["of"])) - 1
+    sides = [(cut["x0"], cut["y0"], first, runs["starts"]), (cut["x1"], cut["y1"], last, runs["ends"])]
+    # A place is told to a tenth of a micrometre.
+    key = lambda x, y: (int(np.floor(x * 10 + 0.5)), int(np.floor(y * 10 + 0.5)))
+    dry = {key(x[at[r]], y[at[r]]) for x, y, at, ends in sides for r in np.flatnonzero(ends & ~runs["inside"])}
+    exits = np.full(len(decks), 2)
+    nodes = []
+    for x, y, at, ends in sides:
+        for k in np.flatnonzero(ends[decks]):
+            px, py = x[at[decks[k]]], y[at[decks[k]]]
+            edge = px <= EDGE or py <= EDGE or px >= width - EDGE or py >= height - EDGE
+            if edge or key(px, py) not in dry:
+                exits[k] -= 1
+            if not edge and key(px, py) not in dry:
+                nodes.append((k, px, py))
+    parent = list(range(len(decks)))
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    order = sorted(range(len(decks)), key=lambda k: (names[runs["of"][decks[k]]], runs["run"][decks[k]])) if nodes else range(len(decks))
+    place = np.empty(len(decks), np.int64)
+    place[list(order)] = np.arange(len(decks))
+
+    def tie(a: int, b: int) -> None:
+        a, b = sorted((top(a), top(b)), key=lambda k: place[k])
+        parent[b] = a
+
+    seen: dict[tuple[int, int], int] = {}
+    for k, px, py in nodes:
+        tie(k, seen.setdefault(key(px, py), k))
+    if nodes:
+        deck = np.full(len(first), -1)
+        deck[decks] = np.arange(len(decks))
+        deck = np.repeat(deck, last - first + 1)
+        wet = deck >= 0
+        deck, x, y = deck[wet], cut["x0"][wet], cut["y0"][wet]
+        dx, dy = cut["x1"][wet] - x, cut["y1"][wet] - y
+        size = dx * dx + dy * dy
+        for k, px, py in nodes:
+            t = np.clip(((px - x) * dx + (py - y) * dy) / np.where(size > 0, size, 1), 0, 1)
+            ex, ey = px - (x + t * dx), py - (y + t * dy)
+            for other in np.unique(deck[ex * ex + ey * ey <= TOUCH * TOUCH]):
+                tie(k, int(other))
+    root = np.array([top(k) for k in range(len(decks))], np.int64)
+    return exits, root, np.bincount(root, exits, minlength=len(decks))[root] >= 2
+
+
+def tunnels_over_water(roads: DataFrame, water: DataFrame, cell: int = 0, group: str = "board") -> DataFrame:
     """(group, id): the tunnels that pass below water."""
-    return pieces(roads.filter("tunnel"), water, cell, group).filter("inside").select(group, "id").distinct()
+    return pieces(roads.filter("tunnel"), water, group=group).filter("inside").select(group, "id").distinct()
 
 
 def bridge_report(found: DataFrame, roads: DataFrame, group: str = "board") -> DataFrame:
     """(group, spans, dead_ends, narrow, thinnest, longest) of `crossings`: stretches that get a tab, crossings that don't, and tabs under LEAST_WIDTH."""
-    wide = found.join(roads.select(group, "id", "width"), [group, "id"])
+    wide = found if "width" in found.columns else found.join(roads.select(group, "id", "width"), [group, "id"])
     narrow = F.col("bridge") & (F.col("width") < LEAST_WIDTH)
     return wide.groupBy(group).agg(
         F.count(F.when(F.col("bridge"), 1)).alias("spans"), F.count_distinct(F.when(~F.col("bridge"), F.col("root"))).alias("dead_ends"), F.count(F.when(narrow, 1)).alias("narrow"),
@@ -88,5 +119,6 @@ def bridge_report(found: DataFrame, roads: DataFrame, group: str = "board") -> D
 def bridge_tabs(found: DataFrame, roads: DataFrame, group: str = "board") -> DataFrame:
     """(group, area, rings): the tabs of a group's bridges, each as wide as its road with round ends, joined to one set."""
     whole = F.transform("line", lambda p: F.struct(F.round(p["x"]).cast("long").alias("x"), F.round(p["y"]).cast("long").alias("y")))
-    spans = found.filter("bridge").join(roads.select(group, "id", "width"), [group, "id"]).select(group, F.array(whole).alias("lines"), (F.col("width") / 2).alias("half"))
+    wide = found if "width" in found.columns else found.join(roads.select(group, "id", "width"), [group, "id"])
+    spans = wide.filter("bridge").select(group, F.array(whole).alias("lines"), (F.col("width") / 2).alias("half"))
     return poly.union_all(poly.stroked(spans, "lines", "half", None), "rings", [group])

@@ -11,7 +11,7 @@ from quern.operators import spans
 from quern.plans.lenses import POLYLINES, polylines
 from quern.plans.registry import query
 
-_SHIFT, _SIDE, _CELL = 128000, 256000, 4000
+_SHIFT, _SIDE = 128000, 256000
 
 
 def _moved(line, dx=0, dy=0):
@@ -82,7 +82,7 @@ def _whole(c: str):
 @query("line_area_runs", f"WITH {_LINES}, {_cut('placed')} SELECT board, id, run, inside, first, t0, last, t1, floor(length + 0.5)::BIGINT AS length FROM runs")
 def line_area_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every polyline cut into its stretches inside and outside of its board's water."""
-    found = areas.runs(areas.pieces(_lines(spark, sf_dir), _water(spark, sf_dir), _CELL))
+    found = areas.stretches(_lines(spark, sf_dir), _water(spark, sf_dir))
     return found.select("board", "id", "run", "inside", F.col("first").cast("long").alias("first"), "t0", F.col("last").cast("long").alias("last"), "t1", _whole("length").alias("length"))
 
 
@@ -116,7 +116,7 @@ _BRIDGES = _BRIDGES.replace("FILTER (kind", "FILTER (WHERE kind")
 @query("bridge_spans", f"WITH RECURSIVE {_BRIDGES} SELECT board, id, run, exits, root[1] AS root_id, root[2] AS root_run, bridge, floor(length + 0.5)::BIGINT AS length FROM found")
 def bridge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stretch of a road over water, with the crossing that it belongs to."""
-    found = br.crossings(_roads(spark, sf_dir), _water(spark, sf_dir), _SIDE, _SIDE, _CELL)
+    found = br.crossings(_roads(spark, sf_dir), _water(spark, sf_dir), _SIDE, _SIDE, lined=False)
     return found.select("board", "id", "run", "exits", F.col("root.id").alias("root_id"), F.col("root.run").alias("root_run"), "bridge", _whole("length").alias("length"))
 
 
@@ -129,14 +129,14 @@ SELECT board, count(*) FILTER (WHERE bridge) AS spans, count(DISTINCT root) FILT
 def bridge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bridges, dead ends and narrow tabs of each board."""
     roads = _roads(spark, sf_dir)
-    out = br.bridge_report(br.crossings(roads, _water(spark, sf_dir), _SIDE, _SIDE, _CELL), roads)
+    out = br.bridge_report(br.crossings(roads, _water(spark, sf_dir), _SIDE, _SIDE, lined=False), roads)
     return out.select("board", "spans", "dead_ends", "narrow", "thinnest", _whole("longest").alias("longest"))
 
 
 @query("tunnels_over_water", f"WITH {_ROADS}, {_cut('roads')} SELECT DISTINCT board, id FROM runs WHERE inside AND id % 7 = 0")
 def tunnels_over_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tunnels below water."""
-    return br.tunnels_over_water(_roads(spark, sf_dir), _water(spark, sf_dir), _CELL)
+    return br.tunnels_over_water(_roads(spark, sf_dir), _water(spark, sf_dir))
 
 
 @query(
