@@ -58,8 +58,8 @@ def offset_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of every ring grown and shrunk by half a millimetre."""
     # As in polygon_boolean, the rows are dealt to a set number of tasks.
     r = rings(spark, sf_dir).select("id", F.array("ring").alias("rings")).repartition(4 * spark.sparkContext.defaultParallelism, "id")
-    grown = poly.buffered(r, "rings", 500.0, result="wide").select("id", "rings", F.col("area").alias("grown"), F.size("wide").alias("outlines"))
-    return poly.buffered(grown, "rings", -500.0, result="narrow").select("id", "grown", F.col("area").alias("shrunk"), "outlines", F.size("narrow").alias("inlines"))
+    both = poly.buffered_both_ways(r, "rings", 500.0, ("grown", "wide"), ("shrunk", "narrow"))
+    return both.select("id", "grown", "shrunk", F.size("wide").alias("outlines"), F.size("narrow").alias("inlines"))
 
 
 @query(

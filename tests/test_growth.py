@@ -1,9 +1,13 @@
 """What must not grow faster than the input: shuffles of lines cut in their groups, and work of rows."""
 
 import random
+from collections import Counter
+
+import numpy as np
 
 from quern.operators import areas
 from quern.operators import bridges as br
+from quern.operators import polygons as poly
 
 LINE = "array<struct<x: long, y: long>>"
 
@@ -50,3 +54,33 @@ def test_lines_without_a_group_meet_no_rings(spark):
     lines = spark.createDataFrame([(None, 1, [(0, 5), (10, 5)])], f"board long, id long, line {LINE}")
     rings = spark.createDataFrame([(None, [(2, 2), (8, 2), (8, 8), (2, 8), (2, 2)])], f"board long, ring {LINE}")
     assert [(r["inside"], r["length"]) for r in areas.stretches(lines, rings).collect()] == [(False, 10.0)]
+
+
+def test_a_ring_is_decomposed_once_for_both_offsets(monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.integers(-20_000, 20_000, (24, 2)).astype(float)
+    rings, calls, whole = [np.concatenate([p, p[:1]])], [], poly._decomposed
+    want = [poly.offset(rings, d) for d in (500.0, -500.0)]
+    monkeypatch.setattr(poly, "_decomposed", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    got = poly.offsets(rings, 500.0)
+    assert len(calls) == 1 and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    for t in got:
+        stacked = poly._stacked(t)
+        assert len(stacked) < len(t) / 3 and abs(poly.area(stacked) - poly.area(t)) < 1e-3
+        assert abs(sum(map(poly.signed_area, poly.rings_of(t))) - poly.area(t)) < 1e-4 * poly.area(t)
+
+
+def test_sides_cancel_one_for_one():
+    rng = random.Random(1)
+    for _ in range(200):
+        start = np.array([rng.randrange(3) for _ in range(rng.randrange(12))], np.int64)
+        end = np.array([(x + rng.randint(1, 2)) % 3 for x in start], np.int64)
+        stay, sides = poly._uncancelled(start, end), Counter(zip(start.tolist(), end.tolist(), strict=True))
+        got = Counter(zip(start[stay].tolist(), end[stay].tolist(), strict=True))
+        assert got == +Counter({k: n - sides[k[::-1]] for k, n in sides.items()})
+
+
+def test_boxes_that_share_a_side_make_one_ring():
+    box = lambda x0, y0, x1, y1: np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
+    found = poly.rings_of(poly.union([[box(0, 0, 10, 30)], [box(10, 5, 20, 25)], [box(-5, 12, 0, 14)]]))
+    assert len(found) == 1 and poly.signed_area(found[0]) == 510
