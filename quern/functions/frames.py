@@ -5,8 +5,14 @@ Points are structs (x, y) or pairs of columns; a frame is given by plain columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions.scalars import lat_of, lng_of, mercator_x, mercator_y
 
@@ -43,23 +49,42 @@ def _bilinear(at: Column, u: Column, v: Column, k: str) -> Column:
     return (1 - u) * (1 - v) * a + u * (1 - v) * b + u * v * c + (1 - u) * v * d
 
 
-def crop_project(at: Column, lng: Column, lat: Column, width: float, height: float) -> Column:
-    """Millimetres of a point in a crop with corners `at`: the inverse of the bilinear map, by Newton's method with differences."""
-    qx, qy = mercator_x(lng), mercator_y(lat)
-
-    def step(w: Column, _: Column) -> Column:
-        u, v = w["u"], w["v"]
-        here = {k: _bilinear(at, u, v, k) for k in "xy"}
-        du = {k: (_bilinear(at, u + NUDGE, v, k) - here[k]) / NUDGE for k in "xy"}
-        dv = {k: (_bilinear(at, u, v + NUDGE, k) - here[k]) / NUDGE for k in "xy"}
-        dx, dy = qx - here["x"], qy - here["y"]
-        det = F.nullif(du["x"] * dv["y"] - du["y"] * dv["x"], F.lit(0.0))
-        return F.struct(
-            F.coalesce(u + (dx * dv["y"] - dy * dv["x"]) / det, u).alias("u"), F.coalesce(v + (du["x"] * dy - du["y"] * dx) / det, v).alias("v")
-        )
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.5).alias("u"), F.lit(0.5).alias("v")), step)
-    return F.transform(F.array(found), lambda w: pair(w["u"] * width, w["v"] * height))[0]
+def crop_project(df: DataFrame, at: str, lng: str, lat: str, width: float, height: float, result: str = "mm") -> DataFrame:
+    """Append millimetres of points in crops with corners `at`: the inverse of the bilinear map, by Newton's method with differences, a batch of rows at a time."""
+    names = [c for c in df.columns if c != result]
+    corner = [F.get(F.col(at), i)[k].alias(f"_{k}{i}") for k in "xy" for i in range(4)]
+    given = df.select(*names, *corner, mercator_x(F.col(lng)).alias("_qx"), mercator_y(F.col(lat)).alias("_qy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda k: batch.column(k).to_numpy(zero_copy_only=False).astype(float)
+            uv = _newton([[column(f"_{k}{i}") for i in range(4)] for k in "xy"], column("_qx"), column("_qy"))
+            known = pc.and_(*(pc.is_valid(batch.column(k)) for k in ("_qx", "_qy")))
+            for k in range(8):
+                known = pc.and_(known, pc.is_valid(batch.column(len(names) + k)))
+            mm = pa.StructArray.from_arrays([pa.array(v * side, mask=~known.to_numpy(zero_copy_only=False)) for v, side in zip(uv, (width, height), strict=True)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), mm], [*names, result])
+
+    return given.mapInArrow(run, StructType(df.select(*names).schema.fields).add(result, StructType().add("x", "double").add("y", "double")))
+
+
+def _newton(at: list[list[np.ndarray]], qx: np.ndarray, qy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of places on the Mercator square between corners."""
+
+    def bilinear(u: np.ndarray, v: np.ndarray, corner: list[np.ndarray]) -> np.ndarray:
+        a, b, c, d = corner
+        return (1 - u) * (1 - v) * a + u * (1 - v) * b + u * v * c + (1 - u) * v * d
+
+    u, v = np.full(len(qx), 0.5), np.full(len(qx), 0.5)
+    for _ in range(STEPS):
+        zx, zy = (bilinear(u, v, k) for k in at)
+        ux, uy = ((bilinear(u + NUDGE, v, k) - z) / NUDGE for k, z in zip(at, (zx, zy), strict=True))
+        vx, vy = ((bilinear(u, v + NUDGE, k) - z) / NUDGE for k, z in zip(at, (zx, zy), strict=True))
+        dx, dy = qx - zx, qy - zy
+        det = ux * vy - uy * vx
+        moves, det = det != 0, np.where(det != 0, det, 1)
+        u, v = np.where(moves, u + (dx * vy - dy * vx) / det, u), np.where(moves, v + (ux * dy - uy * dx) / det, v)
+    return u, v
 
 
 def crop_unproject(at: Column, x: Column, y: Column, width: float, height: float) -> Column:

@@ -44,7 +44,7 @@ def crop_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda lng, lat: F.struct((F.lit(lng) + s).alias("lng"), (F.lit(lat) + s).alias("lat"))
     p = points(spark, sf_dir).select("id", (F.col("lng") / 40).alias("lng"), (F.col("lat") / 25).alias("lat"), fr.crop(*(corner(lng, lat) for _, lng, lat in _CORNERS)).alias("crop"))
     p = p.withColumn("at", fr.corners(F.col("crop")))
-    p = p.withColumn("mm", fr.crop_project(F.col("at"), F.col("lng"), F.col("lat"), 300.0, 200.0)).withColumn("back", fr.crop_unproject(F.col("at"), F.lit(75.0), F.lit(150.0), 300.0, 200.0))
+    p = fr.crop_project(p, "at", "lng", "lat", 300.0, 200.0).withColumn("back", fr.crop_unproject(F.col("at"), F.lit(75.0), F.lit(150.0), 300.0, 200.0))
     return p.select("id", _micro(F.col("mm.x"), 1e4).alias("x"), _micro(F.col("mm.y"), 1e4).alias("y"), _micro(F.col("back.lng")).alias("lng"), _micro(F.col("back.lat")).alias("lat"), "crop.west", "crop.south", "crop.east", "crop.north")
 
 

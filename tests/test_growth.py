@@ -84,3 +84,20 @@ def test_boxes_that_share_a_side_make_one_ring():
     box = lambda x0, y0, x1, y1: np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)
     found = poly.rings_of(poly.union([[box(0, 0, 10, 30)], [box(10, 5, 20, 25)], [box(-5, 12, 0, 14)]]))
     assert len(found) == 1 and poly.signed_area(found[0]) == 510
+
+
+def test_crop_places_come_from_arrays_and_keep_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import frames as fr
+
+    corner = lambda x, y: F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat"))
+    df = spark.createDataFrame([(1, -1.0, 2.0), (2, None, 1.0), (3, 4.0, -2.5), (4, 1.5, 0.0)], "id long, lng double, lat double")
+    df = df.withColumn("at", fr.corners(fr.crop(corner(-3.0, 4.0), corner(5.0, 4.5), corner(6.0, -3.5), corner(-2.5, -4.0))))
+    found = fr.crop_project(df, "at", "lng", "lat", 300.0, 200.0)
+    # Back through the bilinear map, a place is where it was.
+    back = {r["id"]: r for r in found.withColumn("b", fr.crop_unproject(F.col("at"), F.col("mm.x"), F.col("mm.y"), 300.0, 200.0)).collect()}
+    assert back[2]["mm"]["x"] is None
+    assert all(abs(back[i]["b"]["lng"] - back[i]["lng"]) < 1e-6 and abs(back[i]["b"]["lat"] - back[i]["lat"]) < 1e-6 for i in (1, 3, 4))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
