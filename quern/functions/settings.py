@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from decimal import ROUND_HALF_UP, Context, Decimal
+from functools import lru_cache
+from math import isfinite
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.functions.scalars import clamp, round_half_up, smoothstep, width_factor, wrap
 
@@ -197,29 +204,57 @@ def moved_path(path: Column, dx: Column, dy: Column) -> Column:
     Points of absolute commands move, of an arc the end alone; numbers of relative ones are steps and stay, but for the pair of a relative
     `m` that opens the path. Null where numbers are too few, too many, not finite, or stand before any command. Empty data, and any that moves by nothing, stay.
     """
-    tokens = F.regexp_extract_all(path, F.lit(r"[MmLlHhVvCcSsQqTtAaZz]|[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?"), F.lit(0))
-    sizes = F.create_map(*(F.lit(x) for pair in SEGMENT.items() for x in pair))
-    size = lambda c: F.coalesce(F.try_element_at(sizes, F.upper(c)), F.lit(0))
-    start = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"), F.lit(True).alias("ok"))
-    whole = lambda a: F.when(size(a["c"]) == 0, a["n"] == 0).otherwise((a["n"] > 0) & (a["n"] % size(a["c"]) == 0))
-
-    def step(a: Column, t: Column) -> Column:
-        letter, upper, k = t.rlike("^[A-Za-z]$"), F.upper(a["c"]), a["n"] % F.greatest(size(a["c"]), F.lit(1))
-        # Which number of its segment a token is tells whether it is an x, a y or neither.
-        shift = F.when(upper == "A", F.when(k == 5, dx).when(k == 6, dy).otherwise(0.0)).when(upper == "H", dx).when(upper == "V", dy).when(k % 2 == 0, dx).otherwise(dy)
-        opens = (a["c"] == "m") & (a["n"] < 2) & (F.size(a["out"]) == a["n"] + 1)
-        number = F.when(letter, F.lit(0.0)).otherwise(t.try_cast("double")) + F.when((a["c"] == upper) | opens, shift).otherwise(0.0)
-        ok = a["ok"] & F.when(letter, whole(a)).otherwise((size(a["c"]) > 0) & finite(number))
-        return F.struct(F.when(letter, t).otherwise(a["c"]).alias("c"), F.when(letter, 0).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.when(letter, t).otherwise(_decimals(number)))).alias("out"), ok.alias("ok"))
+    return F.when((path == "") | ((dx == 0) & (dy == 0)), path).otherwise(_moved(path, dx.cast("double"), dy.cast("double")))
+
 
-    end = F.aggregate(tokens, start, step)
-    moved = F.transform(F.array(end), lambda a: F.when(a["ok"] & whole(a), F.array_join(a["out"], " ")))[0]
-    return F.when((path == "") | ((dx == 0) & (dy == 0)), path).otherwise(moved)
+_TOKENS = re.compile(r"[MmLlHhVvCcSsQqTtAaZz]|[-+]?(?:\d*\.\d+|\d+\.?)(?:[eE][-+]?\d+)?", re.ASCII)
 
 
-def _decimals(x: Column) -> Column:
-    """A number's text with three decimals at most."""
-    return F.regexp_replace(F.round(x, 3).cast("decimal(30,3)").cast("string"), r"\.?0+$", "")
+@F.arrow_udf(StringType())
+def _moved(path: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
+    rows = zip(path.to_pylist(), dx.to_pylist(), dy.to_pylist(), strict=True)
+    return pa.array([None if None in row else _moved_text(*row) for row in rows], pa.string())
+
+
+def _moved_text(path: str, dx: float, dy: float) -> str | None:
+    command, n, out = "", 0, []
+    for t in _TOKENS.findall(path):
+        upper = command.upper()
+        size = SEGMENT.get(upper, 0)
+        if t.isalpha():
+            if n % size if size else n:
+                return None
+            if size and not n:
+                return None
+            command, n = t, 0
+            out.append(t)
+            continue
+        if not size:
+            return None
+        # Which number of its segment a token is tells whether it is an x, a y or neither.
+        k = n % size
+        shift = 0.0
+        if command == upper or command == "m" and n < 2 and len(out) == n + 1:
+            shift = {5: dx, 6: dy}.get(k, 0.0) if upper == "A" else dy if upper == "V" or upper != "H" and k % 2 else dx
+        text = _decimals(float(t) + shift)
+        if text is None:
+            return None
+        out.append(text)
+        n += 1
+    size = SEGMENT.get(command.upper(), 0)
+    return " ".join(out) if (n > 0 and n % size == 0 if size else n == 0) else None
+
+
+@lru_cache(4096)
+def _decimals(x: float) -> str | None:
+    """A number's text with three decimals at most; null unless it is finite."""
+    if not isfinite(x):
+        return None
+    text = format(Decimal(repr(x)).quantize(Decimal("0.001"), ROUND_HALF_UP, _DIGITS), "f").rstrip("0").rstrip(".")
+    return "0" if text == "-0" else text
+
+
+_DIGITS = Context(prec=400)
 
 
 def plate_path(mode: Column, min_x: Column, min_y: Column, max_x: Column, max_y: Column, padding: Column) -> Column:

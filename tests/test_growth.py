@@ -101,3 +101,18 @@ def test_crop_places_come_from_arrays_and_keep_nulls(spark):
     assert all(abs(back[i]["b"]["lng"] - back[i]["lng"]) < 1e-6 and abs(back[i]["b"]["lat"] - back[i]["lat"]) < 1e-6 for i in (1, 3, 4))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
+def test_paths_are_moved_by_a_batch_of_rows_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import settings as st
+
+    rows = {
+        "M0 0 L5 -1.25 Z": "M 10 -5 L 15 -6.25 Z", "m1 2 3 4 z": "m 11 -3 3 4 z", "A5 6 0 0 1 7 8": "A 5 6 0 0 1 17 3", "M0 0 H1 V2": "M 10 -5 H 11 V -3", "M-10 5": "M 0 0", "M.0004 1e2": "M 10 95", "M-10.0001 4.9999": "M 0 0",
+        "M1.0005 1": "M 11.001 -4", "": "", "1 2": None, "M1": None, "M1 2 Z 3": None, "M L1 2": None, "M1e999 2": None, "M1e300 2 3 4 5": None,
+    }
+    df = spark.createDataFrame([*((k,) for k in rows), (None,)], "d string").select("d", st.moved_path(F.col("d"), F.lit(10.0), F.lit(-5.0)).alias("m"), st.moved_path(F.col("d"), F.lit(0.0), F.lit(0)).alias("same"))
+    got = {r["d"]: (r["m"], r["same"]) for r in df.collect()}
+    assert got == {k: (v, k) for k, v in rows.items()} | {None: (None, None)}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
