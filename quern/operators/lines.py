@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions import geometry as geo
 
@@ -126,15 +130,41 @@ def nearest_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def interior_points(rings: DataFrame) -> DataFrame:
-    """(id, x, y, width): the middle of the widest span inside each ring on its middle scanline; the leftmost on a tie."""
-    box = rings.withColumn("b", geo.bounds(F.col("ring")))
-    mid = box.withColumn("y", (F.col("b.min_y") + F.col("b.max_y")).cast("double") / 2)
-    d = lambda c: c.cast("double")
-    cross = F.filter(geo.segments(F.col("ring")), lambda s: (d(s["y"]) > F.col("y")) != (d(s["y2"]) > F.col("y")))
-    xs = F.array_sort(F.transform(cross, lambda s: d(s["x2"] - s["x"]) * (F.col("y") - d(s["y"])) / d(s["y2"] - s["y"]) + d(s["x"])))
-    found = mid.withColumn("xs", xs)
-    spans = F.transform(F.filter(F.sequence(F.lit(0), F.size("xs") - 1), lambda i: i % 2 == 0), lambda i: F.struct((F.get(F.col("xs"), i + 1) - F.get(F.col("xs"), i)).alias("w"), (-i).alias("i"), ((F.get(F.col("xs"), i) + F.get(F.col("xs"), i + 1)) / 2).alias("x")))
-    return found.filter(F.size("xs") >= 2).withColumn("m", F.array_max(spans)).select("id", F.col("m.x").alias("x"), "y", F.col("m.w").alias("width"))
+    """(id, x, y, width): the middle of the widest span inside each ring on its middle scanline; the leftmost on a tie. A batch of rings is worked out as arrays."""
+    schema = StructType([rings.schema["id"]])
+    for k in ("x", "y", "width"):
+        schema = schema.add(k, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ring, x, y, width = _widest(batch.column("segs"), batch.column("y").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ring)), *map(pa.array, (x, y, width))], schema.names)
+
+    box = rings.select("id", "ring", geo.bounds(F.col("ring")).alias("b")).filter("b.min_y is not null and b.max_y is not null")
+    return box.select("id", geo.segments(F.col("ring")).alias("segs"), ((F.col("b.min_y") + F.col("b.max_y")).cast("double") / 2).alias("y")).mapInArrow(run, schema)
+
+
+def _widest(segs: pa.ListArray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, x, y, width) of the widest span between every second crossing of a row's segments with its middle height."""
+    sizes = np.nan_to_num(pc.list_value_length(segs).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    row, flat = np.repeat(np.arange(len(segs)), sizes), segs.flatten()
+    x, y, x2, y2 = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y", "x2", "y2"))
+    m = middle[row]
+    met = ((y > m) != (y2 > m)) & ~np.isnan(y + y2)
+    row, x, y, x2, y2, m = (v[met] for v in (row, x, y, x2, y2, m))
+    at = (x2 - x) * (m - y) / (y2 - y) + x
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    n = np.diff(np.append(first, len(row)))
+    # A closed ring meets its height an even number of times; of another the last place opens no span.
+    opens = (np.arange(len(row)) - np.repeat(first, n)) % 2 == 0
+    opens[(first + n - 1)[n % 2 == 1]] = False
+    k = np.flatnonzero(opens)
+    width = at[k + 1] - at[k]
+    best = np.lexsort((k, -width, row[k]))
+    best = best[np.append(True, np.diff(row[k][best]) != 0)[: len(best)]]
+    return row[k][best], (at[k][best] + at[k + 1][best]) / 2, middle[row[k][best]], width[best]
 
 
 def first_by_key(df: DataFrame, key: Column, order: str) -> DataFrame:

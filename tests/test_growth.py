@@ -116,3 +116,17 @@ def test_paths_are_moved_by_a_batch_of_rows_at_a_time(spark):
     got = {r["d"]: (r["m"], r["same"]) for r in df.collect()}
     assert got == {k: (v, k) for k, v in rows.items()} | {None: (None, None)}
     assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interior_points_come_from_arrays(spark):
+    from quern.operators import lines as ln
+
+    close = lambda r: r + r[:1]
+    rows = [
+        (1, close([(0, 0), (10, 0), (10, 8), (0, 8)])), (2, close([(0, 0), (4, 9), (8, 0), (12, 9), (16, 0), (16, 10), (0, 10)])), (3, [(0, 0), (0, 4), (6, 4)]), (4, close([(0, 5), (9, 5)])), (5, []), (6, None),
+        (7, close([(0, 0), (2, 0), (2, 6), (4, 6), (4, 0), (6, 0), (6, 10), (0, 10)])),
+    ]
+    found = ln.interior_points(spark.createDataFrame(rows, f"id long, ring {LINE}").coalesce(1))
+    got = {r["id"]: (r["x"], r["y"], r["width"]) for r in found.collect()}
+    assert got.keys() == {1, 2, 7} and got[1] == (5.0, 4.0, 10.0) and got[7] == (1.0, 5.0, 2.0)
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
