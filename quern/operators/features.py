@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def place_labels(labels: DataFrame, width: int, height: int, letter: int, line:
     board less the inset (`outside`), it overlaps a box placed before or one to keep out of (`collision`), or it is `wet` (`water`). `kind`, `label_class` and `wet` may be
     missing; `keep_out` has board, a, b, c, d. Each board is a fold over its own labels, in which boxes are looked up by cells; boards run in parallel.
     """
-    import pandas as pd
-
     none = {"kind": F.lit("poi"), "label_class": F.lit(""), "wet": F.lit(False)}
     box = _label_box(letter, line)
     given = labels.select("board", "ix", "place", "name", *(F.col(c) if c in labels.columns else v.alias(c) for c, v in none.items()), *(v.cast("long").alias(k) for k, v in box.items()))
@@ -82,10 +81,10 @@ def place_labels(labels: DataFrame, width: int, height: int, letter: int, line:
     # Boxes are listed under the squares that they cover.
     side = max(4 * line, 1)
 
-    def fold(pdf: pd.DataFrame, away: pd.DataFrame) -> pd.DataFrame:
+    def fold(table: pa.Table, away: pa.Table) -> pa.Table:
         taken: dict[tuple[int, int], list[tuple]] = {}
         names: set[str] = set()
-        out = []
+        reasons = []
 
         def squares(b: tuple) -> list[tuple[int, int]]:
             return [(i, j) for i in range(b[0] // side, b[2] // side + 1) for j in range(b[1] // side, b[3] // side + 1)]
@@ -94,11 +93,12 @@ def place_labels(labels: DataFrame, width: int, height: int, letter: int, line:
             for at in squares(b):
                 taken.setdefault(at, []).append(b)
 
-        for b in away[["a", "b", "c", "d"]].itertuples(index=False, name=None):
+        for b in zip(*(away.column(k).to_pylist() for k in "abcd"), strict=True):
             take(b)
-        for r in pdf.sort_values("place").itertuples():
-            b, key = (r.a, r.b, r.c, r.d), r.name.strip().lower()
-            if r.kind == "place" and r.label_class in EXCLUDED:
+        table = table.sort_by("place")
+        for name, kind, label_class, wet, *b in zip(*(table.column(k).to_pylist() for k in ("name", "kind", "label_class", "wet", "a", "b", "c", "d")), strict=True):
+            key = name.strip().lower()
+            if kind == "place" and label_class in EXCLUDED:
                 reason = "excluded"
             elif key in names:
                 reason = "duplicate"
@@ -106,16 +106,16 @@ def place_labels(labels: DataFrame, width: int, height: int, letter: int, line:
                 reason = "outside"
             elif any(b[0] < q[2] and q[0] < b[2] and b[1] < q[3] and q[1] < b[3] for at in squares(b) for q in taken.get(at, ())):
                 reason = "collision"
-            elif r.wet:
+            elif wet:
                 reason = "water"
             else:
                 reason = "placed"
                 take(b)
                 names.add(key)
-            out.append((r.board, r.ix, reason))
-        return pd.DataFrame(out, columns=["board", "ix", "reason"])
+            reasons.append(reason)
+        return pa.table([table.column("board").cast(pa.int64()), table.column("ix").cast(pa.int64()), pa.array(reasons, pa.string())], ["board", "ix", "reason"])
 
-    return given.groupBy("board").cogroup(kept.groupBy("away_from")).applyInPandas(fold, "board long, ix long, reason string")
+    return given.groupBy("board").cogroup(kept.groupBy("away_from")).applyInArrow(fold, "board long, ix long, reason string")
 
 
 def with_overrides(objects: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:

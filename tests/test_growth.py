@@ -130,3 +130,12 @@ def test_interior_points_come_from_arrays(spark):
     got = {r["id"]: (r["x"], r["y"], r["width"]) for r in found.collect()}
     assert got.keys() == {1, 2, 7} and got[1] == (5.0, 4.0, 10.0) and got[7] == (1.0, 5.0, 2.0)
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_are_folded_from_arrow(spark):
+    from quern.operators import features as op
+
+    df = spark.createDataFrame([(1, 1, 2, "a", 50, 50), (1, 2, 1, "A ", 52, 50)], "board long, ix long, place long, name string, x long, y long")
+    found = op.place_labels(df, 100, 100, 4, 8)
+    assert {r["ix"]: r["reason"] for r in found.collect()} == {2: "placed", 1: "duplicate"}
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
