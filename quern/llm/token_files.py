@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ from quern.llm.tokens import byte_letters
 
 END = 2
 BLOCK, RECORD = 1024, 1 << 16
+#: Bytes of text that are tokenised at once; a longer text is by itself.
+CHUNK = 4 << 20
 #: Records in a file; with RECORD ids of 20 bits each, about 20 MB.
 RECORDS_PER_FILE = 128
 MAGIC, TRAILER = b"QTOKENS1", b"QTOKEND\n"
@@ -64,23 +67,34 @@ def bit_widths(values: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high.astype(float))[1] + 32, np.frexp(low.astype(float))[1])
 
 
+def selectors(values: np.ndarray, block: int) -> np.ndarray:
+    """The densest selector whose values fit, at every place; a block's last word may hold fewer than its selector says."""
+    n = len(values)
+    choice = np.zeros(n, np.uint8)
+    # A float's exponent is exact for less than 53 bits.
+    width = bit_widths(values) if n and values.max() >> np.uint64(53) else np.frexp(values.astype(float))[1]
+    # The widest of the next `seen` values of the block; beyond its end nothing is wide.
+    widest, seen = np.zeros((-(-n // block), block), np.uint8), 1
+    widest.reshape(-1)[:n] = width
+    for s in reversed(_USED):
+        while seen < COUNTS[s]:
+            step = min(seen, int(COUNTS[s]) - seen)
+            widest[:, :-step] = np.maximum(widest[:, :-step], widest[:, step:])
+            seen += step
+        fit = widest.reshape(-1)[:n] <= WIDTHS[s]
+        if not fit.any():
+            # A denser selector asks for more and narrower values.
+            break
+        choice[fit] = s
+    return choice
+
+
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(payload words, word at which each block starts, escaped values) of unsigned 64-bit integers."""
     n = len(values)
-    width = bit_widths(values)
     place = np.arange(n)
     room = np.minimum(block - place % block, n - place)
-    # The densest selector whose values fit, at every place; a block's last word may hold fewer than its selector says.
-    choice = np.zeros(n, np.int64)
-    for s in _USED:
-        fit = np.flatnonzero(width <= WIDTHS[s])
-        # How far the values fit from here on, without a gap.
-        last = np.append(np.flatnonzero(np.diff(fit) != 1), fit.size - 1) if fit.size else fit
-        run = np.repeat(fit[last], np.diff(last, prepend=-1)) + 1 - fit
-        here = fit[(run >= np.minimum(COUNTS[s], room[fit])) & (choice[fit] == 0)]
-        choice[here] = s
-        if (choice > 0).all():
-            break
+    choice = selectors(values, block)
     taken = np.minimum(COUNTS[choice], room)
     at, starts, step = 0, [], taken.tolist()
     while at < n:
@@ -154,20 +168,25 @@ def records(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.nda
 
 
 class ByteBpe:
-    """Callable from a text to its ids as little-endian 32-bit unsigned integers, by the tokenizers library.
+    """The ids of texts, by the tokenizers library.
 
     The vocabulary's rules split a text to pieces before any merge: a word with the space before it, a number, a
     run of signs, or white space. A piece's ids don't depend on its neighbours, so each is merged once by
-    the library's model and kept in a cache, which gives up what is not used again when it is full. A text is cut at spaces and line ends first, and at
-    all white space where two such characters meet. Texts in which the library's and Python's notions of
+    the library's model and kept in a cache, which gives up what is not used again when it is full. A text is cut to units before spaces and line ends,
+    and at all white space where two such characters meet; the marks that end a unit are a piece of their own after a letter or digit.
+    Units of many texts are cut, told apart and put back in place as Arrow columns, so only the different ones of a
+    chunk are looked up. Texts in which the library's and Python's notions of
     white space differ, or with what may be a special token, go through the library whole.
     """
 
     CACHED = 250_000
     _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    _MEET = re.compile(r"\s\s")
-    _MARKS = frozenset(",.;:!?")
+    _MARKS = ",.;:!?"
     _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: What keeps a text from being cut before spaces and line ends alone: one of _WHOLE, or white space that meets.
+    _ODD = "<[|]|[\x1c-\x1f]|[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
+    #: Letters and digits by any version of Unicode, at the end.
+    _WORD_END = "[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]$"
 
     def __init__(self, path: str):
         import regex
@@ -178,9 +197,7 @@ class ByteBpe:
         self.letters = dict(enumerate(byte_letters()))
         # Fixed value: the split of byte-level vocabularies.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        # A word by what stands before it: nothing is a space, a line end is itself.
-        self.spaced = _Cache(lambda x: self._unit(x if x[:1] == "\n" else f" {x}"), self.CACHED)
-        self.known = _Cache(self._piece, self.CACHED)
+        self.known = _Cache(self._unit, self.CACHED)
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -188,19 +205,52 @@ class ByteBpe:
         return ByteBpe(path)
 
     def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self._WHOLE):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self._MEET.search(text):
-            return b"".join([self.spaced[x[1:]] if x[0] == " " and x[1:2] != "\n" else self._unit(x) for x in self._UNIT.findall(text)])
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._unit(first) + b"".join(map(self.spaced.__getitem__, rest))
+        """A text's ids as little-endian 32-bit unsigned integers."""
+        return self.ids(pa.array([text], pa.large_string()))[0].tobytes()
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has; a null text has none."""
+        cut = self._cut(texts.cast(pa.large_string()).fill_null(""))
+        units = cut.flatten().dictionary_encode()
+        coded = self._coded(units.dictionary)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(coded), "<u4"))
+        ids = lists.take(units.indices).flatten().to_numpy()
+        stops = np.cumsum(sizes[units.indices.to_numpy()])
+        # Every text has a unit.
+        return ids, np.diff(stops[np.cumsum(pc.list_value_length(cut).to_numpy()) - 1], prepend=0)
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """Each text's units."""
+        odd = pc.match_substring_regex(texts, self._ODD)
+        plain = texts.filter(pc.invert(odd))
+        # No plain text has the separator.
+        for sign in " \n":
+            plain = pc.replace_substring(plain, sign, f"\x1f{sign}")
+        units = pc.split_pattern(plain, "\x1f")
+        if not odd.true_count:
+            return units
+        others = pa.array(map(self._cut_odd, texts.filter(odd).to_pylist()), units.type)
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        return pa.concat_arrays([units, others]).take(pa.array(place))
+
+    def _cut_odd(self, text: str) -> list[str]:
+        return [text] if any(x in text for x in self._WHOLE) else self._UNIT.findall(text)
+
+    def _coded(self, units: pa.Array) -> list[bytes]:
+        stems = pc.utf8_rtrim(units, characters=self._MARKS)
+        stems = pc.if_else(pc.match_substring_regex(stems, self._WORD_END), stems, units)
+        known = self.known
+        pairs = zip(*(x.to_numpy(zero_copy_only=False).tolist() for x in (units, stems)), strict=True)
+        return [known[s] if len(s) == len(u) else known[s] + known[u[len(s) :]] for u, s in pairs]
 
     def _unit(self, unit: str) -> bytes:
         if unit.removeprefix(" ").isalpha():
-            return self.known[unit]
-        if unit[-1:] in self._MARKS and unit[:-1].removeprefix(" ").isalpha():
-            return self.known[unit[:-1]] + self.known[unit[-1]]
-        return b"".join(map(self.known.__getitem__, self.pieces(unit)))
+            return self._piece(unit)
+        if any(x in unit for x in self._WHOLE):
+            return np.array(self.whole.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = self.pieces(unit)
+        return self._piece(unit) if len(pieces) == 1 else b"".join(map(self.known.__getitem__, pieces))
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
@@ -229,23 +279,23 @@ def encode(df: DataFrame, folder: str, vocabulary: str, text: str = "text", doc_
     """Write the ids of every text of `df`, in ascending order of `doc_id`, to files in `folder`."""
     if not isinstance(df.schema[doc_id].dataType, IntegralType):
         raise TypeError(f"{doc_id} has to be an integer column")
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.load(vocabulary)
         partition, number = TaskContext.get().partitionId(), 0
         ids, sizes, parts, held = [], [], [], 0
-        for batch in batches:
-            # One text at a time is made a Python string.
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coded = bpe(t.as_py() or "") + tail
+        for chunk in _chunks(batches):
+            coded, lengths = bpe.ids(chunk.column(1))
+            coded, lengths = np.insert(coded, np.cumsum(lengths), end), lengths + 1
+            first = 0
+            for d, n, stop in zip(chunk.column(0).to_pylist(), lengths.tolist(), np.cumsum(lengths).tolist(), strict=True):
                 ids.append(d)
-                sizes.append(len(coded) // 4)
-                parts.append(coded)
-                held += sizes[-1]
+                sizes.append(n)
+                held += n
                 if held >= RECORD:
-                    yield _row(partition, number, ids, sizes, parts)
-                    ids, sizes, parts, held, number = [], [], [], 0, number + 1
+                    yield _row(partition, number, ids, sizes, [*parts, coded[first:stop]])
+                    ids, sizes, parts, held, number, first = [], [], [], 0, number + 1, stop
+            parts.append(coded[first:])
         if ids:
             yield _row(partition, number, ids, sizes, parts)
 
@@ -258,8 +308,18 @@ def encode(df: DataFrame, folder: str, vocabulary: str, text: str = "text", doc_
     out.write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "none").text(folder)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in parts of about CHUNK bytes of text, which is the second column."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1)).fill_null(0).to_numpy()
+        edges = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // CHUNK)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def _row(partition: int, number: int, ids: list, sizes: list, parts: list) -> pa.RecordBatch:
-    values = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
+    values = np.concatenate(parts).astype(np.uint64)
     body = record(partition, number, ids, sizes, values).removesuffix(TRAILER)
     return pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["record"])
 

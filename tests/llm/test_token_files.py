@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -69,6 +70,36 @@ def test_cached_pieces_equal_the_library():
         assert np.frombuffer(mine(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_many_texts_at_once_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tf, "CHUNK", 200)
+    whole, bpe = Tokenizer.from_file(VOCABULARY), tf.ByteBpe(VOCABULARY)
+    plain = ["Two words, \nthen 3 more: $, end.", "don't, 'll, stop!!", " , \xa0, Ñu, 中, ²,", "x\t,y\x0b.z\x85!", "", " ", "\n,"]
+    texts = [None, *sum(([a, b] for a, b in zip(strange_texts(), plain * 300, strict=False)), []), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    chunks = list(tf._chunks(iter([batch, batch.slice(0, 0), batch.slice(5, 9)])))
+    assert len(chunks) > 50 and [d for c in chunks for d in c.column(0).to_pylist()] == [*range(len(texts)), *range(5, 14)]
+    for chunk in chunks:
+        ids, sizes = bpe.ids(chunk.column(1))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in chunk.column(1).to_pylist()]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_a_repeated_unit_is_looked_up_once_a_chunk():
+    class Counting(tf._Cache):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+    bpe = tf.ByteBpe(VOCABULARY)
+    bpe.known = Counting(bpe._unit, 1000)
+    text = "one word and one word, and one more\nline."
+    ids, sizes = bpe.ids(pa.array([text] * 5000))
+    assert len(ids) == sizes.sum() and set(sizes.tolist()) == {len(bpe.whole.encode(text, add_special_tokens=False).ids)}
+    assert bpe.known.looked_up < 20
+
+
 def test_a_full_cache_gives_up_what_is_not_used_again():
     made = []
     cache = tf._Cache(lambda x: made.append(x) or x.encode(), 2)
