@@ -172,7 +172,7 @@ class ByteBpe:
 
     The vocabulary's rules split a text to pieces before any merge: a word with the space before it, a number, a
     run of signs, or white space. A piece's ids don't depend on its neighbours, so each is merged once by
-    the library's model and kept in a cache, which gives up what is not used again when it is full. A text is cut to units before spaces and line ends,
+    the library's model and kept in a cache, which gives up what is not used again when it is full. A text is cut to units before spaces and around line ends,
     and at all white space where two such characters meet; the marks that end a unit are a piece of their own after a letter or digit.
     Units of many texts are cut, told apart and put back in place as Arrow columns, so only the different ones of a
     chunk are looked up. Texts in which the library's and Python's notions of
@@ -183,7 +183,7 @@ class ByteBpe:
     _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     _MARKS = ",.;:!?"
     _WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-    #: What keeps a text from being cut before spaces and line ends alone: one of _WHOLE, or white space that meets.
+    #: What keeps a text from being cut at spaces and line ends alone: one of _WHOLE, or white space that meets.
     _ODD = "<[|]|[\x1c-\x1f]|[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2}"
     #: Letters and digits by any version of Unicode, at the end.
     _WORD_END = "[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]$"
@@ -224,9 +224,9 @@ class ByteBpe:
         """Each text's units."""
         odd = pc.match_substring_regex(texts, self._ODD)
         plain = texts.filter(pc.invert(odd))
-        # No plain text has the separator.
-        for sign in " \n":
-            plain = pc.replace_substring(plain, sign, f"\x1f{sign}")
+        # No plain text has the separator. A line end is a unit of its own, a space begins one.
+        for sign, apart in ((" ", "\x1f "), ("\n", "\x1f\n\x1f")):
+            plain = pc.replace_substring(plain, sign, apart)
         units = pc.split_pattern(plain, "\x1f")
         if not odd.true_count:
             return units
