@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from quern.functions.geometry import double_area, segments
+from quern.functions.geometry import double_area
+from quern.operators import contours as ct
 from quern.operators import polygons as poly
+from quern.operators import rings as rg
 from quern.operators.areas import rings_around
 from quern.operators.graph import checkpointed
-from quern.operators.lines import _meeting
 
 _RINGS = ArrayType(ArrayType(StructType().add("x", LongType()).add("y", LongType())))
 #: Simplification is tried at the tolerance and at half of it, a quarter and so on.
@@ -78,9 +79,7 @@ def _whole(ring: np.ndarray) -> np.ndarray:
 
 def ring_versions(ring: np.ndarray, tolerance: float, smooth: bool) -> list[np.ndarray]:
     """A ring as it is, simplified at ever larger tolerances, and smoothed: the versions to step back through."""
-    steps = [simplified_ring(ring, tolerance / 2**k) for k in reversed(range(RETRIES))] if tolerance > 0 else []
-    last = [smoothed_ring((steps or [ring])[-1])] if smooth else []
-    return [_whole(r) for r in (ring, *steps, *last)]
+    return [xy for xy, _ in rg.versions(rg.packed([ring]), tolerance, smooth, RETRIES)]
 
 
 def _mapped(df: DataFrame, ring: str, result: str, f) -> DataFrame:
@@ -102,42 +101,120 @@ def simplified_rings(rings: DataFrame, tolerance: float, turned: bool = True) ->
     return out.filter(double_area(F.col("ring")) != 0)
 
 
-def crossing_rings(rings: DataFrame, cell: int) -> DataFrame:
-    """(group, id): rings that meet another ring of their group, or themselves but for neighbouring edges."""
-    s = rings.select("group", "id", F.size("ring").alias("n"), F.explode(segments(F.col("ring"))).alias("s")).select("group", "id", "n", "s.i", "s.x", "s.y", "s.x2", "s.y2")
-    a, b = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
-    own = (a("id") == b("id")) & (b("i") > a("i") + 1) & ~((a("i") == 1) & (b("i") == a("n") - 1))
-    met = _meeting(s, cell, (a("id") < b("id")) | own)
-    return met.select(F.col("a.group").alias("group"), F.explode(F.array("a.id", "b.id")).alias("id")).distinct()
+def _kinds(stage: np.ndarray, last: int, smooth: bool) -> list[str]:
+    return ["raw" if s == 0 else "smoothed" if smooth and s == last else "simplified" for s in stage.tolist()]
 
 
 def shaped_rings(rings: DataFrame, tolerance: float, smooth: bool, cell: int) -> DataFrame:
     """(group, id, stage, kind, ring, crosses): for each ring (group, id, ring) the most processed version with which its group has no crossings.
 
     Every ring starts with its last version that turns as the ring itself does. In each round the rings that cross another or themselves step
-    back by one version, in the groups that had crossings the round before. Rings that cross in raw form have `crosses`: nothing is left to step back to.
+    back by one version. Rings that cross in raw form have `crosses`: nothing is left to step back to.
+    A group's rings, which the capture limits bound, meet as arrays in one task: they are shuffled once, and versions and edges never are.
     """
-    every = _mapped(rings.select("group", "id", "ring"), "ring", "versions", lambda r: ring_versions(r, tolerance, smooth))
-    every = every.select("group", "id", F.posexplode("versions").alias("stage", "ring"), (F.size("versions") - 1).alias("last")).withColumn("area", double_area(F.col("ring")))
-    every = checkpointed(every)
-    raw = every.filter("stage = 0").select("group", "id", F.signum("area").alias("turn"))
-    at = every.join(raw, ["group", "id"]).filter((F.col("stage") == 0) | ((F.col("area") != 0) & (F.signum("area") == F.col("turn")))).groupBy("group", "id").agg(F.max("stage").alias("stage"))
-    at = checkpointed(at.withColumn("crosses", F.lit(False)))
-    open_groups = at.select("group").distinct()
-    while True:
-        now = every.join(at, ["group", "id", "stage"]).join(open_groups, "group", "left_semi")
-        met = checkpointed(crossing_rings(now.select("group", "id", "ring"), cell))
-        back = at.join(met.withColumn("met", F.lit(True)), ["group", "id"], "left")
-        moves = F.col("met") & (F.col("stage") > 0)
-        at = checkpointed(back.select("group", "id", F.when(moves, F.col("stage") - 1).otherwise(F.col("stage")).alias("stage"), (F.coalesce("met", F.lit(False)) & (F.col("stage") == 0) | F.col("crosses")).alias("crosses"), F.coalesce(moves, F.lit(False)).alias("moved")))
-        # A group in which nothing moves has come to its end.
-        open_groups = at.filter("moved").select("group").distinct()
-        if open_groups.isEmpty():
-            break
-        # What crosses in raw form may be free once others have stepped back.
-        at = at.join(open_groups.withColumn("again", F.lit(True)), "group", "left").select("group", "id", "stage", (F.col("crosses") & F.col("again").isNull()).alias("crosses"))
-    kind = F.when(F.col("stage") == 0, "raw").when((F.col("stage") == F.col("last")) & F.lit(smooth), "smoothed").otherwise("simplified")
-    return every.join(at.drop("moved"), ["group", "id", "stage"]).select("group", "id", "stage", kind.alias("kind"), "ring", "crosses")
+    schema = StructType([rings.schema["group"], rings.schema["id"]]).add("stage", "integer").add("kind", "string").add("ring", _RINGS.elementType).add("crosses", "boolean")
+
+    def shape(table: pa.Table) -> pa.Table:
+        raw = [r[0] for chunk in table.column("_set").chunks for r in poly.ring_sets(chunk)]
+        made = rg.versions(rg.packed(raw), tolerance, smooth, RETRIES)
+        now, stage, crosses = rg.settled(made, cell)
+        columns = [table.column("group"), table.column("id"), pa.array(stage, pa.int32()), pa.array(_kinds(stage, len(made) - 1, smooth)), poly._lists([rg.unpacked(now)])[0].values, pa.array(crosses)]
+        return pa.table(columns, names=schema.names)
+
+    return rings.filter("ring is not null").select("group", "id", F.array("ring").alias("_set")).groupBy("group").applyInArrow(shape, schema)
+
+
+def level_rings(lines: list[tuple[bool, np.ndarray, np.ndarray]], scale: int) -> tuple[rg.Packed, rg.Packed, np.ndarray]:
+    """(rings, exact, ids) of a level's contour lines: rings of an area in whole units, `scale` a cell, the same before rounding, and their numbers.
+
+    What is at or above the level lies to the left of every edge, so outlines have positive areas.
+    """
+    exact = rg.packed([scale * np.column_stack([np.append(x, x[0]), np.append(y, y[0])])[::-1] for _, x, y in lines])
+    xy = np.floor(exact[0] + 0.5).astype(np.int64)
+    ids = np.flatnonzero(rg.double_areas((xy, exact[1])) != 0)
+    return rg.taken((xy, exact[1]), ids), rg.taken(exact, ids), ids
+
+
+def shaped_levels(grid: DataFrame, thresholds: DataFrame, side: int, tolerance: float, smooth: bool, cell: int, scale: int = 1000, least_hole: float = 250_000.0, least: float = 250_000.0) -> DataFrame:
+    """(board, threshold, id, stage, kind, ring, crosses, parent, filled, pieces, area): the contour rings of each level as `shaped_rings`, and the level that they make.
+
+    A hole has `parent`, the outline directly around it. The rings before simplification decide that, so that shaping changes no hole's outline. A hole under `least_hole` is `filled`.
+    Outlines with their other holes are clipped to the level below, and the first level to the board, which ends half a cell beyond its outer samples. An outline has `pieces`, what
+    is left of it in connected pieces of `least` or more, and their `area`, in square units; smaller ones go, and are not in the level that the next one is clipped to.
+    """
+    schema = StructType.fromDDL("board long, threshold long, id long, stage int, kind string").add("ring", _RINGS.elementType).add("crosses", "boolean").add("parent", "long").add("filled", "boolean").add("pieces", "long").add("area", "double")
+    a, b = -scale // 2, side * scale - scale // 2
+    board_ring = rg.packed([np.array([(a, a), (b, a), (b, b), (a, b), (a, a)], np.int64)])
+
+    def made(board: int, lines: dict[int, list]) -> dict[str, object]:
+        out = {name: [] for name in schema.names}
+        shaped, below = [], board_ring
+        for threshold, found in lines.items():
+            raw, exact, ids = level_rings(found, scale)
+            done = rg.versions(raw, tolerance, smooth, RETRIES)
+            now, stage, crosses = rg.settled(done, cell)
+            sizes = rg.double_areas(exact)
+            parent = rg.parents(exact, sizes, scale)
+            hole = sizes <= 0
+            if (parent[hole] < 0).any():
+                raise ValueError("a hole has no outline around it")
+            filled = hole & (np.abs(rg.double_areas(now)) < 2 * least_hole)
+            pieces, area, below = _clipped_level(now, np.flatnonzero(~filled), np.where(hole, parent, np.arange(len(ids))), below, scale, least)
+            shaped += rg.unpacked(now)
+            out["board"] += [board] * len(ids)
+            out["threshold"] += [threshold] * len(ids)
+            out["kind"] += _kinds(stage, len(done) - 1, smooth)
+            for name, values, told in (("id", ids, None), ("stage", stage, None), ("crosses", crosses, None), ("parent", ids[parent] if len(ids) else ids, hole), ("filled", filled, hole), ("pieces", pieces, ~hole), ("area", area, ~hole)):
+                out[name] += [v if t else None for v, t in zip(values.tolist(), told.tolist(), strict=True)] if told is not None else values.tolist()
+        return out | {"ring": poly._lists([shaped])[0].values}
+
+    return ct.in_boards(grid, thresholds, made, schema, side)
+
+
+def _clipped_level(now: rg.Packed, which: np.ndarray, outline: np.ndarray, below: rg.Packed, cell: int, least: float) -> tuple[np.ndarray, np.ndarray, rg.Packed]:
+    """(pieces, area, level): of each ring's outline what lies in the level below, in pieces of `least` or more; `which` rings make up the level, and `outline` has each ring's outline."""
+    pieces, total = np.zeros(len(outline), np.int64), np.zeros(len(outline))
+    own = rg.taken(now, which)
+    _, _, rings, edge = rg.clipped(own, below, cell)
+    level = rg.whole(rg.packed(rings))
+    sizes = rg.double_areas(level)
+    parent = rg.parents(level, sizes, cell)
+    area = np.where(sizes > 0, sizes, 0) / 2
+    inner = np.flatnonzero(parent >= 0)
+    np.add.at(area, parent[inner], sizes[inner] / 2)
+    # A piece's outline is known by an edge that it shares, or else by the rings around it.
+    of = np.append(np.repeat(which, np.maximum(np.diff(own[1]) - 1, 0)), -1)[edge]
+    outer = np.flatnonzero(sizes > 0)
+    alone = outer[of[outer] < 0]
+    first = level[0][level[1][:-1][alone]]
+    of[alone] = np.append(which, -1)[rg.around(first[:, 0], first[:, 1], own, rg.double_areas(own), cell)]
+    kept = outer[(area[outer] >= least) & (of[outer] >= 0)]
+    np.add.at(pieces, outline[of[kept]], 1)
+    np.add.at(total, outline[of[kept]], area[kept])
+    stays = np.zeros(len(sizes), bool)
+    stays[kept] = True
+    stays |= np.append(stays, False)[parent]
+    return pieces, total, rg.taken(level, np.flatnonzero(stays))
+
+
+def level_hole_parents(grid: DataFrame, thresholds: DataFrame, side: int, scale: int = 1000) -> DataFrame:
+    """(board, threshold, id, parent): for each hole of the contours the outline directly around it."""
+
+    def made(board: int, lines: dict[int, list]) -> dict[str, object]:
+        out = {name: [] for name in schema.names}
+        for threshold, found in lines.items():
+            _, exact, ids = level_rings(found, scale)
+            sizes = rg.double_areas(exact)
+            holes = np.flatnonzero(sizes <= 0)
+            parent = rg.parents(exact, sizes, scale)[holes]
+            out["board"] += [board] * len(holes)
+            out["threshold"] += [threshold] * len(holes)
+            out["id"] += ids[holes].tolist()
+            out["parent"] += [ids[p].item() if p >= 0 else None for p in parent.tolist()]
+        return out
+
+    schema = StructType.fromDDL("board long, threshold long, id long, parent long")
+    return ct.in_boards(grid, thresholds, made, schema, side)
 
 
 def hole_parents(rings: DataFrame, cell: int) -> DataFrame:

@@ -7,39 +7,33 @@ from pyspark.sql import functions as F
 
 from quern.functions.geometry import double_area
 from quern.operators import bands as bd
-from quern.operators import contours as ct
 from quern.operators import surveys as sv
 from quern.operators.graph import checkpointed
-from quern.operators.layers import closed_grid
 from quern.plans.lenses import POLYLINES, SIDE, grid, polylines
 from quern.plans.registry import query
 from quern.plans.shapes import _BOXES, _box, _boxes
 
 
-def _contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group, id, ring): the contours of four even heights of each board, in micrometres; a group is a board and height."""
-    v = checkpointed(grid(spark, sf_dir))
+def _heights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The boards' samples, and four even heights (board, threshold) of each board."""
+    v = grid(spark, sf_dir)
     low, high = F.min("v"), F.max("v")
-    heights = v.groupBy("board").agg(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.floor(low + k * (high - low) / 5)).alias("t")).select("board", F.explode("t").alias("threshold"))
-    ring = F.transform("path", lambda p: F.struct(F.round(p["x"] * 1000).cast("long").alias("x"), F.round(p["y"] * 1000).cast("long").alias("y")))
-    traced = ct.traced(closed_grid(v, SIDE), heights)
-    # Rings are made once and kept; else a filter on a ring makes it anew for each of its vertices.
-    closed = checkpointed(traced.select(F.struct("board", "threshold").alias("group"), F.col("line").alias("id"), F.concat(ring, F.slice(ring, 1, 1)).alias("ring")))
-    return closed.filter(double_area(F.col("ring")) != 0)
+    heights = v.groupBy("board").agg(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.floor(low + k * (high - low) / 5)).alias("t"))
+    return v, heights.select("board", F.explode("t").alias("threshold"))
 
 
 @query("shaped_bands")
 def shaped_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contour rings of every level, simplified and smoothed as far as none crosses another, with the outline that each hole lies in."""
-    shaped = bd.shaped_rings(_contour_rings(spark, sf_dir), 150.0, True, 500)
+    shaped = bd.shaped_levels(*_heights(spark, sf_dir), SIDE, 150.0, True, 500)
     size = double_area(F.col("ring"))
-    return shaped.select("group.board", "group.threshold", "id", "kind", "crosses", F.size("ring").cast("long").alias("vertices"), size.alias("double_area"))
+    return shaped.select("board", "threshold", "id", "kind", "crosses", F.size("ring").cast("long").alias("vertices"), size.alias("double_area"))
 
 
 @query("contour_hole_parents")
 def contour_hole_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outline directly around each hole of the contours."""
-    return bd.hole_parents(_contour_rings(spark, sf_dir), 500).select("group.board", "group.threshold", "id", "parent")
+    return bd.level_hole_parents(*_heights(spark, sf_dir), SIDE)
 
 
 def _within(inset: int, reverse: bool = False) -> Column:
