@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions.geometry import double_area
 from quern.operators import contours as ct
 from quern.operators import polygons as poly
+from quern.operators import rings as rg
+from quern.operators.bands import level_rings
 
 
 def road_engraving(roads: DataFrame, least_area: float = 62_500.0) -> DataFrame:
@@ -29,28 +32,23 @@ def road_engraving(roads: DataFrame, least_area: float = 62_500.0) -> DataFrame:
     return kept.join(widths, "board").select("board", area.alias("area"), "rings", "widths")
 
 
-def closed_grid(grid: DataFrame, side: int) -> DataFrame:
-    """The samples with a frame around each board, in which absent cells and the frame lie below every sample, so that all contours close."""
-    low = grid.groupBy("board").agg((F.min("v") - 1).alias("low"))
-    axis = F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(side).cast("long")))
-    frame = low.select("board", "low", axis.alias("r")).select("board", "low", "r", axis.alias("c"))
-    return frame.join(grid, ["board", "r", "c"], "left").select("board", "r", "c", F.coalesce("v", "low").alias("v"))
-
-
 def nested_bands(grid: DataFrame, thresholds: DataFrame, side: int, cell: int = 1000) -> DataFrame:
     """(board, level, threshold, area, outside, rings): the region at or above each threshold, clipped to the level below it.
 
     `thresholds` has board and threshold; levels count from 1 by rising threshold. `outside` is what the clipping took off, which should be next to nothing.
-    Cells are `cell` micrometres wide.
+    Cells are `cell` micrometres wide. Levels are traced and clipped in a board's group, so samples are shuffled and rings never are.
     """
-    traced = ct.traced(closed_grid(grid, side), thresholds)
-    ring = F.transform("path", lambda p: F.struct(F.round(p["x"] * cell).cast("long").alias("x"), F.round(p["y"] * cell).cast("long").alias("y")))
-    rings = traced.select("board", "threshold", F.concat(ring, F.slice(ring, 1, 1)).alias("ring"))
-    sets = rings.groupBy("board", "threshold").agg(F.array_sort(F.collect_list("ring")).alias("own"))
-    order = Window.partitionBy("board").orderBy("threshold")
-    levels = sets.withColumns({"level": F.row_number().over(order), "below": F.lag("own").over(order)})
-    levels = levels.withColumn("below", F.coalesce("below", "own")).repartition(4 * grid.sparkSession.sparkContext.defaultParallelism, "board", "level")
-    inside = poly.boolean(levels, "own", "below", "intersection")
-    inside = inside.withColumnRenamed("area", "kept")
-    beyond = poly.boolean(inside, "own", "below", "difference", "beyond")
-    return beyond.select("board", "level", "threshold", F.col("kept").alias("area"), F.col("area").alias("outside"), "rings")
+    schema = StructType.fromDDL("board long, level int, threshold long, area double, outside double").add("rings", poly._RINGS)
+
+    def made(board: int, lines: dict[int, list]) -> dict[str, object]:
+        rows, rings, below = [], [], None
+        for threshold, found in lines.items():
+            if found:
+                own, _, _ = level_rings(found, cell)
+                area, outside, inside, _ = rg.clipped(own, own if below is None else below, cell)
+                rows.append((board, len(rows) + 1, threshold, area, outside))
+                rings.append(inside)
+                below = own
+        return dict(zip(schema.names, [list(c) for c in zip(*rows, strict=True)] or [[]] * 5, strict=False)) | {"rings": poly._lists(rings)}
+
+    return ct.in_boards(grid, thresholds, made, schema, side)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quern.operators import bands as bd
+from quern.operators import layers
 from quern.operators import polygons as poly
 from quern.operators import rings as rg
 
@@ -76,3 +77,10 @@ def test_boards_are_shaped_with_a_shuffle_of_samples_and_thresholds_alone(spark)
     rings = spark.createDataFrame([(1, 0, box(0, 0, 90, 90).tolist()), (1, 1, box(10, 10, 40, 40, True).tolist())], f"group long, id long, ring {RING}")
     shaped = bd.shaped_rings(rings, 5.0, True, 50)
     assert shaped.count() == 2 and shuffles(shaped) == 1
+
+
+def test_bands_are_nested_with_a_shuffle_of_samples_and_thresholds_alone(spark):
+    grid = spark.createDataFrame(hills(), "board long, r long, c long, v long")
+    found = layers.nested_bands(grid, spark.createDataFrame([(1, 50), (1, 80), (1, 500), (2, 50)], "board long, threshold long"), 24)
+    assert {(r["board"], r["level"], r["threshold"], len(r["rings"])) for r in found.collect()} == {(1, 1, 50, 4), (1, 2, 80, 4), (2, 1, 50, 4)}
+    assert shuffles(found) == 2
