@@ -24,10 +24,10 @@ def _heights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("shaped_bands")
 def shaped_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contour rings of every level, simplified and smoothed as far as none crosses another, with the outline that each hole lies in."""
+    """Contour rings of every level, simplified and smoothed as far as none crosses another, with the outline that each hole lies in, and what is left of each outline in the level below."""
     shaped = bd.shaped_levels(*_heights(spark, sf_dir), SIDE, 150.0, True, 500)
     size = double_area(F.col("ring"))
-    return shaped.select("board", "threshold", "id", "kind", "crosses", F.size("ring").cast("long").alias("vertices"), size.alias("double_area"))
+    return shaped.select("board", "threshold", "id", "kind", "crosses", F.size("ring").cast("long").alias("vertices"), size.alias("double_area"), "parent", "filled", "pieces", "area")
 
 
 @query("contour_hole_parents")

@@ -69,6 +69,50 @@ def hills():
     return [(b, r, c, x) for b in (1, 2) for (r, c), x in v.items()]
 
 
+def test_levels_have_outlines_with_their_holes_clipped_to_the_level_below(spark):
+    grid = spark.createDataFrame(hills(), "board long, r long, c long, v long")
+    heights = spark.createDataFrame([(b, t) for b in (1, 2) for t in (50, 80)], "board long, threshold long")
+    rows = [r for r in bd.shaped_levels(grid, heights, 24, 100.0, True, 500).collect() if r["board"] == 1]
+    low, high = ({r["id"]: r for r in rows if r["threshold"] == t} for t in (50, 80))
+    size = {(r["threshold"], r["id"]): area2([(p["x"], p["y"]) for p in r["ring"]]) / 2 for r in rows}
+    outlines = lambda level: [r for r in level.values() if r["parent"] is None]
+    holes = lambda level: [r for r in level.values() if r["parent"] is not None]
+    assert all((size[r["threshold"], r["id"]] > 0) == (r["parent"] is None) and not r["crosses"] for r in rows)
+    # The narrow hill's tip is too small a piece at the lower level, and not there at the higher one.
+    assert len(outlines(low)) == 3 and len(outlines(high)) == 2
+    # The wide pit is a hole of the hill in either level; the islet in it is an outline of its own. The narrow pit is a small hole.
+    for level, n in ((low, 1), (high, 2)):
+        hill = max(outlines(level), key=lambda r: size[r["threshold"], r["id"]])
+        assert len(holes(level)) == n and {h["parent"] for h in holes(level)} == {hill["id"]}
+        open_ = [h for h in holes(level) if not h["filled"]]
+        assert hill["pieces"] == 1 and len(open_) == 1
+        whole = size[hill["threshold"], hill["id"]] + size[open_[0]["threshold"], open_[0]["id"]]
+        assert hill["area"] == pytest.approx(whole, rel=0.001)
+    assert sorted(r["pieces"] for r in outlines(low)) == [0, 1, 1]
+
+
+def area2(ring):
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))
+
+
+def test_levels_are_the_region_in_the_level_below(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, r, c, int(v)) for r in range(20) for c in range(20) for v in [rng.integers(0, 1000)]]
+    grid, heights = spark.createDataFrame(rows, "board long, r long, c long, v long"), spark.createDataFrame([(1, t) for t in (300, 500, 700)], "board long, threshold long")
+    got = bd.shaped_levels(grid, heights, 20, 150.0, True, 500, least_hole=0.0, least=0.0).collect()
+    below = [box(-500, -500, 19500, 19500)]
+    for t in (300, 500, 700):
+        own = [np.array([(p["x"], p["y"]) for p in r["ring"]], float) for r in got if r["threshold"] == t]
+        part = poly.trapezoids([poly.edges_of(own), poly.edges_of(below)], poly.OPERATIONS["intersection"])
+        assert sum(r["area"] or 0 for r in got if r["threshold"] == t) == pytest.approx(poly.area(part), rel=1e-4)
+        below = poly.rings_of(part)
+
+
+def test_every_hole_of_a_contour_has_an_outline(spark):
+    grid = spark.createDataFrame(hills(), "board long, r long, c long, v long")
+    got = bd.level_hole_parents(grid, spark.createDataFrame([(1, 50), (2, 80)], "board long, threshold long"), 24).collect()
+    assert sorted((r["board"], r["threshold"]) for r in got) == [(1, 50), (2, 80), (2, 80)] and all(r["parent"] is not None for r in got)
+
 
 def test_boards_are_shaped_with_a_shuffle_of_samples_and_thresholds_alone(spark):
     grid = spark.createDataFrame(hills(), "board long, r long, c long, v long")
@@ -84,3 +128,17 @@ def test_bands_are_nested_with_a_shuffle_of_samples_and_thresholds_alone(spark):
     found = layers.nested_bands(grid, spark.createDataFrame([(1, 50), (1, 80), (1, 500), (2, 50)], "board long, threshold long"), 24)
     assert {(r["board"], r["level"], r["threshold"], len(r["rings"])) for r in found.collect()} == {(1, 1, 50, 4), (1, 2, 80, 4), (2, 1, 50, 4)}
     assert shuffles(found) == 2
+
+
+def test_the_query_tells_holes_from_outlines_and_what_is_left_of_them(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    folder = os.environ.get("QUERN_SMOKE_DIR", "/root/testdata/sf0.001")
+    rows = entry.queries()["shaped_bands"](spark, folder).collect()
+    outlines = {(r["board"], r["threshold"], r["id"]) for r in rows if r["double_area"] > 0}
+    holes = [r for r in rows if r["double_area"] < 0]
+    assert outlines and holes and all((r["board"], r["threshold"], r["parent"]) in outlines and r["filled"] is not None for r in holes)
+    assert all((r["pieces"] is None) == (r["double_area"] < 0) and (r["area"] or 0) >= 0 for r in rows)
+    assert any(r["pieces"] for r in rows) and any(r["filled"] for r in holes)
