@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quern.functions.geometry import double_area
+from quern.functions.settings import SAGITTA
 from quern.operators import contours as ct
 from quern.operators import polygons as poly
 from quern.operators import rings as rg
@@ -16,20 +18,26 @@ from quern.operators.bands import level_rings
 def road_engraving(roads: DataFrame, least_area: float = 62_500.0) -> DataFrame:
     """(board, area, rings, widths): each board's roads as one engraved area, in micrometres.
 
-    `roads` has board, line and width. Roads of one width are stroked together, with caps as fine as the width asks for, and the
-    strokes of all widths are joined. Holes and specks under `least_area` go. A board's roads are bounded by the capture limits.
+    `roads` has board, line and width. Roads are stroked with caps as fine as their width asks for, and the
+    strokes of all widths are joined. Holes and specks under `least_area` go. A board's roads are bounded by the capture limits, and meet in one group.
     """
-    grouped = roads.groupBy("board", "width").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    half = grouped.withColumn("half", F.col("width").cast("double") / 2)
-    # Rows are few bytes but much work, so they are dealt to a set number of tasks.
-    half = half.repartition(4 * roads.sparkSession.sparkContext.defaultParallelism, "board", "width")
-    strokes = poly.stroked(half, "lines", "half", tolerance=None, result="stroke")
-    joined = poly.union_all(strokes.select("board", "stroke"), "stroke", ["board"], "all")
-    large = F.filter("all", lambda r: F.abs(double_area(r)) / 2 >= least_area)
-    kept = joined.select("board", large.alias("rings"))
-    widths = grouped.groupBy("board").agg(F.count("*").alias("widths"))
-    area = F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + double_area(r)) / 2
-    return kept.join(widths, "board").select("board", area.alias("area"), "rings", "widths")
+    schema = StructType([roads.schema["board"]]).add("area", "double").add("rings", poly._RINGS).add("widths", "long")
+
+    def engrave(table: pa.Table) -> pa.Table:
+        lines = [r[0] for chunk in table.column("_set").chunks for r in poly.ring_sets(chunk)]
+        # In one order, whichever way the rows came.
+        each = sorted(zip(table.column("width").to_pylist(), lines, strict=True), key=lambda road: (road[0], road[1].tolist()))
+        shapes = [s for width, line in each for s in poly.stroke_shapes([line], width / 2, min(20.0, max(0.1, width / 2 * SAGITTA)))]
+        _, found = rg.united(rg.packed([np.floor(s * 1000 + 0.5).astype(np.int64) for s in shapes]), 1000)
+        areas = [poly.signed_area(r) for r in found]
+        kept = [k for k, area in enumerate(areas) if abs(area) >= least_area]
+        columns = [table.column("board").slice(0, 1).combine_chunks(), pa.array([float(sum(areas[k] for k in kept))]), poly._lists([[found[k] for k in kept]]), pa.array([len({width for width, _ in each})])]
+        return pa.table(columns, names=schema.names)
+
+    # Rows are few bytes but much work, so boards are dealt to a set number of tasks.
+    spark = roads.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return roads.select("board", "width", F.array("line").alias("_set")).repartition(tasks, "board").groupBy("board").applyInArrow(engrave, schema)
 
 
 def nested_bands(grid: DataFrame, thresholds: DataFrame, side: int, cell: int = 1000) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from quern.operators.areas import _line_left, _ring_left, _turn
+from quern.operators.areas import LARGEST, _line_left, _ring_left, _turn
 from quern.operators.polygons import stitched
 
 #: Pairs of edges that are looked at at once.
@@ -71,6 +71,8 @@ def _near(e: np.ndarray, cell: int, mine: np.ndarray | None = None) -> Iterator[
     if not len(e):
         return
     low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    if low.min() <= -LARGEST or high.max() >= LARGEST:
+        raise ValueError("a ring has a coordinate that is too large")
     # Long edges get larger cells, so that none covers many.
     cell = max(cell, int((high - low).max(axis=1).mean()), int((high.max(axis=0) - low.min(axis=0)).max()) >> 12)
     first = low // cell
@@ -85,6 +87,10 @@ def _near(e: np.ndarray, cell: int, mine: np.ndarray | None = None) -> Iterator[
     order = np.argsort(key, kind="stable")
     edge, at, key = edge[order], at[order], key[order]
     later = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    # Boxes are compared many times faster than pairs are listed.
+    if later.sum() > len(e) ** 2 / 24:
+        yield from _by_boxes(low, high, mine)
+        return
     total = np.append(0, np.cumsum(later))
     a = 0
     while a < len(key):
@@ -98,6 +104,26 @@ def _near(e: np.ndarray, cell: int, mine: np.ndarray | None = None) -> Iterator[
         a = b
 
 
+def _by_boxes(low: np.ndarray, high: np.ndarray, mine: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `_near`, for few or long edges: blocks of edges meet all that begin before the block's end."""
+    order = np.argsort(low[:, 0], kind="stable")
+    # Whole coordinates below LARGEST fit 32 bits.
+    (lx, ly), (hx, hy) = low[order].T.astype(np.int32), high[order].T.astype(np.int32)
+    for k in range(0, len(order), 128):
+        own = slice(k, k + 128)
+        other = slice(k, int(np.searchsorted(lx, hx[own].max(), "right")))
+        ok = lx[other] <= hx[own, None]
+        ok &= ly[other] <= hy[own, None]
+        ok &= ly[own, None] <= hy[other]
+        # The first ones are the block's own edges, and meet each other once.
+        ok[:, : len(ok)] = np.triu(ok[:, : len(ok)], 1)
+        i, j = np.divmod(np.flatnonzero(ok), ok.shape[1])
+        i, j = order[i + k], order[j + k]
+        if mine is not None:
+            i, j = i[mine[i] | mine[j]], j[mine[i] | mine[j]]
+        yield np.minimum(i, j), np.maximum(i, j)
+
+
 def _meet(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Whether edges s and t of overlapping boxes meet, touching included."""
     turns = [[np.sign(_turn(p[:, 0], p[:, 1], p[:, 2] - p[:, 0], p[:, 3] - p[:, 1], q[:, k], q[:, k + 1])) for k in (0, 2)] for p, q in ((s, t), (t, s))]
@@ -281,6 +307,23 @@ def parents(rings: Packed, sizes: np.ndarray, cell: int) -> np.ndarray:
     return out
 
 
+def _crossed(e: list[np.ndarray], f: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs of edges i of e and j of f (columns x, y, x2, y2) that cross if f counts as shifted, the shares of either at which, and whether e ends left of f and f left of e."""
+    x, y, px, py, qx, qy = e[0][i], e[1][i], f[0][j], f[1][j], f[2][j], f[3][j]
+    dx, dy = e[2][i] - x, e[3][i] - y
+    from_, to = _turn(x, y, dx, dy, px, py), _turn(x, y, dx, dy, qx, qy)
+    left = _ring_left(to, dx, dy)
+    # Most pairs fall out here.
+    some = np.flatnonzero(_ring_left(from_, dx, dy) != left)
+    i, j, x, y, dx, dy, px, py, qx, qy, from_, to, left = (v[some] for v in (i, j, x, y, dx, dy, px, py, qx, qy, from_, to, left))
+    ex, ey = qx - px, qy - py
+    begin, end = _turn(px, py, ex, ey, x, y), _turn(px, py, ex, ey, x + dx, y + dy)
+    other = _line_left(end, ex, ey)
+    met = np.flatnonzero(_line_left(begin, ex, ey) != other)
+    t, u = (a[met].astype(float) / (a - b)[met].astype(float) for a, b in ((begin, end), (from_, to)))
+    return i[met], j[met], t, u, other[met], left[met]
+
+
 def _sides(rings: Packed, e: np.ndarray, of: np.ndarray, edge: np.ndarray, along: np.ndarray, at: np.ndarray, begins_inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(side, edge, inside): rings' edges cut at places `at` of share `along`; inside and outside alternate along a ring."""
     order = np.lexsort((along, edge))
@@ -308,17 +351,11 @@ def clipped(own: Packed, frame: Packed, cell: int) -> tuple[float, float, list[n
     both = np.concatenate([e, f])
     mine = np.arange(len(both)) < len(e)
     met_at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    columns = [list(v.T.copy()) for v in (e, f)]
     for i, j in _near(both, cell, mine):
-        other = j >= len(e)
-        i, j = i[other & (i < len(e))], j[other & (i < len(e))] - len(e)
-        x, y, x2, y2 = e[i].T
-        px, py, qx, qy = f[j].T
-        dx, dy, ex, ey = x2 - x, y2 - y, qx - px, qy - py
-        rings = [_turn(x, y, dx, dy, a, b) for a, b in ((px, py), (qx, qy))]
-        lines = [_turn(px, py, ex, ey, a, b) for a, b in ((x, y), (x2, y2))]
-        met = (_ring_left(rings[0], dx, dy) != _ring_left(rings[1], dx, dy)) & (_line_left(lines[0], ex, ey) != _line_left(lines[1], ex, ey))
-        t, u = (v[0][met].astype(float) / (v[0] - v[1])[met].astype(float) for v in (lines, rings))
-        met_at.append((i[met], j[met], t, u))
+        other = (j >= len(e)) & (i < len(e))
+        i, j = i[other], j[other] - len(e)
+        met_at.append(_crossed(*columns, i, j)[:4])
     i, j, t, u = (np.concatenate(x) for x in zip(*met_at, strict=True))
     # Both edges get the very same place.
     at = np.floor((e[i, :2] + t[:, None] * (e[i, 2:] - e[i, :2])) * 1000 + 0.5).astype(np.int64)
@@ -340,3 +377,41 @@ def clipped(own: Packed, frame: Packed, cell: int) -> tuple[float, float, list[n
 def _enclosed(sides: np.ndarray) -> float:
     """The area to the left of closed rings of sides in thousandths; whole numbers, so sides that run back on each other leave nothing."""
     return int((sides[:, 0] * sides[:, 3] - sides[:, 2] * sides[:, 1]).sum()) / 2e6
+
+
+def united(shapes: Packed, cell: int) -> tuple[float, list[np.ndarray]]:
+    """(area, rings) of the union of simple rings in whole thousandths of a micrometre that turn to the left; the rings are in whole micrometres.
+
+    Of every edge the pieces stay that no other shape covers: crossings along a ring tell how many do, counted on from its first vertex. Of two shapes the later one counts as
+    shifted by an infinitesimal step, so shapes that touch or have edges in common are apart or overlap, and no place is decided by rounding.
+    """
+    e, of = _edges(shapes)
+    if not len(e):
+        return 0.0, []
+    met_at, columns = [], list(e.T.copy())
+    for i, j in _near(e, cell):
+        apart = of[i] != of[j]
+        met_at.append(_crossed(columns, columns, i[apart], j[apart]))
+    i, j, t, u, enters, entered = (np.concatenate(x) for x in zip(*met_at, strict=True))
+    at = np.floor(e[i, :2] + t[:, None] * (e[i, 2:] - e[i, :2]) + 0.5).astype(np.int64)
+    first = shapes[0][shapes[1][:-1]]
+    covers = np.zeros(len(first), np.int64)
+    for shifted in (False, True):
+        p, k = _rayed(first[:, 0], first[:, 1], e, cell, shifted)
+        other = of[k] < p if shifted else of[k] > p
+        pair, n = np.unique(p[other] * len(first) + of[k[other]], return_counts=True)
+        covers += np.bincount(pair[n % 2 == 1] // len(first), minlength=len(first))
+    edge, along, places, step = np.concatenate([i, j]), np.concatenate([t, u]), np.concatenate([at, at]), np.where(np.concatenate([enters, entered]), 1, -1)
+    order = np.lexsort((along, edge))
+    edge, places, step = edge[order], places[order], step[order]
+    n = np.bincount(edge, minlength=len(e))
+    cut = np.repeat(np.arange(len(e)), n + 1)
+    k = np.arange(len(cut)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    passed, crossed = np.append(0, np.cumsum(step)), np.append(0, np.cumsum(n))
+    begins = np.cumsum(np.bincount(of, minlength=len(first))) - np.bincount(of, minlength=len(first))
+    over = passed[crossed[cut] + k] - passed[crossed[begins[of]]][cut] + covers[of[cut]]
+    sides = np.concatenate([e[cut, :2], e[cut, 2:]], axis=1)
+    sides[k > 0, :2] = places
+    sides[k < n[cut], 2:] = places
+    bare = over == 0
+    return _enclosed(sides[bare]), stitched(sides[bare], cut[bare])[0]

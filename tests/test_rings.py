@@ -142,3 +142,32 @@ def test_the_query_tells_holes_from_outlines_and_what_is_left_of_them(spark):
     assert outlines and holes and all((r["board"], r["threshold"], r["parent"]) in outlines and r["filled"] is not None for r in holes)
     assert all((r["pieces"] is None) == (r["double_area"] < 0) and (r["area"] or 0) >= 0 for r in rows)
     assert any(r["pieces"] for r in rows) and any(r["filled"] for r in holes)
+
+
+def test_shapes_of_strokes_united_equal_the_slab_kernel():
+    rng = np.random.default_rng(6)
+    close = lambda p: np.concatenate([p, p[:1]])
+    cases = [[rng.integers(-9000, 9000, (12, 2))] for _ in range(8)] + [[rng.integers(-1500, 1500, (9, 2)), close(rng.integers(-4000, 4000, (5, 2)))] for _ in range(8)]
+    # Straight on, straight back, on itself, closed, repeated vertices, one place, and nothing.
+    cases += [[np.array(p)] for p in ([(0, 0), (2000, 0), (5000, 0), (5000, 3000)], [(0, 0), (3000, 0), (1000, 0)], [(0, 0), (4000, 0), (4000, 0), (4000, 4000), (0, 4000), (0, 0)], [(7, 7)], [(0, 0), (90, 40), (200, 0)], [(0, 0), (3000, 100), (6000, 0), (9000, 800)])]
+    cases += [[np.array([(0, 0), (3000, 3000)]), np.array([(0, 0), (3000, 3000)])], [np.array([(0, 0), (3000, 0)]), np.array([(3000, 0), (6000, 0)])], [np.zeros((0, 2))]]
+    for lines in cases:
+        for radius in (195.0, 675.0):
+            shapes = poly.stroke_shapes(lines, radius, radius * 0.019)
+            assert all(poly.signed_area(s) > 0 for s in shapes)
+            area, rings = rg.united(rg.packed([np.floor(s * 1000 + 0.5).astype(np.int64) for s in shapes]), 1000)
+            slabs = poly.stroke(lines, radius, radius * 0.019)
+            assert area == pytest.approx(poly.area(slabs), rel=1e-5)
+            large = lambda found: sorted(s for s in map(poly.signed_area, found) if abs(s) > 500)
+            assert large(rings) == pytest.approx(large(poly.rings_of(slabs)), rel=1e-3, abs=300)
+
+
+def test_joints_take_only_what_reaches_out_of_the_boxes():
+    line = np.random.default_rng(3).integers(-9000, 9000, (32, 2))
+    assert sum(len(s) - 1 for s in poly.stroke_shapes([line], 300.0, 5.7)) < 0.75 * len(poly.band([line], 300.0, 5.7))
+
+
+def test_roads_of_a_board_are_shuffled_once(spark):
+    rows = [(b, [(0, 0), (5000, 100 * k), (9000, 4000)], w) for b in (1, 2) for k, w in enumerate((400, 900, 400))]
+    found = layers.road_engraving(spark.createDataFrame(rows, f"board long, line {RING}, width long"))
+    assert [(r["board"], r["widths"]) for r in sorted(found.collect())] == [(1, 2), (2, 2)] and shuffles(found) == 1
